@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .substring_dedup import OP10_SQL, op10_substring_dedup
+from .warc import OP9_SQL, op9_warc
 
-QUERIES = {"op10_substring_dedup": op10_substring_dedup}
-ORACLES = {"op10_substring_dedup": OP10_SQL}
+QUERIES = {"op9_warc": op9_warc, "op10_substring_dedup": op10_substring_dedup}
+ORACLES = {"op9_warc": OP9_SQL, "op10_substring_dedup": OP10_SQL}

@@ -188,7 +188,10 @@ def _complete(kept: DataFrame, cut: DataFrame, lines: DataFrame, splits: DataFra
     start, end = F.col("base") + F.col("rel") + F.length("header") + 4, F.col("base") + F.col("rel_next") - 4
     wanted = cut.select(*keys, start.alias("from"), end.alias("until"))
     held = splits.select("path", F.col("block").alias("b"), F.col("base").alias("b0"), (F.col("base") + F.col("total")).alias("b1"))
-    parts = wanted.join(held, "path").where("b0 < until and b1 > from")
+    # a record per split at most; written first, so that its size is known where the chunks are joined with it
+    parts = saved(wanted.join(held, "path").where("b0 < until and b1 > from"), "parts")
+    if parts.isEmpty():
+        return kept
 
     def offsets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split, at = None, 0

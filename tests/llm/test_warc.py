@@ -11,7 +11,7 @@ from tests.oracle import assert_matches
 FAKE = "WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:9999>\r\nContent-Length: 7\r\n\r\nabc\r\n\r\nmore"
 
 
-@pytest.mark.parametrize("split", [150, 700, 5000, 1 << 24])
+@pytest.mark.parametrize("split", [150, 1 << 24])
 def test_round_trip_with_magic_inside_payloads(spark, tmp_path, split):
     htmls = [None, "", "plain", "x\r\n", "\r\n\r\n", "a\r\n\r\nb\r\n\r\n", FAKE, "lead\r\n" + FAKE + "\r\n\r\n", "é" * 900, "é" * 900, "é" * 900, "y" * 999, "y" * 999, "\r\n\r\n\r\n", "\n\r\n\r", (FAKE + "z" * 700) * 3]
     rows = [(i, None if i == 3 else f"http://x/{i}\r\nq", h, "junk") for i, h in enumerate(htmls)]

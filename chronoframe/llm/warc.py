@@ -29,7 +29,7 @@ EOL, GAP = "\r\n", "\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _MAGIC = re.compile(rb"(?:\A|\r\n)(WARC/1\.[01]\r\n)")
 _FIELD = re.compile(rb"^([A-Za-z-]+):[ \t]*(.*?)[ \t]*\r?$", re.M)
-_FOUND = "path string, block long, total long, rel long, rel_next long, rel_exit long, header binary, http binary, n_body long, body_sha1 string, body binary"
+_FOUND = "path string, block long, total long, rel long, rel_next long, rel_exit long, n_header long, record_type string, record_id string, target_uri string, refers_to string, payload_digest string, stated long, n_body long, body_sha1 string, body binary"
 
 
 def with_revisits(pages: DataFrame, min_bytes: int = 1000) -> DataFrame:
@@ -38,7 +38,8 @@ def with_revisits(pages: DataFrame, min_bytes: int = 1000) -> DataFrame:
     pages = pages.select("*", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1(F.col("payload").cast("binary")).alias("payload_digest"))
     digests = saved(pages.where(F.col("payload_bytes") >= min_bytes).select("page_id", "payload_digest"), "digests")
     keepers = digests.groupBy("payload_digest").agg(F.max("page_id").alias("refers_to"), F.min("page_id").alias("least")).where("least < refers_to").drop("least")
-    refs = digests.join(keepers, "payload_digest").where("page_id < refers_to").distinct()
+    # written, so that Spark knows its size: pages are shuffled only where the revisits are too many to broadcast
+    refs = saved(digests.join(keepers, "payload_digest").where("page_id < refers_to").distinct(), "revisits")
     return pages.join(refs, ["page_id", "payload_digest"], "left")
 
 
@@ -71,6 +72,18 @@ def _fields(header: bytes) -> dict[bytes, bytes]:
     return {k.lower(): v for k, v in reversed(_FIELD.findall(header))}
 
 
+def _named(header: bytes) -> dict:
+    f, text = _fields(header), lambda v: v.decode("utf-8", "replace") or None
+    named = {c: text(f.get(n, b"")) for c, n in (("record_type", b"warc-type"), ("record_id", b"warc-record-id"), ("target_uri", b"warc-target-uri"), ("refers_to", b"warc-refers-to"))}
+    return named | {"n_header": len(header), "payload_digest": text(f.get(b"warc-payload-digest", b"").removeprefix(b"sha1:"))}
+
+
+def _stated(http: bytes) -> int | None:
+    """The full length of the payload, as the HTTP header says it."""
+    length = _fields(http).get(b"content-length", b"")
+    return int(length) if length.isdigit() else None
+
+
 class _Candidate:
     __slots__ = ("rel", "next", "header", "need", "parts", "have")
 
@@ -92,14 +105,14 @@ def _scan(keep_body: bool):
             exits[c.rel] = c.next if c.next >= total else exits.get(c.next, -1)
         yield {"path": path, "block": block, "total": total}
         for c in found:
-            row = {"path": path, "block": block, "rel": c.rel, "rel_next": c.next, "rel_exit": exits[c.rel], "header": c.header}
+            row = {"path": path, "block": block, "rel": c.rel, "rel_next": c.next, "rel_exit": exits[c.rel]} | _named(c.header)
             if c.have >= c.need:
                 http, _, body = b"".join(c.parts)[: c.need].partition(b"\r\n\r\n")
-                row |= {"http": http, "n_body": len(body), "body_sha1": hashlib.sha1(body).hexdigest(), "body": body if keep_body else None}
+                row |= {"stated": _stated(http), "n_body": len(body), "body_sha1": hashlib.sha1(body).hexdigest(), "body": body if keep_body else None}
             yield row
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("path", pa.string()), *((c, pa.int64()) for c in ("block", "total", "rel", "rel_next", "rel_exit")), ("header", pa.binary()), ("http", pa.binary()), ("n_body", pa.int64()), ("body_sha1", pa.string()), ("body", pa.binary())])
+        schema = pa.schema([("path", pa.string()), *((c, pa.int64()) for c in ("block", "total", "rel", "rel_next", "rel_exit")), ("n_header", pa.int64()), *((c, pa.string()) for c in ("record_type", "record_id", "target_uri", "refers_to", "payload_digest")), ("stated", pa.int64()), ("n_body", pa.int64()), ("body_sha1", pa.string()), ("body", pa.binary())])
         split, at, found, waiting = None, 0, [], []
         for batch in batches:
             for path, block, chunk in zip(*(batch.column(c).to_pylist() for c in ("path", "block", "chunk")), strict=True):
@@ -160,23 +173,20 @@ def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame
     entered = _reached(found, splits).join(splits, "path").where("at >= base and at < base + total").select("path", "block", "base", (F.col("at") - F.col("base")).alias("entry"))
     kept = found.join(entered, ["path", "block"])
     kept = kept.groupBy("path", "block").applyInArrow(_walk, kept.schema)
-    cut = kept.where("n_body is null and rel_next > rel + length(header) + 8")
+    cut = kept.where("n_body is null and rel_next > rel + n_header + 8")
     if payload:
         bodies = lines.mapInArrow(_scan(True), _FOUND).where("body is not null").select("path", "block", "rel", "body")
         kept = kept.join(bodies, ["path", "block", "rel"], "left")
     kept = _complete(kept, cut, lines, splits, payload)
-    text = lambda c: F.decode(c, "UTF-8")
-    field = lambda name: F.nullif(F.regexp_extract(text("header"), rf"(?im)^{name}:[ \t]*(.*?)[ \t]*\r?$", 1), F.lit(""))
-    stated = F.regexp_extract(text("http"), r"(?im)^content-length:[ \t]*(\d+)", 1)
     return kept.select(
         "path",
         (F.col("base") + F.col("rel")).alias("offset"),
-        field("WARC-Type").alias("record_type"),
-        field("WARC-Record-ID").alias("record_id"),
-        field("WARC-Target-URI").alias("target_uri"),
-        field("WARC-Refers-To").alias("refers_to"),
-        F.regexp_replace(field("WARC-Payload-Digest"), "^sha1:", "").alias("payload_digest"),
-        F.coalesce(stated.try_cast("long"), "n_body").alias("payload_bytes"),
+        "record_type",
+        "record_id",
+        "target_uri",
+        "refers_to",
+        "payload_digest",
+        F.coalesce("stated", "n_body").alias("payload_bytes"),
         "body_sha1",
         *(["body"] if payload else []),
     )
@@ -185,7 +195,7 @@ def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame
 def _complete(kept: DataFrame, cut: DataFrame, lines: DataFrame, splits: DataFrame, payload: bool) -> DataFrame:
     """Give records whose content runs over the end of their split the rest of it from the splits that follow."""
     keys = ["path", "block", "rel"]
-    start, end = F.col("base") + F.col("rel") + F.length("header") + 4, F.col("base") + F.col("rel_next") - 4
+    start, end = F.col("base") + F.col("rel") + F.col("n_header") + 4, F.col("base") + F.col("rel_next") - 4
     wanted = cut.select(*keys, start.alias("from"), end.alias("until"))
     held = splits.select("path", F.col("block").alias("b"), F.col("base").alias("b0"), (F.col("base") + F.col("total")).alias("b1"))
     # a record per split at most; written first, so that its size is known where the chunks are joined with it
@@ -214,14 +224,14 @@ def _complete(kept: DataFrame, cut: DataFrame, lines: DataFrame, splits: DataFra
             for r in batch.to_pylist():
                 data = b"".join(x["chunk"] + b"\r\n\r\n" for x in r["c"])[r["from"] - r["c"][0]["o"] :][: r["until"] - r["from"]]
                 http, _, body = data.partition(b"\r\n\r\n")
-                out.append({k: r[k] for k in keys} | {"http2": http, "n2": len(body), "sha2": hashlib.sha1(body).hexdigest(), "body2": body if payload else None})
-            yield pa.RecordBatch.from_pylist(out, pa.schema([("path", pa.string()), ("block", pa.int64()), ("rel", pa.int64()), ("http2", pa.binary()), ("n2", pa.int64()), ("sha2", pa.string()), ("body2", pa.binary())]))
+                out.append({k: r[k] for k in keys} | {"stated2": _stated(http), "n2": len(body), "sha2": hashlib.sha1(body).hexdigest(), "body2": body if payload else None})
+            yield pa.RecordBatch.from_pylist(out, pa.schema([("path", pa.string()), ("block", pa.int64()), ("rel", pa.int64()), ("stated2", pa.int64()), ("n2", pa.int64()), ("sha2", pa.string()), ("body2", pa.binary())]))
 
-    rest = whole.mapInArrow(join_up, "path string, block long, rel long, http2 binary, n2 long, sha2 string, body2 binary")
-    both = kept.join(rest, keys, "left").withColumns({"http": F.coalesce("http", "http2"), "n_body": F.coalesce("n_body", "n2"), "body_sha1": F.coalesce("body_sha1", "sha2")})
+    rest = whole.mapInArrow(join_up, "path string, block long, rel long, stated2 long, n2 long, sha2 string, body2 binary")
+    both = kept.join(rest, keys, "left").withColumns({"stated": F.coalesce("stated", "stated2"), "n_body": F.coalesce("n_body", "n2"), "body_sha1": F.coalesce("body_sha1", "sha2")})
     if payload:
         both = both.withColumn("body", F.coalesce("body", "body2"))
-    return both.drop("http2", "n2", "sha2", "body2")
+    return both.drop("stated2", "n2", "sha2", "body2")
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,6 @@ columns are ignored; an empty table gives none.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -55,7 +54,6 @@ def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
     return out
 
 
-@lru_cache(maxsize=None)
 def bands(percent: int) -> tuple[list[int], list[int]]:
     """First and last size of each band."""
     low, high = [1], []

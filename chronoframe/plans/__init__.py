@@ -1,0 +1,4 @@
+"""Registered queries: every operator applied to the tables, with SQL where it can say the same."""
+
+from . import scalar_queries  # noqa: F401
+from .registry import ORACLES, QUERIES

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import saved, table
+from .common import saved, sliced, table
 
 #: Labelled rows the classifier is fitted on.
 MAX_ROWS = 20_000
@@ -123,33 +123,48 @@ class Matcher:
 def _labelled(docs: DataFrame, labels: DataFrame, max_rows: int) -> DataFrame:
     rows = labels.where("toxic in (0, 1) and doc_id is not null").select("doc_id", "toxic").orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(max_rows)
     # max_rows ids of 8 bytes: small enough to send to every executor
-    return saved(docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id").select(F.coalesce("text", F.lit("")).alias("text"), "toxic").distinct(), "labelled")
+    return saved(docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id").select(F.coalesce("text", F.lit("")).alias("text"), F.col("toxic").cast("int").alias("toxic")), "labelled")
 
 
 def learn_stems(rows: DataFrame, cover: int = 3) -> list[str]:
     """Stems that explain the toxic rows, from rows of (text, toxic)."""
 
-    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = {"row": [], "toxic": [], "stem": []}
-            for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
+            keys = []
+            for text in batch.column("text").to_pylist():
                 words = WORD.findall(text.lower())
                 # near copies of a text mostly share its least shingle: they count once
-                row = min((xxhash.xxh3_64_intdigest(" ".join(words[i : i + 5])) for i in range(max(1, len(words) - 4))), default=0) >> 1
-                own = list({s for w in set(words) for s in stems(w)})
-                out["row"] += [row] * len(own)
-                out["toxic"] += [toxic] * len(own)
-                out["stem"] += own
-            yield pa.RecordBatch.from_pydict({"row": pa.array(out["row"], pa.int64()), "toxic": pa.array(out["toxic"], pa.int32()), "stem": pa.array(out["stem"], pa.string())})
-
-    found = rows.mapInArrow(features, "row long, toxic int, stem string").distinct()
-    counts = found.groupBy("stem").agg(F.sum("toxic").alias("pos"), F.sum(1 - F.col("toxic")).alias("neg"))
+                keys.append(min((xxhash.xxh3_64_intdigest(" ".join(words[i : i + 5])) for i in range(max(1, len(words) - 4))), default=0) >> 1)
+            yield batch.append_column("row", pa.array(keys, pa.int64()))
+
+    def own(text: str) -> set[str]:
+        return {s for w in set(WORD.findall(text.lower())) for s in stems(w)}
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in sliced(batch, 200):
+                pos, neg = Counter(), Counter()
+                for text, toxic in zip(part.column("text").to_pylist(), part.column("toxic").to_pylist(), strict=True):
+                    (pos if toxic else neg).update(own(text))
+                names = list(pos | neg)
+                yield pa.RecordBatch.from_pydict({"stem": pa.array(names, pa.string()), "pos": pa.array([pos[x] for x in names], pa.int64()), "neg": pa.array([neg[x] for x in names], pa.int64())})
+
+    rows = saved(rows.mapInArrow(keyed, "text string, toxic int, row long").dropDuplicates(["row", "toxic"]), "keyed")
+    counts = rows.mapInArrow(count, "stem string, pos long, neg long").groupBy("stem").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     n_pos = rows.where("toxic = 1").count()
     least = max(3, int(0.004 * n_pos))
-    useful = saved(counts.where((F.col("pos") >= least) & (F.col("neg") <= 0.02 * F.col("pos"))), "stems")
-    # at most the stems of MAX_ROWS rows that many of them share
-    pairs = found.where("toxic = 1").join(useful, "stem").select("stem", "row", "neg").toPandas()
-    docs, neg = {s: set(g) for s, g in pairs.groupby("stem")["row"]}, dict(zip(pairs.stem, pairs.neg))
+    # stems that many of at most MAX_ROWS rows share
+    neg = {r.stem: r.neg for r in counts.where((F.col("pos") >= least) & (F.col("neg") <= 0.02 * F.col("pos"))).collect()}
+
+    def used(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in sliced(batch, 200):
+                found = [(s, r) for text, r in zip(part.column("text").to_pylist(), part.column("row").to_pylist(), strict=True) for s in own(text) if s in neg]
+                yield pa.RecordBatch.from_pydict({"stem": pa.array([f[0] for f in found], pa.string()), "row": pa.array([f[1] for f in found], pa.int64())})
+
+    pairs = rows.where("toxic = 1").mapInArrow(used, "stem string, row long").toPandas()
+    docs = {s: set(g) for s, g in pairs.groupby("stem")["row"]}
     need, chosen = Counter(dict.fromkeys(pairs.row.unique(), cover)), []
     least = max(3, int(0.01 * len(need)))
     gain = {s: len(d) for s, d in docs.items()}

@@ -86,7 +86,7 @@ def point_in_interval(left: DataFrame, spans: DataFrame, by: list[str], cols: li
     """The span (start, stop) with start <= t < stop; spans don't overlap; null between them."""
     s = spans.withColumn("t", F.col("start"))
     hit = asof_join(left, s, by, [*cols, "stop"])
-    inside = F.col("r_stop").isNull() & F.lit(False) | (F.col("t") < F.col("r_stop"))
+    inside = F.col("t") < F.col("r_stop")
     return hit.select(*left.columns, *(F.when(inside, F.col(f"r_{c}")).alias(f"r_{c}") for c in cols))
 
 

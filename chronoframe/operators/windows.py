@@ -71,14 +71,6 @@ def terciles(df: DataFrame, by: list[str], col: str) -> DataFrame:
     return df.withColumn("tercile", F.when(r < F.floor(n / 3), "quiet").when(r >= F.floor(2 * n / 3), "loud").otherwise("middle"))
 
 
-def _longest_run(df: DataFrame, by: list[str], breaks: Column, least: int) -> DataFrame:
-    """Cuts (rows - 1) of the longest run, which a break ends before its row; 0 under `least`. A run's first two rows always hold together unless the break says so."""
-    df = df.withColumn("_b", breaks.cast("int")).withColumn("_i", F.sum("_b").over(_w(by).rowsBetween(Window.unboundedPreceding, 0)))
-    runs = df.groupBy(*by, "_i").agg(F.count("*").alias("_n"))
-    best = runs.groupBy(*by).agg(F.max("_n").alias("_n"), F.sum("_n").alias("rows"))
-    return best.select(*by, F.when(F.col("_n") >= least, F.col("_n")).otherwise(0).alias("run"), "rows")
-
-
 def alternation_run(df: DataFrame, by: list[str], label: str) -> DataFrame:
     """Longest strict A/B/A/B stretch, in cuts, and as a share of all cuts; under two cuts it is 0."""
     w = _w(by)

@@ -78,7 +78,7 @@ def c08(s, d):
     return J.straddle_join(p, sp, BY, "event_id", 86400.0, 60.0).select("event_id", "straddles", "kind")
 
 
-@query("c09_straddle_pairs", sql(f"+{_SP}, {_L} SELECT span, event_id, round(t - start, 3) AS into_it, round(stop - t, 3) AS left_of_it FROM sp JOIN l ON sp.rec_id = l.rec_id AND start - 7200 < t AND t < stop", "e", "items").replace("start - 7200 < t", "start < t"))
+@query("c09_straddle_pairs", sql(f"+{_SP}, {_L} SELECT span, event_id, round(t - start, 3) AS into_it, round(stop - t, 3) AS left_of_it FROM sp JOIN l ON sp.rec_id = l.rec_id AND start < t AND t < stop", "e", "items"))
 def c09(s, d):
     return J.points_in_spans(_err(s, d), _spans(s, d).select("rec_id", F.col("start"), "stop", "span"), BY, 86400.0, 0.0).select("span", "event_id", F.round(F.col("t") - F.col("start"), 3).alias("into_it"), F.round(F.col("stop") - F.col("t"), 3).alias("left_of_it"))
 
@@ -102,7 +102,7 @@ def c11(s, d):
     return J.range_agg(_spans(s, d), recordings(s, d).select("rec_id", "t", "value"), BY, "span", 86400.0, [F.round(F.max("value"), 6).alias("top")]).select("span", "n", "top")
 
 
-@query("c12_max_overlap", sql(f"+{_DAY} SELECT rec_id, day, arg_max(i.event_id, (least(stop, t_end) - greatest(start, t), -t)) AS item FROM dy LEFT JOIN items i ON i.rec_id = dy.rec_id AND i.t < stop AND start < i.t_end GROUP BY rec_id, day", "e", "items").replace("LEFT JOIN items i ON i.rec_id", "LEFT JOIN (SELECT * FROM items) i USING (rec_id)").replace("USING (rec_id) = dy.rec_id AND", "ON dy.rec_id = i.rec_id AND").replace("SELECT rec_id, day, arg_max", "SELECT dy.rec_id, day, arg_max").replace("GROUP BY rec_id, day", "GROUP BY dy.rec_id, day"))
+@query("c12_max_overlap", sql(f"+{_DAY} SELECT dy.rec_id, day, arg_max(i.event_id, (least(stop, t_end) - greatest(start, t), -t)) AS item FROM dy LEFT JOIN items i ON dy.rec_id = i.rec_id AND i.t < stop AND start < i.t_end GROUP BY dy.rec_id, day", "e", "items"))
 def c12(s, d):
     i = items(s, d).select("rec_id", F.col("t").alias("start"), F.col("t_end").alias("stop"), F.col("event_id").alias("item"))
     return J.max_overlap(_days(s, d), i, BY, "day", "item", 86400.0).select("rec_id", "day", "item")

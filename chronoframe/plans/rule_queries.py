@@ -82,7 +82,7 @@ def h02(s, d):
     return O.merge_signals(pick("view"), pick("click"), BY, 36000.0).select("event_id", "signal")
 
 
-@query("h03_dedupe_adjacent", sql("SELECT event_id FROM e QUALIFY row_number() OVER w > 1 AND event_type <> lag(event_type) OVER w WINDOW w AS (PARTITION BY rec_id ORDER BY t)", "e").replace("FROM e QUALIFY row_number() OVER w > 1 AND event_type <> lag(event_type) OVER w WINDOW w AS (PARTITION BY rec_id ORDER BY t)", "FROM e WINDOW w AS (PARTITION BY rec_id ORDER BY t) QUALIFY row_number() OVER w > 1 AND event_type <> lag(event_type) OVER w"))
+@query("h03_dedupe_adjacent", sql("SELECT event_id FROM e WINDOW w AS (PARTITION BY rec_id ORDER BY t) QUALIFY row_number() OVER w > 1 AND event_type <> lag(event_type) OVER w", "e"))
 def h03(s, d):
     return O.dedupe_adjacent(recordings(s, d), BY, "event_type").select("event_id")
 
@@ -98,7 +98,7 @@ def h05(s, d):
     return O.duplicate_ids({"a": g.where("flag = 'A'"), "b": g.where("flag <> 'A'")}, ["doc"])
 
 
-@query("h06_promote", sql("SELECT doc, pos, (source + 1)::BIGINT AS main, [part, source] AS alternates FROM segments", "segments").replace("(source + 1)::BIGINT AS main, [part, source]", "(source + 1)::BIGINT AS main, [part, source]"))
+@query("h06_promote", sql("SELECT doc, pos, (source + 1)::BIGINT AS main, [part, source] AS alternates FROM segments", "segments"))
 def h06(s, d):
     main, alts = O.promote(F.col("source"), F.array(F.col("part"), F.col("source") + 1), 2)
     return segments(s, d).select("doc", "pos", main.alias("main"), alts.alias("alternates"))

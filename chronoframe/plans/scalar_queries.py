@@ -32,7 +32,7 @@ def b03(spark, d):
     return read(spark, d, "part").select("p_partkey", C.frames_from_timecode(text, 25).alias("frames"))
 
 
-@query("b04_dual_time", sql(f"SELECT p_partkey, n AS frames, round(n / 25.0, 3)::DOUBLE AS seconds, {_TC} AS timecode, 25.0::DOUBLE AS fps FROM (SELECT p_partkey, CASE WHEN p_size % 5 > 0 THEN p_partkey * 13 END AS n, p_size FROM part)").replace("25.0::DOUBLE AS fps", "CASE WHEN n IS NOT NULL THEN 25.0::DOUBLE END AS fps"))
+@query("b04_dual_time", sql(f"SELECT p_partkey, n AS frames, round(n / 25.0, 3)::DOUBLE AS seconds, {_TC} AS timecode, CASE WHEN n IS NOT NULL THEN 25.0::DOUBLE END AS fps FROM (SELECT p_partkey, CASE WHEN p_size % 5 > 0 THEN p_partkey * 13 END AS n, p_size FROM part)"))
 def b04(spark, d):
     frames = F.when(F.col("p_size") % 5 > 0, F.col("p_partkey") * 13)
     return read(spark, d, "part").select("p_partkey", C.dual_time(frames, 25.0).alias("x")).select("p_partkey", "x.*")

@@ -102,7 +102,7 @@ def e16(s, d):
 _US = "PARTITION BY rec_id ORDER BY round(t * 1000000)::BIGINT RANGE BETWEEN {0}000000 PRECEDING AND {0}000000 FOLLOWING"
 
 
-@query("e17_prominent_peaks", sql(f"+p AS (SELECT * FROM e QUALIFY value = max(value) OVER ({_US.format(86400)}) AND value - min(value) OVER ({_US.format(172800)}) >= 5), i AS (SELECT *, sum((coalesce(t - lag(t) OVER w > 86400, TRUE))::INT) OVER w AS i FROM (SELECT *, lag(t) OVER w AS x FROM p {_W}) {_W}) SELECT event_id FROM i QUALIFY row_number() OVER (PARTITION BY rec_id, i ORDER BY value DESC, t) = 1", "e").replace("sum((coalesce(t - lag(t) OVER w > 86400, TRUE))::INT)", "sum((coalesce(t - x > 86400, TRUE))::INT)"))
+@query("e17_prominent_peaks", sql(f"+p AS (SELECT * FROM e QUALIFY value = max(value) OVER ({_US.format(86400)}) AND value - min(value) OVER ({_US.format(172800)}) >= 5), x AS (SELECT *, lag(t) OVER w AS x FROM p {_W}), i AS (SELECT *, sum((coalesce(t - x > 86400, TRUE))::INT) OVER w AS i FROM x {_W}) SELECT event_id FROM i QUALIFY row_number() OVER (PARTITION BY rec_id, i ORDER BY value DESC, t) = 1", "e"))
 def e17(s, d):
     return W.prominent_peaks(recordings(s, d), BY, "value", 86400.0, 172800.0, 5.0).select("event_id")
 
@@ -153,10 +153,10 @@ def _daily(s, d):
     return recordings(s, d).groupBy("rec_id", (F.floor(F.col("t") / 86400) * 86400).cast("double").alias("t"), "event_type").agg(F.round(F.sum("value"), 4).alias("lift"))
 
 
-_DAILY = "dl AS (SELECT rec_id, floor(t / 86400) * 86400 AS t, event_type, round(sum(value), 4) AS lift FROM e GROUP BY ALL)"
+_DAILY = "dl AS (SELECT rec_id, floor(t / 86400) * 86400 AS t, event_type, round(sum(value), 4) AS lift FROM e GROUP BY rec_id, floor(t / 86400), event_type)"
 
 
-@query("e26_leader", sql(f"+{_DAILY.replace('GROUP BY ALL', 'GROUP BY rec_id, floor(t / 86400), event_type')}, r AS (SELECT *, row_number() OVER x AS k, lead(lift) OVER x AS second FROM dl WINDOW x AS (PARTITION BY rec_id, t ORDER BY lift DESC, event_type DESC)) SELECT rec_id, t, CASE WHEN second IS NULL OR lift - second >= 5 THEN event_type END AS leader FROM r WHERE k = 1", "e"))
+@query("e26_leader", sql(f"+{_DAILY}, r AS (SELECT *, row_number() OVER x AS k, lead(lift) OVER x AS second FROM dl WINDOW x AS (PARTITION BY rec_id, t ORDER BY lift DESC, event_type DESC)) SELECT rec_id, t, CASE WHEN second IS NULL OR lift - second >= 5 THEN event_type END AS leader FROM r WHERE k = 1", "e"))
 def e26(s, d):
     return W.leader(_daily(s, d), BY, "event_type", "lift", 5.0)
 
@@ -178,7 +178,7 @@ def e29(s, d):
     return W.jump_seams(segments(s, d).withColumn("source", F.col("source") % 3), ["doc"]).select("doc", "pos", "jump")
 
 
-@query("e30_repeated_seam", sql("+k AS (SELECT conv_id, turn, list_transform(string_split(lower(text), ' ')[1:8], lambda w: w[1:1]) AS k FROM conversations), p AS (SELECT *, lag(k) OVER (PARTITION BY conv_id ORDER BY turn) AS p FROM k) SELECT conv_id, turn, coalesce((SELECT max(n) FROM unnest(range(1, least(len(p), len(k)) + 1)) AS u(n) WHERE p[len(p) - n + 1:len(p)] = k[1:n]), 0) AS repeated FROM p").lstrip("+ ").replace("k AS (SELECT conv_id", "WITH k AS (SELECT conv_id", 1))
+@query("e30_repeated_seam", sql("WITH k AS (SELECT conv_id, turn, list_transform(string_split(lower(text), ' ')[1:8], lambda w: w[1:1]) AS k FROM conversations), p AS (SELECT *, lag(k) OVER (PARTITION BY conv_id ORDER BY turn) AS p FROM k) SELECT conv_id, turn, coalesce((SELECT max(n) FROM unnest(range(1, least(len(p), len(k)) + 1)) AS u(n) WHERE p[len(p) - n + 1:len(p)] = k[1:n]), 0) AS repeated FROM p"))
 def e30(s, d):
     k = F.transform(F.slice(F.split(F.lower("text"), " "), 1, 8), lambda w: F.substring(w, 1, 1))
     return W.repeated_seam(read(s, d, "conversations").withColumn("k", k), ["conv_id"], "k", "turn").select("conv_id", "turn", F.col("repeated").cast("long").alias("repeated"))
@@ -318,6 +318,6 @@ def g04(s, d):
     return I.spaced_top_k(recordings(s, d), BY, "event_id", "value", 86400.0, 5)
 
 
-@query("g05_thin", sql("+RECURSIVE_", "e").replace("WITH e", "WITH RECURSIVE e").replace("RECURSIVE_", "k AS (SELECT rec_id, min(t) AS t FROM e GROUP BY 1 UNION ALL SELECT k.rec_id, (SELECT min(e.t) FROM e WHERE e.rec_id = k.rec_id AND e.t - k.t >= 86400) AS t FROM k WHERE k.t IS NOT NULL) SELECT rec_id, t FROM k WHERE t IS NOT NULL"))
+@query("g05_thin", sql("+k AS (SELECT rec_id, min(t) AS t FROM e GROUP BY 1 UNION ALL SELECT k.rec_id, (SELECT min(e.t) FROM e WHERE e.rec_id = k.rec_id AND e.t - k.t >= 86400) AS t FROM k WHERE k.t IS NOT NULL) SELECT rec_id, t FROM k WHERE t IS NOT NULL", "e").replace("WITH", "WITH RECURSIVE", 1))
 def g05(s, d):
     return I.thin(recordings(s, d), BY, 86400.0)

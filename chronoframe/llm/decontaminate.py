@@ -1,8 +1,9 @@
 """Benchmark decontamination by CGK embedding, bit-sampling LSH and exact edit verification.
 
 Texts are sequences of normalised words (lower case, ASCII punctuation removed). A document leaks an item where
-some stretch of it is within floor(RATE * n) word edits of the item's n words. Windows of the size of each item are
-looked at: only those that hold enough of the benchmark's words can be that near, an exact test that leaves few.
+some stretch of it is within floor(RATE * n) word edits of the item's n words. Windows of the size of an item are
+looked at where the document holds one of the item's pieces word for word and enough of its words around it: cut
+into one piece more than the edits allowed, an item keeps one piece whole, so these tests lose nothing.
 The Chakraborty-Goldenberg-Koucky random walk embeds those and the items into sequences three times as long, in
 which a few edits cost a few positions; hashes of sampled positions, in TABLES tables, bring windows and items
 together. Every candidate is verified with exact edit distance, so there are no false hits. Copies whose windows
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix, table
+from .common import mix, rolling, table
 
 RATE = 0.2
 TABLES, SAMPLES = 40, 4
@@ -45,19 +46,20 @@ def embed_samples(symbols: np.ndarray, seed: int) -> np.ndarray:
     table, read at its sampled positions. Symbols are ids; what a step does with a symbol is a hash of both."""
     rows, n = symbols.shape
     padded = np.concatenate([symbols, np.full((rows, 1), -2)], axis=1).astype(np.int64).view(np.uint64)
-    every = np.arange(rows)
-    keys = np.empty((TABLES, rows), np.uint64)
+    rng = np.random.default_rng((seed, n))
+    reads = np.zeros((TABLES, 3 * n), bool)
     for t in range(TABLES):
-        rng = np.random.default_rng((seed, n, t))
-        reads = set(rng.choice(3 * n, size=min(3 * n, SAMPLES), replace=False).tolist())
-        at, key = np.zeros(rows, np.int64), np.full(rows, t, np.uint64)
-        salt = rng.integers(0, 2**63, dtype=np.uint64)
-        for j in range(max(reads) + 1):
-            x = padded[every, np.minimum(at, n)]
-            if j in reads:
-                key = mix(key * _STEP + x)
-            at += (mix(x * _STEP + np.uint64(j) + salt) >> np.uint64(40)).astype(np.int64) & 1
-        keys[t] = key
+        reads[t, rng.choice(3 * n, size=min(3 * n, SAMPLES), replace=False)] = True
+    salt = rng.integers(0, 2**63, (TABLES, 1), dtype=np.uint64)
+    every, at = np.arange(rows), np.zeros((TABLES, rows), np.int64)
+    keys = np.repeat(np.arange(TABLES, dtype=np.uint64)[:, None], rows, axis=1)
+    for j in range(int(np.flatnonzero(reads.any(axis=0))[-1]) + 1):
+        x = padded[every, at]
+        some = reads[:, j]
+        if some.any():
+            keys[some] = mix(keys[some] * _STEP + x[some])
+        at += (mix(x * _STEP + np.uint64(j) + salt) >> np.uint64(40)).astype(np.int64) & 1
+        np.minimum(at, n, out=at)
     return keys
 
 
@@ -92,7 +94,9 @@ class Benchmark:
         self.sizes: dict[int, list[int]] = {}
         for k, (_, ws) in enumerate(self.items):
             self.sizes.setdefault(len(ws), []).append(k)
+        self.words = [frozenset(ws) for _, ws in self.items]
         self.tables: dict[int, list[dict[int, list[int]]]] = {}
+        pieces: dict[int, dict[int, list[tuple[int, int]]]] = {}
         for n, members in self.sizes.items():
             keys = embed_samples(np.array([self.items[k][1] for k in members]), seed)
             self.tables[n] = []
@@ -101,43 +105,71 @@ class Benchmark:
                 for key, k in zip(row, members, strict=True):
                     held.setdefault(key, []).append(k)
                 self.tables[n].append(held)
-
-    def hits(self, symbols: np.ndarray) -> list[tuple[int, int, int, int]]:
-        """(item_id, distance, first word, end word) of the items that a document leaks."""
-        known = np.concatenate([[0], np.cumsum(symbols >= 0)])
-        asked: dict[int, set[int]] = {}
-        for n in self.sizes:
-            if len(symbols) < n:  # the whole document may still lack a few words of the item
-                if known[-1] >= n - most_edits(n):
-                    asked.setdefault(n, set()).add(-1)
-                continue
-            dense = np.flatnonzero(known[n:] - known[:-n] >= n - most_edits(n))
-            if len(dense):
-                asked.setdefault(n, set()).update(dense.tolist())
-        found: dict[int, tuple[int, int, int, int]] = {}
-        for n, starts in asked.items():
-            at = np.array(sorted(starts))
-            if at[0] == -1:
-                window = np.full((1, n), -1)
-                window[0, : len(symbols)] = symbols
-                at = np.array([0])
-            else:
-                window = symbols[at[:, None] + np.arange(n)]
-            pairs = set()
+            q = n // (most_edits(n) + 1)
+            for k in members:
+                grams = rolling(self._hashed(np.array(self.items[k][1])), q).tolist()
+                for at in range(0, (most_edits(n) + 1) * q, q):
+                    pieces.setdefault(q, {}).setdefault(grams[at], []).append((k, at))
+        self.pieces = {q: (np.array(sorted(held), np.uint64), [held[g] for g in sorted(held)]) for q, held in pieces.items()}
+
+    @staticmethod
+    def _hashed(symbols: np.ndarray) -> np.ndarray:
+        return mix((symbols.astype(np.int64) + 2).view(np.uint64) * _STEP)
+
+    def windows(self, symbols: np.ndarray) -> set[tuple[int, int]]:
+        """(size, start) of the windows that may be near an item; start -1: the document is shorter than the item."""
+        found: set[tuple[int, int]] = set()
+        hashed = self._hashed(symbols)
+        for q, (grams, owners) in self.pieces.items():
+            g = rolling(hashed, q)
+            at = np.minimum(np.searchsorted(grams, g), len(grams) - 1)
+            for p in np.flatnonzero(grams[at] == g).tolist():
+                for k, offset in owners[at[p]]:
+                    n = len(self.items[k][1])
+                    d, start = most_edits(n), p - offset
+                    near = set(symbols[max(0, start - d) : start + n + d].tolist())
+                    if len(self.words[k] & near) < len(self.words[k]) - d:
+                        continue
+                    if len(symbols) < n:
+                        found.add((n, -1))
+                    else:
+                        found.update((n, min(max(0, x), len(symbols) - n)) for x in range(start - d, start + d + 1))
+        return found
+
+    def hits(self, docs: list[np.ndarray]) -> list[list[tuple[int, int, int, int]]]:
+        """Per document (item_id, distance, first word, end word) of the items it leaks. Windows of one size are embedded together."""
+        asked: dict[int, list[tuple[int, int]]] = {}
+        for i, symbols in enumerate(docs):
+            for n, start in sorted(self.windows(symbols)):
+                asked.setdefault(n, []).append((i, start))
+        found: list[dict[int, tuple[int, int, int, int]]] = [{} for _ in docs]
+        for n, places in asked.items():
+            window = np.full((len(places), n), -1)
+            for row, (i, start) in enumerate(places):
+                part = docs[i][max(0, start) :][:n]
+                window[row, : len(part)] = part
+            pairs: set[tuple[int, int, int]] = set()
             for held, keys in zip(self.tables[n], embed_samples(window, self.seed).tolist(), strict=True):
-                for start, key in zip(at.tolist(), keys, strict=True):
-                    pairs.update((k, start) for k in held.get(key, ()))
+                for (i, start), key in zip(places, keys, strict=True):
+                    if key in held:
+                        pairs.update((i, k, max(0, start)) for k in held[key])
             d = most_edits(n)
-            for k, start in sorted(pairs):
+            for i, k, start in sorted(pairs):
                 item_id, words = self.items[k]
-                if k in found and found[k][1] == 0:
+                if k in found[i] and found[i][k][1] == 0:
                     continue
                 low = max(0, start - d)
-                distance, end = edit_match(words, symbols[low : start + n + d].tolist())
-                if distance <= d and (k not in found or distance < found[k][1]):
-                    back, length = edit_match(words[::-1], symbols[low : low + end][::-1].tolist())
-                    found[k] = (item_id, distance, low + end - length, low + end)
-        return sorted(found.values())
+                distance, end = edit_match(words, docs[i][low : start + n + d].tolist())
+                if distance <= d and (k not in found[i] or distance < found[i][k][1]):
+                    _, length = edit_match(words[::-1], docs[i][low : low + end][::-1].tolist())
+                    found[i][k] = (item_id, distance, low + end - length, low + end)
+        return [sorted(f.values()) for f in found]
+
+    def leaks(self, texts: pa.Array) -> Iterator[list[tuple[int, int, int, int]]]:
+        known = self.ids.get
+        for k in range(0, len(texts), 2000):
+            docs = [normalised(t) for t in texts.slice(k, 2000).to_pylist()]
+            yield from self.hits([np.fromiter((known(w, -1) for w in words), np.int64, len(words)) for words in docs])
 
 
 def _blocks(benchmark: DataFrame) -> Iterator[Benchmark]:
@@ -154,13 +186,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     def scan(block: Benchmark):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known = block.ids.get
             for batch in batches:
                 out = []
-                for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                    words = normalised(text)
-                    symbols = np.fromiter((known(w, -1) for w in words), np.int64, len(words))
-                    out += [dict(zip(schema.names, (doc_id, *hit), strict=True)) for hit in block.hits(symbols)]
+                for doc_id, hits in zip(batch.column("doc_id").to_pylist(), block.leaks(batch.column("text")), strict=True):
+                    out += [dict(zip(schema.names, (doc_id, *hit), strict=True)) for hit in hits]
                 if out:
                     yield pa.RecordBatch.from_pylist(out, schema)
 
@@ -182,9 +211,8 @@ def drop_leaking(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def _without(block: Benchmark):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = block.ids.get
         for batch in batches:
-            keep = [not block.hits(np.array([known(w, -1) for w in normalised(text)], np.int64)) for text in batch.column("text").to_pylist()]
+            keep = [not hits for hits in block.leaks(batch.column("text"))]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return run

@@ -8,8 +8,9 @@ those, as one of the m + 1 is not empty; the few sets with more emit them too. S
 
 Sets with equal shingles are one representative. Representatives that share a signature are linked through pivots
 first: each is verified against the smallest document it shares most signatures with. Then only signatures whose
-documents still lie in different components are compared pairwise, and a pair is verified only if counts of its
-shingles in 128 hashed bins allow the similarity. Pairs inside a component are never formed.
+documents still lie in different components are compared pairwise, and a pair is verified only if the parities of its
+shingles in 1,024 hashed bins allow the similarity: sets that differ in d shingles differ in at most d of those bits.
+Pairs inside a component are never formed.
 
 Defined results: null or empty text, or text without words, has an empty set and links with nothing; fewer than five
 words are one shingle; rows that repeat a doc_id count as one document with the links of all of them; extra
@@ -29,8 +30,10 @@ from pyspark.sql import functions as F
 
 from .common import as_bytes, mix, rolling, saved, table
 
-SHINGLE, BINS = 5, 128
+SHINGLE, BITS = 5, 1024
 PERCENT = 80
+#: Rounds of pivots before what is left is compared pairwise.
+PIVOT_ROUNDS = 2
 #: Documents whose equal signatures are brought together before the shuffle.
 CHUNK_DOCS, CHUNK_BYTES = 1000, 2_000_000
 _A = np.uint64(0x9FB21C651E98DF25)
@@ -89,13 +92,13 @@ def signatures(s: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     return np.concatenate(out)
 
 
-_OUT = "doc long, sig long, local boolean, n long, h1 long, h2 long, bins binary"
+_OUT = "doc long, sig long, local boolean, n long, h1 long, h2 long, bits binary"
 
 
 def _emit(percent: int):
-    """Per document its set's size, hash and bins, and (document, signature) rows: for signatures that a chunk of
+    """Per document its set's size, hash and bits, and (document, signature) rows: for signatures that a chunk of
     documents holds once or more, one row of the smallest document; if more than once, also local rows of all."""
-    schema = pa.schema([("doc", pa.int64()), ("sig", pa.int64()), ("local", pa.bool_()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("bins", pa.binary())])
+    schema = pa.schema([("doc", pa.int64()), ("sig", pa.int64()), ("local", pa.bool_()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("bits", pa.binary())])
 
     def rows(**columns) -> pa.RecordBatch:
         n = len(columns["doc"])
@@ -104,8 +107,8 @@ def _emit(percent: int):
     def chunk(ids: np.ndarray, texts: list[bytes]) -> Iterator[pa.RecordBatch]:
         sets = shingle_sets(texts)
         h = np.array([(np.bitwise_xor.reduce(mix(s + _A)), mix(s).sum(dtype=np.uint64)) if len(s) else (0, 0) for s in sets], np.uint64).view(np.int64)
-        bins = [np.minimum(np.bincount((s & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes() for s in sets]
-        yield rows(doc=ids, n=np.array([len(s) for s in sets]), h1=h[:, 0], h2=h[:, 1], bins=bins)
+        bits = [np.packbits(np.bincount((s & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1).tobytes() for s in sets]
+        yield rows(doc=ids, n=np.array([len(s) for s in sets]), h1=h[:, 0], h2=h[:, 1], bits=bits)
         found = [signatures(s, percent) if len(s) else h[:0, 0].view(np.uint64) for s in sets]
         sig, doc = np.concatenate(found).view(np.int64), np.repeat(ids, [len(f) for f in found])
         order = np.lexsort((doc, sig))
@@ -200,16 +203,16 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _cross_pairs(percent: int):
-    """Pairs from different components that share a signature and whose bins allow the similarity. Rows come sorted by
+    """Pairs from different components that share a signature and whose bits allow the similarity. Rows come sorted by
     signature; a group is compared row by row against the rest of it."""
 
-    def pairs(doc, comp, n, bins) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def pairs(doc, comp, n, bits) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for i in range(len(doc) - 1):
             total = n[i] + n[i + 1 :]
             fits = (comp[i + 1 :] != comp[i]) & (100 * np.minimum(n[i], n[i + 1 :]) >= percent * np.maximum(n[i], n[i + 1 :]))
             at = np.flatnonzero(fits) + i + 1
             if len(at):
-                apart = np.abs(bins[at].astype(np.int16) - bins[i]).sum(axis=1)
+                apart = np.bitwise_count(bits[at] ^ bits[i]).sum(axis=1, dtype=np.int64)
                 at = at[(100 + percent) * apart <= (100 - percent) * total[at - i - 1]]
                 yield np.minimum(doc[i], doc[at]), np.maximum(doc[i], doc[at])
 
@@ -218,11 +221,11 @@ def _cross_pairs(percent: int):
         if not held.num_rows:
             return
         sig, doc, comp, n = (held.column(c).to_numpy() for c in ("sig", "doc", "component", "n"))
-        bins = np.frombuffer(b"".join(held.column("bins").to_pylist()), np.uint8).reshape(-1, BINS)
+        bits = np.frombuffer(b"".join(held.column("bits").to_pylist()), np.uint64).reshape(-1, BITS // 64)
         edges = np.flatnonzero(np.append(True, sig[1:] != sig[:-1])).tolist() + [len(sig)]
         out: list[tuple[np.ndarray, np.ndarray]] = []
         for x, y in zip(edges, edges[1:]):
-            out += pairs(doc[x:y], comp[x:y], n[x:y], bins[x:y])
+            out += pairs(doc[x:y], comp[x:y], n[x:y], bits[x:y])
         if out:
             ab = np.unique(np.column_stack([np.concatenate(o) for o in zip(*out)]), axis=0)
             yield pa.RecordBatch.from_pydict({"a": pa.array(ab[:, 0]), "b": pa.array(ab[:, 1])})
@@ -230,6 +233,17 @@ def _cross_pairs(percent: int):
     return run
 
 
+def _best_pivots(rows: DataFrame, tried: DataFrame | None) -> DataFrame:
+    """a, b: for each document the pivot it shares most signatures with, among pivots of other components not tried yet. A
+    signature's pivot is the smallest document of its smallest component."""
+    pivots = rows.groupBy("sig").agg(F.min(F.struct("component", "doc")).alias("p"), F.max("component").alias("z")).where("p.component < z").select("sig", F.col("p.component").alias("c"), F.col("p.doc").alias("a"))
+    met = rows.join(pivots, "sig").where("component <> c").groupBy("a", F.col("doc").alias("b")).agg(F.count("*").alias("n"))
+    if tried is not None:
+        met = met.join(tried, ["a", "b"], "left_anti")
+    best = met.groupBy("b").agg(F.max(F.struct("n", (-F.col("a")).alias("a"))).alias("m"))
+    return best.select((-F.col("m.a")).alias("a"), "b")
+
+
 def ngram_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id per row of docs."""
     docs = docs.select("doc_id", "text").where("doc_id is not null")
@@ -237,25 +251,29 @@ def ngram_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     found = saved(dealt.mapInArrow(_keep_shared, _OUT), "signatures")
     sets = found.where("n is not null")
     firsts = sets.where("n > 0").groupBy("h1", "h2").agg(F.min("doc").alias("rep"))
-    sets = saved(sets.join(firsts, ["h1", "h2"], "left").select("doc", "n", "bins", F.coalesce("rep", "doc").alias("rep")), "sets")
-    reps = sets.where("doc = rep and n > 0").select("doc", "n", "bins").dropDuplicates(["doc"])
+    sets = saved(sets.join(firsts, ["h1", "h2"], "left").select("doc", "n", "bits", F.coalesce("rep", "doc").alias("rep")), "sets")
+    reps = sets.where("doc = rep and n > 0").select("doc", "n", "bits").dropDuplicates(["doc"])
     shared = saved(found.where("sig is not null").select("sig", "doc").join(reps.select("doc"), "doc", "left_semi").distinct(), "shared")
     texts = saved(docs.join(shared.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi").distinct(), "texts")
 
-    # each document against the pivot it shares most signatures with
-    pivots = shared.groupBy("sig").agg(F.min("doc").alias("a"), F.max("doc").alias("z")).where("a < z").select("sig", "a")
-    met = shared.join(pivots, "sig").where("a <> doc").groupBy("a", "doc").agg(F.count("*").alias("n"))
-    best = met.groupBy("doc").agg(F.max(F.struct("n", (-F.col("a")).alias("a"))).alias("m")).select((-F.col("m.a")).alias("a"), F.col("doc").alias("b"))
-    same = sets.where("doc <> rep").select(F.col("rep").alias("a"), F.col("doc").alias("b"))
-    links = saved(_verified(saved(best, "pivots"), texts, percent).union(same), "links")
-    label = components(links)
+    # each document against the pivot it shares most signatures with, while that joins components
+    links = sets.where("doc <> rep").select(F.col("rep").alias("a"), F.col("doc").alias("b"))
+    labelled, tried = shared.withColumn("component", F.col("doc")), None
+    for _ in range(PIVOT_ROUNDS):
+        best = saved(_best_pivots(labelled, tried), "pivots")
+        tried = best if tried is None else tried.union(best)
+        new = saved(_verified(best, texts, percent), "new-links")
+        links = links.union(new)
+        label = components(links)
+        labelled = shared.join(label, shared.doc == label.node, "left").select("sig", "doc", F.coalesce("component", "doc").alias("component"))
+        labelled = saved(labelled, "labelled")
+        if new.isEmpty():
+            break
 
     # then what still lies in different components
-    labelled = shared.join(label, shared.doc == label.node, "left").select("sig", "doc", F.coalesce("component", "doc").alias("component"))
-    labelled = saved(labelled, "labelled")
     mixed = labelled.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("sig")
     rows = labelled.join(mixed, "sig").join(reps, "doc").repartition("sig").sortWithinPartitions("sig")
-    cross = saved(rows.select("sig", "doc", "component", "n", "bins").mapInArrow(_cross_pairs(percent), "a long, b long").distinct(), "cross")
+    cross = saved(rows.select("sig", "doc", "component", "n", "bits").mapInArrow(_cross_pairs(percent), "a long, b long").distinct(), "cross")
     more = _verified(cross, texts, percent)
     top = components(saved(label.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more), "links"))
     result = sets.join(top, sets.doc == top.node, "left")

@@ -268,19 +268,25 @@ def out_of_reach(left: DataFrame, grid: DataFrame, by: list[str]) -> DataFrame:
     return nearest_join(left, g, by, ["t", "spacing"]).withColumn("stranded", F.abs("offset") > F.col("r_spacing"))
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """Mean-removed cosine of two vectors."""
-    mean = lambda v: F.aggregate(v, F.lit(0.0), lambda s, x: s + x) / F.size(v)
-    less = lambda v: F.transform(v, lambda x: x - mean(v))
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, z: s + z)
-    x, y = less(a), less(b)
-    return dot(x, y) / F.sqrt(dot(x, x) * dot(y, y))
-
-
-def nearest_vector(queries: DataFrame, candidates: DataFrame, on: list[str], key: str) -> DataFrame:
-    """Candidate most like each query at the same aligned key, with the margin to the worst."""
-    m = queries.join(candidates.select(*on, F.col(key).alias("pick"), F.col("vec").alias("_c")), on)
-    m = m.withColumn("score", F.round(cosine(F.col("vec"), F.col("_c")), 5))
+def _dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda s, z: s + z)
+
+
+def _centred(v: Column) -> Column:
+    mean = F.aggregate(v, F.lit(0.0), lambda s, x: s + x) / F.size(v)
+    return F.zip_with(v, F.array_repeat(mean, F.size(v)), lambda x, y: x - y)
+
+
+def nearest_vector(queries: DataFrame, candidates: DataFrame, on: list[str], key: str, slices: int = 64) -> DataFrame:
+    """Candidate most like each query, never itself, at the same aligned key, with the margin to the worst. With no aligned
+    key every candidate is met: they are dealt into slices, and each query goes to all of them."""
+    unit = lambda df: df.withColumn("vec", _centred(F.col("vec"))).withColumn("_len", F.sqrt(_dot(F.col("vec"), F.col("vec"))))
+    q, c = unit(queries), unit(candidates).select(*on, F.col(key).alias("pick"), F.col("vec").alias("_c"), F.col("_len").alias("_clen"))
+    meet = on
+    if not on:
+        q, c, meet = q.withColumn("_slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))), c.withColumn("_slice", F.pmod(F.xxhash64("pick"), F.lit(slices)).cast("int")), ["_slice"]
+    m = q.join(c, meet).where(F.col(key) != F.col("pick"))
+    m = m.select(*on, key, "pick", F.round(_dot(F.col("vec"), F.col("_c")) / (F.col("_len") * F.col("_clen")), 5).alias("score"))
     return m.groupBy(*on, key).agg(F.max_by(F.struct("pick", "score"), F.struct("score", -F.col("pick"))).alias("x"), (F.max("score") - F.min("score")).alias("margin")).select(*on, key, "x.*", F.round("margin", 5).alias("margin"))
 
 

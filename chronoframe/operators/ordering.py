@@ -8,6 +8,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def time_order(df: DataFrame, by: list[str], time: str, *ties: Column | str) -> DataFrame:
+    """pos of each row in its key's order of time, then ties, from 1; a row without a time has no place and goes."""
+    return df.where(F.col(time).isNotNull()).withColumn("pos", F.row_number().over(Window.partitionBy(*by).orderBy(time, *ties)))
+
+
 def worst_n(df: DataFrame, severity: str, key: str, n: int = 8) -> DataFrame:
     """The n worst rows, worst first: the limit is the feature."""
     return df.orderBy(F.desc(severity), key).limit(n)

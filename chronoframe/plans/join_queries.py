@@ -230,8 +230,8 @@ def c31(s, d):
 
 @query("c32_nearest_vector")
 def c32(s, d):
-    v = read(s, d, "embeddings").select((F.col("vec_id") % 100).alias("at"), "vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("vec"))
-    return J.nearest_vector(v.where("vec_id < 100"), v.where("vec_id >= 100"), ["at"], "vec_id")
+    v = read(s, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("vec"))
+    return J.nearest_vector(v.where("vec_id % 100 = 0"), v, [], "vec_id")
 
 
 @query("c33_reconcile", sql("+a AS (SELECT doc, start, min(source) AS source FROM segments WHERE flag <> 'R' GROUP BY ALL), b AS (SELECT doc, start, min(part % 100) AS source FROM segments WHERE flag <> 'A' GROUP BY ALL) SELECT a.doc, a.start, CASE WHEN b.doc IS NULL THEN 'misplaced' WHEN b.source <> a.source THEN 'source differs' ELSE 'ok' END AS status FROM a LEFT JOIN b ON a.doc = b.doc AND a.start = b.start", "segments"))

@@ -43,6 +43,12 @@ def a11(s, d):
     return K.inspect_range(i, ["rec_id", "clip"], 1704153600.0, 1704240000.0)
 
 
+@query("g01_time_order", sql("SELECT event_id, row_number() OVER (PARTITION BY rec_id ORDER BY floor(t / 3600), event_type <> 'view', event_id) AS pos FROM e", "e"))
+def g01(s, d):
+    i = recordings(s, d).select("rec_id", "event_id", F.floor(F.col("t") / 3600).alias("start"), (F.col("event_type") == "view").alias("media"))
+    return O.time_order(i, ["rec_id"], "start", ~F.col("media"), "event_id").select("event_id", "pos")
+
+
 @query("g02_worst_n", sql("SELECT event_id, value FROM e ORDER BY value DESC, event_id LIMIT 8", "e"))
 def g02(s, d):
     return O.worst_n(recordings(s, d), "value", "event_id").select("event_id", "value")

@@ -3,7 +3,10 @@
 A page is read as a sequence of blocks and tags. The words of a block score positive where labelled pages have
 main text in such a place and negative where they have none; each block-level tag costs a little. One linear
 scan finds the contiguous region with the best sum; blocks left out wherever they stand (asides, forms, adverts,
-reader comments) cost a fixed little, as they are not part of its text. Labelled pages are those of the table that mark their main
+reader comments) cost a fixed little, as they are not part of its text. Where a class, id or role marks them so, the
+mark is a weight, not a verdict: an element that holds the main element of a page (main, article, articleBody) is not
+marked, and a region inside marks competes with the unmarked one at a tenth of its sum per mark (a fiftieth where
+unmarked main text stands on the page), so that it wins where next to nothing stands outside of it. Labelled pages are those of the table that mark their main
 text themselves (article, main, itemprop=articleBody); all of them are counted, in Spark, per kind of place.
 The set of kinds is fixed, so the weights stay small.
 
@@ -27,11 +30,14 @@ from .common import table
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*(?:"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)""", re.S)
 _ATTR = re.compile(r"""(class|id|role|itemprop|hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
-_MARKED = re.compile(
-    r"(?<![a-z])(ads?|advert\w*|adverts|sponsor\w*|promo\w*|banner\w*|cookies?|consent|gdpr|notices?|alerts?|popup|modal|overlay|newsletter|subscribe|signup|comments?|comment-?list|disqus|replies|respond|"
-    r"sidebars?|side|aside|menus?|nav|navbar|navigation|breadcrumbs?|footer|masthead|site-?header|share|sharing|social|related|recommended|widget|pagination|pager|toolbar|login|search)(?![a-z])",
-    re.I,
+#: Names that mark a place as left out, and those that may stand beside them in one name (comment-list, sidebar__inner).
+#: A name is a whole class, id or role token; has-sidebar or content-with-comments is none of these.
+_NAMES = (
+    r"ads?|advert[a-z]*|sponsor[a-z]*|promo[a-z]*|banner[a-z]*|cookies?|consent|gdpr|notices?|alerts?|popup|modal|overlay|newsletter|subscribe|signup|comments?|commentlist|disqus|replies|respond|"
+    r"sidebars?|side|aside|menus?|nav|navbar|navigation|breadcrumbs?|footer|masthead|siteheader|share|sharing|social|related|recommended|widget|pagination|pager|toolbar|login|search"
 )
+_BESIDE = r"site|header|list|items?|box|bar|area|section|wrap|wrapper|container|inner|outer|body|block|unit|slot|form|links?|buttons?|icons?|title|text|top|bottom|left|right|primary|secondary|main|global|mobile|desktop|sticky|google|posts?|entry|articles?|page|thread|div|id|js|td|wp|[0-9]+"
+_MARKED = re.compile(rf"(?<!\S)(?:(?:{_BESIDE})[-_]+)*(?:(?:{_NAMES})[0-9]*|site-header)(?:[-_]+(?:{_NAMES}|{_BESIDE}))*(?!\S)", re.I)
 #: Elements whose content is never text, those that end a block, those that hold others, and those left out wherever they stand.
 RAW = frozenset("script style noscript template svg math iframe object canvas audio video head title textarea select option".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
@@ -39,10 +45,12 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 LEFT_OUT = frozenset("nav aside footer form button menu dialog search fieldset".split())
 MAIN = frozenset("article main".split())
 CLOSES_ITSELF = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-_TOP = ("body", "body", False, False)
+_TOP = ("body", "body", False, False, -1, -1)
 _ENDS_P = BLOCK - {"body", "html"}
 #: Scores per word: no kind of place counts more than this, and what one block-level tag costs.
 CAP, TAG_COST = 3.0, 0.25
+#: Weight of a word per mark around it, the same beside unmarked main text, how many marks are told apart, and the number that stands for left out.
+MARK_WEIGHT, BESIDE_MAIN, MARKS, OUT = 0.1, 0.02, 3, 9
 
 
 def _attributes(text: str) -> tuple[str, bool, bool]:
@@ -61,10 +69,12 @@ def _attributes(text: str) -> tuple[str, bool, bool]:
     return words, main or "article-body" in words or words == "main", hidden
 
 
-def blocks(page: str) -> list[tuple[str, str, bool, bool, int]]:
-    """(text, kind of place, in marked main text, left out wherever it stands, block-level tags before it)."""
+def blocks(page: str) -> list[tuple[str, str, bool, int, int, int]]:
+    """(text, kind of place, in marked main text, marks around it or OUT if left out, the outermost of them, block-level tags before it)."""
     out, parts, at, tags = [], [], 0, 0
-    stack = []  # (tag, kind, in main, left out)
+    stack = []  # (tag, kind, in main, left out, innermost mark, innermost mark that no main element stands before)
+    marks = []  # the mark around each marked element
+    holders, mains = set(), 0  # marked elements that hold a main element; main elements so far
     top = _TOP
     in_link = words_linked = 0
 
@@ -73,8 +83,8 @@ def blocks(page: str) -> list[tuple[str, str, bool, bool, int]]:
         text = " ".join(htmllib.unescape("".join(parts)).split()) if parts else ""
         parts.clear()
         if text:
-            _, kind, main, left = top
-            out.append((text, kind + (":a" if 2 * words_linked > len(text) else ""), main, left, tags))
+            _, kind, main, left, mark, _ = top
+            out.append((text, kind + (":a" if 2 * words_linked > len(text) else ""), main, left, mark, tags))
             tags = 0
         words_linked = 0
 
@@ -130,16 +140,30 @@ def blocks(page: str) -> list[tuple[str, str, bool, bool, int]]:
             shut = CLOSES_ITSELF.get(tag, ())
             if stack and (stack[-1][0] in shut or stack[-1][0] == "p" and tag in _ENDS_P):
                 stack.pop()
-            _, _, main, left = stack[-1] if stack else _TOP
+            _, _, main, left, mark, early = stack[-1] if stack else _TOP
             words, marks_main, hidden = _attributes(m[3]) if m[3] else ("", False, False)
-            marked = bool(words and tag not in ("html", "body") and not marks_main and _MARKED.search(words))
+            marked = bool(words and tag not in ("html", "body", "main") and not marks_main and _MARKED.search(words))
             main = main or tag in MAIN or marks_main
-            left = left or hidden or marked or tag in LEFT_OUT or (tag == "header" and not main)
+            left = left or hidden or tag in LEFT_OUT or (tag == "header" and not main)
+            if marked:
+                marks.append(mark)
+                mark = len(marks) - 1
+                early = early if mains else mark
+            elif not left and (tag in MAIN or marks_main):
+                mains += 1
+                held = early
+                while held >= 0 and held not in holders:
+                    holders.add(held)
+                    held = marks[held]
             holder = next((s[0] for s in reversed(stack) if s[0] in ("nav", "aside", "footer", "header", "form", "ul", "ol", "table")), "")
-            stack.append((tag, f"{holder}>{tag}" + ("!" if left else ""), main, left))
+            stack.append((tag, f"{holder}>{tag}" + ("!" if left else ""), main, left, mark, early))
         top = stack[-1] if stack else _TOP
     flush()
-    return out
+    depth, outer = [0] * (len(marks) + 1), [-1] * (len(marks) + 1)  # the last one, -1, is no mark
+    for k, around in enumerate(marks):
+        depth[k] = min(MARKS, depth[around] + (k not in holders))
+        outer[k] = outer[around] if depth[around] else k if depth[k] else -1
+    return [(text, kind, main, OUT if left else depth[mark], outer[mark], tags) for text, kind, main, left, mark, tags in out]
 
 
 def place_counts(pages: DataFrame) -> DataFrame:
@@ -151,8 +175,8 @@ def place_counts(pages: DataFrame) -> DataFrame:
             for page in batch.column("html").to_pylist():
                 found = blocks(page or "")
                 if any(b[2] for b in found):
-                    for text, kind, main, left, _ in found:
-                        (inside if main and not left else outside)[kind] += text.count(" ") + 1
+                    for text, kind, main, left, _, _ in found:
+                        (inside if main and not left else outside)[kind + ("!" if 0 < left < OUT else "")] += text.count(" ") + 1
         kinds = list(inside | outside)
         yield pa.RecordBatch.from_pydict({"kind": pa.array(kinds, pa.string()), "n_main": pa.array([inside[k] for k in kinds], pa.int64()), "n_other": pa.array([outside[k] for k in kinds], pa.int64())})
 
@@ -169,20 +193,29 @@ def score_of(kind: str, weights: dict[str, float]) -> float:
     return weights.get(kind, -0.5 if kind.endswith(":a") else 0.5 if re.search(r">(li|td|body)", kind) else 1.0)
 
 
-def main_text(page: str, weights: dict[str, float]) -> str:
-    """The blocks of the best region, without those left out wherever they stand, joined by line ends."""
-    found = blocks(page)
-    best, span, now, start = 0.0, (0, 0), 0.0, 0
-    for i, (text, kind, _, left, tags) in enumerate(found):
+def _region(found: list[tuple[str, str, bool, int, int, int]], weights: dict[str, float], marks: int) -> tuple[float, int, int]:
+    """Best sum, and the region that has it, over the blocks with so many marks in one marked element; the others are left out."""
+    best, span, now, start, inside = 0.0, (0, 0), 0.0, 0, -1
+    for i, (text, kind, _, left, outer, tags) in enumerate(found):
         if now > 0:
-            now -= TAG_COST * (1 if left else tags)
-        if now <= 0:
+            now -= TAG_COST * (1 if left != marks else tags)
+        if now <= 0 or left == marks and outer != inside:
             now, start = 0.0, i
-        if not left:
+        if left == marks:
+            inside = outer
             now += (text.count(" ") + 1) * score_of(kind, weights)
         if now > best:
             best, span = now, (start, i + 1)
-    return "\n".join(b[0] for b in found[slice(*span)] if not b[3])
+    return best, *span
+
+
+def main_text(page: str, weights: dict[str, float]) -> str:
+    """The blocks of the best region, without those left out wherever they stand, joined by line ends."""
+    found = blocks(page)
+    weight = BESIDE_MAIN if any(main and not left for _, _, main, left, _, _ in found) else MARK_WEIGHT
+    regions = [(*_region(found, weights, k), k) for k in sorted({b[3] for b in found} - {OUT})]
+    _, start, end, marks = max(regions, key=lambda r: r[0] * weight ** r[3], default=(0.0, 0, 0, 0))
+    return "\n".join(b[0] for b in found[start:end] if b[3] == marks)
 
 
 def extract_main_text(pages: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:

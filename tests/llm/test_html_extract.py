@@ -27,6 +27,31 @@ def test_page_with_everything():
     )
 
 
+TEXT = "Some words of the text that people came to read. " * 6
+BODY = f"<h1>Title</h1><p>{TEXT}</p><div class='advert'>Buy this now</div><p>{TEXT}</p>"
+WANT = "\n".join(["Title", TEXT.strip(), TEXT.strip()])
+THREAD = "<ol class='comment-list'>" + f"<li class='comment'><article class='comment-body'><p>{'A reader talks at length here. ' * 9}</p></article></li>" * 3 + "</ol>"
+
+
+def test_wrapped_pages():
+    for name in ("page has-sidebar", "content-with-comments", "no-sidebar", "sidebar-right", "widget", "page with-share-bar"):
+        for tag in ("div", "section", "main"):
+            wrapper = f"<body><div class='nav'>Home</div><{tag} class='{name}' id='{name}'>", f"</{tag}><div class='footer'>All rights reserved</div></body>"
+            assert main_text(BODY.join(wrapper), {}) == WANT, (tag, name)
+            for inner in ("<article>", "<main>", "<div itemprop='articleBody'>", "<article class='post has-comments'>"):
+                end = f"</{inner[1:].split()[0].rstrip('>')}>"
+                page = f"{inner}{BODY}{end}{THREAD}".join(wrapper)
+                assert main_text(page, {}) == WANT, (tag, name, inner)
+
+
+def test_marks_are_weights():
+    assert main_text(f"<div id='comments'>{THREAD}</div>", {}).count("A reader") == 27
+    assert main_text(f"<article>{BODY}</article><div id='comments'>{THREAD * 20}</div>", {}) == WANT
+    assert main_text(f"<div class='top-bar'>Skip to text</div><div class='login'>{BODY}</div>", {}) == WANT
+    assert main_text(f"<div class='site-wide widget'>{BODY}<p style='display:none'>{TEXT}</p><nav>{TEXT}</nav></div>", {}) == WANT
+    assert main_text("<div class='ad'>" * 5000 + TEXT, {}) == TEXT.strip()
+
+
 def test_edges(spark):
     rows = [(1, "u", None, "x"), (2, None, "", "x"), (3, "u", "just words", "x"), (3, "u", "just words", "x"), (4, "u", "<p>open <b attr='", "x"), (5, "u", "<!-- never closed <p>x</p>", "x"), (6, "u", "<p>" + "w " * 200_000, "x")]
     got = extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()

@@ -3,7 +3,7 @@
 Two order-1 character models are trained in Spark over all documents: one of random strings, from the values
 that the fixed patterns find (the labelled positives), one of ordinary identifiers, from every other token.
 A token that no pattern covers is a secret too where it mixes letters and digits and its log-likelihood ratio
-per character reaches a threshold. The counts are two fixed tables of 67 x 67 cells, whatever the input.
+per character reaches a threshold; a token with hyphens is judged without them, else by its long pieces. The counts are two fixed tables of 67 x 67 cells, whatever the input.
 
 Defined results: null text is empty and has no spans; positions are code points, ends exclusive; every row gives
 one row, repeated ones too; with no labelled positives the random model is uniform; extra columns are ignored.
@@ -28,8 +28,11 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
 KINDS = ("assign", "access", "hex", "markov")
 ALPHABET = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_="
-#: A candidate of the models: long enough to judge, with letters and digits.
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=.@-])(?=[A-Za-z+/_=]*[0-9])(?=[0-9+/_=]*[A-Za-z])[A-Za-z0-9+/_=]{20,}(?![A-Za-z0-9+/_=@])")
+#: A candidate of the models: long enough to judge, with letters and digits; hyphens may join its pieces, as in keys behind
+#: a prefix and in base64url. Dots part candidates, as in a JWT.
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+PIECE = re.compile(r"[A-Za-z0-9+/_=]{20,}")
+_DIGIT, _LETTER = re.compile("[0-9]"), re.compile("[A-Za-z]")
 SIZE = len(ALPHABET) + 1
 _CODE = np.full(256, SIZE - 1, np.int64)
 _CODE[np.frombuffer(ALPHABET, np.uint8)] = np.arange(SIZE - 1)
@@ -92,14 +95,31 @@ def find_secrets(text: str, ratio: np.ndarray, threshold: float = 1.0) -> list[t
     """(start, end, kind, log-likelihood ratio per character), base spans first where starts are equal."""
     found = [(a, b, kind, None) for a, b, kind in base_spans(text)]
     taken = [(a, b) for a, b, _, _ in found]
-    for m in CANDIDATE.finditer(text):
-        a, b = m.span()
-        if any(x < b and a < y for x, y in taken):
-            continue
-        code = _CODE[np.frombuffer(m[0].encode(), np.uint8)]
+
+    def judge(a: int, b: int) -> bool:
+        token = text[a:b].replace("-", "")
+        if len(token) < 20 or not (_DIGIT.search(token) and _LETTER.search(token)) or any(x < b and a < y for x, y in taken):
+            return False
+        code = _CODE[np.frombuffer(token.encode(), np.uint8)]
         score = float(ratio[code[:-1], code[1:]].mean())
         if score >= threshold:
             found.append((a, b, "markov", score))
+        return score >= threshold
+
+    for m in CANDIDATE.finditer(text):
+        a, b = m.span()
+        if text[a - 1 : a] == "@":  # the host of an address
+            continue
+        if text[b : b + 1] == "@":  # the last piece is the name before it
+            b = max(a, text.rfind("-", a, b))
+        while a < b and text[a] == "-":
+            a += 1
+        while a < b and text[b - 1] == "-":
+            b -= 1
+        # a token without its hyphens; where that is no secret as one, its long pieces
+        if not judge(a, b) and text.find("-", a, b) >= 0:
+            for p in PIECE.finditer(text, a, b):
+                judge(*p.span())
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2])))
 
 

@@ -54,6 +54,27 @@ def test_models_find_random_strings_only(spark):
         assert not base_spans(r.text or "") and (r.text is None) == (r.doc_id == 900)
 
 
+def test_keys_with_hyphens_and_dots(spark):
+    rng = random.Random(5)
+    key = lambda n: "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(n)) + "7a"
+    plain = "the other thing-of-the-night was an-in-the-erlich 2024 and a tion-ing-er-the-an-er-tion-2024-the-other there. "
+    rows = [(i, plain * 9 + f'token = "{key(40)}" ') for i in range(400)]
+    shapes = [lambda: "sk-" + key(40), lambda: "-".join(key(9) for _ in range(4)), lambda: ".".join(key(30) for _ in range(3)), lambda: f"{key(25)}-{key(10)}.{key(6)}-{key(26)}", lambda: key(40)]
+    secrets = [make() for make in shapes]
+    rows += [(1000 + i, f"{plain}{s} {plain}{s}-, {s}. ({s})") for i, s in enumerate(secrets)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in mask_secrets(df).collect()}
+    for i, s in enumerate(secrets):
+        assert not any(p in got[1000 + i] for p in re.split(r"[.-]", s) if len(p) > 4), (s, got[1000 + i])
+        assert got[1000 + i].count(plain.strip()) == 2
+    ratio = ratio_table(df)
+    slug = "the-other-thing-of-the-night-of-an-erlich-ing-and-the-other-night-2024-"
+    long = key(38)
+    found = find_secrets(f"{slug * 3}{long}", ratio)
+    assert [(f"{slug * 3}{long}"[a:b], k) for a, b, k, _ in found] == [(long, "markov")]
+    assert find_secrets(f"x@mail.org y-z@{key(30)} {slug * 3}the", ratio) == []
+
+
 def test_no_labelled_values(spark):
     df = spark.createDataFrame([(1, "only plain words here")], "doc_id long, text string")
     assert find_secrets("only plain words here", ratio_table(df)) == []

@@ -18,7 +18,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, saved, table
@@ -98,9 +98,13 @@ def _fly(last: bool):
     return run
 
 
+def word_count(text: Column) -> Column:
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
 def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: float = 3.0) -> DataFrame:
     """doc_id, source, size, source_size, target, copies: how often the mix takes each document."""
-    sized = saved(docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")), "sized")
+    sized = saved(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "sized")
     sources = saved(source_targets(sized, weights, cap), "sources")
     salted = sources.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumnRenamed("source", "s")
     pick = F.xxhash64("doc_id")

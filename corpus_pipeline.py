@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from chronoframe.llm.common import saved, table
 from chronoframe.llm.decontaminate import drop_leaking
-from chronoframe.llm.mixing import mix_sources
+from chronoframe.llm.mixing import mix_sources, word_count
 from chronoframe.llm.ngram_join import drop_near_copies
 from chronoframe.llm.secrets import mask_secrets
 from chronoframe.llm.toxicity import drop_toxic, trained_on
@@ -41,8 +41,9 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents the mix takes, with copies. Rows that repeat a doc_id, source and size get the most of theirs."""
     mixed = mix_sources(docs).where("copies > 0").groupBy("doc_id", "source", "size").agg(F.max("copies").alias("copies"))
-    mixed = saved(mixed.select(F.col("doc_id").alias("id"), F.col("source").alias("from"), "copies"), "mix")
-    return docs.join(mixed, docs.doc_id.eqNullSafe(F.col("id")) & docs.source.eqNullSafe(F.col("from"))).drop("id", "from")
+    mixed = saved(mixed.select(F.col("doc_id").alias("id"), F.col("source").alias("from"), F.col("size").alias("words"), "copies"), "mix")
+    same = docs.doc_id.eqNullSafe(F.col("id")) & docs.source.eqNullSafe(F.col("from")) & (word_count(docs.text) == F.col("words"))
+    return docs.join(mixed, same).drop("id", "from", "words")
 
 
 STAGES = [("toxicity", toxicity), ("near copies", near_copies), ("decontamination", decontamination), ("secrets", secrets), ("mixing", mixing)]

@@ -34,3 +34,15 @@ def test_stages(spark, sf_dir):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, sf_dir)
         assert docs.collect() == []
+
+
+def test_mixing_rows_of_one_id(spark):
+    rows = [(i // 2 if i % 9 else None, "w " * (3 + i % 2 * (i % 7 + 1)), "ab"[i // 2 % 2], i) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, i int")
+    copies = {}
+    for r in corpus_pipeline.mix_sources(docs).collect():
+        key = r.doc_id, r.source, r["size"]
+        copies[key] = max(copies.get(key, 0), r.copies)
+    want = sorted((i, copies[d, s, len(t.split())]) for d, t, s, i in rows if copies[d, s, len(t.split())])
+    got = sorted((r.i, r.copies) for r in corpus_pipeline.mixing(spark, docs, "").collect())
+    assert got == want and len(got) == len({i for i, _ in got})

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -9,6 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 #: Words are runs of anything but the ASCII white space that bytes.split() splits on.
@@ -51,6 +53,67 @@ def mix(a: np.ndarray) -> np.ndarray:
     return (a ^ (a >> _SHIFT)) * _MUL2
 
 
+#: Odd multipliers of the bytes, and of their places, in the hash of a word; bytes that part words; bytes hashed at once.
+_BYTE = mix(np.arange(1, 257, dtype=np.uint64)) | np.uint64(1)
+_PLACE, _PLACE_INVERSE = np.uint64(_P := 0x9E3779B97F4A7C15), np.uint64(pow(_P, -1, 1 << 64))
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_SLAB = 1 << 21
+
+
+@functools.cache
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    return tuple(np.cumprod(np.full(_SLAB + 2, p)) for p in (_PLACE, _PLACE_INVERSE))
+
+
+def _slab_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and hashes of the words of data, which ends in white space."""
+    b = np.frombuffer(data, np.uint8)
+    edge = np.flatnonzero(np.diff(_SPACE[b], prepend=True))
+    start, end = edge[::2], edge[1::2]
+    powers, inverse = _powers()
+    total = np.append(np.uint64(0), np.cumsum(_BYTE[b] * powers[: len(b)]))
+    return start, mix((total[end] - total[start]) * inverse[start])
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of the texts, and the number of words of each: a polynomial of a word's bytes, scrambled."""
+    hashes, counts, run, size = [np.zeros(0, np.uint64)], [], [], 0
+
+    def close():
+        nonlocal size
+        if run:
+            start, h = _slab_hashes(b"".join(run))
+            hashes.append(h)
+            counts.append(np.diff(np.searchsorted(start, np.cumsum([0, *map(len, run)]))))
+            run.clear()
+            size = 0
+
+    for t in texts:
+        if len(t) > _SLAB:  # by itself, in pieces of whole words
+            close()
+            words, part = t.split(), []
+            for w in words:
+                if size + len(w) >= _SLAB:
+                    hashes.append(_slab_hashes(b" ".join([*part, b""]))[1])
+                    part, size = [], 0
+                if len(w) > _SLAB:
+                    hashes.append(np.array([xxhash.xxh3_64_intdigest(w)], np.uint64))
+                else:
+                    part.append(w)
+                    size += len(w) + 1
+            hashes.append(_slab_hashes(b" ".join([*part, b""]))[1])
+            counts.append(np.array([len(words)]))
+            size = 0
+            continue
+        if size + len(t) >= _SLAB:
+            close()
+        run.append(t + b" ")
+        size += len(t) + 1
+    close()
+    return np.concatenate(hashes), np.concatenate([*counts, np.zeros(0, np.int64)])
+
+
 def rolling(h: np.ndarray, n: int) -> np.ndarray:
     """Hash of every n consecutive values, built by doubling; empty if there are fewer than n."""
     if len(h) < n:

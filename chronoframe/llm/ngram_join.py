@@ -1,160 +1,205 @@
 """N-gram Jaccard join with PartEnum signatures, and its connected components.
 
-A document is the set of its distinct five-word shingles. Sets are banded by size so that linked sets lie in the
-same or the next band; in a band of sizes up to u two linked sets differ in at most k = 2 * (1 - t) / (1 + t) * u
-shingles. The shingle domain is dealt into k + 1 + m partitions, so at least m + 1 of them hold the same shingles in
-both sets; each partition's content is one signature. A set with at most m empty partitions needs no signature for
-those, as one of the m + 1 is not empty; the few sets with more emit them too. So no link is lost.
-
-Sets with equal shingles are one representative. Representatives that share a signature are linked through pivots
-first: each is verified against the smallest document it shares most signatures with. Then only signatures whose
-documents still lie in different components are compared pairwise, and a pair is verified only if the parities of its
-shingles in 1,024 hashed bins allow the similarity: sets that differ in d shingles differ in at most d of those bits.
-Pairs inside a component are never formed.
+A document is the set of its distinct five-word shingles. Equal sets are one set first. Sets are banded by size; a
+set of size a differs from any set linked with it in at most d(a) = a * (1 - t) / t shingles, so it meets sets of its
+own band and, where it is large enough, of the next one.
+
+PartEnum: the shingle domain is dealt into N1 first-level partitions (more for larger bands) of N2 = 3 second-level
+ones each. Sets that differ in d shingles differ in at most K2 = 1 of them in one of any d // (K2 + 1) + 1 first-level
+partitions, and there N2 - K2 second-level ones hold the same shingles in both. So every subset of N2 - K2
+second-level partitions gives a signature of what the set holds there. A set goes through the first-level partitions
+in their order until d // (K2 + 1) + 1 of them are solid (no subset empty); of two linked sets the one that stops first
+shares a signature with the other, so no link is lost and no signature stands for emptiness. A set with too few solid
+partitions goes on with the domain dealt anew; both sets of a link do so until one of them stops.
+
+Signatures that name the same documents count once. Documents that share a signature are linked through pivots first:
+each is verified against the smallest document of another component that it shares most signatures with. What still
+lies in different components is compared pairwise, in blocks of bounded size that Spark deals out, by the parities
+of shingles in hashed bins (sets that differ in d shingles differ in at most d of those bits), and the few pairs
+left are verified on their texts. Pairs inside a component are never formed.
 
 Defined results: null or empty text, or text without words, has an empty set and links with nothing; fewer than five
-words are one shingle; rows that repeat a doc_id count as one document with the links of all of them; extra
-columns are ignored; an empty table gives none.
+words are one shingle; rows that repeat a doc_id count as one document with the links of all of them, each row with
+the size of its own set; a row whose doc_id is null links with nothing and has a null component; extra columns are
+ignored; an empty table gives none.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import as_bytes, mix, rolling, saved, table
+from .common import as_bytes, mix, rolling, saved, table, word_hashes
 
-SHINGLE, BITS = 5, 1024
-PERCENT = 80
+SHINGLE, PERCENT = 5, 80
+#: Second-level partitions of a first-level one, and how many of them may differ.
+N2, K2 = 3, 1
+SUBSETS = list(combinations(range(N2), N2 - K2))
+#: Bands are so many steps of 1 / t wide; a band has so many times the first-level partitions its largest sets need.
+BAND_STEPS, ROOM = 3, 1.1
+#: How often the domain is dealt anew before empty subsets count as signatures too.
+DEALS = 64
 #: Rounds of pivots before what is left is compared pairwise.
 PIVOT_ROUNDS = 2
-#: Documents whose equal signatures are brought together before the shuffle.
-CHUNK_DOCS, CHUNK_BYTES = 1000, 2_000_000
+#: Documents whose equal signatures are brought together before the shuffle, and signatures of one group of buckets.
+CHUNK_DOCS, CHUNK_BYTES, BUCKET_SIGS = 2000, 4_000_000, 250_000
+#: Documents of one block of a signature's pairwise comparison, and pairs that share one copy of their first text.
+BLOCK, FAN = 256, 256
 _A = np.uint64(0x9FB21C651E98DF25)
-_TAG = np.uint64(32)
+_LOW = np.uint64(0xFFFFFFFF)
 
 
 def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
     """Sorted distinct hashes of the shingles of each text; A-Z lower-cased."""
-    words = [t.lower().split() for t in texts]
-    digest = xxhash.xxh3_64_intdigest
-    h = mix(np.fromiter((digest(w) for row in words for w in row), np.uint64, sum(map(len, words))))
+    h, counts = word_hashes([t.lower() for t in texts])
     grams = rolling(h, SHINGLE)
     out, at = [], 0
-    for row in words:
-        n = len(row)
+    for n in counts.tolist():
         if n >= SHINGLE:
-            out.append(np.unique(grams[at : at + n - SHINGLE + 1]))
+            s = np.sort(grams[at : at + n - SHINGLE + 1])
+            out.append(s[np.append(True, s[1:] != s[:-1])])
         else:
             out.append(mix(rolling(h[at : at + n], n) + np.uint64(n)) if n else h[:0])
         at += n
     return out
 
 
-def bands(percent: int) -> tuple[list[int], list[int]]:
-    """First and last size of each band."""
+def most_apart(size, percent: int = PERCENT):
+    """The most shingles in which a set of that size differs from one linked with it."""
+    return size * (100 - percent) // percent
+
+
+def bands(percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First size, last size and number of first-level partitions of each band."""
     low, high = [1], []
     while low[-1] < 1 << 40:
-        high.append(low[-1] * 100 // percent)
+        high.append(low[-1] * 100**BAND_STEPS // percent**BAND_STEPS)
         low.append(high[-1] + 1)
-    return low[:-1], high
-
-
-def partitions(last: int, percent: int) -> tuple[int, int]:
-    """Number of partitions for sizes up to last, and m: the empty ones a set may leave out."""
-    k = 2 * last * (100 - percent) // (100 + percent)
-    m = 3 + k // 8
-    return k + 1 + m, m
-
-
-def signatures(s: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """The PartEnum signatures of a set, for its own band and for the next."""
-    low, high = bands(percent)
-    band = int(np.searchsorted(low, len(s), side="right")) - 1
-    mixed, out = mix(s + _A), []
-    for tag in (band, band + 1):
-        n, m = partitions(high[tag], percent)
-        part = (s >> np.uint64(11)) % np.uint64(n)
-        order = np.argsort(part, kind="stable")
-        part = part[order]
-        starts = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
-        name = part[starts] | np.uint64(tag) << _TAG
-        out.append(mix(np.add.reduceat(mixed[order], starts) * _A + mix(name)))
-        if n - len(starts) > m:
-            empty = np.setdiff1d(np.arange(n, dtype=np.uint64), part[starts])
-            out.append(mix(mix(empty | np.uint64(tag) << _TAG)))
-    return np.concatenate(out)
-
-
-_OUT = "doc long, sig long, local boolean, n long, h1 long, h2 long, bits binary"
-
-
-def _emit(percent: int):
-    """Per document its set's size, hash and bits, and (document, signature) rows: for signatures that a chunk of
-    documents holds once or more, one row of the smallest document; if more than once, also local rows of all."""
-    schema = pa.schema([("doc", pa.int64()), ("sig", pa.int64()), ("local", pa.bool_()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("bits", pa.binary())])
-
-    def rows(**columns) -> pa.RecordBatch:
-        n = len(columns["doc"])
-        return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
-
-    def chunk(ids: np.ndarray, texts: list[bytes]) -> Iterator[pa.RecordBatch]:
-        sets = shingle_sets(texts)
-        h = np.array([(np.bitwise_xor.reduce(mix(s + _A)), mix(s).sum(dtype=np.uint64)) if len(s) else (0, 0) for s in sets], np.uint64).view(np.int64)
-        bits = [np.packbits(np.bincount((s & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1).tobytes() for s in sets]
-        yield rows(doc=ids, n=np.array([len(s) for s in sets]), h1=h[:, 0], h2=h[:, 1], bits=bits)
-        found = [signatures(s, percent) if len(s) else h[:0, 0].view(np.uint64) for s in sets]
-        sig, doc = np.concatenate(found).view(np.int64), np.repeat(ids, [len(f) for f in found])
-        order = np.lexsort((doc, sig))
-        sig, doc = sig[order], doc[order]
-        if not len(sig):
-            return
-        starts = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
-        yield rows(sig=sig[starts], doc=doc[starts], local=np.zeros(len(starts), bool))
-        many = np.repeat(np.diff(np.append(starts, len(sig))) > 1, np.diff(np.append(starts, len(sig))))
-        if many.any():
-            yield rows(sig=sig[many], doc=doc[many], local=np.ones(int(many.sum()), bool))
+    need = most_apart(np.array(high), percent) // (K2 + 1) + 1
+    return np.array(low[:-1]), np.array(high), np.where(need > 1, np.ceil(ROOM * need), 1).astype(np.int64)
+
+
+def part_enum(sets: list[np.ndarray], percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
+    """(index of the set, signature) of all PartEnum signatures of the sets."""
+    low, _, n1_of = bands(percent)
+    size = np.array([len(s) for s in sets], np.int64)
+    flat = np.concatenate([*sets, np.zeros(0, np.uint64)])
+    first = np.cumsum(size) - size
+    own = np.flatnonzero(most_apart(size, percent) > 0)  # smaller sets are linked with equal ones only
+    band = np.searchsorted(low, size[own], side="right") - 1
+    up = size[own] * 100 // percent >= low[band + 1]
+    who, tag = np.concatenate([own, own[up]]), np.concatenate([band, band[up] + 1])
+    found_of, found = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    for deal in range(DEALS):
+        if not len(who):
+            break
+        n, n1, salt = size[who], n1_of[tag], mix(np.full(1, deal, np.uint64) + _A)
+        need = most_apart(n, percent) // (K2 + 1) + 1
+        base = np.cumsum(n1) - n1
+        s = flat[np.repeat(first[who] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        h = mix(s + salt)
+        part = ((h >> np.uint64(32)) % np.repeat(n1, n).astype(np.uint64)).astype(np.int64)
+        cell = (np.repeat(base, n) + part) * N2 + ((h & np.uint64(0xFFFF)) % np.uint64(N2)).astype(np.int64)
+        v, cells = mix(s + _A), int(n1.sum()) * N2
+        total = [np.bincount(cell, x.astype(np.float64), cells).astype(np.uint64) for x in (v & _LOW, v >> np.uint64(32))]
+        held = (total[0] + (total[1] << np.uint64(32))).reshape(-1, N2)  # sums below 2 ** 53 are exact
+        full = (np.bincount(cell, minlength=cells) > 0).reshape(-1, N2)
+        solid = full.sum(axis=1) > K2
+        owner = np.repeat(np.arange(len(who)), n1)
+        before = np.cumsum(solid) - solid
+        emit = before - before[base][owner] < need[owner]
+        name = mix((tag[owner].astype(np.uint64) << np.uint64(40)) + (np.arange(len(owner)) - base[owner]).astype(np.uint64) + salt)
+        last = deal == DEALS - 1
+        for k, subset in enumerate(SUBSETS):
+            some = emit & (full[:, subset].any(axis=1) | last)
+            sig = mix(name[some] + np.uint64(k))
+            for column in subset:
+                sig = mix(sig * _A + held[some, column])
+            found_of.append(who[owner[some]])
+            found.append(sig)
+        short = np.add.reduceat(solid, base) < need
+        who, tag = who[short], tag[short]
+    return np.concatenate(found_of), np.concatenate(found)
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """Runs of rows with the sets of their texts."""
+    for batch in batches:
+        texts, first, size = as_bytes(batch.column("text")), 0, 0
+        for i, t in enumerate(texts):
+            size += len(t)
+            if size >= CHUNK_BYTES or i + 1 - first >= CHUNK_DOCS or i + 1 == len(texts):
+                yield batch.slice(first, i + 1 - first), shingle_sets(texts[first : i + 1])
+                first, size = i + 1, 0
+
+
+def _set_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per row its document, the hash of its text, the size and the hash of its set."""
+    for part, sets in _chunks(batches):
+        h = np.array([(np.bitwise_xor.reduce(mix(s + _A)), mix(s).sum(dtype=np.uint64)) if len(s) else (0, 0) for s in sets], np.uint64).reshape(-1, 2).view(np.int64)
+        yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(h[:, 0]), pa.array(h[:, 1])], names=["doc", "text_id", "n", "h1", "h2"])
+
+
+_DEALT = "bucket long, sig array<long>, doc array<long>, more array<boolean>"
+
+
+def _deal(percent: int, n_buckets: int):
+    """Signatures of a run of documents, dealt into buckets: of each signature its smallest document, and whether there are
+    more in the run. The others stay together in a bucket of their own below 0, so that no signature gathers them."""
+
+    def lists(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(values))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, texts = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64), as_bytes(batch.column("text"))
-            first, size = 0, 0
-            for i, t in enumerate(texts):
-                size += len(t)
-                if size >= CHUNK_BYTES or i + 1 - first >= CHUNK_DOCS or i + 1 == len(texts):
-                    yield from chunk(ids[first : i + 1], texts[first : i + 1])
-                    first, size = i + 1, 0
+        for part, sets in _chunks(batches):
+            at, sig = part_enum(sets, percent)
+            if not len(sig):
+                continue
+            doc = part.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)[at]
+            order = np.lexsort((doc, sig))
+            sig, doc = sig[order], doc[order]
+            new = np.append(True, sig[1:] != sig[:-1])
+            many = ~new | np.append(~new[1:], False)
+            bucket = (sig >> np.uint64(20)) % np.uint64(n_buckets)
+            order = np.argsort(bucket[new], kind="stable")
+            b, sig = bucket[new][order].astype(np.int64), sig.view(np.int64)
+            cuts = np.append(np.flatnonzero(np.append(True, b[1:] != b[:-1])), len(b))
+            rows = [b[cuts[:-1]], lists(sig[new][order], cuts), lists(doc[new][order], cuts), lists(many[new][order], cuts)]
+            yield pa.RecordBatch.from_arrays([pa.array(rows[0]), *rows[1:]], names=["bucket", "sig", "doc", "more"])
+            if len(rest := np.flatnonzero(~new)):
+                cuts = np.array([0, len(rest)])
+                own = np.array([-1 - int(mix(sig[rest[:1]].view(np.uint64))[0] >> np.uint64(2))])
+                yield pa.RecordBatch.from_arrays([pa.array(own), lists(sig[rest], cuts), lists(doc[rest], cuts), lists(np.ones(len(rest), bool), cuts)], names=["bucket", "sig", "doc", "more"])
 
     return run
 
 
-def _keep_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of the rows dealt by signature, those whose signature more than one row has; other rows as they are."""
-    sigs, docs, schema = [], [], None
-    for batch in batches:
-        schema = batch.schema
-        plain = pc.and_(pc.is_valid(batch.column("sig")), pc.invert(pc.fill_null(batch.column("local"), True)))
-        yield batch.filter(pc.invert(plain))
-        dealt = batch.filter(plain)
-        sigs.append(dealt.column("sig").to_numpy())
-        docs.append(dealt.column("doc").to_numpy())
-    if sigs:
-        sig, doc = np.concatenate(sigs), np.concatenate(docs)
+def _keep_shared(bucket: pa.Table) -> pa.Table:
+    """The (signature, document) rows of one bucket whose signature more than one document has."""
+    sig, doc, more = (bucket.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False) for c in ("sig", "doc", "more"))
+    if bucket.column("bucket")[0].as_py() >= 0:
         order = np.argsort(sig, kind="stable")
-        sig, doc = sig[order], doc[order]
+        sig, doc, more = sig[order], doc[order], more[order]
         same = sig[1:] == sig[:-1]
-        many = np.append(same, False) | np.append(False, same) if len(sig) else np.zeros(0, bool)
+        many = np.append(same, False) | np.append(False, same) | more
         sig, doc = sig[many], doc[many]
-        for k in range(0, len(sig), 1 << 17):
-            part = {"doc": pa.array(doc[k : k + (1 << 17)]), "sig": pa.array(sig[k : k + (1 << 17)])}
-            n = len(part["doc"])
-            yield pa.RecordBatch.from_arrays([part.get(f.name, pa.nulls(n, f.type)) for f in schema], schema=schema)
+    return pa.table({"sig": pa.array(sig, pa.int64()), "doc": pa.array(doc, pa.int64())})
+
+
+def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets are linked; the larger one is searched for the smaller one's shingles."""
+    if len(x) > len(y):
+        x, y = y, x
+    if not len(x) or 100 * len(x) < percent * len(y):
+        return False
+    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+    both = int((y[at] == x).sum())
+    return 100 * both >= percent * (len(x) + len(y) - both)
 
 
 def _verify(percent: int):
@@ -172,19 +217,21 @@ def _verify(percent: int):
                             one = shingle_sets([t])[0]
                         last = t
                     left.append(one)
-                keep = []
-                for x, y in zip(left, shingle_sets(as_bytes(part.column("text_b"))), strict=True):
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    keep.append(bool(both) and 100 * both >= percent * (len(x) + len(y) - both))
+                right = shingle_sets(as_bytes(part.column("text_b")))
+                keep = [similar(x, y, percent) for x, y in zip(left, right, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """The pairs that are links. The pairs of one a are parted by b, FAN in a part; each part gets a's text once."""
     t = lambda side: texts.select(F.col("doc_id").alias(side), F.col("text").alias(f"text_{side}"))
-    both = pairs.join(t("b"), "b").join(t("a"), "a").select("a", "b", "text_a", "text_b").sortWithinPartitions("a")
-    return both.mapInArrow(_verify(percent), "a long, b long")
+    fans = pairs.groupBy("a").agg(F.ceil(F.count("*") / FAN).alias("fans"))
+    pairs = pairs.join(fans, "a").select("a", "b", F.pmod(F.xxhash64("b"), "fans").alias("fan"))
+    left = pairs.select("a", "fan").distinct().join(t("a"), "a")
+    both = pairs.join(t("b"), "b").join(left, ["a", "fan"]).select("a", "b", "text_a", "text_b")
+    return both.sortWithinPartitions("a").mapInArrow(_verify(percent), "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -202,62 +249,110 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _cross_pairs(percent: int):
-    """Pairs from different components that share a signature and whose bits allow the similarity. Rows come sorted by
-    signature; a group is compared row by row against the rest of it."""
-
-    def pairs(doc, comp, n, bits) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        for i in range(len(doc) - 1):
-            total = n[i] + n[i + 1 :]
-            fits = (comp[i + 1 :] != comp[i]) & (100 * np.minimum(n[i], n[i + 1 :]) >= percent * np.maximum(n[i], n[i + 1 :]))
-            at = np.flatnonzero(fits) + i + 1
-            if len(at):
-                apart = np.bitwise_count(bits[at] ^ bits[i]).sum(axis=1, dtype=np.int64)
-                at = at[(100 + percent) * apart <= (100 - percent) * total[at - i - 1]]
-                yield np.minimum(doc[i], doc[at]), np.maximum(doc[i], doc[at])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = pa.Table.from_batches(list(batches))
-        if not held.num_rows:
-            return
-        sig, doc, comp, n = (held.column(c).to_numpy() for c in ("sig", "doc", "component", "n"))
-        bits = np.frombuffer(b"".join(held.column("bits").to_pylist()), np.uint64).reshape(-1, BITS // 64)
-        edges = np.flatnonzero(np.append(True, sig[1:] != sig[:-1])).tolist() + [len(sig)]
-        out: list[tuple[np.ndarray, np.ndarray]] = []
-        for x, y in zip(edges, edges[1:]):
-            out += pairs(doc[x:y], comp[x:y], n[x:y], bits[x:y])
-        if out:
-            ab = np.unique(np.column_stack([np.concatenate(o) for o in zip(*out)]), axis=0)
-            yield pa.RecordBatch.from_pydict({"a": pa.array(ab[:, 0]), "b": pa.array(ab[:, 1])})
-
-    return run
-
-
 def _best_pivots(rows: DataFrame, tried: DataFrame | None) -> DataFrame:
     """a, b: for each document the pivot it shares most signatures with, among pivots of other components not tried yet. A
     signature's pivot is the smallest document of its smallest component."""
-    pivots = rows.groupBy("sig").agg(F.min(F.struct("component", "doc")).alias("p"), F.max("component").alias("z")).where("p.component < z").select("sig", F.col("p.component").alias("c"), F.col("p.doc").alias("a"))
-    met = rows.join(pivots, "sig").where("component <> c").groupBy("a", F.col("doc").alias("b")).agg(F.count("*").alias("n"))
+    pivots = rows.groupBy("sig").agg(F.min(F.struct("component", "doc")).alias("p"), F.max("component").alias("z"))
+    pivots = pivots.where("p.component < z").select("sig", F.col("p.component").alias("c"), F.col("p.doc").alias("a"))
+    met = rows.join(pivots, "sig").where("component <> c").groupBy("a", F.col("doc").alias("b")).agg(F.sum("weight").alias("n"))
     if tried is not None:
         met = met.join(tried, ["a", "b"], "left_anti")
     best = met.groupBy("b").agg(F.max(F.struct("n", (-F.col("a")).alias("a"))).alias("m"))
     return best.select((-F.col("m.a")).alias("a"), "b")
 
 
+def parities(s: np.ndarray) -> np.ndarray:
+    """Parity of a set's shingles in each of at least four times as many bins, a power of two."""
+    bins = max(64, 1 << (4 * len(s) - 1).bit_length())
+    return np.packbits((np.bincount((s & np.uint64(bins - 1)).astype(np.int64), minlength=bins) & 1).astype(np.uint8), bitorder="little")
+
+
+def folded(bits: np.ndarray, size: int) -> np.ndarray:
+    """The parities of fewer bins: upper halves laid over lower ones."""
+    while len(bits) > size:
+        bits = bits[: len(bits) // 2] ^ bits[len(bits) // 2 :]
+    return bits
+
+
+def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part, sets in _chunks(batches):
+        yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([parities(s).tobytes() for s in sets], pa.binary())], names=["doc", "n", "bits"])
+
+
+def _close_pairs(percent: int):
+    """Pairs of different components, one of each block, whose sizes and parities allow a link."""
+
+    def run(group: pa.Table) -> pa.Table:
+        doc, comp, n, side = (group.column(c).to_numpy() for c in ("doc", "component", "n", "side"))
+        bits = [np.frombuffer(x, np.uint8) for x in group.column("bits").to_pylist()]
+        left, out = np.flatnonzero(side & 1), [np.zeros((0, 2), np.int64)]
+        right = np.flatnonzero(side & 2)
+        right = right[np.argsort([len(bits[j]) for j in right], kind="stable")]
+        by_size = {}  # right documents by length of their parities, as one matrix each
+        for size in {len(bits[j]) for j in right}:
+            at = np.array([j for j in right if len(bits[j]) == size])
+            by_size[size] = at, np.stack([bits[j] for j in at])
+        for i in left:
+            for size, (at, matrix) in by_size.items():
+                fits = (comp[at] != comp[i]) & (100 * np.minimum(n[i], n[at]) >= percent * np.maximum(n[i], n[at]))
+                if not fits.any():
+                    continue
+                least = min(size, len(bits[i]))
+                other = matrix[fits]
+                while other.shape[1] > least:
+                    other = other[:, : other.shape[1] // 2] ^ other[:, other.shape[1] // 2 :]
+                apart = np.bitwise_count(other.view(np.uint64) ^ folded(bits[i], least).view(np.uint64)).sum(axis=1, dtype=np.int64)
+                near = at[fits][(100 + percent) * apart <= (100 - percent) * (n[i] + n[at[fits]])]
+                out.append(np.column_stack([np.minimum(doc[i], doc[near]), np.maximum(doc[i], doc[near])]))
+        ab = np.unique(np.concatenate(out), axis=0)
+        return pa.table({"a": pa.array(ab[:, 0], pa.int64()), "b": pa.array(ab[:, 1], pa.int64())})
+
+    return run
+
+
+def _same_once(shared: DataFrame) -> DataFrame:
+    """sig, doc, weight: of signatures that name the same documents one, with their number."""
+    groups = shared.groupBy("sig").agg(F.count("*").alias("n"), F.min("doc").alias("low"), F.bit_xor(F.xxhash64("doc")).alias("h"), F.max("doc").alias("high"))
+    once = groups.groupBy("n", "low", "high", "h").agg(F.min("sig").alias("sig"), F.count("*").alias("weight"))
+    return shared.join(once.select("sig", "weight"), "sig")
+
+
+def _cross_pairs(labelled: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """a, b: pairs of documents of different components that share a signature and may be linked. The documents of a
+    signature are dealt into blocks, and each two blocks meet in a group of their own."""
+    mixed = labelled.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("m")).where("x < y")
+    mixed = saved(mixed.select("sig", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "mixed")
+    rows = saved(labelled.join(mixed, "sig").select("sig", "doc", "component", "blocks"), "mixed-rows")
+    asked = rows.select(F.col("doc").alias("doc_id")).distinct()
+    sketches = saved(texts.join(asked, "doc_id", "left_semi").mapInArrow(_sketch, "doc long, n long, bits binary"), "sketches")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc"), "blocks").cast("int"))
+    # a document stands on the left of the pairs of its block with later ones, on the right with earlier ones, on both with its own
+    rows = rows.withColumn("meet", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("sig", "doc", "component", F.least("block", "meet").alias("i"), F.greatest("block", "meet").alias("j"), F.when(F.col("meet") == F.col("block"), 3).when(F.col("meet") > F.col("block"), 1).otherwise(2).alias("side"))
+    met = rows.join(sketches, "doc").groupBy("sig", "i", "j").applyInArrow(_close_pairs(percent), "a long, b long")
+    return met.distinct()
+
+
 def ngram_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id per row of docs."""
-    docs = docs.select("doc_id", "text").where("doc_id is not null")
-    dealt = docs.mapInArrow(_emit(percent), _OUT).repartition(F.when(F.col("sig").isNotNull() & ~F.col("local"), F.col("sig")).otherwise(F.xxhash64("doc")))
-    found = saved(dealt.mapInArrow(_keep_shared, _OUT), "signatures")
-    sets = found.where("n is not null")
-    firsts = sets.where("n > 0").groupBy("h1", "h2").agg(F.min("doc").alias("rep"))
-    sets = saved(sets.join(firsts, ["h1", "h2"], "left").select("doc", "n", "bits", F.coalesce("rep", "doc").alias("rep")), "sets")
-    reps = sets.where("doc = rep and n > 0").select("doc", "n", "bits").dropDuplicates(["doc"])
-    shared = saved(found.where("sig is not null").select("sig", "doc").join(reps.select("doc"), "doc", "left_semi").distinct(), "shared")
-    texts = saved(docs.join(shared.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi").distinct(), "texts")
-
+    docs = docs.select("doc_id", F.xxhash64("text").alias("text_id"), "text")
+    sets = saved(docs.mapInArrow(_set_hashes, "doc long, text_id long, n long, h1 long, h2 long"), "sets")
+    known = sets.where("doc is not null and n > 0")
+    reps = known.groupBy("h1", "h2").agg(F.min("doc").alias("rep"))
+    sets = saved(sets.join(reps, ["h1", "h2"], "left").select("doc", "text_id", "n", F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("doc")).alias("rep")).withColumn("rep", F.when(F.col("doc").isNotNull(), F.col("rep"))), "sets")
+    copies = sets.where("doc <> rep").select(F.col("doc").alias("doc_id"), "text_id")
+    docs = docs.where("doc_id is not null").join(copies, ["doc_id", "text_id"], "left_anti").select("doc_id", "text")
+
+    total = sets.agg(F.sum("n")).first()[0] or 0
+    dealt = docs.mapInArrow(_deal(percent, 1 + total // BUCKET_SIGS), _DEALT)
+    shared = saved(dealt.groupBy("bucket").applyInArrow(_keep_shared, "sig long, doc long"), "shared")
+    shared = saved(_same_once(shared), "shared-once")
+    texts = saved(docs.join(shared.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi"), "texts")
+
+    # rows of one document with different sets are one document
+    links = sets.where("rep is not null").groupBy("doc").agg(F.min("rep").alias("x"), F.max("rep").alias("y")).where("x < y").select("doc")
+    links = sets.join(links, "doc").select(F.col("rep").alias("a"), F.col("doc").alias("b"))
     # each document against the pivot it shares most signatures with, while that joins components
-    links = sets.where("doc <> rep").select(F.col("rep").alias("a"), F.col("doc").alias("b"))
     labelled, tried = shared.withColumn("component", F.col("doc")), None
     for _ in range(PIVOT_ROUNDS):
         best = saved(_best_pivots(labelled, tried), "pivots")
@@ -265,25 +360,33 @@ def ngram_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         new = saved(_verified(best, texts, percent), "new-links")
         links = links.union(new)
         label = components(links)
-        labelled = shared.join(label, shared.doc == label.node, "left").select("sig", "doc", F.coalesce("component", "doc").alias("component"))
+        labelled = shared.join(label, shared.doc == label.node, "left").select("sig", "doc", "weight", F.coalesce("component", "doc").alias("component"))
         labelled = saved(labelled, "labelled")
         if new.isEmpty():
             break
 
     # then what still lies in different components
-    mixed = labelled.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("sig")
-    rows = labelled.join(mixed, "sig").join(reps, "doc").repartition("sig").sortWithinPartitions("sig")
-    cross = saved(rows.select("sig", "doc", "component", "n", "bits").mapInArrow(_cross_pairs(percent), "a long, b long").distinct(), "cross")
+    cross = saved(_cross_pairs(labelled, texts, percent), "cross")
     more = _verified(cross, texts, percent)
     top = components(saved(label.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more), "links"))
-    result = sets.join(top, sets.doc == top.node, "left")
-    return result.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component_id"))
+    result = sets.join(top, sets.rep == top.node, "left")
+    return result.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
 
 
 def drop_near_copies(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """docs without all but the smallest doc_id of each component; rows whose doc_id is null stay."""
-    gone = ngram_components(docs, percent).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """docs without all but the smallest doc_id of each component. Of rows that repeat a doc_id the one with the smallest
+    text stays; rows whose doc_id is null stay."""
+    found = saved(ngram_components(docs, percent).where("doc_id is not null").select("doc_id", "component_id"), "components")
+    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
+    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    repeated = found.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if repeated.isEmpty():
+        return kept
+    repeated = saved(repeated, "repeated")
+    ordinal = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_first()))
+    rank = next(c for c in (f"rank_{k}" for k in range(len(docs.columns) + 1)) if c not in docs.columns)
+    firsts = kept.join(repeated, "doc_id", "left_semi").select(*docs.columns, ordinal.alias(rank)).where(F.col(rank) == 1).select(docs.columns)
+    return kept.join(repeated, "doc_id", "left_anti").select(docs.columns).unionByName(firsts)
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,18 +1,21 @@
 """Toxicity scoring with a weighted finite-state pattern grammar.
 
-Words are mapped to symbols: insult, threat, target, negation, reported speech, other. Three small transducers
-read the symbols of a clause and write marks - negated within three words, under a verb of reporting, aimed at
-someone - and are composed into one. A clause with an insult or a threat thus matches one of the grammar's
-patterns; a document's score is a logistic function of how often it matches each pattern.
+Words are mapped to symbols: insult, threat, target, negation, reported speech, intent, other. Five small transducers
+read the symbols of a clause from its start and write marks for each word: an insult (INSULT), a threat, bare or with an
+intent before it (THREAT), within reach of a negation (NEGATION), under a verb of reporting (REPORTED), after a target
+(TARGET). They are composed into one machine; a target that follows a match is read from the machine's state at the end
+of the clause. Each path through a clause that ends in an insult or a threat has a weight, fitted on labelled rows; a
+document's score is a logistic function of the weights of its clauses' paths. Clauses are read whole, in one pass, however long.
 
 The insults are learned as word stems from labelled rows by greedy cover: the stem that explains most toxic rows
 not explained yet and next to no clean ones comes first, so words that merely stand beside insults, or in copies
-of one toxic text, are not taken. The pattern weights are fitted on the same rows, leaning on fixed defaults.
+of one toxic text, are not taken. The weights are fitted on the same rows, leaning on fixed defaults.
 Fitting uses at most MAX_ROWS labelled rows, drawn by a hash of doc_id; every document is scored.
 
 Defined results: null and empty texts match nothing and get the score of a document without matches; a doc_id with
-several labels counts each; labels other than 0 and 1 are ignored; without labelled rows the seed words and default
-weights hold; every row gives one row; extra columns are ignored.
+several labels counts each; of rows that repeat a doc_id the largest text is learned from; labels other than 0 and 1
+are ignored; without labelled rows the seed words and default weights hold; every row gives one row; a column named
+toxicity or n_matches is replaced by score_toxicity and kept by drop_toxic; other extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,18 +42,20 @@ THREATS = "kill murder strangle töten umbringen tuer égorger matar matarte".sp
 TARGETS = "you your yours you're he she they them his her their du dich dein ihr euch sie tu toi ton vous votre il elle ils tú usted ustedes te él ella ellos".split()
 NEGATIONS = "not no never isn't aren't don't nicht kein keine nie pas jamais ne sin nunca jamás".split()
 REPORTS = "said says wrote called reported claimed quoted according sagte schrieb nannte laut dit écrit selon appelé dijo escribió llamó según".split()
+INTENTS = "will 'll i'll we'll gonna going want should must let's werde werden will soll vais va vas allons voy vamos quiero debe".split()
 WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
-CLAUSE_END = re.compile(r"[.!?;:\n\r]")
+CLAUSE_ENDS = ".!?;:\n\r"
+CLAUSE_END = re.compile(f"[{CLAUSE_ENDS}]")
 STEM_SIZES = range(3, 9)
 #: A mark lasts so many words after a negation.
 REACH = 3
-#: A clause is read this far to either side of a match.
-CLAUSE_CHARS = 400
 
 # a transducer: start state, and step(state, symbol) -> (state, mark written for this word)
+INSULT = (0, lambda s, x: (0, int(x == "I")))
+THREAT = (0, lambda s, x: (REACH, 0) if x == "W" else (max(0, s - 1), 0 if x != "H" else 2 if s > 0 else 1))
 NEGATION = (0, lambda s, x: (REACH, 0) if x == "N" else (max(0, s - 1), int(s > 0)))
 REPORTED = (0, lambda s, x: (1, 0) if x == "R" else (s, s))
-AIMED = (0, lambda s, x: (1, 1) if x == "T" else (s, s))
+TARGET = (0, lambda s, x: (1, 1) if x == "T" else (s, s))
 
 
 def compose(*machines) -> tuple[dict, tuple]:
@@ -59,7 +64,7 @@ def compose(*machines) -> tuple[dict, tuple]:
     steps, todo = {}, [start]
     while todo:
         now = todo.pop()
-        for symbol in "ITHNRO":
+        for symbol in "ITHNRWO":
             if (now, symbol) not in steps:
                 moved = [m[1](s, symbol) for m, s in zip(machines, now, strict=True)]
                 steps[now, symbol] = tuple(s for s, _ in moved), tuple(o for _, o in moved)
@@ -67,10 +72,11 @@ def compose(*machines) -> tuple[dict, tuple]:
     return steps, start
 
 
-GRAMMAR, START = compose(NEGATION, REPORTED, AIMED)
-#: Patterns: insult or threat, negated, reported, aimed at someone; with the default weight of each.
-PATTERNS = list(product("IH", (0, 1), (0, 1), (0, 1)))
-BIAS, DEFAULTS = -4.0, [(6.0 if k == "I" else 4.5) - 2.0 * neg - 1.5 * rep + 0.5 * aim for k, neg, rep, aim in PATTERNS]
+GRAMMAR, START = compose(INSULT, THREAT, NEGATION, REPORTED, TARGET)
+#: Paths: what is matched (insult, threat, intended threat), negated, reported, target (none, before, after); and the
+#: default weight of each.
+PATTERNS = list(product("IHW", (0, 1), (0, 1), (0, 1, 2)))
+BIAS, DEFAULTS = -4.0, [{"I": 6.0, "H": 4.0, "W": 4.5}[k] - 2.0 * neg - 1.5 * rep + 0.5 * (aim > 0) for k, neg, rep, aim in PATTERNS]
 _INDEX = {p: i for i, p in enumerate(PATTERNS)}
 
 
@@ -88,42 +94,53 @@ class Matcher:
         for s in self.kind:
             self.machine.add_word(s.rstrip("$"), s.rstrip("$"))
         self.machine.make_automaton()
-        small = {w: s for s, ws in (("T", TARGETS), ("N", NEGATIONS), ("R", REPORTS)) for w in ws}
-        self.symbols = small
+        self.symbols = {w: s for s, ws in (("W", INTENTS), ("T", TARGETS), ("N", NEGATIONS), ("R", REPORTS)) for w in ws}
 
     def symbol(self, word: str) -> str:
         if (k := self.kind.get(word + "$")) or (k := next((self.kind[word[:n]] for n in STEM_SIZES if word[:n] in self.kind and len(word) >= n), None)):
             return k
         return self.symbols.get(word) or self.symbols.get(word.replace("’", "'"), "O")
 
+    def clause(self, words: list[str], found: list[int]) -> None:
+        """Runs the composed machine over a clause and counts its paths."""
+        state, waiting = START, []
+        for w in words:
+            state, (insult, threat, neg, rep, aim) = GRAMMAR[state, self.symbol(w)]
+            if insult or threat:
+                kind = "I" if insult else "HW"[threat - 1]
+                if aim:
+                    found[_INDEX[kind, neg, rep, 1]] += 1
+                else:
+                    waiting.append((kind, neg, rep))
+        aimed = 2 * state[-1]  # the state of TARGET: one came after the matches that wait
+        for kind, neg, rep in waiting:
+            found[_INDEX[kind, neg, rep, aimed]] += 1
+
     def counts(self, text: str) -> list[int]:
-        """How often each pattern matches."""
-        found, text, done = [0] * len(PATTERNS), text.lower(), -1
+        """How often each path is taken."""
+        found, text, read = [0] * len(PATTERNS), text.lower(), 0
         for end, s in self.machine.iter(text):
             start = end - len(s) + 1
-            if start <= done or start and text[start - 1].isalpha():
+            if start < read or start and text[start - 1].isalpha():
                 continue
-            left = max((m.end() for m in CLAUSE_END.finditer(text, max(0, start - CLAUSE_CHARS), start)), default=max(0, start - CLAUSE_CHARS))
-            right = m.start() if (m := CLAUSE_END.search(text, end, end + CLAUSE_CHARS)) else min(len(text), end + CLAUSE_CHARS)
-            left = max(left, done + 1)
-            while left < start and text[left - 1 : left].isalpha() and text[left].isalpha():
-                left += 1
-            while right < len(text) and text[right].isalpha():
-                right += 1
-            words = [self.symbol(w) for w in WORD.findall(text[left:right])]
-            done = max(right - 1, end)
-            aimed, state = int("T" in words), START
-            for x in words:
-                state, (neg, rep, _) = GRAMMAR[state, x]
-                if x in "IH":
-                    found[_INDEX[x, neg, rep, aimed]] += 1
+            # the clause around the match; clauses up to `read` are done
+            left = read
+            for k in range(start - 1, read - 1, -1):
+                if text[k] in CLAUSE_ENDS:
+                    left = k + 1
+                    break
+            m = CLAUSE_END.search(text, end + 1)
+            read = m.end() if m else len(text)
+            self.clause(WORD.findall(text, left, read), found)
         return found
 
 
 def _labelled(docs: DataFrame, labels: DataFrame, max_rows: int) -> DataFrame:
-    rows = labels.where("toxic in (0, 1) and doc_id is not null").select("doc_id", "toxic").orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(max_rows)
-    # max_rows ids of 8 bytes: small enough to send to every executor
-    return saved(docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id").select(F.coalesce("text", F.lit("")).alias("text"), F.col("toxic").cast("int").alias("toxic")), "labelled")
+    rows = labels.where("toxic in (0, 1) and doc_id is not null").select("doc_id", "toxic").distinct()
+    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(max_rows)
+    # max_rows ids of 8 bytes: small enough to send to every executor; and one text for each of them
+    found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(rows), "doc_id")
+    return saved(found.groupBy("doc_id", "toxic").agg(F.max("text").alias("text")).select("text", F.col("toxic").cast("int").alias("toxic")), "labelled")
 
 
 def learn_stems(rows: DataFrame, cover: int = 3) -> list[str]:
@@ -220,15 +237,19 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> tuple
     return lexicon, fit(counts, np.array([r["toxic"] for r in got for _ in range(r["count"])], float))
 
 
+def _scores(matcher: Matcher, batch: pa.RecordBatch, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    counts = np.array([matcher.counts(t or "") for t in batch.column("text").to_pylist()], float).reshape(-1, len(PATTERNS))
+    return 1 / (1 + np.exp(-(weights[0] + _strength(counts) @ weights[1:]))), counts.sum(axis=1).astype(np.int64)
+
+
 def score_toxicity(docs: DataFrame, lexicon: list[str], weights: np.ndarray) -> DataFrame:
     """docs with toxicity (0 to 1) and n_matches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(lexicon)
         for batch in batches:
-            counts = np.array([matcher.counts(t or "") for t in batch.column("text").to_pylist()], float).reshape(-1, len(PATTERNS))
-            score = 1 / (1 + np.exp(-(weights[0] + _strength(counts) @ weights[1:])))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score), pa.array(counts.sum(axis=1).astype(np.int64))], names=[*batch.schema.names, "toxicity", "n_matches"])
+            score, n = _scores(matcher, batch, weights)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score), pa.array(n)], names=[*batch.schema.names, "toxicity", "n_matches"])
 
     docs = docs.drop("toxicity", "n_matches")
     return docs.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", toxicity double, n_matches long")
@@ -244,7 +265,14 @@ def trained_on(spark: SparkSession, sf_dir: str) -> tuple[list[str], np.ndarray]
 
 
 def drop_toxic(docs: DataFrame, lexicon: list[str], weights: np.ndarray, threshold: float = 0.7) -> DataFrame:
-    return score_toxicity(docs, lexicon, weights).where(F.col("toxicity") < threshold).select(docs.columns)
+    """The rows of docs, with their own columns only, whose text scores below threshold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = Matcher(lexicon)
+        for batch in batches:
+            yield batch.filter(pa.array(_scores(matcher, batch, weights)[0] < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,18 +1,25 @@
 """Secret scanning: fixed patterns, and character Markov models compared by log-likelihood ratio.
 
 Two order-1 character models are trained in Spark over all documents: one of random strings, from the values
-that the fixed patterns find (the labelled positives), one of ordinary identifiers, from every other token.
-A token that no pattern covers is a secret too where it mixes letters and digits and its log-likelihood ratio
-per character reaches a threshold; a token with hyphens is judged without them, else by its long pieces. The counts are two fixed tables of 67 x 67 cells, whatever the input.
+that the fixed patterns find (the labelled positives), one of ordinary identifiers, from the other tokens of
+TOKEN_CHARS or more characters (the labelled negatives). A token that no pattern covers is a secret too where it mixes
+at least two of lower case, upper case and digits and its log-likelihood ratio per character reaches a threshold; a token
+with hyphens is judged without them, else by its long pieces. The threshold is fitted: it stands as many standard
+deviations above the mean of the ordinary samples as below that of the random ones, at 0 at least. The counts are two fixed tables of
+67 x 67 cells, whatever the input.
 
 Defined results: null text is empty and has no spans; positions are code points, ends exclusive; every row gives
-one row, repeated ones too; with no labelled positives the random model is uniform; extra columns are ignored.
+one row, repeated ones too; with no labelled positives the random model is uniform; a column named secrets is replaced
+by scan_secrets; other extra columns are ignored, or kept by mask_secrets.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -28,11 +35,14 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
 KINDS = ("assign", "access", "hex", "markov")
 ALPHABET = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_="
-#: A candidate of the models: long enough to judge, with letters and digits; hyphens may join its pieces, as in keys behind
+#: Shortest token that the model of ordinary identifiers learns from.
+TOKEN_CHARS = 8
+TOKEN = re.compile(rf"[A-Za-z0-9+/_=-]{{{TOKEN_CHARS},}}")
+#: A candidate of the models: long enough to judge; hyphens may join its pieces, as in keys behind
 #: a prefix and in base64url. Dots part candidates, as in a JWT.
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 PIECE = re.compile(r"[A-Za-z0-9+/_=]{20,}")
-_DIGIT, _LETTER = re.compile("[0-9]"), re.compile("[A-Za-z]")
+_CLASSES = tuple(re.compile(c) for c in ("[0-9]", "[a-z]", "[A-Z]"))
 SIZE = len(ALPHABET) + 1
 _CODE = np.full(256, SIZE - 1, np.int64)
 _CODE[np.frombuffer(ALPHABET, np.uint8)] = np.arange(SIZE - 1)
@@ -57,18 +67,34 @@ def _pairs(data: bytes) -> np.ndarray:
     return np.bincount(code[:-1] * SIZE + code[1:], minlength=SIZE * SIZE)
 
 
+def ordinary_tokens(text: str, found: list[tuple[int, int, str]]) -> list[str]:
+    """Tokens of TOKEN_CHARS or more characters that touch no span of a fixed pattern."""
+    if not found:
+        return TOKEN.findall(text)
+    out, ends = [], iter([*found, (len(text), len(text), "")])
+    at = 0
+    for a, b, _ in ends:
+        if a > at:
+            out += TOKEN.findall(text, at, a)
+        at = max(at, b)
+    return out
+
+
 def pair_counts(docs: DataFrame) -> DataFrame:
-    """label (1: value of a fixed pattern, 0: any other text), pair, n over all documents."""
+    """label (1: value of a fixed pattern, 0: any other token), pair, n over all documents."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, secret = np.zeros(SIZE * SIZE, np.int64), np.zeros(SIZE * SIZE, np.int64)
+        totals = np.zeros((2, SIZE * SIZE), np.int64)
         for batch in batches:
             for part in sliced(batch):
-                texts = [t or "" for t in part.column("text").to_pylist()]
-                total += _pairs(" ".join(["", *texts, ""]).encode())
-                values = [v for t in texts for v in _values(t, base_spans(t))]
-                secret += _pairs(" ".join(["", *values, ""]).encode())
-        for label, n in ((1, secret), (0, np.maximum(total - secret, 0))):
+                values, tokens = [], []
+                for text in part.column("text").to_pylist():
+                    found = base_spans(text or "")
+                    values += _values(text, found) if found else ()
+                    tokens += ordinary_tokens(text or "", found)
+                totals[1] += _pairs(" ".join(["", *values, ""]).encode())
+                totals[0] += _pairs(" ".join(["", *tokens, ""]).encode())
+        for label, n in enumerate(totals):
             used = np.flatnonzero(n)
             yield pa.RecordBatch.from_pydict({"label": pa.array(np.full(len(used), label, np.int32)), "pair": pa.array(used.astype(np.int32)), "n": pa.array(n[used])})
 
@@ -76,11 +102,15 @@ def pair_counts(docs: DataFrame) -> DataFrame:
     return counted.groupBy("label", "pair").agg(F.sum("n").alias("n"))
 
 
-def ratio_table(docs: DataFrame) -> np.ndarray:
-    """log P(next | this, random) - log P(next | this, ordinary) for each pair of characters."""
-    n = np.zeros((2, SIZE, SIZE))
-    for r in pair_counts(docs).collect():  # at most 2 * 67 * 67 rows
-        n[r.label].flat[r.pair] = r.n
+class Models(NamedTuple):
+    """log P(next | this, random) - log P(next | this, ordinary) for each pair of characters, and the fitted threshold."""
+
+    ratio: np.ndarray
+    threshold: float
+
+
+def fit_models(n: np.ndarray) -> Models:
+    """From the counts of pairs of characters, ordinary and random."""
     p = []
     for label, k in ((0, 0.002 * n[0].sum() + 1), (1, 200.0)):
         # rare rows lean on single characters, those on a uniform model: random strings among the ordinary text
@@ -88,23 +118,38 @@ def ratio_table(docs: DataFrame) -> np.ndarray:
         single = n[label].sum(axis=0)
         single = 0.95 * (single + 1) / (single + 1).sum() + 0.05 / SIZE
         p.append(np.log((n[label] + k * single) / (n[label].sum(axis=1, keepdims=True) + k)))
-    return p[1] - p[0]
+    ratio, inner = p[1] - p[0], np.s_[: SIZE - 1, : SIZE - 1]  # pairs inside a token
+    mean, spread = [], []
+    for label in (0, 1):
+        weight = n[label][inner] + np.exp(p[label][inner]) / SIZE
+        mean.append(float((weight * ratio[inner]).sum() / weight.sum()))
+        spread.append(float(((weight * (ratio[inner] - mean[-1]) ** 2).sum() / weight.sum()) ** 0.5))
+    return Models(ratio, max(0.0, mean[0] + (mean[1] - mean[0]) * spread[0] / max(sum(spread), 1e-9)))
 
 
-def find_secrets(text: str, ratio: np.ndarray, threshold: float = 1.0) -> list[tuple[int, int, str, float | None]]:
+def train(docs: DataFrame) -> Models:
+    n = np.zeros((2, SIZE, SIZE))
+    for r in pair_counts(docs).collect():  # at most 2 * 67 * 67 rows
+        n[r.label].flat[r.pair] = r.n
+    return fit_models(n)
+
+
+def find_secrets(text: str, models: Models) -> list[tuple[int, int, str, float | None]]:
     """(start, end, kind, log-likelihood ratio per character), base spans first where starts are equal."""
-    found = [(a, b, kind, None) for a, b, kind in base_spans(text)]
-    taken = [(a, b) for a, b, _, _ in found]
+    base = base_spans(text)
+    found: list[tuple[int, int, str, float | None]] = [(a, b, kind, None) for a, b, kind in base]
+    starts, reach = [a for a, _, _ in base], list(accumulate((b for _, b, _ in base), max))
 
     def judge(a: int, b: int) -> bool:
         token = text[a:b].replace("-", "")
-        if len(token) < 20 or not (_DIGIT.search(token) and _LETTER.search(token)) or any(x < b and a < y for x, y in taken):
+        k = bisect_left(starts, b)  # base spans that start before b; one of them may reach into the token
+        if len(token) < 20 or sum(bool(c.search(token)) for c in _CLASSES) < 2 or k and reach[k - 1] > a:
             return False
         code = _CODE[np.frombuffer(token.encode(), np.uint8)]
-        score = float(ratio[code[:-1], code[1:]].mean())
-        if score >= threshold:
+        score = float(models.ratio[code[:-1], code[1:]].mean())
+        if score >= models.threshold:
             found.append((a, b, "markov", score))
-        return score >= threshold
+        return score >= models.threshold
 
     for m in CANDIDATE.finditer(text):
         a, b = m.span()
@@ -123,42 +168,46 @@ def find_secrets(text: str, ratio: np.ndarray, threshold: float = 1.0) -> list[t
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
-def scan_secrets(docs: DataFrame, threshold: float = 1.0) -> DataFrame:
-    """The rows of docs with secrets: an array of (kind, start, end, score)."""
-    ratio = ratio_table(docs)
+def scan_secrets(docs: DataFrame, models: Models | None = None) -> DataFrame:
+    """The rows of docs with secrets: an array of (kind, start, end, score). models: from train(); of docs if not given."""
+    models = models or train(docs)
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [[{"kind": k, "start": a, "end": b, "score": s} for a, b, k, s in find_secrets(t or "", ratio, threshold)] for t in batch.column("text").to_pylist()]
+            found = [[{"kind": k, "start": a, "end": b, "score": s} for a, b, k, s in find_secrets(t or "", models)] for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, kind)], names=[*batch.schema.names, "secrets"])
 
     docs = docs.drop("secrets")
     return docs.mapInArrow(scan, T.StructType([*docs.schema.fields, T.StructField("secrets", SPANS)]))
 
 
-def mask_secrets(docs: DataFrame, threshold: float = 1.0, mask: str = "[secret]") -> DataFrame:
+def mask_secrets(docs: DataFrame, models: Models | None = None, mask: str = "[secret]") -> DataFrame:
     """The rows of docs with every secret in text replaced, overlapping ones as one; n_chars, if there, follows."""
-    ratio = ratio_table(docs)
+    models = models or train(docs)
 
     def cut(text: str | None) -> str | None:
         out, at = [], 0
-        for a, b, _, _ in find_secrets(text or "", ratio, threshold):
+        for a, b, _, _ in find_secrets(text or "", models):
             if a >= at:
                 out += [text[at:a], mask]
             at = max(at, b)
         return "".join([*out, text[at:]]) if out else text
 
+    follows = "n_chars" in docs.columns and docs.schema["n_chars"].dataType in (T.LongType(), T.IntegerType())
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = pa.array([cut(t) for t in batch.column("text").to_pylist()], pa.string())
-            yield batch.set_column(batch.schema.get_field_index("text"), "text", texts)
+            old = batch.column("text").to_pylist()
+            new = [cut(t) for t in old]
+            batch = batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(new, pa.string()))
+            if follows:
+                at = batch.schema.get_field_index("n_chars")
+                n = [k if a == b else len(b) for a, b, k in zip(old, new, batch.column(at).to_pylist(), strict=True)]
+                batch = batch.set_column(at, "n_chars", pa.array(n, batch.schema.field(at).type))
+            yield batch
 
-    masked = docs.mapInArrow(run, docs.schema)
-    if "n_chars" in docs.columns:
-        changed = F.char_length("text").cast(docs.schema["n_chars"].dataType)
-        masked = masked.withColumn("n_chars", F.when(F.col("text").contains(mask), changed).otherwise(F.col("n_chars")))
-    return masked
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -167,4 +216,4 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
     base = F.filter("secrets", lambda x: x["kind"] != "markov")
     n = lambda kind: F.size(F.filter("secrets", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return s.select("doc_id", n("assign"), n("access"), n("hex"), n("markov"), F.sha2(line(base).cast("binary"), 256).alias("base_sha256"), line(F.col("secrets")).alias("spans"))
+    return s.select("doc_id", n("assign"), n("access"), n("hex"), F.sha2(line(base).cast("binary"), 256).alias("base_sha256"), line(F.col("secrets")).alias("spans"), n("markov"))

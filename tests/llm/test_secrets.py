@@ -4,7 +4,7 @@ import re
 import string
 
 from chronoframe.llm.entries import QUERIES
-from chronoframe.llm.secrets import base_spans, find_secrets, mask_secrets, ratio_table, scan_secrets
+from chronoframe.llm.secrets import base_spans, find_secrets, mask_secrets, scan_secrets, train
 
 
 def naive(text):
@@ -67,7 +67,7 @@ def test_keys_with_hyphens_and_dots(spark):
     for i, s in enumerate(secrets):
         assert not any(p in got[1000 + i] for p in re.split(r"[.-]", s) if len(p) > 4), (s, got[1000 + i])
         assert got[1000 + i].count(plain.strip()) == 2
-    ratio = ratio_table(df)
+    ratio = train(df)
     slug = "the-other-thing-of-the-night-of-an-erlich-ing-and-the-other-night-2024-"
     long = key(38)
     found = find_secrets(f"{slug * 3}{long}", ratio)
@@ -77,7 +77,7 @@ def test_keys_with_hyphens_and_dots(spark):
 
 def test_no_labelled_values(spark):
     df = spark.createDataFrame([(1, "only plain words here")], "doc_id long, text string")
-    assert find_secrets("only plain words here", ratio_table(df)) == []
+    assert find_secrets("only plain words here", train(df)) == []
     assert scan_secrets(df.limit(0)).collect() == []
 
 

@@ -1,7 +1,8 @@
 """Main text of web pages by maximum-scoring subsequence.
 
 A page is read as a sequence of blocks and tags. The words of a block score positive where labelled pages have
-main text in such a place and negative where they have none; each block-level tag costs a little. One linear
+main text in such a place and negative where they have none; each block-level tag scores negative, by how much denser
+tags stand outside of their main text than inside. One linear
 scan finds the contiguous region with the best sum; blocks left out wherever they stand (asides, forms, adverts,
 reader comments) cost a fixed little, as they are not part of its text. Where a class, id or role marks them so, the
 mark is a weight, not a verdict: an element that holds the main element of a page (main, article, articleBody) is not
@@ -28,8 +29,10 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*(?:"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)""", re.S)
-_ATTR = re.compile(r"""(class|id|role|itemprop|hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+#: A quote opens a value only after an equals sign; elsewhere, as in an unquoted value, it is a character like others.
+_VALUE = r"""=\s*(?:"[^"]*(?:"|\Z)|'[^']*(?:'|\Z)|[^\s>"'][^\s>]*)?"""
+_TAG = re.compile(rf"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>=]|{_VALUE})*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)""", re.S)
+_ATTR = re.compile(r"""([^\s=>/"'][^\s=>/]*)(?:\s*=\s*(?:"([^"]*)"?|'([^']*)'?|([^\s>]+)))?""")
 #: Names that mark a place as left out, and those that may stand beside them in one name (comment-list, sidebar__inner).
 #: A name is a whole class, id or role token; has-sidebar or content-with-comments is none of these.
 _NAMES = (
@@ -45,10 +48,13 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 LEFT_OUT = frozenset("nav aside footer form button menu dialog search fieldset".split())
 MAIN = frozenset("article main".split())
 CLOSES_ITSELF = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-_TOP = ("body", "body", False, False, -1, -1)
+_TOP = ("body", "body", False, False, -1, -1, "")
+_HOLDERS = frozenset("nav aside footer header form ul ol table".split())
 _ENDS_P = BLOCK - {"body", "html"}
-#: Scores per word: no kind of place counts more than this, and what one block-level tag costs.
-CAP, TAG_COST = 3.0, 0.25
+_BUTTON_END = re.compile(r"</button\b[^>]*>", re.I)
+#: No kind of place scores more per word than this; the name under which the score of a block-level tag stands, its range
+#: (so that one word in a good place outweighs the tags around it), and its score where no page is labelled.
+CAP, TAG, TAG_LEAST, TAG_MOST, TAG_PLAIN = 3.0, "<tag>", -0.4, -0.05, -0.25
 #: Weight of a word per mark around it, the same beside unmarked main text, how many marks are told apart, and the number that stands for left out.
 MARK_WEIGHT, BESIDE_MAIN, MARKS, OUT = 0.1, 0.02, 3, 9
 
@@ -72,7 +78,8 @@ def _attributes(text: str) -> tuple[str, bool, bool]:
 def blocks(page: str) -> list[tuple[str, str, bool, int, int, int]]:
     """(text, kind of place, in marked main text, marks around it or OUT if left out, the outermost of them, block-level tags before it)."""
     out, parts, at, tags = [], [], 0, 0
-    stack = []  # (tag, kind, in main, left out, innermost mark, innermost mark that no main element stands before)
+    stack = []  # (tag, kind, in main, left out, innermost mark, innermost mark that no main element stands before, innermost holder)
+    open_tags, button_ends = Counter(), True
     marks = []  # the mark around each marked element
     holders, mains = set(), 0  # marked elements that hold a main element; main elements so far
     top = _TOP
@@ -83,7 +90,7 @@ def blocks(page: str) -> list[tuple[str, str, bool, int, int, int]]:
         text = " ".join(htmllib.unescape("".join(parts)).split()) if parts else ""
         parts.clear()
         if text:
-            _, kind, main, left, mark, _ = top
+            _, kind, main, left, mark, *_ = top
             out.append((text, kind + (":a" if 2 * words_linked > len(text) else ""), main, left, mark, tags))
             tags = 0
         words_linked = 0
@@ -122,8 +129,8 @@ def blocks(page: str) -> list[tuple[str, str, bool, int, int, int]]:
             parts.append(" ")
             continue
         if tag == "button" and not closing:
-            end = re.compile(r"</button\b[^>]*>", re.I).search(page, at)
-            at = end.end() if end else at
+            end = _BUTTON_END.search(page, at) if button_ends else None
+            at, button_ends = end.end() if end else at, bool(end)
             continue
         if tag not in BLOCK:
             continue
@@ -132,15 +139,16 @@ def blocks(page: str) -> list[tuple[str, str, bool, int, int, int]]:
         if tag == "hr":
             continue
         if closing:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
+            while open_tags[tag]:
+                gone = stack.pop()[0]
+                open_tags[gone] -= 1
+                if gone == tag:
                     break
         else:
             shut = CLOSES_ITSELF.get(tag, ())
             if stack and (stack[-1][0] in shut or stack[-1][0] == "p" and tag in _ENDS_P):
-                stack.pop()
-            _, _, main, left, mark, early = stack[-1] if stack else _TOP
+                open_tags[stack.pop()[0]] -= 1
+            _, _, main, left, mark, early, holder = stack[-1] if stack else _TOP
             words, marks_main, hidden = _attributes(m[3]) if m[3] else ("", False, False)
             marked = bool(words and tag not in ("html", "body", "main") and not marks_main and _MARKED.search(words))
             main = main or tag in MAIN or marks_main
@@ -155,8 +163,8 @@ def blocks(page: str) -> list[tuple[str, str, bool, int, int, int]]:
                 while held >= 0 and held not in holders:
                     holders.add(held)
                     held = marks[held]
-            holder = next((s[0] for s in reversed(stack) if s[0] in ("nav", "aside", "footer", "header", "form", "ul", "ol", "table")), "")
-            stack.append((tag, f"{holder}>{tag}" + ("!" if left else ""), main, left, mark, early))
+            stack.append((tag, f"{holder}>{tag}" + ("!" if left else ""), main, left, mark, early, tag if tag in _HOLDERS else holder))
+            open_tags[tag] += 1
         top = stack[-1] if stack else _TOP
     flush()
     depth, outer = [0] * (len(marks) + 1), [-1] * (len(marks) + 1)  # the last one, -1, is no mark
@@ -175,8 +183,10 @@ def place_counts(pages: DataFrame) -> DataFrame:
             for page in batch.column("html").to_pylist():
                 found = blocks(page or "")
                 if any(b[2] for b in found):
-                    for text, kind, main, left, _, _ in found:
-                        (inside if main and not left else outside)[kind + ("!" if 0 < left < OUT else "")] += text.count(" ") + 1
+                    for text, kind, main, left, _, tags in found:
+                        side = inside if main and not left else outside
+                        side[kind + ("!" if 0 < left < OUT else "")] += text.count(" ") + 1
+                        side[TAG] += tags
         kinds = list(inside | outside)
         yield pa.RecordBatch.from_pydict({"kind": pa.array(kinds, pa.string()), "n_main": pa.array([inside[k] for k in kinds], pa.int64()), "n_other": pa.array([outside[k] for k in kinds], pa.int64())})
 
@@ -185,8 +195,15 @@ def place_counts(pages: DataFrame) -> DataFrame:
 
 
 def place_weights(pages: DataFrame) -> dict[str, float]:
-    """Score of a word per kind of place: capped log odds. There are a few hundred kinds at most, whatever the input."""
-    return {r.kind: max(-CAP, min(CAP, math.log((r.n_main + 1) / (r.n_other + 1)))) for r in place_counts(pages).collect()}
+    """Score of a word per kind of place and of a block-level tag: capped log odds. There are a few hundred kinds at most,
+    whatever the input."""
+    rows = {r.kind: (r.n_main, r.n_other) for r in place_counts(pages).collect()}
+    tags = rows.pop(TAG, None)
+    weights = {kind: max(-CAP, min(CAP, math.log((a + 1) / (b + 1)))) for kind, (a, b) in rows.items()}
+    if tags:
+        words = [sum(n[k] for n in rows.values()) for k in (0, 1)]
+        weights[TAG] = max(TAG_LEAST, min(TAG_MOST, math.log((tags[0] + 1) * (words[1] + 1) / ((words[0] + 1) * (tags[1] + 1)))))
+    return weights
 
 
 def score_of(kind: str, weights: dict[str, float]) -> float:
@@ -196,9 +213,10 @@ def score_of(kind: str, weights: dict[str, float]) -> float:
 def _region(found: list[tuple[str, str, bool, int, int, int]], weights: dict[str, float], marks: int) -> tuple[float, int, int]:
     """Best sum, and the region that has it, over the blocks with so many marks in one marked element; the others are left out."""
     best, span, now, start, inside = 0.0, (0, 0), 0.0, 0, -1
+    tag_score = weights.get(TAG, TAG_PLAIN)
     for i, (text, kind, _, left, outer, tags) in enumerate(found):
         if now > 0:
-            now -= TAG_COST * (1 if left != marks else tags)
+            now += tag_score * (1 if left != marks else tags)
         if now <= 0 or left == marks and outer != inside:
             now, start = 0.0, i
         if left == marks:

@@ -1,8 +1,9 @@
 import html
+import random
 import re
 
 from chronoframe.llm.entries import QUERIES
-from chronoframe.llm.html_extract import extract_main_text, main_text
+from chronoframe.llm.html_extract import TAG, TAG_LEAST, TAG_MOST, _region, extract_main_text, main_text, place_weights
 
 PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{}</style></head><body class="home menu-open">
 <header class="site-header"><a href="/">Brand</a> slogan of the site</header>
@@ -52,6 +53,37 @@ def test_marks_are_weights():
     assert main_text("<div class='ad'>" * 5000 + TEXT, {}) == TEXT.strip()
 
 
+def test_quotes_open_values_only():
+    for attribute in ("title=it's", "title='it' data-x=5\"", "it's", 'a="x>y"', "a = 'x > y' b", "data-class='sidebar'", "title=\"class='ad'\"", "class=a'b"):
+        assert main_text(f"<article><p {attribute}>{TEXT}</p><p>{TEXT}</p></article>", {}) == "\n".join([TEXT.strip()] * 2), attribute
+    assert main_text(f"<article><section class='related-work'><p>{TEXT}</p></section><p>{TEXT}</p></article>", {}) == "\n".join([TEXT.strip()] * 2)
+
+
+def test_best_region_against_all_regions():
+    """The linear scan against every contiguous region: blocks in one place, no marks."""
+    rng = random.Random(7)
+    for _ in range(300):
+        found = [(" ".join("w" * rng.randint(1, 6)), rng.choice("abc"), False, 0, -1, rng.randint(1, 9)) for _ in range(rng.randint(1, 12))]
+        weights = {k: rng.choice([-2.0, -0.5, 0.3, 1.0]) for k in "abc"} | {TAG: -0.3}
+        worth = [len(b[0].split()) * weights[b[1]] for b in found]
+        total = lambda i, j: sum(worth[i:j]) + weights[TAG] * sum(b[5] for b in found[i + 1 : j])
+        best = max([0.0] + [total(i, j) for i in range(len(found)) for j in range(i + 1, len(found) + 1)])
+        score, i, j = _region(found, weights, 0)
+        assert abs(score - best) < 1e-9 and (best == 0 or abs(total(i, j) - best) < 1e-9)
+
+
+def test_learned_weights(spark):
+    pages = [(i, "u", f"<nav><a href='/'>home</a></nav><div>x</div><div>y</div><article><p>{TEXT}</p></article>") for i in range(30)]
+    weights = place_weights(spark.createDataFrame(pages, "page_id long, url string, html string"))
+    assert weights[">p"] == 3.0 and weights[">div"] < 0 and TAG_LEAST <= weights[TAG] <= TAG_MOST
+    assert place_weights(spark.createDataFrame([], "page_id long, url string, html string")) == {}
+
+
+def test_deep_and_unclosed_pages_take_linear_time():
+    page = "<div>" * 60_000 + "</p>" * 60_000 + "<button>x" * 60_000 + TEXT
+    assert main_text(page, {}).endswith(TEXT.strip())
+
+
 def test_edges(spark):
     rows = [(1, "u", None, "x"), (2, None, "", "x"), (3, "u", "just words", "x"), (3, "u", "just words", "x"), (4, "u", "<p>open <b attr='", "x"), (5, "u", "<!-- never closed <p>x</p>", "x"), (6, "u", "<p>" + "w " * 200_000, "x")]
     got = extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()

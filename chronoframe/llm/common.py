@@ -15,8 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Words are runs of anything but the ASCII white space that bytes.split() splits on.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Words of text handled at once inside a task.
-CHUNK_WORDS = 1 << 17
+#: Bytes of text handled at once inside a task.
+CHUNK_BYTES = 1 << 20
 
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _MUL2 = np.uint64(0xD6E8FEB86659FD93)
@@ -150,17 +150,17 @@ def as_bytes(column: pa.Array) -> list[bytes]:
     return pc.fill_null(column.cast(pa.large_binary()), b"").to_pylist()
 
 
-def word_chunks(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[int, list[list[bytes]]]]:
-    """(index of the first row, words of each row) for runs of rows of about CHUNK_WORDS words."""
-    first, rows, n = 0, [], 0
+def text_chunks(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[int, list[bytes]]]:
+    """(index of the first row, texts) for runs of rows of about CHUNK_BYTES."""
+    first, texts, n = 0, [], 0
     for i, text in enumerate(as_bytes(batch.column(column))):
-        rows.append(text.split())
-        n += len(rows[-1])
-        if n >= CHUNK_WORDS:
-            yield first, rows
-            first, rows, n = i + 1, [], 0
-    if rows:
-        yield first, rows
+        texts.append(text)
+        n += len(text)
+        if n >= CHUNK_BYTES:
+            yield first, texts
+            first, texts, n = i + 1, [], 0
+    if texts:
+        yield first, texts
 
 
 def sliced(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:

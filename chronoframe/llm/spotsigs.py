@@ -1,11 +1,12 @@
 """Document fingerprints: SpotSigs, in DataFrame functions only.
 
 Common words are anchors. The chain of up to three content words that follows an anchor (or the start of the
-text) is a spot; the set of a text's distinct spots, hashed, is its fingerprint. Two fingerprints compare by
+text) is a spot; in a text without any anchor every chain of three words is one. The set of a text's distinct spots,
+hashed, is its fingerprint. Two fingerprints compare by
 Jaccard. In a join, texts are partitioned by set length (texts whose lengths differ by more than the threshold
 allows never meet) and candidates come from the rarest spots of each, then the exact Jaccard decides.
 
-Defined results: null text is empty; a text without any spot has one spot made of the whole text, so every text
+Defined results: null text is empty; a text without any content word has one spot made of the whole text, so every text
 has a fingerprint and equal texts have equal ones; rows are ordered by (doc_id, text) where ids repeat, null
 ids first; the next document of the last is the first, that of a single one is itself; extra columns are
 ignored; an empty table gives none.
@@ -13,6 +14,8 @@ ignored; an empty table gives none.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -29,13 +32,30 @@ CHAIN = 3
 _BITS = 10  # ids of one bucket of the ordering: 2 ** _BITS
 
 
+def _alternatives(words: list[str]) -> str:
+    """A pattern of the words that shares their beginnings, so that a word is looked up letter by letter."""
+    after: dict[str, list[str]] = {}
+    for w in words:
+        after.setdefault(w[:1], []).append(w[1:])
+    ends = "" in after
+    rest = "|".join(c + (_alternatives(after[c]) if after[c] != [""] else "") for c in sorted(after) if c)
+    return f"(?:{rest})" + ("?" if ends else "") if rest else ""
+
+
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with value computed once."""
+    return F.transform(F.array(value), f)[0]
+
+
 def spots(text: Column, anchors: list[str] = ANCHORS, chain: int = CHAIN) -> Column:
     """Sorted distinct hashes of the spots of a text."""
     words = F.concat(F.lit("  "), F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", "  "), F.lit("  "))
-    parts = F.split(words, f" (?:{'|'.join(dict.fromkeys(anchors))}) ")
-    chains = F.filter(F.transform(parts, lambda p: F.substring_index(F.trim(p), "  ", chain)), lambda p: p != "")
-    chains = F.when(F.size(chains) > 0, chains).otherwise(F.array(text))
-    return F.array_sort(F.array_distinct(F.transform(chains, lambda c: F.substring(F.md5(c.cast("binary")), 1, 10))))
+    some = lambda chains: F.filter(chains, lambda p: p != "")
+    after = lambda parts: F.transform(parts, lambda p: F.substring_index(F.trim(p), "  ", chain))
+    every = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (chain - 1), F.lit(1))), lambda i: F.array_join(F.slice(w, i, chain), "  "))
+    chains = _let(F.split(words, f" {_alternatives(list(dict.fromkeys(anchors)))} "), lambda parts: some(F.when(F.size(parts) > 1, after(parts)).otherwise(_let(F.split(F.trim(parts[0]), "  "), every))))
+    chains = _let(chains, lambda c: F.when(F.size(c) > 0, c).otherwise(F.array(text)))
+    return F.sort_array(F.array_distinct(F.transform(chains, lambda c: F.substring(F.md5(c.cast("binary")), 1, 10))))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -44,16 +64,19 @@ def likeness(a: Column, b: Column) -> Column:
     return both / (F.size(a) + F.size(b) - both)
 
 
-def with_next(docs: DataFrame) -> DataFrame:
-    """doc_id, text, next_text: the text of the next document by doc_id, the first after the last. Ids are dealt into
-    buckets of neighbours; only the last row of a bucket looks for the first row of the next non-empty one."""
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("g", F.shiftright(F.coalesce("doc_id", F.lit(-(2**63))), _BITS))
+def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """doc_id, text, the columns, and next_ of text and each column: those of the next document by doc_id, the first after the
+    last. Ids are dealt into buckets of neighbours; only the last row of a bucket looks for the first row of the next
+    non-empty one."""
+    columns = ["text", *columns]
+    docs = docs.select("doc_id", *columns).withColumn("g", F.shiftright(F.coalesce("doc_id", F.lit(-(2**63))), _BITS))
     order = Window.partitionBy("g").orderBy("doc_id", "text")
-    rows = docs.select("*", F.lead("text").over(order).alias("next_text"), F.row_number().over(order).alias("rn"))
-    inner = rows.where("next_text is not null").select("doc_id", "text", "next_text")
-    last = rows.where("next_text is null").select("doc_id", "text", "g")
-    heads = rows.where("rn = 1").select(F.col("g").alias("next_g"), F.col("text").alias("next_text"))
-    return inner.union(last.join(_next_bucket(docs.select("g").distinct()), "g").join(heads, "next_g").select("doc_id", "text", "next_text"))
+    rows = docs.select("*", *(F.lead(c).over(order).alias(f"next_{c}") for c in columns), F.row_number().over(order).alias("rn"))
+    following = [f"next_{c}" for c in columns]
+    inner = rows.where("next_text is not null").select("doc_id", *columns, *following)
+    last = rows.where("next_text is null").select("doc_id", *columns, "g")
+    heads = rows.where("rn = 1").select(F.col("g").alias("next_g"), *(F.col(c).alias(f"next_{c}") for c in columns))
+    return inner.union(last.join(_next_bucket(docs.select("g").distinct()), "g").join(heads, "next_g").select("doc_id", *columns, *following))
 
 
 def _next_bucket(buckets: DataFrame) -> DataFrame:
@@ -91,21 +114,26 @@ def spot_pairs(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
 
 
 def op6_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = with_next(table(spark, sf_dir, "documents"))
+    text = F.coalesce("text", F.lit(""))
+    rows = with_next(table(spark, sf_dir, "documents").select("doc_id", text.alias("text"), spots(text).alias("own")), ["own"])
     n = F.char_length("text")
     m = F.floor(n / 4).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - m), F.substring(F.col("next_text"), F.lit(1), m))
-    rows = rows.select("doc_id", "text", "next_text", n.cast("long").alias("n_chars"), edited.alias("edited"))
-    rows = rows.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), *(spots(F.col(c)).alias(s) for c, s in (("text", "own"), ("edited", "other"), ("next_text", "next"))))
+    rows = rows.select("doc_id", "own", "next_own", n.cast("long").alias("n_chars"), edited.alias("edited"))
+    rows = rows.select("doc_id", "own", "next_own", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), spots(F.col("edited")).alias("other"))
     return rows.select(
         "doc_id", "n_chars", "edited_sha256", fingerprint(F.col("own")).alias("fingerprint"), fingerprint(F.col("other")).alias("edited_fingerprint"),
-        likeness(F.col("own"), F.col("other")).alias("near_edited"), likeness(F.col("own"), F.col("next")).alias("near_next"),
+        likeness(F.col("own"), F.col("other")).alias("near_edited"), likeness(F.col("own"), F.col("next_own")).alias("near_next"),
     )
 
 
 def _sql_spots(text: str) -> str:
     anchors = "|".join(dict.fromkeys(ANCHORS))
-    chains = rf"list_filter(list_transform(string_split_regex('  ' || regexp_replace(lower({text}), '[^\p{{L}}\p{{N}}]+', '  ', 'g') || '  ', ' (?:{anchors}) '), lambda p: array_to_string(string_split(trim(p), '  ')[1:{CHAIN}], '  ')), lambda p: p <> '')"
+    parts = rf"string_split_regex('  ' || regexp_replace(lower({text}), '[^\p{{L}}\p{{N}}]+', '  ', 'g') || '  ', ' (?:{anchors}) ')"
+    words = f"string_split(trim({parts}[1]), '  ')"
+    every = f"list_transform(generate_series(1, greatest(len({words}) - {CHAIN - 1}, 1)), lambda i: array_to_string({words}[i:i + {CHAIN - 1}], '  '))"
+    after = f"list_transform({parts}, lambda p: array_to_string(string_split(trim(p), '  ')[1:{CHAIN}], '  '))"
+    chains = f"list_filter(CASE WHEN len({parts}) > 1 THEN {after} ELSE {every} END, lambda p: p <> '')"
     return f"list_sort(list_distinct(list_transform(CASE WHEN len({chains}) > 0 THEN {chains} ELSE [{text}] END, lambda c: md5(c)[1:10])))"
 
 

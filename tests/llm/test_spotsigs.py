@@ -1,9 +1,11 @@
+import hashlib
 import random
+import re
 
 from pyspark.sql import functions as F
 
 from chronoframe.llm.entries import ORACLES, QUERIES
-from chronoframe.llm.spotsigs import spot_pairs, spots, with_next
+from chronoframe.llm.spotsigs import ANCHORS, CHAIN, spot_pairs, spots, with_next
 from tests.oracle import assert_matches
 
 
@@ -12,11 +14,14 @@ def test_next_document(spark):
     ids = sorted({rng.choice([rng.randint(-5000, 9000), rng.randint(2**33, 2**33 + 3000), -(2**40) + rng.randint(0, 9)]) for _ in range(400)})
     rows = [(i, f"t{i}") for i in ids] + [(ids[5], "zz"), (ids[6], None)]
     rng.shuffle(rows)
-    got = sorted(map(tuple, with_next(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    texts = F.coalesce("text", F.lit("")).alias("text")
+    with_texts = lambda rows: with_next(spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", texts, F.concat(texts, F.lit("!")).alias("more")), ["more"])
+    assert all(r.more == r.text + "!" and r.next_more == r.next_text + "!" for r in with_texts(rows).collect())
+    got = sorted((r.doc_id, r.text, r.next_text) for r in with_texts(rows).collect())
     order = sorted((i, t or "") for i, t in rows)
     assert got == sorted((i, t, order[(k + 1) % len(order)][1]) for k, (i, t) in enumerate(order))
-    assert with_next(spark.createDataFrame([(1, None)], "doc_id long, text string")).collect() == [(1, "", "")]
-    assert with_next(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+    assert with_texts([(1, None)]).collect() == [(1, "", "!", "", "!")]
+    assert with_texts([]).collect() == []
 
 
 def test_spots(spark):
@@ -25,6 +30,34 @@ def test_spots(spark):
     assert all(got) and len(set(map(tuple, got))) == len(texts) and len(got[2]) == 3
 
 
+def naive(text):
+    """Spots by plain loops: the words after an anchor or the start, up to the next anchor, three at most."""
+    words = re.findall(r"[^\W_]+", text.lower())
+    marks = [k for k, w in enumerate(words) if w in ANCHORS]
+    if marks:
+        runs = [words[a:b] for a, b in zip([0, *(k + 1 for k in marks)], [*marks, len(words)])]
+    else:
+        runs = [words[k : k + CHAIN] for k in range(max(1, len(words) - CHAIN + 1))]
+    chains = ["  ".join(r[:CHAIN]) for r in runs if r] or [text]
+    return sorted({hashlib.md5(c.encode()).hexdigest()[:10] for c in chains})
+
+
+def test_against_naive_spots(spark):
+    rng = random.Random(9)
+    words = ["the", "a", "an", "and", "of", "la", "für", "Über", "x1", "cat", "hat", "an-d", "theme", "ofen", "é"]
+    texts = [rng.choice([" ", ", ", "\n"]).join(rng.choices(words if i % 3 else words[7:], k=rng.randint(0, 30))) for i in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("t", spots(F.col("t")).alias("s"))
+    for r in df.collect():
+        assert r.s == naive(r.t), r.t
+
+
+def test_texts_without_anchors_are_fingerprinted_whole(spark):
+    start, rest = "xa xb xc ", [" ".join(f"{c}{i}" for i in range(400)) for c in "pq"]
+    df = spark.createDataFrame([(i, start + r) for i, r in enumerate(rest)], "i int, t string").orderBy("i")
+    a, b = (set(r[0]) for r in df.select(spots(F.col("t"))).collect())
+    assert len(a) == len(b) == 401 and len(a & b) == 1
+
+
 def test_pairs_against_brute_force(spark):
     rng = random.Random(2)
     vocabulary = [f"w{i}" for i in range(300)]

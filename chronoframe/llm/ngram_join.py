@@ -279,33 +279,54 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([parities(s).tobytes() for s in sets], pa.binary())], names=["doc", "n", "bits"])
 
 
+def _apart(bits: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """In how many bins the parities of x and y differ, row by row, in the bins of the smaller ones."""
+    size = np.array([len(b) for b in bits])
+    apart = np.zeros(len(x), np.int64)
+    for sx, sy in {(int(u), int(v)) for u, v in zip(size[x], size[y])}:
+        at, least = np.flatnonzero((size[x] == sx) & (size[y] == sy)), min(sx, sy)
+        for k in range(0, len(at), max(1, (1 << 24) // max(sx, sy))):
+            some = at[k : k + max(1, (1 << 24) // max(sx, sy))]
+            left, right = (folded(np.stack([bits[i] for i in side[some].tolist()], axis=1), least).T for side in (x, y))
+            apart[some] = np.bitwise_count(np.ascontiguousarray(left).view(np.uint64) ^ np.ascontiguousarray(right).view(np.uint64)).sum(axis=1)
+    return apart
+
+
 def _close_pairs(percent: int):
-    """Pairs of different components, one of each block, whose sizes and parities allow a link."""
-
-    def run(group: pa.Table) -> pa.Table:
-        doc, comp, n, side = (group.column(c).to_numpy() for c in ("doc", "component", "n", "side"))
-        bits = [np.frombuffer(x, np.uint8) for x in group.column("bits").to_pylist()]
-        left, out = np.flatnonzero(side & 1), [np.zeros((0, 2), np.int64)]
-        right = np.flatnonzero(side & 2)
-        right = right[np.argsort([len(bits[j]) for j in right], kind="stable")]
-        by_size = {}  # right documents by length of their parities, as one matrix each
-        for size in {len(bits[j]) for j in right}:
-            at = np.array([j for j in right if len(bits[j]) == size])
-            by_size[size] = at, np.stack([bits[j] for j in at])
-        for i in left:
-            for size, (at, matrix) in by_size.items():
-                fits = (comp[at] != comp[i]) & (100 * np.minimum(n[i], n[at]) >= percent * np.maximum(n[i], n[at]))
-                if not fits.any():
-                    continue
-                least = min(size, len(bits[i]))
-                other = matrix[fits]
-                while other.shape[1] > least:
-                    other = other[:, : other.shape[1] // 2] ^ other[:, other.shape[1] // 2 :]
-                apart = np.bitwise_count(other.view(np.uint64) ^ folded(bits[i], least).view(np.uint64)).sum(axis=1, dtype=np.int64)
-                near = at[fits][(100 + percent) * apart <= (100 - percent) * (n[i] + n[at[fits]])]
-                out.append(np.column_stack([np.minimum(doc[i], doc[near]), np.maximum(doc[i], doc[near])]))
-        ab = np.unique(np.concatenate(out), axis=0)
-        return pa.table({"a": pa.array(ab[:, 0], pa.int64()), "b": pa.array(ab[:, 1], pa.int64())})
+    """Pairs of different components, one of each block, whose sizes and parities allow a link. Rows come sorted by group."""
+
+    def pairs(rows: pa.Table) -> pa.RecordBatch:
+        doc, comp, n, side = (rows.column(c).to_numpy() for c in ("doc", "component", "n", "side"))
+        new = np.append(True, np.any([rows.column(c).to_numpy()[1:] != rows.column(c).to_numpy()[:-1] for c in ("sig", "i", "j")], axis=0))
+        start = np.flatnonzero(new)
+        end = np.repeat(np.append(start[1:], len(doc)), np.diff(np.append(start, len(doc))))
+        found, x = [np.zeros((0, 4), np.int64)], np.arange(len(doc))
+        for k in range(1, len(doc)):  # each row with the k-th after it in its group
+            x = x[x + k < end[x]]
+            if not len(x):
+                break
+            y = x + k
+            near = ((side[x] | side[y]) == 3) & (comp[x] != comp[y]) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))
+            u, v = x[near], y[near]
+            found.append(np.column_stack([np.minimum(doc[u], doc[v]), np.maximum(doc[u], doc[v]), u, v]))
+        found = np.concatenate(found)
+        found = found[np.unique(found[:, :2], axis=0, return_index=True)[1]] if len(found) else found
+        bits = [np.frombuffer(b, np.uint8) for b in rows.column("bits").to_pylist()]
+        u, v = found[:, 2], found[:, 3]
+        fits = found[(100 + percent) * _apart(bits, u, v) <= (100 - percent) * (n[u] + n[v])]
+        return pa.RecordBatch.from_arrays([pa.array(fits[:, 0]), pa.array(fits[:, 1])], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            sig, i, j = (rows.column(c).to_numpy() for c in ("sig", "i", "j"))
+            last = int(np.argmax((sig == sig[-1]) & (i == i[-1]) & (j == j[-1])))  # the last group may go on
+            if last:
+                yield pairs(rows.slice(0, last))
+            held = rows.slice(last)
+        if held is not None:
+            yield pairs(held)
 
     return run
 
@@ -329,8 +350,8 @@ def _cross_pairs(labelled: DataFrame, texts: DataFrame, percent: int) -> DataFra
     # a document stands on the left of the pairs of its block with later ones, on the right with earlier ones, on both with its own
     rows = rows.withColumn("meet", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("sig", "doc", "component", F.least("block", "meet").alias("i"), F.greatest("block", "meet").alias("j"), F.when(F.col("meet") == F.col("block"), 3).when(F.col("meet") > F.col("block"), 1).otherwise(2).alias("side"))
-    met = rows.join(sketches, "doc").groupBy("sig", "i", "j").applyInArrow(_close_pairs(percent), "a long, b long")
-    return met.distinct()
+    met = rows.join(sketches, "doc").repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
+    return met.mapInArrow(_close_pairs(percent), "a long, b long").distinct()
 
 
 def ngram_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:

@@ -104,11 +104,10 @@ def word_count(text: Column) -> Column:
 
 def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: float = 3.0) -> DataFrame:
     """doc_id, source, size, source_size, target, copies: how often the mix takes each document."""
-    sized = saved(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "sized")
+    sized = saved(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("doc_id", "text").alias("pick")), "sized")
     sources = saved(source_targets(sized, weights, cap), "sources")
     salted = sources.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumnRenamed("source", "s")
-    pick = F.xxhash64("doc_id")
-    rows = sized.withColumns({"pick": pick, "salt": F.pmod(F.shiftrightunsigned(pick, 40), F.lit(SALTS)).cast("int")})
+    rows = sized.withColumn("salt", F.pmod(F.shiftrightunsigned("pick", 40), F.lit(SALTS)).cast("int"))
     rows = rows.join(salted, F.col("source").eqNullSafe(F.col("s")) & (rows.salt == salted.salt)).drop("s", "salt")
     expected = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(cap))).otherwise(0.0)
     whole = F.floor(expected)

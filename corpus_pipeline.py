@@ -39,11 +39,16 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents the mix takes, with copies. Rows that repeat a doc_id, source and size get the most of theirs."""
-    mixed = mix_sources(docs).where("copies > 0").groupBy("doc_id", "source", "size").agg(F.max("copies").alias("copies"))
-    mixed = saved(mixed.select(F.col("doc_id").alias("id"), F.col("source").alias("from"), F.col("size").alias("words"), "copies"), "mix")
-    same = docs.doc_id.eqNullSafe(F.col("id")) & docs.source.eqNullSafe(F.col("from")) & (word_count(docs.text) == F.col("words"))
-    return docs.join(mixed, same).drop("id", "from", "words")
+    """The documents the mix takes, with copies, which replaces a column of that name. Rows that repeat a doc_id, source and
+    size get the most of theirs."""
+    free = "mix"
+    while any(c.lower().startswith(free) for c in docs.columns):
+        free += "_"
+    mixed = mix_sources(docs).where("copies > 0").groupBy("doc_id", "source", "size").agg(F.max("copies").alias(f"{free}4"))
+    mixed = saved(mixed.select(F.col("doc_id").alias(f"{free}1"), F.col("source").alias(f"{free}2"), F.col("size").alias(f"{free}3"), f"{free}4"), "mix")
+    same = docs.doc_id.eqNullSafe(F.col(f"{free}1")) & docs.source.eqNullSafe(F.col(f"{free}2")) & (word_count(docs.text) == F.col(f"{free}3"))
+    own = [docs[c] for c in docs.columns if c.lower() != "copies"]
+    return docs.join(mixed, same).select(*own, F.col(f"{free}4").alias("copies"))
 
 
 STAGES = [("toxicity", toxicity), ("near copies", near_copies), ("decontamination", decontamination), ("secrets", secrets), ("mixing", mixing)]

@@ -64,19 +64,20 @@ def likeness(a: Column, b: Column) -> Column:
     return both / (F.size(a) + F.size(b) - both)
 
 
-def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """doc_id, text, the columns, and next_ of text and each column: those of the next document by doc_id, the first after the
+def with_next(docs: DataFrame, made: dict[str, Column]) -> DataFrame:
+    """doc_id, text, the columns made of text, and next_ of each: those of the next document by doc_id, the first after the
     last. Ids are dealt into buckets of neighbours; only the last row of a bucket looks for the first row of the next
-    non-empty one."""
-    columns = ["text", *columns]
-    docs = docs.select("doc_id", *columns).withColumn("g", F.shiftright(F.coalesce("doc_id", F.lit(-(2**63))), _BITS))
+    non-empty one, and for these few rows the columns are made anew."""
+    columns = ["text", *made]
+    base = docs.select("doc_id", "text", F.shiftright(F.coalesce("doc_id", F.lit(-(2**63))), _BITS).alias("g"))
     order = Window.partitionBy("g").orderBy("doc_id", "text")
-    rows = docs.select("*", *(F.lead(c).over(order).alias(f"next_{c}") for c in columns), F.row_number().over(order).alias("rn"))
-    following = [f"next_{c}" for c in columns]
-    inner = rows.where("next_text is not null").select("doc_id", *columns, *following)
-    last = rows.where("next_text is null").select("doc_id", *columns, "g")
-    heads = rows.where("rn = 1").select(F.col("g").alias("next_g"), *(F.col(c).alias(f"next_{c}") for c in columns))
-    return inner.union(last.join(_next_bucket(docs.select("g").distinct()), "g").join(heads, "next_g").select("doc_id", *columns, *following))
+    following = [F.lead(c).over(order).alias(f"next_{c}") for c in columns]
+    rows = base.withColumns(made).select("doc_id", *columns, *following).where("next_text is not null")
+    edges = base.groupBy("g").agg(F.min(F.struct("doc_id", "text")).alias("head"), F.max(F.struct("doc_id", "text")).alias("last"))
+    last = edges.select("g", "last.*").withColumns(made)
+    heads = edges.select(F.col("g").alias("next_g"), "head.text").withColumns(made).select("next_g", *(F.col(c).alias(f"next_{c}") for c in columns))
+    ends = last.join(_next_bucket(edges.select("g")), "g").join(heads, "next_g")
+    return rows.union(ends.select(rows.columns))
 
 
 def _next_bucket(buckets: DataFrame) -> DataFrame:
@@ -115,7 +116,7 @@ def spot_pairs(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
 
 def op6_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
-    rows = with_next(table(spark, sf_dir, "documents").select("doc_id", text.alias("text"), spots(text).alias("own")), ["own"])
+    rows = with_next(table(spark, sf_dir, "documents").select("doc_id", text.alias("text")), {"own": spots(F.col("text"))})
     n = F.char_length("text")
     m = F.floor(n / 4).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - m), F.substring(F.col("next_text"), F.lit(1), m))

@@ -15,7 +15,7 @@ def test_next_document(spark):
     rows = [(i, f"t{i}") for i in ids] + [(ids[5], "zz"), (ids[6], None)]
     rng.shuffle(rows)
     texts = F.coalesce("text", F.lit("")).alias("text")
-    with_texts = lambda rows: with_next(spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", texts, F.concat(texts, F.lit("!")).alias("more")), ["more"])
+    with_texts = lambda rows: with_next(spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", texts), {"more": F.concat("text", F.lit("!"))})
     assert all(r.more == r.text + "!" and r.next_more == r.next_text + "!" for r in with_texts(rows).collect())
     got = sorted((r.doc_id, r.text, r.next_text) for r in with_texts(rows).collect())
     order = sorted((i, t or "") for i, t in rows)

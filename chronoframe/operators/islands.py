@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -206,3 +207,90 @@ def moving_runs(df: DataFrame, by: list[str], still: float, least: float, gap: f
     spans = min_length(merge_gaps(runs(df.withColumn("_one", F.lit(1)), by, on, "_one"), by, gap), least)
     inside = df.join(spans, by).where((F.col("t") >= F.col("start")) & (F.col("t") < F.col("stop")))
     return inside.groupBy(*by, "start", "stop").agg(F.round(F.sum("dx"), 6).alias("net_x"), F.round(F.sum("dy"), 6).alias("net_y"))
+
+
+def drop_covered(items: DataFrame, by: list[str], key: str) -> DataFrame:
+    """Items without media go where others cover every part of them; then, in order of (start, media first), an item that
+    overlaps the one kept before it goes. The first rule is counts of open items between edges, without pairs; the second
+    is a fold over the items of one recording."""
+    ends = items.select(*by, F.explode(F.array(F.struct(F.col("start").alias("t"), F.lit(1).alias("d")), F.struct(F.col("stop").alias("t"), F.lit(-1).alias("d")))).alias("x")).select(*by, "x.*")
+    ends = ends.groupBy(*by, "t").agg(F.sum("d").alias("d"))
+    w = Window.partitionBy(*by).orderBy("t")
+    alone = (F.sum("d").over(w.rowsBetween(Window.unboundedPreceding, 0)) == 1).cast("long")
+    ends = ends.withColumn("alone", alone).select(*by, "t", F.coalesce(F.sum("alone").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("n"))
+    at = lambda c: ends.select(*by, F.col("t").alias(c), F.col("n").alias(f"_{c}"))
+    left = items.join(at("start"), [*by, "start"]).join(at("stop"), [*by, "stop"]).where(F.col("media") | (F.col("_stop") > F.col("_start")))
+    rows = F.array_sort(F.collect_list(F.struct("start", (~F.col("media")).alias("plain"), key, "stop")))
+    last = lambda acc: F.element_at(acc, -1)
+    free = lambda acc, x: (F.size(acc) == 0) | (x["start"] >= last(acc)["stop"]) | (last(acc)["start"] >= x["stop"])
+    kept = F.aggregate("_r", F.slice(F.col("_r"), 1, 0), lambda acc, x: F.when(free(acc, x), F.concat(acc, F.array(x))).otherwise(acc))
+    found = left.groupBy(*by).agg(rows.alias("_r")).select(*by, F.explode(F.transform(kept, lambda x: x[key])).alias(key))
+    return items.join(found, [*by, key], "left_semi")
+
+
+def merge_same_kind(spans: DataFrame, by: list[str], gap: float) -> DataFrame:
+    """Neighbours in order of start that are of one kind and at most `gap` apart become one span with their extremes."""
+    w = Window.partitionBy(*by).orderBy("start", "stop", "kind")
+    d = spans.withColumn("_k", (~F.coalesce(F.lag("kind").over(w) == F.col("kind"), F.lit(False))).cast("int"))
+    d = d.withColumn("_k", F.sum("_k").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    v = Window.partitionBy(*by, "_k").orderBy("start", "stop")
+    reach = F.max("stop").over(v.rowsBetween(Window.unboundedPreceding, -1))
+    d = d.withColumn("_n", F.coalesce(F.col("start") > reach + gap, F.lit(True)).cast("int")).withColumn("_g", F.sum("_n").over(v.rowsBetween(Window.unboundedPreceding, 0)))
+    return d.groupBy(*by, "kind", "_k", "_g").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.count("*").alias("spans")).drop("_k", "_g")
+
+
+def span_groups(readings: DataFrame, by: list[str], schema_by: str, bridge: float, least: int) -> DataFrame:
+    """Readings (start, stop, mask: element numbers) gathered in order: one joins the first group that ends at most `bridge`
+    before it and shares at least `least` elements with all of that group's readings. A fold over the readings of one key."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        found: list[list] = []
+        for row in group.sort_values(["start", "stop"], kind="stable").itertuples(index=False):
+            mask = set(row.mask)
+            home = next((g for g in found if row.start <= g[1] + bridge and len(g[2] & mask) >= least), None)
+            if home is None:
+                found.append([row.start, row.stop, mask, 1])
+            else:
+                home[0], home[1], home[2], home[3] = min(home[0], row.start), max(home[1], row.stop), home[2] & mask, home[3] + 1
+        out = pd.DataFrame([(a, b, sorted(m), n) for a, b, m, n in found], columns=["start", "stop", "held", "readings"])
+        for c in reversed(by):
+            out.insert(0, c, group[c].iloc[0])
+        return out
+
+    return readings.select(*by, "start", "stop", "mask").groupBy(*by).applyInPandas(run, f"{schema_by}, start double, stop double, held array<long>, readings long")
+
+
+def note_spans(frames: DataFrame, by: list[str], schema_by: str, opens: float = 0.15, closes: float = 0.06, apart: float = 1.0, confirm: int = 2, least: float = 0.04, reach: float = 0.0215) -> DataFrame:
+    """Sounding runs (a gate that opens and closes at shares of the key's peak level), cut where the pitch (hz, 0: none) stays
+    `apart` semitones or more off its reference for `confirm` pitched rows: start, stop, median pitch and strength of each
+    span of `least` seconds. A run's outer ends give way by `reach`, half of what a row stands for. The cut is a fold, over one run."""
+    key, w = Window.partitionBy(*by), Window.partitionBy(*by).orderBy("t")
+    d = frames.select(*by, "t", "hz", "level").withColumn("_peak", F.max("level").over(key)).where("_peak > 1e-5").withColumn("_share", F.col("level") / F.col("_peak"))
+    d = hysteresis_state(d, by, "_share", opens, closes)
+    d = d.withColumn("_new", (F.col("open") & ~F.coalesce(F.lag("open").over(w), F.lit(False))).cast("long"))
+    d = d.withColumn("run", F.sum("_new").over(_before(by))).where("open")
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        g = group.sort_values("t")
+        pitch = np.log2(g["hz"].where(g["hz"] > 0).to_numpy(float)) * 12
+        cuts, reference, off = [0], np.nan, 0
+        for i, p in enumerate(pitch):
+            if np.isnan(p) or np.isnan(reference):
+                reference, off = (reference if np.isnan(p) else p), 0 if np.isnan(p) else off
+            elif abs(p - reference) < apart:
+                off = 0
+            else:
+                off += 1
+                if off >= confirm:
+                    cuts.append(i - off + 1)
+                    reference, off = p, 0
+        out = []
+        for k, (a, b) in enumerate(zip(cuts, [*cuts[1:], len(g)])):
+            part = g.iloc[a:b]
+            start, stop = part["t"].iloc[0] + (reach if k == 0 else 0), part["t"].iloc[-1] - (reach if k == len(cuts) - 1 else 0)
+            hz = part["hz"][part["hz"] > 0]
+            if stop - start >= least:
+                out.append((*(g[c].iloc[0] for c in by), round(start, 3), round(stop, 3), round(float(hz.median()), 2) if len(hz) else 0.0, round(min(part["level"].max(), 1.0), 4)))
+        return pd.DataFrame(out, columns=[*by, "start", "stop", "hz", "strength"])
+
+    return d.select(*by, "run", "t", "hz", "level").groupBy(*by, "run").applyInPandas(run, f"{schema_by}, start double, stop double, hz double, strength double")

@@ -63,7 +63,7 @@ def head_and_tail(df: DataFrame, by: list[str], level: str, head: float, tail: f
         F.max(F.when(v >= 0.97 * F.col("_body"), t)).alias("leaves"), F.min(F.when(i > F.col("_lit"), t)).alias("black_from"), F.max(F.when(i == F.col("_lit"), v)).alias("_last"),
     )
     kind = F.when(F.col("black_from").isNull(), "unknown").when(F.col("_last") > 0.8 * F.col("_body"), "hard").otherwise("dissolve")
-    return g.select(*by, "reaches", "plateau", F.round("_body", 4).alias("body"), "leaves", "black_from", kind.alias("kind"))
+    return g.select(*by, "reaches", "plateau", F.round("_body", 6).alias("body"), "leaves", "black_from", kind.alias("kind"))
 
 
 def transition_kind(df: DataFrame, by: list[str], vec: str, noise: float = 1.5, black: float = 12.0, lit: float = 30.0, share: float = 0.25, residual: float = 0.35) -> DataFrame:

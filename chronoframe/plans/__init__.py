@@ -1,4 +1,4 @@
 """Registered queries: every operator applied to the tables, with SQL where it can say the same."""
 
-from . import aggregate_queries, join_queries, more_queries, pipeline_queries, rule_queries, scalar_queries, window_queries  # noqa: F401
+from . import aggregate_queries, analysis_queries, join_queries, more_queries, pipeline_queries, rule_queries, scalar_queries, shape_queries, window_queries  # noqa: F401
 from .registry import ORACLES, QUERIES

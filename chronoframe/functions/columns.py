@@ -30,7 +30,8 @@ def timecode(frames: Column, fps: float) -> Column:
 
 
 def frames_from_timecode(text: Column, fps: float) -> Column:
-    """Inverse of timecode(); null for drop-frame (;), malformed text and frames at or over the rate."""
+    """Inverse of timecode(), blanks around it aside; null for drop-frame (;), malformed text and frames at or over the rate."""
+    text = F.regexp_replace(text, r"^\s+|\s+$", "")
     rate = max(round(fps), 1)
     part = lambda k: F.regexp_extract(text, r"^(-?)(\d+):(\d\d):(\d\d):(\d\d)$", k)
     n = lambda k: part(k).try_cast("long")
@@ -126,9 +127,12 @@ def label_kind(subject: Column, known: list[str] | None) -> Column:
 
 
 def classify_path(path: Column) -> Column:
-    """graphics, audio, footage or other, by extension."""
-    ext = F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)(?:[?#].*)?$", 1))
-    return F.when(ext.isin("png", "jpg", "jpeg", "tif", "tiff", "svg", "webp", "gif"), "graphics").when(ext.isin("wav", "mp3", "aif", "aiff", "flac", "m4a"), "audio").when(ext.isin("mov", "mp4", "mxf", "mkv", "avi"), "footage").otherwise("other")
+    """graphics, audio or footage, by the extension of the last part of the path; footage is whatever is neither of the others."""
+    # fixed values: extensions of still images, drawings and sound
+    graphics = "png jpg jpeg tif tiff exr dpx tga ai eps psd svg".split()
+    audio = "aac aif aiff flac m4a mp3 ogg wav".split()
+    ext = F.lower(F.regexp_extract(path, r"[^/]\.([^./]+)$", 1))
+    return F.when(ext.isin(*graphics), "graphics").when(ext.isin(*audio), "audio").otherwise("footage")
 
 
 def first_non_empty(columns: list[tuple[str, Column]]) -> Column:

@@ -286,4 +286,4 @@ def blend_fit(df: DataFrame, by: list[str], vec: str, order: str, k: int = 1) ->
     df = df.withColumns({"_d": F.zip_with("_b", "_a", lambda p, q: p - q), "_m": F.zip_with(vec, "_a", lambda p, q: p - q)})
     df = df.withColumn("alpha", F.try_divide(dot(F.col("_m"), F.col("_d")), dot(F.col("_d"), F.col("_d"))))
     rest = F.sqrt(F.greatest(dot(F.col("_m"), F.col("_m")) - F.col("alpha") * dot(F.col("_m"), F.col("_d")), F.lit(0.0)))
-    return df.withColumn("residual", F.try_divide(rest, F.sqrt(dot(F.col("_m"), F.col("_m"))))).drop("_a", "_b", "_d", "_m")
+    return df.withColumn("residual", F.when(F.col("alpha").isNotNull(), F.try_divide(rest, F.sqrt(dot(F.col("_m"), F.col("_m")))))).drop("_a", "_b", "_d", "_m")

@@ -148,12 +148,13 @@ def phrase_boundaries(notes: DataFrame, grid: DataFrame, by: list[str], least: f
     line = bar_line_strength(F.coalesce("r_downbeat", F.lit(False)), F.coalesce("r_bar", F.lit(0)))
     sure = clamp01(0.55 * F.element_at(cues, 3) + 0.2 * (F.element_at(cues, 2) + F.element_at(cues, 1)) / 2 + 0.25 * line)
     c = c.withColumn("confidence", F.round(sure, 3)).where(F.col("confidence") >= least)
-    # times in beats, so that one gap holds for all keys
-    rows = c.withColumnRenamed("t", "called").withColumn("t", F.col("measured") / F.col("beat"))
-    kept = I.thin(rows.select(*by, "t"), by, 2.0)
-    first = rows.join(kept, [*by, "t"]).withColumn("_r", F.row_number().over(Window.partitionBy(*by, "t").orderBy("i"))).where("_r = 1")
+    # in order of the notes: two beats after the end kept last. A fold over the ends of one recording
+    ends = F.array_sort(F.collect_list(F.struct("i", (F.col("measured") / F.col("beat")).alias("at"))))
+    far = lambda acc, x: (F.size(acc) == 0) | (x["at"] - F.element_at(acc, -1)["at"] >= 2)
+    kept = F.aggregate("_e", F.slice(F.col("_e"), 1, 0), lambda acc, x: F.when(far(acc, x), F.concat(acc, F.array(x))).otherwise(acc))
+    kept = c.groupBy(*by).agg(ends.alias("_e")).select(*by, F.explode(F.transform(kept, lambda x: x["i"])).alias("i"))
     v = Window.partitionBy(*by).orderBy("i")
-    return first.select(*by, F.round("called", 3).alias("t"), F.round("measured", 3).alias("measured"), (F.col("i") - F.coalesce(F.lag("i").over(v), F.lit(0))).alias("notes"), "confidence")
+    return c.join(kept, [*by, "i"]).select(*by, F.round("t", 3).alias("t"), F.round("measured", 3).alias("measured"), (F.col("i") - F.coalesce(F.lag("i").over(v), F.lit(0))).alias("notes"), "confidence")
 
 
 def quiet_floor(items: DataFrame, levels: DataFrame, by: list[str], width: float, least: float, floor: float = 0.65) -> DataFrame:

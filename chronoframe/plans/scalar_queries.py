@@ -25,10 +25,10 @@ def b02(spark, d):
     return read(spark, d, "part").select("p_partkey", C.timecode(F.when(F.col("p_partkey") % 2 == 0, -n).otherwise(n), 25).alias("tc"))
 
 
-@query("b03_frames_from_timecode", sql("SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN NULL WHEN p_partkey % 30 >= 25 THEN NULL ELSE (p_partkey % 60) * 25 + p_partkey % 30 END AS frames FROM part"))
+@query("b03_frames_from_timecode", sql("SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN NULL WHEN p_partkey % 11 = 0 THEN NULL WHEN p_partkey % 30 >= 25 THEN NULL ELSE (CASE WHEN p_partkey % 5 = 0 THEN -1 ELSE 1 END) * ((p_partkey % 60) * 25 + p_partkey % 30) END AS frames FROM part"))
 def b03(spark, d):
     k = F.col("p_partkey")
-    text = F.format_string("00:00:%02d%s%02d", k % 60, F.when(k % 7 == 0, ";").otherwise(":"), k % 30)
+    text = F.format_string("%s00:00:%02d%s%02d%s", F.when(k % 5 == 0, " -").otherwise(" "), k % 60, F.when(k % 7 == 0, ";").otherwise(":"), k % 30, F.when(k % 11 == 0, "x").otherwise("\t "))
     return read(spark, d, "part").select("p_partkey", C.frames_from_timecode(text, 25).alias("frames"))
 
 
@@ -101,10 +101,14 @@ def b14(spark, d):
     return read(spark, d, "events").select("event_id", C.label_kind(subject, ["purchase"]).alias("kind"))
 
 
-@query("b15_classify_path", sql("SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'graphics' WHEN 1 THEN 'audio' WHEN 2 THEN 'footage' ELSE 'other' END AS kind FROM part"))
+_NAMES = "a.PNG b.jpg c.jpeg d.tif e.tiff f.exr g.dpx h.tga i.ai j.eps k.psd l.svg m.aac n.AIF o.aiff p.flac q.m4a r.mp3 s.ogg t.Wav u.mov v.mp4 w.mxf x.txt noext y.wav.mov z.mov.png .png".split()
+_KINDS = ["graphics"] * 12 + ["audio"] * 8 + ["footage"] * 6 + ["graphics", "footage"]
+
+
+@query("b15_classify_path", f"SELECT p_partkey, ({_KINDS})[(p_partkey % {len(_KINDS)} + 1)::INT] AS kind FROM part")
 def b15(spark, d):
-    ext = F.element_at(F.array(*map(F.lit, ("PNG", "wav", "mov?x=1", "txt"))), (F.col("p_size") % 4 + 1).cast("int"))
-    return read(spark, d, "part").select("p_partkey", C.classify_path(F.concat(F.lit("/a.b/"), F.col("p_partkey").cast("string"), F.lit("."), ext)).alias("kind"))
+    name = F.element_at(F.array(*map(F.lit, _NAMES)), (F.col("p_partkey") % len(_NAMES) + 1).cast("int"))
+    return read(spark, d, "part").select("p_partkey", C.classify_path(F.concat(F.lit("/a.png/b.wav/"), name)).alias("kind"))
 
 
 @query("b16_first_non_empty", sql("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN c_name ELSE c_mktsegment END AS value, CASE WHEN c_custkey % 3 = 0 THEN 'name' ELSE 'segment' END AS source FROM customer"))

@@ -2,15 +2,28 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
-def read_catalog(spark: SparkSession, path: str, field: str, schema: str, header: str = "", allow_empty: bool = False) -> DataFrame:
-    """The records of an array field of JSON catalogs, with the header's columns; rows without a numeric t are dropped. No usable row is an error where the result is read, unless allow_empty."""
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that the driver and all executors share; a temporary one in local mode, where none is set."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="spark-shared-")
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def read_catalog(spark: SparkSession, path: str, field: str, schema: str, header: str = "", allow_empty: bool = False, lines: bool = False) -> DataFrame:
+    """The records of an array field of JSON catalogs (one a file, or one a line), with the header's columns; rows without a numeric t are dropped. No usable row is an error where the result is read, unless allow_empty."""
     top = ", ".join(x for x in (header, f"{field} array<struct<{schema}>>") if x)
-    docs = spark.read.schema(top).json(path, multiLine=True)
+    docs = spark.read.schema(top).json(path, multiLine=not lines)
     names = [c for c in docs.columns if c != field]
     rows = docs.select(*names, F.explode_outer(field).alias("r")).select(*names, "r.*")
     kept = rows.where("t is not null")
@@ -20,14 +33,17 @@ def read_catalog(spark: SparkSession, path: str, field: str, schema: str, header
     return rows.withColumn("_n", total).where(F.col("t").isNotNull() | F.assert_true(F.col("_n") > 0, F.lit(f"no usable row in {field}")).isNotNull()).drop("_n")
 
 
-def write_catalog(df: DataFrame, header: DataFrame, path: str, kind: str) -> None:
-    """Records partitioned by kind and recording, the header as one row per recording beside them."""
-    df.withColumn("kind", F.lit(kind)).write.mode("append").partitionBy("kind", "rec_id").parquet(f"{path}/records")
-    header.withColumn("kind", F.lit(kind)).write.mode("append").partitionBy("kind").parquet(f"{path}/headers")
+def write_catalog(df: DataFrame, header: DataFrame, path: str, kind: str, buckets: int = 16) -> None:
+    """Records by kind and bucket of recordings, the header as one row per recording beside them. A recording is in one bucket,
+    in order, so that a reader of few recordings skips the rest; the number of files doesn't grow with that of recordings."""
+    bucket = F.pmod(F.xxhash64("rec_id"), F.lit(buckets)).alias("bucket")
+    for part, rows in (("records", df), ("headers", header)):
+        rows = rows.select("*", F.lit(kind).alias("kind"), bucket).repartition(buckets, "bucket").sortWithinPartitions("bucket", "rec_id")
+        rows.write.mode("append").partitionBy("kind", "bucket").parquet(f"{path}/{part}")
 
 
 def read_written(spark: SparkSession, path: str, kind: str) -> tuple[DataFrame, DataFrame]:
-    get = lambda part: spark.read.parquet(f"{path}/{part}").where(F.col("kind") == kind)
+    get = lambda part: spark.read.parquet(f"{path}/{part}").where(F.col("kind") == kind).drop("bucket")
     return get("records"), get("headers")
 
 

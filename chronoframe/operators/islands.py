@@ -203,10 +203,13 @@ def leader_runs(df: DataFrame, by: list[str], schema_by: str, least: float) -> D
 
 def moving_runs(df: DataFrame, by: list[str], still: float, least: float, gap: float) -> DataFrame:
     """Runs where a step moves, joined over short gaps, of at least `least` seconds, with the net displacement."""
+    from .joins import point_in_interval
+
     on = (F.abs("dx") >= still) | (F.abs("dy") >= still)
     spans = min_length(merge_gaps(runs(df.withColumn("_one", F.lit(1)), by, on, "_one"), by, gap), least)
-    inside = df.join(spans, by).where((F.col("t") >= F.col("start")) & (F.col("t") < F.col("stop")))
-    return inside.groupBy(*by, "start", "stop").agg(F.round(F.sum("dx"), 6).alias("net_x"), F.round(F.sum("dy"), 6).alias("net_y"))
+    inside = point_in_interval(df, spans.select(*by, "start", "stop"), by, ["start"]).where("r_start is not null").select(*by, "dx", "dy", F.col("r_start").alias("start"))
+    net = inside.groupBy(*by, "start").agg(F.round(F.sum("dx"), 6).alias("net_x"), F.round(F.sum("dy"), 6).alias("net_y"))
+    return spans.select(*by, "start", "stop").join(net, [*by, "start"])
 
 
 def drop_covered(items: DataFrame, by: list[str], key: str) -> DataFrame:

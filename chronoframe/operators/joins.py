@@ -7,6 +7,8 @@ spreads over many tasks. Interval joins meet on buckets of time.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -253,9 +255,12 @@ def section_rollup(items: DataFrame, spans: DataFrame, by: list[str], key: str)
     return hit.groupBy(*by, F.col(f"r_{key}").alias(key)).agg(F.count("*").alias("n"), F.round(F.avg(s), 3).alias("mean"), F.round(F.median(s), 3).alias("median"), F.round(F.min(s), 3).alias("shortest"), F.round(F.max(s), 3).alias("longest"), F.count_if(s < 3600).alias("short"))
 
 
-def words_in_segment(words: DataFrame, segs: DataFrame, by: list[str]) -> DataFrame:
-    """Words (w_in, w_out) that overlap a segment (s_in, s_out): wholly inside, or clipped where it opens or closes."""
-    m = words.join(segs, by).where((F.col("w_in") < F.col("s_out")) & (F.col("s_in") < F.col("w_out")))
+def words_in_segment(words: DataFrame, segs: DataFrame, by: list[str], width: float = 64.0) -> DataFrame:
+    """Words (w_in, w_out) that overlap a segment (s_in, s_out): wholly inside, or clipped where it opens or closes. Both meet
+    on buckets of `width` in time, not on whole keys."""
+    w = words.withColumns({"start": F.col("w_in"), "stop": F.col("w_out")})
+    g = segs.withColumns({"b_start": F.col("s_in"), "b_stop": F.col("s_out")})
+    m = overlap_join(w, g, by, width).drop("start", "stop", "b_start", "b_stop")
     return m.withColumn("clipped", F.when(F.col("w_in") < F.col("s_in"), "opens").when(F.col("w_out") > F.col("s_out"), "closes"))
 
 
@@ -277,19 +282,50 @@ def _centred(v: Column) -> Column:
     return F.zip_with(v, F.array_repeat(mean, F.size(v)), lambda x, y: x - y)
 
 
-def nearest_vector(queries: DataFrame, candidates: DataFrame, on: list[str], key: str, slices: int = 64) -> DataFrame:
-    """Candidate most like each query, never itself, at the same aligned key, with the margin to the worst. With no aligned
-    key every candidate is met: they are dealt into slices, and each query goes to all of them."""
+def nearest_vector(queries: DataFrame, candidates: DataFrame, on: list[str], key: str, slices: int = 64, block: int = 4096) -> DataFrame:
+    """Candidate most like each query, never itself, at the same aligned key, with the margin to the worst; of equal ones the
+    smallest. With no aligned key every candidate is met: queries are dealt into blocks and candidates into slices, and a
+    task multiplies one block by one slice; pairs are never rows."""
+    if not on:
+        return _nearest_of_all(queries, candidates, key, slices, block)
     unit = lambda df: df.withColumn("vec", _centred(F.col("vec"))).withColumn("_len", F.sqrt(_dot(F.col("vec"), F.col("vec"))))
     q, c = unit(queries), unit(candidates).select(*on, F.col(key).alias("pick"), F.col("vec").alias("_c"), F.col("_len").alias("_clen"))
-    meet = on
-    if not on:
-        q, c, meet = q.withColumn("_slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))), c.withColumn("_slice", F.pmod(F.xxhash64("pick"), F.lit(slices)).cast("int")), ["_slice"]
-    m = q.join(c, meet).where(F.col(key) != F.col("pick"))
+    m = q.join(c, on).where(F.col(key) != F.col("pick"))
     m = m.select(*on, key, "pick", F.round(_dot(F.col("vec"), F.col("_c")) / (F.col("_len") * F.col("_clen")), 5).alias("score"))
     return m.groupBy(*on, key).agg(F.max_by(F.struct("pick", "score"), F.struct("score", -F.col("pick"))).alias("x"), (F.max("score") - F.min("score")).alias("margin")).select(*on, key, "x.*", F.round("margin", 5).alias("margin"))
 
 
+def _nearest_of_all(queries: DataFrame, candidates: DataFrame, key: str, slices: int, block: int) -> DataFrame:
+    kind = candidates.schema[key].dataType.simpleString()
+    blocks = F.broadcast(queries.agg(F.ceil(F.count("*") / block).cast("int").alias("_blocks")))  # one row
+    vec = F.col("vec").cast("array<double>").alias("vec")
+    q = queries.select(F.col(key).alias("id"), vec).join(blocks).withColumn("_block", F.pmod(F.xxhash64("id"), "_blocks").cast("int"))
+    q = q.select("id", "vec", "_block", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("_slice"))
+    c = candidates.select(F.col(key).alias("pick"), vec).withColumn("_slice", F.pmod(F.xxhash64("pick"), F.lit(slices)).cast("int")).join(blocks)
+    c = c.where("_blocks > 0").select("pick", "vec", "_slice", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_block"))
+
+    def unit(part: pd.DataFrame) -> np.ndarray:
+        v = np.stack(part["vec"].to_list())
+        v = v - v.mean(axis=1, keepdims=True)
+        size = np.sqrt((v * v).sum(axis=1, keepdims=True))
+        return np.divide(v, size, out=np.full_like(v, np.nan), where=size > 0)
+
+    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if left.empty or right.empty:
+            return pd.DataFrame(columns=["id", "pick", "score", "worst"])
+        right = right.sort_values("pick", kind="stable")
+        score = np.round(unit(left) @ unit(right).T, 5)
+        score[left["id"].to_numpy()[:, None] == right["pick"].to_numpy()[None, :]] = np.nan
+        some = ~np.isnan(score).all(axis=1)
+        left, score = left[some], score[some]
+        at = np.nanargmax(score, axis=1) if len(left) else np.zeros(0, int)
+        return pd.DataFrame({"id": left["id"], "pick": right["pick"].to_numpy()[at], "score": score[np.arange(len(left)), at], "worst": np.nanmin(score, axis=1) if len(left) else []})
+
+    met = q.groupBy("_block", "_slice").cogroup(c.groupBy("_block", "_slice")).applyInPandas(best, f"id {kind}, pick {kind}, score double, worst double")
+    top = met.groupBy(F.col("id").alias(key)).agg(F.max_by(F.struct("pick", "score"), F.struct("score", -F.col("pick"))).alias("x"), F.min("worst").alias("_w"))
+    return top.select(key, "x.*", F.round(F.col("x.score") - F.col("_w"), 5).alias("margin"))
+
+
 def reconcile(expected: DataFrame, landed: DataFrame, on: list[str]) -> DataFrame:
     """Expected items against landed ones of the same place: misplaced, source differs, or ok; an unreported source is ok."""
     got = landed.select(*on, F.col("source").alias("_s"), F.lit(True).alias("_there"))

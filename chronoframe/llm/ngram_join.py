@@ -268,9 +268,10 @@ def parities(s: np.ndarray) -> np.ndarray:
 
 
 def folded(bits: np.ndarray, size: int) -> np.ndarray:
-    """The parities of fewer bins: upper halves laid over lower ones."""
-    while len(bits) > size:
-        bits = bits[: len(bits) // 2] ^ bits[len(bits) // 2 :]
+    """The parities of fewer bins: upper halves laid over lower ones, along the last axis."""
+    while bits.shape[-1] > size:
+        half = bits.shape[-1] // 2
+        bits = bits[..., :half] ^ bits[..., half:]
     return bits
 
 
@@ -279,16 +280,22 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([parities(s).tobytes() for s in sets], pa.binary())], names=["doc", "n", "bits"])
 
 
-def _apart(bits: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+def _apart(bits: list[bytes], x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """In how many bins the parities of x and y differ, row by row, in the bins of the smaller ones."""
-    size = np.array([len(b) for b in bits])
+    size = np.fromiter(map(len, bits), np.int64, len(bits)) // 8
+    place, held = np.zeros(len(bits), np.int64), {}
+    for k in np.unique(size[np.concatenate([x, y])]).tolist():  # one matrix for each length
+        rows = np.flatnonzero(size == k)
+        place[rows] = np.arange(len(rows))
+        held[k] = np.frombuffer(b"".join([bits[i] for i in rows.tolist()]), np.uint64).reshape(len(rows), k)
     apart = np.zeros(len(x), np.int64)
-    for sx, sy in {(int(u), int(v)) for u, v in zip(size[x], size[y])}:
-        at, least = np.flatnonzero((size[x] == sx) & (size[y] == sy)), min(sx, sy)
-        for k in range(0, len(at), max(1, (1 << 24) // max(sx, sy))):
-            some = at[k : k + max(1, (1 << 24) // max(sx, sy))]
-            left, right = (folded(np.stack([bits[i] for i in side[some].tolist()], axis=1), least).T for side in (x, y))
-            apart[some] = np.bitwise_count(np.ascontiguousarray(left).view(np.uint64) ^ np.ascontiguousarray(right).view(np.uint64)).sum(axis=1)
+    for sx in held:
+        for sy in held:
+            at, least = np.flatnonzero((size[x] == sx) & (size[y] == sy)), min(sx, sy)
+            step = max(1, (1 << 21) // max(sx, sy))
+            for k in range(0, len(at), step):
+                some = at[k : k + step]
+                apart[some] = np.bitwise_count(folded(held[sx][place[x[some]]], least) ^ folded(held[sy][place[y[some]]], least)).sum(axis=1)
     return apart
 
 
@@ -310,10 +317,10 @@ def _close_pairs(percent: int):
             u, v = x[near], y[near]
             found.append(np.column_stack([np.minimum(doc[u], doc[v]), np.maximum(doc[u], doc[v]), u, v]))
         found = np.concatenate(found)
-        found = found[np.unique(found[:, :2], axis=0, return_index=True)[1]] if len(found) else found
-        bits = [np.frombuffer(b, np.uint8) for b in rows.column("bits").to_pylist()]
+        found = found[np.lexsort((found[:, 1], found[:, 0]))]
+        found = found[np.append(True, (found[1:, :2] != found[:-1, :2]).any(axis=1))[: len(found)]]
         u, v = found[:, 2], found[:, 3]
-        fits = found[(100 + percent) * _apart(bits, u, v) <= (100 - percent) * (n[u] + n[v])]
+        fits = found[(100 + percent) * _apart(rows.column("bits").to_pylist(), u, v) <= (100 - percent) * (n[u] + n[v])]
         return pa.RecordBatch.from_arrays([pa.array(fits[:, 0]), pa.array(fits[:, 1])], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

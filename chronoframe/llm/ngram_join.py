@@ -366,8 +366,10 @@ def ngram_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     docs = docs.select("doc_id", F.xxhash64("text").alias("text_id"), "text")
     sets = saved(docs.mapInArrow(_set_hashes, "doc long, text_id long, n long, h1 long, h2 long"), "sets")
     known = sets.where("doc is not null and n > 0")
-    reps = known.groupBy("h1", "h2").agg(F.min("doc").alias("rep"))
-    sets = saved(sets.join(reps, ["h1", "h2"], "left").select("doc", "text_id", "n", F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("doc")).alias("rep")).withColumn("rep", F.when(F.col("doc").isNotNull(), F.col("rep"))), "sets")
+    # sets that more than one row has; written, so that the planner may broadcast them or split a very common one
+    reps = saved(known.groupBy("h1", "h2").agg(F.min("doc").alias("rep"), F.count("*").alias("rows")).where("rows > 1").drop("rows"), "reps")
+    rep = F.when(F.col("doc").isNotNull(), F.coalesce("rep", "doc")).alias("rep")
+    sets = saved(sets.join(reps, ["h1", "h2"], "left").select("doc", "text_id", "n", rep), "sets")
     copies = sets.where("doc <> rep").select(F.col("doc").alias("doc_id"), "text_id")
     docs = docs.where("doc_id is not null").join(copies, ["doc_id", "text_id"], "left_anti").select("doc_id", "text")
 

@@ -67,3 +67,30 @@ def test_query(spark, sf_dir):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     rows = QUERIES["op7_mixing"](spark, sf_dir).collect()
     assert len(rows) == len(texts) and all(r["size"] == len(texts[r.doc_id].split()) and r.taken <= 3 * r["size"] for r in rows)
+    # each source's words come near its target: within the longest document of the source
+    size, taken, longest, stated = {}, {}, {}, {}
+    source = {r.doc_id: r.source for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    for r in rows:
+        s = source[r.doc_id]
+        size[s], taken[s] = size.get(s, 0) + r["size"], taken.get(s, 0) + r.taken
+        longest[s], stated[s] = max(longest.get(s, 0), r["size"]), (r.source_size, r.target)
+    names = sorted(size, key=lambda s: (s is None, s or ""))
+    weight, full = {s: 1 + k % 3 for k, s in enumerate(names)}, {}
+    while True:
+        rest, share = sum(size.values()) - sum(full.values()), sum(weight[s] for s in names if s not in full)
+        over = {s: 3 * size[s] for s in names if s not in full and rest * weight[s] / share > 3 * size[s] + 1e-9}
+        if not over:
+            break
+        full |= over
+    for s in names:
+        want = full.get(s, rest * weight[s] / share if s not in full else 0)
+        assert stated[s][0] == size[s] and abs(stated[s][1] - want) < 1e-6 * max(want, 1) and abs(taken[s] - want) <= longest[s]
+    assert sorted(map(tuple, rows)) == sorted(map(tuple, QUERIES["op7_mixing"](spark, sf_dir).collect()))
+
+
+def test_rows_without_an_id_are_dealt_into_buckets(spark, monkeypatch):
+    rows = [(None, "w " * (i % 50), "s") for i in range(4000)] + [(i, "w " * (i % 40), "t") for i in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix_sources(df).collect()
+    check(got, 1)
+    assert len(got) == len(rows)

@@ -84,10 +84,10 @@ def forward_or_nearest(left: DataFrame, grid: DataFrame, by: list[str], toleranc
     return m.select(*left.columns, F.coalesce(at, t).alias("at"), at.isNotNull().alias("snapped"))
 
 
-def point_in_interval(left: DataFrame, spans: DataFrame, by: list[str], cols: list[str]) -> DataFrame:
+def point_in_interval(left: DataFrame, spans: DataFrame, by: list[str], cols: list[str], chunk: float | None = None) -> DataFrame:
     """The span (start, stop) with start <= t < stop; spans don't overlap; null between them."""
     s = spans.withColumn("t", F.col("start"))
-    hit = asof_join(left, s, by, [*cols, "stop"])
+    hit = asof_join(left, s, by, [*cols, "stop"], chunk=chunk)
     inside = F.col("t") < F.col("r_stop")
     return hit.select(*left.columns, *(F.when(inside, F.col(f"r_{c}")).alias(f"r_{c}") for c in cols))
 
@@ -264,13 +264,13 @@ def words_in_segment(words: DataFrame, segs: DataFrame, by: list[str], width: fl
     return m.withColumn("clipped", F.when(F.col("w_in") < F.col("s_in"), "opens").when(F.col("w_out") > F.col("s_out"), "closes"))
 
 
-def out_of_reach(left: DataFrame, grid: DataFrame, by: list[str]) -> DataFrame:
+def out_of_reach(left: DataFrame, grid: DataFrame, by: list[str], chunk: float | None = None) -> DataFrame:
     """Whether the nearest grid row is farther than the median gap of the grid around it."""
     w = Window.partitionBy(*by).orderBy("t")
     gap = F.lead("t").over(w) - F.col("t")
     g = grid.select(*by, "t").withColumn("gap", gap)
     g = g.withColumn("spacing", F.percentile("gap", F.lit(0.5)).over(w.rowsBetween(-4, 4)))
-    return nearest_join(left, g, by, ["t", "spacing"]).withColumn("stranded", F.abs("offset") > F.col("r_spacing"))
+    return nearest_join(left, g, by, ["t", "spacing"], chunk=chunk).withColumn("stranded", F.abs("offset") > F.col("r_spacing"))
 
 
 def _dot(a: Column, b: Column) -> Column:

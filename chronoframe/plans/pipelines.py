@@ -46,15 +46,16 @@ def lead_changes(levels: DataFrame, grid: DataFrame, by: list[str], schema_by: s
     return J.nearest_join(ch, grid, by, ["t"], within=snap).withColumn("at", F.coalesce("r_t", "t")).drop("r_t", "offset")
 
 
-def correlate(items: DataFrame, grid: DataFrame, changes: DataFrame | None, spans: DataFrame | None, by: list[str], key: str) -> DataFrame:
-    """One row per item: signed offset to the nearest grid row, state, span it starts in, whether it opens, whether it is stranded. An absent side gives null columns, never zero."""
-    near = J.out_of_reach(items.withColumn("start", F.col("t")), grid, by).drop("r_t", "r_spacing")
+def correlate(items: DataFrame, grid: DataFrame, changes: DataFrame | None, spans: DataFrame | None, by: list[str], key: str, chunk: float | None = None) -> DataFrame:
+    """One row per item: signed offset to the nearest grid row, state, span it starts in, whether it opens, whether it is
+    stranded. An absent side gives null columns, never zero. chunk: seconds of a recording that meet in one task."""
+    near = J.out_of_reach(items.withColumn("start", F.col("t")), grid, by, chunk).drop("r_t", "r_spacing")
     near = W.opening_flag(near.withColumn("stop", F.col("t") + F.col("seconds")), by)
-    near = J.state_asof(near, changes, by) if changes is not None else near.withColumn("state", F.lit(None).cast("string"))
+    near = J.state_asof(near, changes, by, chunk) if changes is not None else near.withColumn("state", F.lit(None).cast("string"))
     if spans is None:
         return near.withColumn("section", F.lit(None).cast("long"))
     s = spans.select(*by, "start", F.coalesce("stop", F.lit(float("inf"))).alias("stop"), "section")
-    return J.point_in_interval(near.drop("start", "stop"), s, by, ["section"]).withColumnRenamed("r_section", "section")
+    return J.point_in_interval(near.drop("start", "stop"), s, by, ["section"], chunk).withColumnRenamed("r_section", "section")
 
 
 def correlate_summary(rows: DataFrame, by: list[str]) -> DataFrame:

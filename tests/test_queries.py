@@ -5,8 +5,8 @@ from collections import defaultdict
 import pytest
 
 from chronoframe.operators import windows as W
-from chronoframe.plans import ORACLES, QUERIES, window_queries
-from chronoframe.plans.registry import of_type, recordings
+from chronoframe.plans import ORACLES, QUERIES, pipeline_queries, pipelines, window_queries
+from chronoframe.plans.registry import items, of_type, recordings, sections
 from tests.oracle import TABLES
 
 
@@ -134,3 +134,12 @@ def test_same_with_one_and_many_partitions(spark, sf_dir):
                 assert sorted(map(str, QUERIES[n](spark, sf_dir).collect())) == want[n]
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_correlate_in_chunks(spark, sf_dir):
+    whole = QUERIES["i08_correlate"](spark, sf_dir)
+    q, by = pipeline_queries, ["rec_id"]
+    parts = pipelines.correlate(items(spark, sf_dir), of_type(spark, sf_dir, "view"), q._changes(spark, sf_dir), sections(spark, sf_dir), by, "event_id", chunk=200_000.0)
+    key = lambda r: r.event_id
+    got = {key(r): (None if r.offset is None else round(r.offset, 3), r.opens, r.stranded, r.state, r.section) for r in parts.collect()}
+    assert got == {key(r): (r.off, r.opens, r.stranded, r.state, r.section) for r in whole.collect()}

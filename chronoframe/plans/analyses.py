@@ -133,7 +133,7 @@ def phrase_boundaries(notes: DataFrame, grid: DataFrame, by: list[str], least: f
     beat = step.groupBy(*by).agg(F.median(F.when(F.col("s") > 0, F.col("s"))).alias("beat")).where("beat is not null")
     n = notes.withColumns({"i": F.row_number().over(w), "resumes": F.lead("t").over(w), "_hz": F.lead("hz").over(w), "held": F.col("end") - F.col("t")}).join(beat, by)
     usual = n.groupBy(*by).agg(F.median("held").alias("usual"), F.count("*").alias("_n")).where("usual > 0 and _n > 1").drop("_n")
-    n = n.join(usual, by).withColumn("rest", F.greatest(F.col("resumes") - F.col("end"), F.lit(0.0)))
+    n = n.join(usual, by).withColumn("rest", F.when(F.col("resumes").isNotNull(), F.greatest(F.col("resumes") - F.col("end"), F.lit(0.0))))
     leap = F.when((F.col("hz") > 0) & (F.col("_hz") > 0), F.abs(semitones(F.col("hz"), F.col("_hz"))))
     n = n.withColumn("leap", leap).where(F.col("resumes").isNull() | (F.col("rest") >= 0.5 * F.col("beat")) | (F.col("held") >= 1.6 * F.col("usual")) | (F.col("leap") >= 7))
     n = n.select(*by, "i", F.col("end").alias("t"), "resumes", "beat", "usual", "held", "rest", "leap")

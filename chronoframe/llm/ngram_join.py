@@ -225,11 +225,12 @@ def _verify(percent: int):
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """The pairs that are links. The pairs of one a are parted by b, FAN in a part; each part gets a's text once."""
+    """The pairs that are links. The pairs of one a are parted by b, FAN in a part; each part gets a's text once. The ids are
+    written tables, so that the planner may broadcast them to the texts instead of shuffling those."""
     t = lambda side: texts.select(F.col("doc_id").alias(side), F.col("text").alias(f"text_{side}"))
     fans = pairs.groupBy("a").agg(F.ceil(F.count("*") / FAN).alias("fans"))
-    pairs = pairs.join(fans, "a").select("a", "b", F.pmod(F.xxhash64("b"), "fans").alias("fan"))
-    left = pairs.select("a", "fan").distinct().join(t("a"), "a")
+    pairs = saved(pairs.join(fans, "a").select("a", "b", F.pmod(F.xxhash64("b"), "fans").alias("fan")), "pairs")
+    left = saved(pairs.select("a", "fan").distinct(), "firsts").join(t("a"), "a")
     both = pairs.join(t("b"), "b").join(left, ["a", "fan"]).select("a", "b", "text_a", "text_b")
     return both.sortWithinPartitions("a").mapInArrow(_verify(percent), "a long, b long")
 
@@ -351,7 +352,7 @@ def _cross_pairs(labelled: DataFrame, texts: DataFrame, percent: int) -> DataFra
     mixed = labelled.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("m")).where("x < y")
     mixed = saved(mixed.select("sig", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "mixed")
     rows = saved(labelled.join(mixed, "sig").select("sig", "doc", "component", "blocks"), "mixed-rows")
-    asked = rows.select(F.col("doc").alias("doc_id")).distinct()
+    asked = saved(rows.select(F.col("doc").alias("doc_id")).distinct(), "asked")
     sketches = saved(texts.join(asked, "doc_id", "left_semi").mapInArrow(_sketch, "doc long, n long, bits binary"), "sketches")
     rows = rows.withColumn("block", F.pmod(F.xxhash64("doc"), "blocks").cast("int"))
     # a document stands on the left of the pairs of its block with later ones, on the right with earlier ones, on both with its own
@@ -370,14 +371,15 @@ def ngram_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     reps = saved(known.groupBy("h1", "h2").agg(F.min("doc").alias("rep"), F.count("*").alias("rows")).where("rows > 1").drop("rows"), "reps")
     rep = F.when(F.col("doc").isNotNull(), F.coalesce("rep", "doc")).alias("rep")
     sets = saved(sets.join(reps, ["h1", "h2"], "left").select("doc", "text_id", "n", rep), "sets")
-    copies = sets.where("doc <> rep").select(F.col("doc").alias("doc_id"), "text_id")
+    copies = saved(sets.where("doc <> rep").select(F.col("doc").alias("doc_id"), "text_id").distinct(), "copies")
     docs = docs.where("doc_id is not null").join(copies, ["doc_id", "text_id"], "left_anti").select("doc_id", "text")
 
     total = sets.agg(F.sum("n")).first()[0] or 0
     dealt = docs.mapInArrow(_deal(percent, 1 + total // BUCKET_SIGS), _DEALT)
     shared = saved(dealt.groupBy("bucket").applyInArrow(_keep_shared, "sig long, doc long"), "shared")
     shared = saved(_same_once(shared), "shared-once")
-    texts = saved(docs.join(shared.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi"), "texts")
+    asked = saved(shared.select(F.col("doc").alias("doc_id")).distinct(), "asked")
+    texts = saved(docs.join(asked, "doc_id", "left_semi"), "texts")
 
     # rows of one document with different sets are one document
     links = sets.where("rep is not null").groupBy("doc").agg(F.min("rep").alias("x"), F.max("rep").alias("y")).where("x < y").select("doc")

@@ -69,7 +69,10 @@ def with_next(docs: DataFrame, made: dict[str, Column]) -> DataFrame:
     last. Ids are dealt into buckets of neighbours; only the last row of a bucket looks for the first row of the next
     non-empty one, and for these few rows the columns are made anew."""
     columns = ["text", *made]
-    base = docs.select("doc_id", "text", F.shiftright(F.coalesce("doc_id", F.lit(-(2**63))), _BITS).alias("g"))
+    # rows without an id come first, in order of their texts: their buckets are those of the first two characters
+    first = lambda k: F.ascii(F.substring("text", k, 1)).cast("long")
+    no_id = F.lit(-(2**62)) + F.shiftleft(first(1), 21) + first(2)
+    base = docs.select("doc_id", "text", F.coalesce(F.shiftright("doc_id", _BITS), no_id).alias("g"))
     order = Window.partitionBy("g").orderBy("doc_id", "text")
     following = [F.lead(c).over(order).alias(f"next_{c}") for c in columns]
     rows = base.withColumns(made).select("doc_id", *columns, *following).where("next_text is not null")

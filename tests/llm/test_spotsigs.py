@@ -13,13 +13,15 @@ def test_next_document(spark):
     rng = random.Random(1)
     ids = sorted({rng.choice([rng.randint(-5000, 9000), rng.randint(2**33, 2**33 + 3000), -(2**40) + rng.randint(0, 9)]) for _ in range(400)})
     rows = [(i, f"t{i}") for i in ids] + [(ids[5], "zz"), (ids[6], None)]
+    rows += [(None, rng.choice(["", "a", "b", "é", "😀"]) + rng.choice(["", "a", "é", "zz"])) for _ in range(60)]
     rng.shuffle(rows)
     texts = F.coalesce("text", F.lit("")).alias("text")
     with_texts = lambda rows: with_next(spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", texts), {"more": F.concat("text", F.lit("!"))})
     assert all(r.more == r.text + "!" and r.next_more == r.next_text + "!" for r in with_texts(rows).collect())
-    got = sorted((r.doc_id, r.text, r.next_text) for r in with_texts(rows).collect())
-    order = sorted((i, t or "") for i, t in rows)
-    assert got == sorted((i, t, order[(k + 1) % len(order)][1]) for k, (i, t) in enumerate(order))
+    key = lambda r: (r[0] is not None, r[0] or 0, *r[1:])
+    got = sorted(((r.doc_id, r.text, r.next_text) for r in with_texts(rows).collect()), key=key)
+    order = sorted(((i, t or "") for i, t in rows), key=key)
+    assert got == sorted(((i, t, order[(k + 1) % len(order)][1]) for k, (i, t) in enumerate(order)), key=key)
     assert with_texts([(1, None)]).collect() == [(1, "", "!", "", "!")]
     assert with_texts([]).collect() == []
 

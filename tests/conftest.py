@@ -23,6 +23,7 @@ def spark():
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "6g")
         .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="spark-wh-"))
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="spark-shared-"))
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")

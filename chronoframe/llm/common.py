@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -43,13 +44,41 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: The written tables of each open temporary().
+_TEMPORARY: list[list[str]] = []
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read again: computed once, and safe from lost executors."""
     path = new_path(df.sparkSession, name)
+    for paths in _TEMPORARY:
+        paths.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def temporary(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Tables that saved() writes inside are deleted at the end. Gives a saved() whose tables stay: what is made of the
+    others is to be written by it."""
+    paths: list[str] = []
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        out = saved(df, name)
+        paths.pop()
+        return out
+
+    _TEMPORARY.append(paths)
+    try:
+        yield kept
+    finally:
+        _TEMPORARY.remove(paths)
+        hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+        for path in paths:
+            place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(hadoop).delete(place, True)
+
+
 def mix(a: np.ndarray) -> np.ndarray:
     """A bijective 64-bit scrambler."""
     a = (a ^ (a >> _SHIFT)) * _MUL

@@ -1,8 +1,10 @@
 import math
+import os
 import re
 from collections import Counter, defaultdict
 
 import corpus_pipeline
+from chronoframe.llm import common
 from chronoframe.llm import decontaminate as dc
 from chronoframe.llm.toxicity import INTENTS, NEGATIONS, PATTERNS, REPORTS, TARGETS, THREATS, trained_on
 from tests.llm.test_ngram_join import brute
@@ -50,8 +52,11 @@ def test_against_brute_force(spark, sf_dir):
         return min((dc.edit_match(item, words)[0] / len(item) for item in items if item), default=1)
 
     near = {i: leak(docs[i].text) for i in kept}
+    there = set(os.listdir(common.shared_dir(spark)))
     rows = corpus_pipeline.run(spark, sf_dir).collect()
     got = {r.doc_id: r for r in rows}
+    left = {re.sub(r"-[0-9a-f]{32}$", "", name) for name in set(os.listdir(common.shared_dir(spark))) - there}
+    assert left == {name.replace(" ", "-") for name, _ in corpus_pipeline.STAGES}
     assert len(rows) == len(got) and set(rows[0].asDict()) == {"doc_id", "text", "lang", "source", "n_chars", "copies"}
     # what the mix leaves out is a matter of its draw, so the stages before it are looked at by themselves
     before = spark.read.parquet(f"{sf_dir}/documents.parquet")

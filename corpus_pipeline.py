@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoframe.llm.common import saved, table
+from chronoframe.llm.common import saved, table, temporary
 from chronoframe.llm.decontaminate import drop_leaking
 from chronoframe.llm.mixing import mix_sources, word_count
 from chronoframe.llm.ngram_join import drop_near_copies
@@ -57,7 +57,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages one after the other. What a stage wrote on its way is deleted once its result is written."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = saved(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with temporary(spark) as kept:
+            docs = kept(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return docs

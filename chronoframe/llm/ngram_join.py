@@ -48,8 +48,9 @@ DEALS = 64
 PIVOT_ROUNDS = 2
 #: Documents whose equal signatures are brought together before the shuffle, and signatures of one group of buckets.
 CHUNK_DOCS, CHUNK_BYTES, BUCKET_SIGS = 2000, 4_000_000, 250_000
-#: Documents of one block of a signature's pairwise comparison, and pairs that share one copy of their first text.
-BLOCK, FAN = 256, 256
+#: Documents of one block of a signature's pairwise comparison, pairs compared at once, and pairs that share one copy of their
+#: first text.
+BLOCK, PAIRS, FAN = 256, 300_000, 256
 _A = np.uint64(0x9FB21C651E98DF25)
 _LOW = np.uint64(0xFFFFFFFF)
 
@@ -300,6 +301,17 @@ def _apart(bits: list[bytes], x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return apart
 
 
+def _runs(rows: pa.Table) -> Iterator[pa.Table]:
+    """Runs of whole groups with about PAIRS pairs."""
+    keys = [rows.column(c).to_numpy() for c in ("sig", "i", "j")]
+    start = np.flatnonzero(np.append(True, np.any([k[1:] != k[:-1] for k in keys], axis=0))) if rows.num_rows else np.zeros(0, np.int64)
+    size = np.diff(np.append(start, rows.num_rows))
+    share = np.cumsum(size * size) // (2 * PAIRS)
+    cuts = np.append(start[np.append(True, share[1:] != share[:-1])] if len(start) else start, rows.num_rows)
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        yield rows.slice(a, b - a)
+
+
 def _close_pairs(percent: int):
     """Pairs of different components, one of each block, whose sizes and parities allow a link. Rows come sorted by group."""
 
@@ -330,8 +342,8 @@ def _close_pairs(percent: int):
             rows = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
             sig, i, j = (rows.column(c).to_numpy() for c in ("sig", "i", "j"))
             last = int(np.argmax((sig == sig[-1]) & (i == i[-1]) & (j == j[-1])))  # the last group may go on
-            if last:
-                yield pairs(rows.slice(0, last))
+            for part in _runs(rows.slice(0, last)):
+                yield pairs(part)
             held = rows.slice(last)
         if held is not None:
             yield pairs(held)

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from chronoframe.llm import common, ngram_join
 from chronoframe.llm.entries import ORACLES, QUERIES
@@ -102,10 +103,22 @@ def test_parities_bound_the_difference():
         assert np.bitwise_count(ngram_join.folded(x, size) ^ ngram_join.folded(y, size)).sum() <= len(np.setxor1d(a, b))
 
 
+def test_runs_of_whole_groups(monkeypatch):
+    rng = random.Random(3)
+    rows = [(s, 0, j) for s in range(60) for j in range(rng.randint(1, 2)) for _ in range(rng.randint(1, 12))]
+    table = pa.table({c: [r[k] for r in rows] for k, c in enumerate(("sig", "i", "j"))})
+    monkeypatch.setattr(ngram_join, "PAIRS", 100)
+    parts = [list(zip(*(p.column(c).to_pylist() for c in ("sig", "i", "j")))) for p in ngram_join._runs(table)]
+    assert len(parts) > 5 and [r for p in parts for r in p] == rows
+    assert all(a[-1] != b[0] for a, b in zip(parts, parts[1:]))
+    assert list(ngram_join._runs(table.slice(0, 0))) == []
+
+
 def test_unlike_documents_of_one_signature_meet_in_blocks(spark, monkeypatch):
     """Documents that share four fifths of half their text: many common signatures, few links, blocks of 8."""
     monkeypatch.setattr(ngram_join, "BLOCK", 8)
     monkeypatch.setattr(ngram_join, "FAN", 4)
+    monkeypatch.setattr(ngram_join, "PAIRS", 50)
     rng = random.Random(5)
     common = [f"c{i}" for i in range(90)]
     rows = [(i, " ".join(common + [f"u{i // 2}-{k}" for k in range(24 if i % 3 else 40)])) for i in range(120)]

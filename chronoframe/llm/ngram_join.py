@@ -26,6 +26,7 @@ ignored; an empty table gives none.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -140,28 +141,32 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
 
 
 def _set_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per row its document, the hash of its text, the size and the hash of its set."""
+    """Per row its document, the size and the hash of its set."""
     for part, sets in _chunks(batches):
         h = np.array([(np.bitwise_xor.reduce(mix(s + _A)), mix(s).sum(dtype=np.uint64)) if len(s) else (0, 0) for s in sets], np.uint64).reshape(-1, 2).view(np.int64)
-        yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(h[:, 0]), pa.array(h[:, 1])], names=["doc", "text_id", "n", "h1", "h2"])
+        yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(h[:, 0]), pa.array(h[:, 1])], names=["doc", "n", "h1", "h2"])
 
 
 _DEALT = "bucket long, sig array<long>, doc array<long>, more array<boolean>"
 
 
 def _deal(percent: int, n_buckets: int):
-    """Signatures of a run of documents, dealt into buckets: of each signature its smallest document, and whether there are
-    more in the run. The others stay together in a bucket of their own below 0, so that no signature gathers them."""
+    """Signatures of a run of documents, but for those whose set a smaller document of the run has, dealt into buckets: of each
+    signature its smallest document, and whether there are more in the run. The others stay together in a bucket of their own below 0, so that no signature gathers them."""
 
     def lists(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
         return pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(values))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, sets in _chunks(batches):
-            at, sig = part_enum(sets, percent)
+            ids = part.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
+            first: dict[bytes, int] = {}
+            for k in np.argsort(ids, kind="stable").tolist():
+                first.setdefault(hashlib.blake2b(sets[k].tobytes(), digest_size=16).digest(), k)
+            at, sig = part_enum([sets[k] for k in first.values()], percent)
             if not len(sig):
                 continue
-            doc = part.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)[at]
+            doc = ids[list(first.values())][at]
             order = np.lexsort((doc, sig))
             sig, doc = sig[order], doc[order]
             new = np.append(True, sig[1:] != sig[:-1])
@@ -226,9 +231,9 @@ def _verify(percent: int):
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """The pairs that are links. The pairs of one a are parted by b, FAN in a part; each part gets a's text once. The ids are
-    written tables, so that the planner may broadcast them to the texts instead of shuffling those."""
-    t = lambda side: texts.select(F.col("doc_id").alias(side), F.col("text").alias(f"text_{side}"))
+    """The pairs that are links. The pairs of one a are parted by b, FAN in a part; each part gets a's text once. Ids meet
+    texts in sort-merge joins at every size: neither side has a bound."""
+    t = lambda side: texts.select(F.col("doc_id").alias(side), F.col("text").alias(f"text_{side}")).hint("merge")
     fans = pairs.groupBy("a").agg(F.ceil(F.count("*") / FAN).alias("fans"))
     pairs = saved(pairs.join(fans, "a").select("a", "b", F.pmod(F.xxhash64("b"), "fans").alias("fan")), "pairs")
     left = saved(pairs.select("a", "fan").distinct(), "firsts").join(t("a"), "a")
@@ -354,7 +359,7 @@ def _close_pairs(percent: int):
 def _same_once(shared: DataFrame) -> DataFrame:
     """sig, doc, weight: of signatures that name the same documents one, with their number."""
     groups = shared.groupBy("sig").agg(F.count("*").alias("n"), F.min("doc").alias("low"), F.bit_xor(F.xxhash64("doc")).alias("h"), F.max("doc").alias("high"))
-    once = groups.groupBy("n", "low", "high", "h").agg(F.min("sig").alias("sig"), F.count("*").alias("weight"))
+    once = groups.where("n > 1").groupBy("n", "low", "high", "h").agg(F.min("sig").alias("sig"), F.count("*").alias("weight"))
     return shared.join(once.select("sig", "weight"), "sig")
 
 
@@ -365,7 +370,7 @@ def _cross_pairs(labelled: DataFrame, texts: DataFrame, percent: int) -> DataFra
     mixed = saved(mixed.select("sig", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "mixed")
     rows = saved(labelled.join(mixed, "sig").select("sig", "doc", "component", "blocks"), "mixed-rows")
     asked = saved(rows.select(F.col("doc").alias("doc_id")).distinct(), "asked")
-    sketches = saved(texts.join(asked, "doc_id", "left_semi").mapInArrow(_sketch, "doc long, n long, bits binary"), "sketches")
+    sketches = saved(texts.join(asked.hint("merge"), "doc_id", "left_semi").mapInArrow(_sketch, "doc long, n long, bits binary"), "sketches")
     rows = rows.withColumn("block", F.pmod(F.xxhash64("doc"), "blocks").cast("int"))
     # a document stands on the left of the pairs of its block with later ones, on the right with earlier ones, on both with its own
     rows = rows.withColumn("meet", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -376,22 +381,24 @@ def _cross_pairs(labelled: DataFrame, texts: DataFrame, percent: int) -> DataFra
 
 def ngram_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id per row of docs."""
-    docs = docs.select("doc_id", F.xxhash64("text").alias("text_id"), "text")
-    sets = saved(docs.mapInArrow(_set_hashes, "doc long, text_id long, n long, h1 long, h2 long"), "sets")
+    docs = docs.select("doc_id", "text")
+    sets = saved(docs.mapInArrow(_set_hashes, "doc long, n long, h1 long, h2 long"), "sets")
     known = sets.where("doc is not null and n > 0")
     # sets that more than one row has; written, so that the planner may broadcast them or split a very common one
     reps = saved(known.groupBy("h1", "h2").agg(F.min("doc").alias("rep"), F.count("*").alias("rows")).where("rows > 1").drop("rows"), "reps")
     rep = F.when(F.col("doc").isNotNull(), F.coalesce("rep", "doc")).alias("rep")
-    sets = saved(sets.join(reps, ["h1", "h2"], "left").select("doc", "text_id", "n", rep), "sets")
-    copies = saved(sets.where("doc <> rep").select(F.col("doc").alias("doc_id"), "text_id").distinct(), "copies")
-    docs = docs.where("doc_id is not null").join(copies, ["doc_id", "text_id"], "left_anti").select("doc_id", "text")
+    sets = saved(sets.join(reps, ["h1", "h2"], "left").select("doc", "n", rep), "sets")
+    # documents that stand for no set: all of their rows have that of a smaller document
+    copies = sets.where("doc is not null").groupBy("doc").agg(F.bool_or(F.col("doc") == F.col("rep")).alias("own")).where("not own").select("doc")
+    copies = saved(copies, "copies")
+    docs = docs.where("doc_id is not null")
 
     total = sets.agg(F.sum("n")).first()[0] or 0
     dealt = docs.mapInArrow(_deal(percent, 1 + total // BUCKET_SIGS), _DEALT)
     shared = saved(dealt.groupBy("bucket").applyInArrow(_keep_shared, "sig long, doc long"), "shared")
-    shared = saved(_same_once(shared), "shared-once")
+    shared = saved(_same_once(shared.join(copies, "doc", "left_anti")), "shared-once")
     asked = saved(shared.select(F.col("doc").alias("doc_id")).distinct(), "asked")
-    texts = saved(docs.join(asked, "doc_id", "left_semi"), "texts")
+    texts = saved(docs.join(asked.hint("merge"), "doc_id", "left_semi"), "texts")
 
     # rows of one document with different sets are one document
     links = sets.where("rep is not null").groupBy("doc").agg(F.min("rep").alias("x"), F.max("rep").alias("y")).where("x < y").select("doc")

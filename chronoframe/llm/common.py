@@ -57,6 +57,14 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, *paths: str) -> None:
+    """Written tables that are no longer needed."""
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(hadoop).delete(place, True)
+
+
 @contextlib.contextmanager
 def temporary(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
     """Tables that saved() writes inside are deleted at the end. Gives a saved() whose tables stay: what is made of the
@@ -73,10 +81,7 @@ def temporary(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFr
         yield kept
     finally:
         _TEMPORARY.remove(paths)
-        hadoop = spark.sparkContext._jsc.hadoopConfiguration()
-        for path in paths:
-            place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(hadoop).delete(place, True)
+        delete(spark, *paths)
 
 
 def mix(a: np.ndarray) -> np.ndarray:

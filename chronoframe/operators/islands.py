@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .folds import Covers, Spacing, ZigZag, by_time, fold_in_chunks
+
 
 def _before(by: list[str], order: str = "t"):
     return Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
@@ -127,78 +127,47 @@ def top_layer(items: DataFrame, by: list[str], key: str, width: float) -> DataFr
     return cells.groupBy(*by, "_i").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.max(key).alias(key)).withColumn("black", F.col(key).isNull()).drop("_i")
 
 
-def thin(df: DataFrame, by: list[str], gap: float, out: str = "t") -> DataFrame:
-    """Greedy: a row stays if it is gap or more after the last that stayed. A fold over the times of one recording."""
-    kept = F.aggregate(F.array_sort(F.collect_list("t")), F.array().cast("array<double>"), lambda acc, t: F.when((F.size(acc) == 0) | (t - F.element_at(acc, -1) >= gap), F.concat(acc, F.array(t))).otherwise(acc))
-    return df.groupBy(*by).agg(kept.alias("_k")).select(*by, F.explode("_k").alias(out))
+def thin(df: DataFrame, by: list[str], gap: float, out: str = "t", chunk: float | None = None) -> DataFrame:
+    """Greedy: a row stays if it is gap or more after the last that stayed. `chunk`: seconds of a recording that one task takes."""
+    rows = df.where("t is not null").select(*by, "t")
+    return fold_in_chunks(rows, by, ["t"], by_time("t", chunk), Spacing("t", gap, "t"), f"{out} double")
 
 
 def spaced_top_k(df: DataFrame, by: list[str], key: str, score: str, spacing: float, k: int) -> DataFrame:
-    """Greedy: best score first, rows within the spacing of one already picked are passed over; at most k (the feature)."""
-    rows = F.array_sort(F.collect_list(F.struct((-F.col(score)).alias("s"), "t", key)))
-    empty = F.array().cast("array<struct<s:double,t:double,k:bigint>>")
-    near = lambda acc, x: F.exists(acc, lambda y: F.abs(y["t"] - x["t"]) < spacing)
-    picked = F.aggregate(rows, empty, lambda acc, x: F.when((F.size(acc) < k) & ~near(acc, x), F.concat(acc, F.array(F.struct(x["s"].cast("double").alias("s"), x["t"].alias("t"), x[key].cast("long").alias("k"))))).otherwise(acc))
-    return df.groupBy(*by).agg(picked.alias("_p")).select(*by, F.posexplode("_p").alias("rank", "x")).select(*by, (F.col("rank") + 1).alias("rank"), F.col("x.k").alias(key))
-
-
-def legs(df: DataFrame, by: list[str], schema_by: str, level: str, step: float) -> DataFrame:
-    """Zig-zag legs: a reversal of `step` closes one. An ordered fold per recording."""
-
-    def fold(rows: list[tuple[float, float]]) -> Iterator[tuple]:
-        t0, v0 = rows[0]
-        top = low = (t0, v0)
-        start, way = (t0, v0), 0
-        for t, v in rows[1:]:
-            top, low = (max(top, (t, v), key=lambda x: x[1]), min(low, (t, v), key=lambda x: x[1]))
-            if way >= 0 and top[1] - v >= step and top[0] >= start[0]:
-                if top[0] > start[0]:
-                    yield (*start, *top)
-                start, way, low = top, -1, (t, v)
-                top = (t, v)
-            elif way <= 0 and v - low[1] >= step and low[0] >= start[0]:
-                if low[0] > start[0]:
-                    yield (*start, *low)
-                start, way, top = low, 1, (t, v)
-                low = (t, v)
-        if rows[-1][0] > start[0]:
-            yield (*start, *rows[-1])
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("t")
-        found = list(fold(list(zip(group["t"], group[level]))))
-        out = pd.DataFrame(found, columns=["t_from", "v_from", "t_to", "v_to"], dtype=float)
-        for c in reversed(by):
-            out.insert(0, c, group[c].iloc[0])
-        return out
-
-    return df.select(*by, "t", level).groupBy(*by).applyInPandas(run, f"{schema_by}, t_from double, v_from double, t_to double, v_to double")
-
-
-def leader_runs(df: DataFrame, by: list[str], schema_by: str, least: float) -> DataFrame:
-    """Runs of a non-null leader (nobody never closes one); a short run folds into the one kept before it, a short leading run drops."""
-    d = df.where("leader is not null")
+    """Greedy: best score first (then earliest, then smallest key), rows within the spacing of one already picked are passed
+    over; at most k (the feature). Each pick is one aggregate over the rows that are free of those before it."""
+    rows = df.where(F.col(score).isNotNull() & F.col("t").isNotNull()).select(*by, F.struct((-F.col(score)).alias("s"), "t", F.col(key).alias("k")).alias("x"))
+    # rows that can't be among the k: of the best rows of every other bucket as wide as the spacing, each pick passes over two at most
+    bucket = F.floor(F.col("x.t") / spacing)
+    tops = rows.groupBy(*by, bucket.alias("_b")).agg(F.min("x.s").alias("_s")).withColumn("_b", F.pmod("_b", F.lit(2)))
+    tops = tops.withColumn("_n", F.row_number().over(Window.partitionBy(*by, "_b").orderBy("_s"))).where(F.col("_n") == 2 * k - 1)
+    floor = tops.groupBy(*by).agg(F.min("_s").alias("_floor"))
+    rows = rows.join(floor, by, "left").where(F.col("_floor").isNull() | (F.col("x.s") <= F.col("_floor"))).drop("_floor")
+    picked = None
+    for n in range(k):
+        free = rows if picked is None else rows.join(picked, by).where(~F.exists("_p", lambda p: F.abs(p["t"] - F.col("x.t")) < spacing))
+        best = free.groupBy(*by).agg(F.min("x").alias("_x"))
+        picked = best.select(*by, F.array("_x").alias("_p")) if picked is None else picked.join(best, by, "left").select(*by, F.when(F.col("_x").isNull(), F.col("_p")).otherwise(F.concat("_p", F.array("_x"))).alias("_p"))
+    return picked.select(*by, F.posexplode("_p").alias("rank", "x")).select(*by, (F.col("rank") + 1).alias("rank"), F.col("x.k").alias(key))
+
+
+def legs(df: DataFrame, by: list[str], level: str, step: float, chunk: float | None = None) -> DataFrame:
+    """Zig-zag legs: a reversal of `step` closes one. `chunk`: seconds of a recording that one task takes."""
+    rows = df.where(F.col("t").isNotNull() & F.col(level).isNotNull()).select(*by, "t", level)
+    return fold_in_chunks(rows, by, ["t"], by_time("t", chunk), ZigZag("t", level, step), "t_from double, v_from double, t_to double, v_to double")
+
+
+def leader_runs(df: DataFrame, by: list[str], least: float) -> DataFrame:
+    """Runs of a non-null leader (nobody never closes one); a short run folds into the one kept before it, a short leading run
+    drops. Short runs only stretch what is before them, so the first run and the long ones stand for all."""
     w = Window.partitionBy(*by).orderBy("t")
-    d = d.withColumn("_new", F.coalesce(F.lag("leader").over(w) != F.col("leader"), F.lit(True)))
+    d = df.where("leader is not null").withColumn("_new", F.coalesce(F.lag("leader").over(w) != F.col("leader"), F.lit(True)))
     last = df.groupBy(*by).agg(F.max("t").alias("_end"))
-    r = d.where("_new").withColumn("stop", F.lead("t").over(w)).join(last, by).select(*by, F.col("t").alias("start"), F.coalesce("stop", "_end").alias("stop"), "leader")
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        kept: list[list] = []
-        for row in group.sort_values("start").itertuples(index=False):
-            if kept and (kept[-1][2] == row.leader or row.stop - row.start < least):
-                kept[-1][1] = row.stop
-            elif kept and kept[-1][1] - kept[-1][0] < least:
-                kept[-1] = [row.start, row.stop, row.leader]
-            else:
-                kept.append([row.start, row.stop, row.leader])
-        kept = [k for k in kept if k[1] - k[0] >= least]
-        out = pd.DataFrame(kept, columns=["start", "stop", "leader"]).astype({"start": float, "stop": float})
-        for c in reversed(by):
-            out.insert(0, c, group[c].iloc[0])
-        return out
-
-    return r.groupBy(*by).applyInPandas(run, f"{schema_by}, start double, stop double, leader string")
+    r = d.where("_new").select(*by, "t", "leader", F.lead("t").over(w).alias("_next"), F.lag("t").over(w).isNull().alias("_first")).join(last, by)
+    r = r.where(F.col("_first") | (F.coalesce("_next", "_end") - F.col("t") >= least))
+    r = r.withColumn("_new", F.coalesce(F.lag("leader").over(w) != F.col("leader"), F.lit(True))).where("_new")
+    r = r.select(*by, F.col("t").alias("start"), F.coalesce(F.lead("t").over(w), F.col("_end")).alias("stop"), "leader")
+    return r.where(F.col("stop") - F.col("start") >= least)
 
 
 def moving_runs(df: DataFrame, by: list[str], still: float, least: float, gap: float) -> DataFrame:
@@ -212,10 +181,10 @@ def moving_runs(df: DataFrame, by: list[str], still: float, least: float, gap: f
     return spans.select(*by, "start", "stop").join(net, [*by, "start"])
 
 
-def drop_covered(items: DataFrame, by: list[str], key: str) -> DataFrame:
+def drop_covered(items: DataFrame, by: list[str], key: str, chunk: float | None = None) -> DataFrame:
     """Items without media go where others cover every part of them; then, in order of (start, media first), an item that
     overlaps the one kept before it goes. The first rule is counts of open items between edges, without pairs; the second
-    is a fold over the items of one recording."""
+    takes `chunk` seconds of a recording in one task. An item that stops before it starts counts as empty."""
     ends = items.select(*by, F.explode(F.array(F.struct(F.col("start").alias("t"), F.lit(1).alias("d")), F.struct(F.col("stop").alias("t"), F.lit(-1).alias("d")))).alias("x")).select(*by, "x.*")
     ends = ends.groupBy(*by, "t").agg(F.sum("d").alias("d"))
     w = Window.partitionBy(*by).orderBy("t")
@@ -223,11 +192,8 @@ def drop_covered(items: DataFrame, by: list[str], key: str) -> DataFrame:
     ends = ends.withColumn("alone", alone).select(*by, "t", F.coalesce(F.sum("alone").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("n"))
     at = lambda c: ends.select(*by, F.col("t").alias(c), F.col("n").alias(f"_{c}"))
     left = items.join(at("start"), [*by, "start"]).join(at("stop"), [*by, "stop"]).where(F.col("media") | (F.col("_stop") > F.col("_start")))
-    rows = F.array_sort(F.collect_list(F.struct("start", (~F.col("media")).alias("plain"), key, "stop")))
-    last = lambda acc: F.element_at(acc, -1)
-    free = lambda acc, x: (F.size(acc) == 0) | (x["start"] >= last(acc)["stop"]) | (last(acc)["start"] >= x["stop"])
-    kept = F.aggregate("_r", F.slice(F.col("_r"), 1, 0), lambda acc, x: F.when(free(acc, x), F.concat(acc, F.array(x))).otherwise(acc))
-    found = left.groupBy(*by).agg(rows.alias("_r")).select(*by, F.explode(F.transform(kept, lambda x: x[key])).alias(key))
+    rows = left.select(*by, "start", "stop", (~F.col("media")).alias("plain"), key)
+    found = fold_in_chunks(rows, by, ["start", "plain", key, "stop"], by_time("start", chunk), Covers("start", "stop", key), f"{key} {items.schema[key].dataType.simpleString()}")
     return items.join(found, [*by, key], "left_semi")
 
 
@@ -244,15 +210,23 @@ def merge_same_kind(spans: DataFrame, by: list[str], gap: float) -> DataFrame:
 
 def span_groups(readings: DataFrame, by: list[str], schema_by: str, bridge: float, least: int) -> DataFrame:
     """Readings (start, stop, mask: element numbers) gathered in order: one joins the first group that ends at most `bridge`
-    before it and shares at least `least` elements with all of that group's readings. A fold over the readings of one key."""
+    before it and shares at least `least` elements with all of that group's readings. No group reaches over a gap wider than
+    the bridge after all readings before it, so the fold takes one stretch between such gaps at a time."""
+    w = Window.partitionBy(*by).orderBy("start", "stop")
+    reach = F.max("stop").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    cut = readings.select(*by, "start", "stop", "mask", F.coalesce(F.col("start") > reach + bridge, F.lit(True)).cast("long").alias("_n"))
+    cut = cut.withColumn("_n", F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, 0)))
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         found: list[list] = []
+        open_: list[list] = []
         for row in group.sort_values(["start", "stop"], kind="stable").itertuples(index=False):
             mask = set(row.mask)
-            home = next((g for g in found if row.start <= g[1] + bridge and len(g[2] & mask) >= least), None)
+            open_ = [g for g in open_ if row.start <= g[1] + bridge]
+            home = next((g for g in open_ if len(g[2] & mask) >= least), None)
             if home is None:
-                found.append([row.start, row.stop, mask, 1])
+                open_.append([row.start, row.stop, mask, 1])
+                found.append(open_[-1])
             else:
                 home[0], home[1], home[2], home[3] = min(home[0], row.start), max(home[1], row.stop), home[2] & mask, home[3] + 1
         out = pd.DataFrame([(a, b, sorted(m), n) for a, b, m, n in found], columns=["start", "stop", "held", "readings"])
@@ -260,7 +234,7 @@ def span_groups(readings: DataFrame, by: list[str], schema_by: str, bridge: floa
             out.insert(0, c, group[c].iloc[0])
         return out
 
-    return readings.select(*by, "start", "stop", "mask").groupBy(*by).applyInPandas(run, f"{schema_by}, start double, stop double, held array<long>, readings long")
+    return cut.groupBy(*by, "_n").applyInPandas(run, f"{schema_by}, start double, stop double, held array<long>, readings long")
 
 
 def note_spans(frames: DataFrame, by: list[str], schema_by: str, opens: float = 0.15, closes: float = 0.06, apart: float = 1.0, confirm: int = 2, least: float = 0.04, reach: float = 0.0215) -> DataFrame:

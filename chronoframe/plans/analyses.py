@@ -125,9 +125,10 @@ def bursts_over_baseline(hits: DataFrame, grid: DataFrame, by: list[str], stem:
     return out.select(*by, "first", F.round("start", 3).alias("start"), F.round("stop", 3).alias("stop"), length.alias("beats"), F.col("total").cast("long").alias("hits"), "confidence")
 
 
-def phrase_boundaries(notes: DataFrame, grid: DataFrame, by: list[str], least: float = 0.35) -> DataFrame:
+def phrase_boundaries(notes: DataFrame, grid: DataFrame, by: list[str], least: float = 0.35, chunk: int = 4096) -> DataFrame:
     """Ends of notes that end a phrase: by the rest after them, how long they are held or the leap that follows. The strongest
-    cue carries the confidence, the mean of the others and the bar line add to it; two ends need two beats between them."""
+    cue carries the confidence, the mean of the others and the bar line add to it; two ends need two beats between them, kept in order
+    of the notes, `chunk` of them in a task."""
     w = Window.partitionBy(*by).orderBy("t", "end")
     step = grid.select(*by, (F.lead("t").over(Window.partitionBy(*by).orderBy("t")) - F.col("t")).alias("s"))
     beat = step.groupBy(*by).agg(F.median(F.when(F.col("s") > 0, F.col("s"))).alias("beat")).where("beat is not null")
@@ -148,11 +149,9 @@ def phrase_boundaries(notes: DataFrame, grid: DataFrame, by: list[str], least: f
     line = bar_line_strength(F.coalesce("r_downbeat", F.lit(False)), F.coalesce("r_bar", F.lit(0)))
     sure = clamp01(0.55 * F.element_at(cues, 3) + 0.2 * (F.element_at(cues, 2) + F.element_at(cues, 1)) / 2 + 0.25 * line)
     c = c.withColumn("confidence", F.round(sure, 3)).where(F.col("confidence") >= least)
-    # in order of the notes: two beats after the end kept last. A fold over the ends of one recording
-    ends = F.array_sort(F.collect_list(F.struct("i", (F.col("measured") / F.col("beat")).alias("at"))))
-    far = lambda acc, x: (F.size(acc) == 0) | (x["at"] - F.element_at(acc, -1)["at"] >= 2)
-    kept = F.aggregate("_e", F.slice(F.col("_e"), 1, 0), lambda acc, x: F.when(far(acc, x), F.concat(acc, F.array(x))).otherwise(acc))
-    kept = c.groupBy(*by).agg(ends.alias("_e")).select(*by, F.explode(F.transform(kept, lambda x: x["i"])).alias("i"))
+    # in order of the notes: two beats after the end kept last
+    ends = c.select(*by, "i", (F.col("measured") / F.col("beat")).alias("at"))
+    kept = I.fold_in_chunks(ends, by, ["i"], F.floor(F.col("i") / chunk).cast("long"), I.Spacing("at", 2.0, "i"), "i long")
     v = Window.partitionBy(*by).orderBy("i")
     return c.join(kept, [*by, "i"]).select(*by, F.round("t", 3).alias("t"), F.round("measured", 3).alias("measured"), (F.col("i") - F.coalesce(F.lag("i").over(v), F.lit(0))).alias("notes"), "confidence")
 

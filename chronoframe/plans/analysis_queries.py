@@ -31,7 +31,7 @@ def _layers(s, d):
     ).replace("WITH", "WITH RECURSIVE", 1),
 )
 def f17(s, d):
-    return I.drop_covered(_layers(s, d), BY, "event_id").select("rec_id", "event_id")
+    return I.drop_covered(_layers(s, d), BY, "event_id", chunk=604800.0).select("rec_id", "event_id")
 
 
 @query(

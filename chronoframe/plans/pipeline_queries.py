@@ -60,7 +60,7 @@ def i04(s, d):
 @query("i05_lead_changes")
 def i05(s, d):
     e = recordings(s, d).groupBy("rec_id", (F.floor(F.col("t") / 86400) * 86400).cast("double").alias("t"), "event_type").agg(F.sum("value").alias("level"))
-    return P.lead_changes(e, of_type(s, d, "view"), BY, "rec_id long", "event_type", "level", 1.0, 86400.0, 36000.0)
+    return P.lead_changes(e, of_type(s, d, "view"), BY, "event_type", "level", 1.0, 86400.0, 36000.0)
 
 
 @query("i10_rhythm")

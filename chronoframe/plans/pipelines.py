@@ -37,10 +37,10 @@ def quiet_sections(curve: DataFrame, onsets: DataFrame, by: list[str], level: st
     return d.withColumn("reason", F.when(F.col("stop") - F.col("start") < least, "brief").when(F.col("density") < density, "sparse"))
 
 
-def lead_changes(levels: DataFrame, grid: DataFrame, by: list[str], schema_by: str, name: str, level: str, margin: float, least: float, snap: float) -> DataFrame:
+def lead_changes(levels: DataFrame, grid: DataFrame, by: list[str], name: str, level: str, margin: float, least: float, snap: float) -> DataFrame:
     """Who leads when: the leading series by prominence, short runs folded, changes snapped to the grid."""
     lifted = W.prominence(levels.withColumnRenamed(name, "_n"), [*by, "_n"], level).withColumnRenamed("_n", name)
-    r = I.leader_runs(W.leader(lifted, by, name, "lift", margin), by, schema_by, least)
+    r = I.leader_runs(W.leader(lifted, by, name, "lift", margin), by, least)
     w = Window.partitionBy(*by).orderBy("start")
     ch = r.select(*by, F.col("start").alias("t"), F.lag("leader").over(w).alias("was"), F.col("leader").alias("to"))
     return J.nearest_join(ch, grid, by, ["t"], within=snap).withColumn("at", F.coalesce("r_t", "t")).drop("r_t", "offset")

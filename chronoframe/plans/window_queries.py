@@ -283,7 +283,7 @@ def f10(s, d):
 
 @query("f11_leader_runs")
 def f11(s, d):
-    return I.leader_runs(W.leader(_daily(s, d), BY, "event_type", "lift", 5.0), BY, "rec_id long", 172800.0)
+    return I.leader_runs(W.leader(_daily(s, d), BY, "event_type", "lift", 5.0), BY, 172800.0)
 
 
 @query("f14_class_spans", sql(f"+c AS (SELECT *, coalesce(lag(event_type) OVER w = event_type, FALSE) AS same FROM e {_W}), f AS (SELECT * FROM c WHERE NOT same) SELECT rec_id, t AS start, coalesce(lead(t) OVER (PARTITION BY rec_id ORDER BY t), (SELECT max(t) FROM e x WHERE x.rec_id = f.rec_id)) AS stop, event_type AS label FROM f", "e"))
@@ -304,7 +304,7 @@ def f16(s, d):
 
 @query("f20_legs")
 def f20(s, d):
-    return I.legs(recordings(s, d), BY, "rec_id long", "value", 25.0)
+    return I.legs(recordings(s, d), BY, "value", 25.0, chunk=604800.0)
 
 
 @query("f23_moving_runs")
@@ -320,4 +320,4 @@ def g04(s, d):
 
 @query("g05_thin", sql("+k AS (SELECT rec_id, min(t) AS t FROM e GROUP BY 1 UNION ALL SELECT k.rec_id, (SELECT min(e.t) FROM e WHERE e.rec_id = k.rec_id AND e.t - k.t >= 86400) AS t FROM k WHERE k.t IS NOT NULL) SELECT rec_id, t FROM k WHERE t IS NOT NULL", "e").replace("WITH", "WITH RECURSIVE", 1))
 def g05(s, d):
-    return I.thin(recordings(s, d), BY, 86400.0)
+    return I.thin(recordings(s, d), BY, 86400.0, chunk=604800.0)

@@ -3,7 +3,8 @@
 A page is read as a sequence of blocks and tags. The words of a block score positive where labelled pages have
 main text in such a place and negative where they have none; each block-level tag scores negative, by how much denser
 tags stand outside of their main text than inside. One linear
-scan finds the contiguous region with the best sum; blocks left out wherever they stand (asides, forms, adverts,
+scan finds the contiguous region with the best sum, and the innermost main element that it reaches is taken as a
+whole, whatever its lists of links and short ends score; blocks left out wherever they stand (asides, forms, adverts,
 reader comments) cost a fixed little, as they are not part of its text. Where a class, id or role marks them so, the
 mark is a weight, not a verdict: an element that holds the main element of a page (main, article, articleBody) is not
 marked, and a region inside marks competes with the unmarked one at a tenth of its sum per mark (a fiftieth where
@@ -48,7 +49,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 LEFT_OUT = frozenset("nav aside footer form button menu dialog search fieldset".split())
 MAIN = frozenset("article main".split())
 CLOSES_ITSELF = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-_TOP = ("body", "body", False, False, -1, -1, "")
+_TOP = ("body", "body", 0, False, -1, -1, "")
 _HOLDERS = frozenset("nav aside footer header form ul ol table".split())
 _ENDS_P = BLOCK - {"body", "html"}
 _BUTTON_END = re.compile(r"</button\b[^>]*>", re.I)
@@ -75,13 +76,13 @@ def _attributes(text: str) -> tuple[str, bool, bool]:
     return words, main or "article-body" in words or words == "main", hidden
 
 
-def blocks(page: str) -> list[tuple[str, str, bool, int, int, int]]:
-    """(text, kind of place, in marked main text, marks around it or OUT if left out, the outermost of them, block-level tags before it)."""
+def blocks(page: str) -> list[tuple[str, str, int, int, int, int]]:
+    """(text, kind of place, number of the innermost main element around it or 0, marks around it or OUT if left out, the outermost of them, block-level tags before it)."""
     out, parts, at, tags = [], [], 0, 0
-    stack = []  # (tag, kind, in main, left out, innermost mark, innermost mark that no main element stands before, innermost holder)
+    stack = []  # (tag, kind, innermost main element, left out, innermost mark, innermost mark that no main element stands before, innermost holder)
     open_tags, button_ends = Counter(), True
     marks = []  # the mark around each marked element
-    holders, mains = set(), 0  # marked elements that hold a main element; main elements so far
+    holders, mains, numbers = set(), 0, 0  # marked elements that hold a main element; main elements so far, and with those left out
     top = _TOP
     in_link = words_linked = 0
 
@@ -151,7 +152,9 @@ def blocks(page: str) -> list[tuple[str, str, bool, int, int, int]]:
             _, _, main, left, mark, early, holder = stack[-1] if stack else _TOP
             words, marks_main, hidden = _attributes(m[3]) if m[3] else ("", False, False)
             marked = bool(words and tag not in ("html", "body", "main") and not marks_main and _MARKED.search(words))
-            main = main or tag in MAIN or marks_main
+            if tag in MAIN or marks_main:
+                numbers += 1
+                main = numbers
             left = left or hidden or tag in LEFT_OUT or (tag == "header" and not main)
             if marked:
                 marks.append(mark)
@@ -210,7 +213,7 @@ def score_of(kind: str, weights: dict[str, float]) -> float:
     return weights.get(kind, -0.5 if kind.endswith(":a") else 0.5 if re.search(r">(li|td|body)", kind) else 1.0)
 
 
-def _region(found: list[tuple[str, str, bool, int, int, int]], weights: dict[str, float], marks: int) -> tuple[float, int, int]:
+def _region(found: list[tuple[str, str, int, int, int, int]], weights: dict[str, float], marks: int) -> tuple[float, int, int]:
     """Best sum, and the region that has it, over the blocks with so many marks in one marked element; the others are left out."""
     best, span, now, start, inside = 0.0, (0, 0), 0.0, 0, -1
     tag_score = weights.get(TAG, TAG_PLAIN)
@@ -228,11 +231,16 @@ def _region(found: list[tuple[str, str, bool, int, int, int]], weights: dict[str
 
 
 def main_text(page: str, weights: dict[str, float]) -> str:
-    """The blocks of the best region, without those left out wherever they stand, joined by line ends."""
+    """The blocks of the best region, without those left out wherever they stand, joined by line ends. A main element that
+    the region reaches is part of it as a whole."""
     found = blocks(page)
     weight = BESIDE_MAIN if any(main and not left for _, _, main, left, _, _ in found) else MARK_WEIGHT
     regions = [(*_region(found, weights, k), k) for k in sorted({b[3] for b in found} - {OUT})]
     _, start, end, marks = max(regions, key=lambda r: r[0] * weight ** r[3], default=(0.0, 0, 0, 0))
+    reached = {b[2] for b in found[start:end] if b[2] and b[3] == marks}
+    whole = [i for i, b in enumerate(found) if b[2] in reached and b[3] == marks]
+    if whole:
+        start, end = min(start, whole[0]), max(end, whole[-1] + 1)
     return "\n".join(b[0] for b in found[start:end] if b[3] == marks)
 
 

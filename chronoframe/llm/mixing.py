@@ -102,9 +102,9 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: float = 3.0) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies: how often the mix takes each document."""
-    sized = saved(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("doc_id", "text").alias("pick")), "sized")
+def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: float = 3.0, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies: how often the mix takes each document; and the columns `carry`."""
+    sized = saved(docs.select(*carry, "doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("doc_id", "text").alias("pick")), "sized")
     sources = saved(source_targets(sized, weights, cap), "sources")
     salted = sources.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumnRenamed("source", "s")
     rows = sized.withColumn("salt", F.pmod(F.shiftrightunsigned("pick", 40), F.lit(SALTS)).cast("int"))
@@ -112,14 +112,14 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: fl
     expected = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(cap))).otherwise(0.0)
     whole = F.floor(expected)
     n_buckets = F.ceil(F.col("n_docs") / BUCKET_ROWS)
-    rows = rows.select("doc_id", "source", "size", "source_size", "target", "sid", "pick", whole.cast("int").alias("whole"), (expected - whole).alias("p"), F.pmod("pick", n_buckets).alias("bucket"))
+    rows = rows.select(*carry, "doc_id", "source", "size", "source_size", "target", "sid", "pick", whole.cast("int").alias("whole"), (expected - whole).alias("p"), F.pmod("pick", n_buckets).alias("bucket"))
     most = sources.agg(F.max(n_buckets)).first()[0] or 1
     done, open_rows = None, rows
     while True:
         flown = open_rows.groupBy("sid", "bucket").applyInPandas(_fly(most == 1), rows.schema)
         if most == 1:
             flown = flown if done is None else done.unionByName(flown)
-            return flown.select("doc_id", "source", "size", "source_size", "target", (F.col("whole") + F.round("p").cast("int")).alias("copies"))
+            return flown.select(*carry, "doc_id", "source", "size", "source_size", "target", (F.col("whole") + F.round("p").cast("int")).alias("copies"))
         flown = saved(flown, "flown")
         closed = flown.where("p = 0 or p = 1")
         done = closed if done is None else done.unionByName(closed)

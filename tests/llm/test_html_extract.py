@@ -45,6 +45,24 @@ def test_wrapped_pages():
                 assert main_text(page, {}) == WANT, (tag, name, inner)
 
 
+LINKS = "".join(f"<li><a href='/{i}'>Link number {i} of the list</a></li>" for i in range(25))
+
+
+def test_whole_main_elements(spark):
+    """Lists of links, tables and short ends of a marked article stay, whatever their places score elsewhere."""
+    inner = [f"<p>{TEXT}</p>", f"<ul>{LINKS}</ul>", "<table><tr><td>1</td><td>2</td></tr></table>", f"<p>{TEXT}</p>", "<p><a href='/x'>On</a></p>"]
+    want = "\n".join([TEXT.strip(), *(f"Link number {i} of the list" for i in range(25)), "1", "2", TEXT.strip(), "On"])
+    pages = [(i, "u", f"<nav><ul>{LINKS}</ul></nav><article><h1>t</h1><p>{TEXT}</p></article><ul>{LINKS}</ul>") for i in range(20)]
+    learned = place_weights(spark.createDataFrame(pages, "page_id long, url string, html string"))
+    for weights in ({}, learned):
+        for name in ("article", "main", "div itemprop='articleBody'"):
+            page = f"<body><ul>{LINKS}</ul><{name}>{''.join(inner)}<aside>{TEXT}</aside></{name.split()[0]}><footer>{TEXT}</footer></body>"
+            assert main_text(page, weights) == want, (name, weights)
+            assert main_text(f"<main><ul>{LINKS}</ul>{page}</main>", weights).endswith(want)
+    teaser = "<article><h3>Other</h3><p>A teaser.</p></article>"
+    assert main_text(f"<article><p>{TEXT}</p><article>A card</article><p>{TEXT}</p></article><ul>{LINKS}</ul>{teaser}", learned) == f"{TEXT.strip()}\nA card\n{TEXT.strip()}"
+
+
 def test_marks_are_weights():
     assert main_text(f"<div id='comments'>{THREAD}</div>", {}).count("A reader") == 27
     assert main_text(f"<article>{BODY}</article><div id='comments'>{THREAD * 20}</div>", {}) == WANT

@@ -119,13 +119,21 @@ def test_stages(spark, sf_dir):
         assert docs.collect() == []
 
 
-def test_mixing_rows_of_one_id(spark):
+def test_mixing_rows_of_one_id(spark, tmp_path):
+    """Rows that repeat an id, a size, a text or all of these have their own copies: each source keeps its target."""
     rows = [(i // 2 if i % 9 else None, "w " * (3 + i % 2 * (i % 7 + 1)), "ab"[i // 2 % 2], i) for i in range(200)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, i int")
-    copies = {}
-    for r in corpus_pipeline.mix_sources(docs).collect():
-        key = r.doc_id, r.source, r["size"]
-        copies[key] = max(copies.get(key, 0), r.copies)
-    want = sorted((i, copies[d, s, len(t.split())]) for d, t, s, i in rows if copies[d, s, len(t.split())])
-    got = sorted((r.i, r.copies) for r in corpus_pipeline.mixing(spark, docs, "").collect())
-    assert got == want and len(got) == len({i for i, _ in got})
+    rows += [(None, "same five words of text", "c", 1000 + i) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, i int").repartition(4)
+    size = {i: len(t.split()) for _, t, _, i in rows}
+    of = {i: s for _, _, s, i in rows}
+    target = {r.source: r.target for r in corpus_pipeline.mix_sources(docs).collect()}
+    docs.write.parquet(str(tmp_path / "docs"))
+    for d in (docs, spark.read.parquet(str(tmp_path / "docs"))):
+        got = {r.i: r.copies for r in corpus_pipeline.mixing(spark, d, "").collect()}
+        again = corpus_pipeline.mixing(spark, d, "").collect()
+        assert len(again) == len(got) and all(1 <= c <= 3 for c in got.values())
+        for source in "abc":
+            taken = sum(size[i] * c for i, c in got.items() if of[i] == source)
+            assert abs(taken - target[source]) <= max(size.values()), (source, taken, target)
+        read = corpus_pipeline.mixing(spark, spark.read.parquet(str(tmp_path / "docs")), "").collect()
+        assert sorted((r.i, r.copies) for r in read) == sorted((r.i, r.copies) for r in corpus_pipeline.mixing(spark, spark.read.parquet(str(tmp_path / "docs")), "").collect())

@@ -7,12 +7,13 @@ takes a document, and leaves out those it never takes.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronoframe.llm.common import saved, table, temporary
 from chronoframe.llm.decontaminate import drop_leaking
-from chronoframe.llm.mixing import mix_sources, word_count
+from chronoframe.llm.mixing import mix_sources
 from chronoframe.llm.ngram_join import drop_near_copies
 from chronoframe.llm.secrets import mask_secrets
 from chronoframe.llm.toxicity import drop_toxic, trained_on
@@ -39,16 +40,23 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents the mix takes, with copies, which replaces a column of that name. Rows that repeat a doc_id, source and
-    size get the most of theirs."""
+    """The documents the mix takes, with copies, which replaces a column of that name. Rows are told apart by their file and
+    their place in it, so rows that repeat an id, a text or both each have their own copies; docs that are no written table
+    are written first."""
+    try:
+        place = docs.metadataColumn("_metadata")
+        docs.select(place)
+    except AnalysisException:
+        docs = saved(docs, "unmixed")
+        place = docs.metadataColumn("_metadata")
     free = "mix"
     while any(c.lower().startswith(free) for c in docs.columns):
         free += "_"
-    mixed = mix_sources(docs).where("copies > 0").groupBy("doc_id", "source", "size").agg(F.max("copies").alias(f"{free}4"))
-    mixed = saved(mixed.select(F.col("doc_id").alias(f"{free}1"), F.col("source").alias(f"{free}2"), F.col("size").alias(f"{free}3"), f"{free}4"), "mix")
-    same = docs.doc_id.eqNullSafe(F.col(f"{free}1")) & docs.source.eqNullSafe(F.col(f"{free}2")) & (word_count(docs.text) == F.col(f"{free}3"))
-    own = [docs[c] for c in docs.columns if c.lower() != "copies"]
-    return docs.join(mixed, same).select(*own, F.col(f"{free}4").alias("copies"))
+    file, row, n = f"{free}1", f"{free}2", f"{free}3"
+    placed = docs.withColumns({file: F.xxhash64(place["file_path"]), row: place["row_index"]})
+    taken = mix_sources(placed, carry=(file, row)).where("copies > 0").select(file, row, F.col("copies").alias(n))
+    own = [c for c in docs.columns if c.lower() != "copies"]
+    return placed.join(saved(taken, "mix"), [file, row]).select(*own, F.col(n).alias("copies"))
 
 
 STAGES = [("toxicity", toxicity), ("near copies", near_copies), ("decontamination", decontamination), ("secrets", secrets), ("mixing", mixing)]

@@ -7,11 +7,11 @@ spreads over many tasks. Interval joins meet on buckets of time.
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .similarity import nearest_of_all
+
 
 def _both(left: DataFrame, right: DataFrame, by: list[str], cols: list[str], chunk: float | None, forward: bool = True) -> tuple[DataFrame, list[str]]:
     """Left and right rows in one table, the right ones with their columns in a struct _r."""
@@ -240,14 +240,6 @@ def match_truth(found: DataFrame, truth: DataFrame, by: list[str], tolerance: fl
     return per.join(f, by, "left").fillna(0, ["invented"]).withColumn("worst", F.when(F.col("matched") == F.col("truths"), F.round("_worst", 3))).drop("_worst")
 
 
-def lag_align(a: DataFrame, b: DataFrame, by: list[str], max_lag: int) -> DataFrame:
-    """Lag of b (in bins) with the highest correlation to a; both have (bin, v)."""
-    shifted = b.select(*by, "bin", F.col("v").alias("w"), F.explode(F.sequence(F.lit(-max_lag), F.lit(max_lag))).alias("lag")).withColumn("bin", F.col("bin") - F.col("lag"))
-    each = a.join(shifted, [*by, "bin"]).groupBy(*by, "lag").agg(F.when(F.var_pop("v") * F.var_pop("w") > 0, F.try_divide(F.covar_pop("v", "w"), F.sqrt(F.var_pop("v") * F.var_pop("w")))).alias("r"), F.count("*").alias("n")).where("n >= 3 and r is not null")
-    each = each.withColumn("r", F.round("r", 6))
-    return each.groupBy(*by).agg(F.max_by(F.struct("lag", "r"), F.struct("r", -F.abs("lag"), "lag")).alias("x")).select(*by, "x.*")
-
-
 def section_rollup(items: DataFrame, spans: DataFrame, by: list[str], key: str) -> DataFrame:
     """Items whose start falls in each section: count, rate per minute, length statistics and short ones."""
     hit = point_in_interval(items, spans.withColumn("stop", F.coalesce("stop", F.lit(float("inf")))), by, [key, "start"]).where(f"r_{key} is not null")
@@ -282,12 +274,11 @@ def _centred(v: Column) -> Column:
     return F.zip_with(v, F.array_repeat(mean, F.size(v)), lambda x, y: x - y)
 
 
-def nearest_vector(queries: DataFrame, candidates: DataFrame, on: list[str], key: str, slices: int = 64, block: int = 4096) -> DataFrame:
+def nearest_vector(queries: DataFrame, candidates: DataFrame, on: list[str], key: str, pivots: int = 64) -> DataFrame:
     """Candidate most like each query, never itself, at the same aligned key, with the margin to the worst; of equal ones the
-    smallest. With no aligned key every candidate is met: queries are dealt into blocks and candidates into slices, and a
-    task multiplies one block by one slice; pairs are never rows."""
+    smallest. With no aligned key every candidate counts, found through pivots."""
     if not on:
-        return _nearest_of_all(queries, candidates, key, slices, block)
+        return nearest_of_all(queries, candidates, key, pivots).drop("met")
     unit = lambda df: df.withColumn("vec", _centred(F.col("vec"))).withColumn("_len", F.sqrt(_dot(F.col("vec"), F.col("vec"))))
     q, c = unit(queries), unit(candidates).select(*on, F.col(key).alias("pick"), F.col("vec").alias("_c"), F.col("_len").alias("_clen"))
     m = q.join(c, on).where(F.col(key) != F.col("pick"))
@@ -295,37 +286,6 @@ def nearest_vector(queries: DataFrame, candidates: DataFrame, on: list[str], key
     return m.groupBy(*on, key).agg(F.max_by(F.struct("pick", "score"), F.struct("score", -F.col("pick"))).alias("x"), (F.max("score") - F.min("score")).alias("margin")).select(*on, key, "x.*", F.round("margin", 5).alias("margin"))
 
 
-def _nearest_of_all(queries: DataFrame, candidates: DataFrame, key: str, slices: int, block: int) -> DataFrame:
-    kind = candidates.schema[key].dataType.simpleString()
-    blocks = F.broadcast(queries.agg(F.ceil(F.count("*") / block).cast("int").alias("_blocks")))  # one row
-    vec = F.col("vec").cast("array<double>").alias("vec")
-    q = queries.select(F.col(key).alias("id"), vec).join(blocks).withColumn("_block", F.pmod(F.xxhash64("id"), "_blocks").cast("int"))
-    q = q.select("id", "vec", "_block", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("_slice"))
-    c = candidates.select(F.col(key).alias("pick"), vec).withColumn("_slice", F.pmod(F.xxhash64("pick"), F.lit(slices)).cast("int")).join(blocks)
-    c = c.where("_blocks > 0").select("pick", "vec", "_slice", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_block"))
-
-    def unit(part: pd.DataFrame) -> np.ndarray:
-        v = np.stack(part["vec"].to_list())
-        v = v - v.mean(axis=1, keepdims=True)
-        size = np.sqrt((v * v).sum(axis=1, keepdims=True))
-        return np.divide(v, size, out=np.full_like(v, np.nan), where=size > 0)
-
-    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame(columns=["id", "pick", "score", "worst"])
-        right = right.sort_values("pick", kind="stable")
-        score = np.round(unit(left) @ unit(right).T, 5)
-        score[left["id"].to_numpy()[:, None] == right["pick"].to_numpy()[None, :]] = np.nan
-        some = ~np.isnan(score).all(axis=1)
-        left, score = left[some], score[some]
-        at = np.nanargmax(score, axis=1) if len(left) else np.zeros(0, int)
-        return pd.DataFrame({"id": left["id"], "pick": right["pick"].to_numpy()[at], "score": score[np.arange(len(left)), at], "worst": np.nanmin(score, axis=1) if len(left) else []})
-
-    met = q.groupBy("_block", "_slice").cogroup(c.groupBy("_block", "_slice")).applyInPandas(best, f"id {kind}, pick {kind}, score double, worst double")
-    top = met.groupBy(F.col("id").alias(key)).agg(F.max_by(F.struct("pick", "score"), F.struct("score", -F.col("pick"))).alias("x"), F.min("worst").alias("_w"))
-    return top.select(key, "x.*", F.round(F.col("x.score") - F.col("_w"), 5).alias("margin"))
-
-
 def reconcile(expected: DataFrame, landed: DataFrame, on: list[str]) -> DataFrame:
     """Expected items against landed ones of the same place: misplaced, source differs, or ok; an unreported source is ok."""
     got = landed.select(*on, F.col("source").alias("_s"), F.lit(True).alias("_there"))

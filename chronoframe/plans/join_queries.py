@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import joins as J
+from ..operators import similarity as S
 from .registry import items, of_type, query, read, recordings, sections, sql
 
 BY = ["rec_id"]
@@ -206,7 +207,7 @@ def _bins(s, d, kind):
 
 @query("c28_lag_align", sql("+b AS (SELECT rec_id, event_type AS k, floor(t / 86400)::BIGINT AS bin, count(*)::DOUBLE AS v FROM e GROUP BY ALL), c AS (SELECT a.rec_id, g.lag, round(corr(a.v, b.v), 6) AS r, count(*) AS n FROM b a, b, (SELECT unnest(range(-3, 4)) AS lag) g WHERE a.k = 'click' AND b.k = 'view' AND a.rec_id = b.rec_id AND b.bin = a.bin + g.lag GROUP BY ALL) SELECT rec_id, arg_max(lag, (r, -abs(lag), lag)) AS lag, max(r) AS r FROM c WHERE n >= 3 AND r IS NOT NULL AND NOT isnan(r) GROUP BY rec_id", "e"))
 def c28(s, d):
-    return J.lag_align(_bins(s, d, "click"), _bins(s, d, "view"), BY, 3)
+    return S.lag_align(_bins(s, d, "click"), _bins(s, d, "view"), BY, 3)
 
 
 @query("c29_section_rollup", sql("SELECT s.rec_id, section, count(*) AS n, round(avg(seconds), 3) AS mean, round(median(seconds), 3) AS median, round(min(seconds), 3) AS shortest, round(max(seconds), 3) AS longest, count(*) FILTER (WHERE seconds < 3600) AS short FROM items i JOIN sections s ON i.rec_id = s.rec_id AND i.t >= start AND (stop IS NULL OR i.t < stop) GROUP BY ALL", "e", "items", "sections"))
@@ -228,7 +229,29 @@ def c31(s, d):
     return J.out_of_reach(_err(s, d), _views(s, d), BY).select("event_id", "stranded")
 
 
-@query("c32_nearest_vector")
+@query("c28_projection_shift", """
+WITH v AS (SELECT vec_id, embedding[1:16] AS b, lag(embedding[1:16]) OVER (PARTITION BY label ORDER BY vec_id) AS a FROM embeddings),
+m AS (SELECT vec_id, list_transform(a, lambda x: x::DOUBLE - list_avg(list_transform(a, lambda y: y::DOUBLE))) AS a, list_transform(b, lambda x: x::DOUBLE - list_avg(list_transform(b, lambda y: y::DOUBLE))) AS b FROM v WHERE a IS NOT NULL),
+k AS (SELECT vec_id, k, a[1 + greatest(-k, 0) : 16 - greatest(k, 0)] AS x, b[1 + greatest(k, 0) : 16 - greatest(-k, 0)] AS y FROM m, (SELECT unnest(range(-4, 5)) AS k))
+SELECT vec_id, arg_max(k, (list_inner_product(x, y) / (sqrt(list_inner_product(x, x) * list_inner_product(y, y)) + 1e-9), -k))::INT AS shift FROM k GROUP BY vec_id
+""")
+def c28_short(s, d):
+    v = read(s, d, "embeddings").select("vec_id", "label", F.slice("embedding", 1, 16).alias("b"))
+    v = v.withColumn("a", F.lag("b").over(Window.partitionBy("label").orderBy("vec_id")))
+    return v.where("a is not null").select("vec_id", S.projection_shift("a", "b", 4).alias("shift"))
+
+
+_CENTRED = "WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE - list_avg(list_transform(embedding, lambda y: y::DOUBLE))) AS v FROM embeddings), p AS (SELECT a.vec_id, a.label, b.vec_id AS pick, round(list_inner_product(a.v, b.v) / sqrt(list_inner_product(a.v, a.v) * list_inner_product(b.v, b.v)), 5) AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0), t AS (SELECT vec_id, any_value(label) AS label, arg_max(pick, (score, -pick)) AS pick, max(score) AS score, round(max(score) - min(score), 5) AS margin FROM p GROUP BY vec_id)"
+
+
+@query("c32_pick_share", f"{_CENTRED} SELECT label, pick, sum(1 + vec_id % 7)::DOUBLE AS seconds, round(sum(1 + vec_id % 7) / sum(sum(1 + vec_id % 7)) OVER (PARTITION BY label), 4) AS share FROM t GROUP BY label, pick")
+def c32_share(s, d):
+    v = read(s, d, "embeddings")
+    picks = c32(s, d).join(v.select("vec_id", "label"), "vec_id").withColumn("seconds", (1 + F.col("vec_id") % 7).cast("double"))
+    return S.share_per_pick(picks, ["label"], "pick", "seconds")
+
+
+@query("c32_nearest_vector", f"{_CENTRED} SELECT vec_id, pick, score, margin FROM t")
 def c32(s, d):
     v = read(s, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("vec"))
     return J.nearest_vector(v.where("vec_id % 100 = 0"), v, [], "vec_id")

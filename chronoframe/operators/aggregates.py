@@ -225,3 +225,44 @@ def grid_report(df: DataFrame, by: list[str], width: float) -> DataFrame:
     each = g.groupBy(*by, "bin").agg(F.count("*").alias("rows"), F.round(F.median("_gap"), 3).alias("gap"))
     every = each.groupBy(*by).agg(F.explode(F.sequence(F.min("bin"), F.max("bin"))).alias("bin"))
     return every.join(each, [*by, "bin"], "left").fillna(0, ["rows"])
+
+
+def gap_report(df: DataFrame, by: list[str], wide: float = 2.0, most: int = 15) -> DataFrame:
+    """Gaps between a key's rows in one row: how many, mean, median, 5 % and 95 % quantiles, least and most, how many are over
+    `wide`, the share within a tenth of the median of the 31 gaps around, and the `most` largest with the row before them
+    (longest first, then earliest). Quantiles by exact_quantiles, so that no task holds a key's gaps."""
+    w = Window.partitionBy(*by).orderBy("t")
+    g = df.where("t is not null").select(*by, "t", (F.lead("t").over(w) - F.col("t")).alias("gap")).where("gap is not null")
+    local = F.percentile("gap", F.lit(0.5)).over(w.rowsBetween(-15, 15))
+    g = g.withColumn("_local", local).withColumn("_steady", (F.abs(F.col("gap") - F.col("_local")) <= 0.1 * F.col("_local")).cast("double"))
+    whole = g.groupBy(*by).agg(F.count("*").alias("gaps"), F.round(F.avg("gap"), 4).alias("mean"), F.round(F.min("gap"), 4).alias("least"), F.round(F.max("gap"), 4).alias("most"), F.count_if(F.col("gap") > wide).alias("wide"), F.round(F.avg("_steady"), 4).alias("steady_share"))
+    at = exact_quantiles(g, by, "gap", {"p05": 0.05, "median": 0.5, "p95": 0.95})
+    top = g.withColumn("_k", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("gap"), "t"))).where(F.col("_k") <= most)
+    top = top.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("_k", "t", "gap"))), lambda x: F.struct(F.round(x["t"], 2).alias("t"), F.round(x["gap"], 2).alias("gap"))).alias("largest"))
+    return whole.join(at.select(*by, *(F.round(c, 4).alias(c) for c in ("p05", "median", "p95"))), by).join(top, by)
+
+
+def exact_quantiles(df: DataFrame, by: list[str], col: str, shares: dict[str, float], bins: int = 1024, rounds: int = 3) -> DataFrame:
+    """Linear-interpolated quantiles of each key without a task that holds its values: values are counted in `bins` equal
+    bins between the least and the most, the bins with the wanted ranks are cut again, `rounds` times; what is left there is
+    counted by value and ranked. Nulls don't count; keys without values give null."""
+    d = df.where(F.col(col).isNotNull()).select(*by, F.col(col).cast("double").alias("_v"))
+    size = d.groupBy(*by).agg(F.count("*").alias("_n"), F.min("_v").alias("_low"), F.max("_v").alias("_high"))
+    # the two ranks each share lies between, from 0
+    want = size.select(*by, "_low", "_high", F.explode(F.array(*(F.struct(F.lit(name).alias("_name"), (F.lit(q) * (F.col("_n") - 1)).alias("_at")) for name, q in shares.items()))).alias("x")).select(*by, "_low", "_high", "x.*")
+    want = want.select(*by, "_low", "_high", "_name", "_at", F.explode(F.array(F.floor("_at"), F.ceil("_at"))).alias("_rank")).distinct().withColumn("_before", F.lit(0).cast("long"))
+    key = [*by, "_name", "_at", "_rank"]
+    step = (F.col("_high") - F.col("_low")) / bins
+    place = F.when(step > 0, F.least(F.floor((F.col("_v") - F.col("_low")) / step), F.lit(bins - 1))).otherwise(0).cast("int")
+    inside = lambda w: d.join(w, by).where((F.col("_v") >= F.col("_low")) & (F.col("_v") <= F.col("_high")))
+    for _ in range(rounds):
+        n = inside(want).withColumn("_bin", place).groupBy(*key, "_before", "_bin").agg(F.count("*").alias("_c"), F.min("_v").alias("_low"), F.max("_v").alias("_high"))
+        upto = F.sum("_c").over(Window.partitionBy(*key).orderBy("_bin"))
+        n = n.withColumn("_upto", F.col("_before") + upto).where((F.col("_upto") > F.col("_rank")) & (F.col("_upto") - F.col("_c") <= F.col("_rank")))
+        want = n.select(*key, "_low", "_high", (F.col("_upto") - F.col("_c")).alias("_before"))
+    n = inside(want).groupBy(*key, "_before", "_v").agg(F.count("*").alias("_c"))
+    n = n.withColumn("_upto", F.col("_before") + F.sum("_c").over(Window.partitionBy(*key).orderBy("_v"))).where((F.col("_upto") > F.col("_rank")) & (F.col("_upto") - F.col("_c") <= F.col("_rank")))
+    low, high = F.min_by("_v", "_rank"), F.max_by("_v", "_rank")
+    q = n.groupBy(*by, "_name", "_at").agg((low + (high - low) * (F.col("_at") - F.floor("_at"))).alias("_q"))
+    q = q.groupBy(*by).agg(*(F.max(F.when(F.col("_name") == name, F.col("_q"))).alias(name) for name in shares))
+    return df.select(*by).distinct().join(q, by, "left")

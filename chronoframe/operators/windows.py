@@ -53,9 +53,15 @@ def moving_median(df: DataFrame, by: list[str], col: str, width: int = 15) -> Da
 
 
 def levelled(df: DataFrame, by: list[str], col: str, width: int = 33) -> DataFrame:
-    """Value over its local median; 0 where that is not positive."""
-    df = moving_median(df, by, col, width)
-    return df.withColumn("levelled", F.when(F.col("smooth") > 0, F.col(col) / F.col("smooth")).otherwise(0.0)).drop("smooth")
+    """Value over its local median; 0 where that is not positive. The frame is `width` rows from width // 2 before the row on;
+    at the head it starts with the first row and keeps its width."""
+    w, half = _w(by), width // 2
+    df = df.withColumns({"_i": F.row_number().over(w), "_m": _median(col, w.rowsBetween(-half, width - 1 - half))})
+    head = F.max(F.when(F.col("_i") == half + 1, F.col("_m"))).over(Window.partitionBy(*by))
+    few = F.percentile(col, F.lit(0.5)).over(Window.partitionBy(*by))
+    m = F.when(F.col("_i") > half, F.col("_m")).otherwise(F.coalesce("_head", "_few"))
+    df = df.withColumns({"_head": head, "_few": few}).withColumn("_m", m)
+    return df.withColumn("levelled", F.when(F.col("_m") > 0, F.col(col) / F.col("_m")).otherwise(0.0)).drop("_i", "_m", "_head", "_few")
 
 
 def moving_mean_range(df: DataFrame, by: list[str], col: str, width: float) -> DataFrame:
@@ -197,21 +203,59 @@ def local_baseline_excluding(df: DataFrame, by: list[str], col: str, half: int,
     return df.withColumn("_v", around).withColumn("baseline", F.when(n > 0, (mid(F.floor((n + 1) / 2)) + mid(F.floor(n / 2) + 1)) / 2)).drop("_v")
 
 
-def first_sustained(df: DataFrame, by: list[str], level: str, floor: float, rows: int, share: float = 0.75) -> DataFrame:
-    """Per key the first t over the floor whose next `rows` rows are over it for the share; the frame must be full."""
-    frame = _w(by).rowsBetween(0, rows - 1)
-    over = (F.col(level) >= floor).cast("double")
-    ok = (F.col(level) >= floor) & (F.avg(over).over(frame) >= share) & (F.count("*").over(frame) == rows)
-    return df.withColumn("_ok", ok).groupBy(*by).agg(F.min(F.when(F.col("_ok"), F.col("t"))).alias("t"))
-
-
-def hopping_windows(df: DataFrame, by: list[str], win: float, hop: float) -> DataFrame:
+def first_sustained(df: DataFrame, by: list[str], level: str, floor: float | Column, hold: float | Column, share: float = 0.75) -> DataFrame:
+    """Per key the first t over the floor from which on `hold` seconds stay over it for the share. The hold counts in rows, by
+    the median gap of the key; a key with fewer rows than that, or without a gap, is not measured. Running counts are read
+    off at both ends of the hold, so its length may differ from key to key."""
+    w = _w(by)
+    floor, hold = (c if isinstance(c, Column) else F.lit(c) for c in (floor, hold))
+    d = df.where(F.col(level).isNotNull()).withColumns({"_over": (F.col(level) >= floor).cast("long"), "_gap": F.lead("t").over(w) - F.col("t"), "_i": F.row_number().over(w), "_hold": hold})
+    d = d.withColumn("_sum", F.sum("_over").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    step = F.percentile("_gap", F.lit(0.5))
+    rows = F.when(step > 0, F.greatest(F.bround(F.try_divide(F.max("_hold"), step)).cast("long"), F.lit(1)))
+    size = d.groupBy(*by).agg(rows.alias("_rows"), F.count("*").alias("_n"))
+    size = size.withColumn("measured", F.coalesce(F.col("_n") >= F.col("_rows"), F.lit(False)) & (F.col("_n") >= 2))
+    d = d.join(size.where("measured"), by)
+    ends = d.select(*by, (F.col("_i") - F.col("_rows") + 1).alias("_i"), F.col("_sum").alias("_end")).where("_i >= 1")
+    held = d.select(*by, "_i", "t", "_over", "_rows", (F.col("_sum") - F.col("_over")).alias("_before")).join(ends, [*by, "_i"])
+    came = held.where((F.col("_over") == 1) & (F.col("_end") - F.col("_before") >= share * F.col("_rows"))).groupBy(*by).agg(F.min("t").alias("t"))
+    return size.select(*by, "measured").join(came, by, "left")
+
+
+def windows_around(df: DataFrame, by: list[str], win: float, hop: float) -> DataFrame:
     """Each row once for every window [start, start + win) of a multiple of hop that holds it."""
     k = F.floor(F.col("t") / hop)
     df = df.withColumn("_k", F.explode(F.sequence(k - int(win // hop), k)))
     return df.withColumn("start", F.col("_k") * hop).where((F.col("start") <= F.col("t")) & (F.col("t") < F.col("start") + win)).drop("_k")
 
 
+def hopping_windows(df: DataFrame, by: list[str], win: float, hop: float) -> DataFrame:
+    """Each row once for every window [start, start + win) that holds it, with the window's span. Windows start with the
+    series, every hop; whole ones only, that end by its last row. A series shorter than one window is one short window, last
+    row included. Times count in microseconds."""
+    us, wide, far = F.round(F.col("t") * 1_000_000).cast("long"), round(win * 1_000_000), round(hop * 1_000_000)
+    key = Window.partitionBy(*by)
+    df = df.where("t is not null").withColumn("_u", us).withColumns({"_f": F.min("_u").over(key), "_l": F.max("_u").over(key)})
+    rel, room = F.col("_u") - F.col("_f"), F.col("_l") - F.col("_f") - wide
+    first = F.greatest(F.floor((rel - wide) / far) + 1, F.lit(0))
+    last = F.least(F.floor(rel / far), F.floor(room / far))
+    held = F.when(room < 0, F.array(F.lit(0).cast("long"))).when(first <= last, F.sequence(first, last))
+    span = F.when(room < 0, F.col("_l") - F.col("_f")).otherwise(wide) / 1_000_000
+    df = df.withColumns({"span": span, "_k": F.explode(held)})
+    return df.withColumn("start", (F.col("_f") + F.col("_k") * far) / 1_000_000).drop("_u", "_f", "_l", "_k")
+
+
+def window_table(samples: DataFrame, by: list[str], win: float, hop: float, channels: list[Column], plain: Column, onset: Column) -> DataFrame:
+    """Per whole window: lufs from the channels' weighted mean squares, level in dBFS of the plain values, onsets a second.
+    channels: weighted samples, whose squares are averaged; a short window's rate is over its own span."""
+    from ..functions.columns import dbfs, lufs
+
+    w = hopping_windows(samples, by, win, hop)
+    loud = lufs([F.avg(c * c) for c in channels])
+    rate = F.try_divide(F.count_if(onset), F.first("span"))
+    return w.groupBy(*by, "start").agg(F.round(loud, 2).alias("lufs"), F.round(dbfs(F.avg(plain * plain)), 2).alias("rms"), F.round(rate, 9).alias("onsets"))
+
+
 def tumbling_level(df: DataFrame, by: list[str], col: str, width: float) -> DataFrame:
     """RMS per window in dBFS."""
     from ..functions.columns import dbfs
@@ -254,10 +298,29 @@ def furthest_overlap(spans: DataFrame, by: list[str], key: str) -> DataFrame:
     return df.withColumn("overlaps", F.when(F.col("_m.stop") > F.col("start"), -F.col("_m.k"))).drop("_m")
 
 
-def best_window(events: DataFrame, by: list[str], length: float, step: float) -> DataFrame:
-    """The sliding window with most weight: start and total per key; the earliest on a tie."""
-    each = hopping_windows(events, by, length, step).groupBy(*by, "start").agg(F.round(F.sum("weight"), 6).alias("total"), F.count("*").alias("n"))
-    return each.groupBy(*by).agg(F.max_by(F.struct("start", "total", "n"), F.struct("total", -F.col("start"))).alias("x")).select(*by, "x.*")
+def best_window(spans: DataFrame, changes: DataFrame, strong: DataFrame, weaker: DataFrame, levels: DataFrame, by: list[str], length: float, step: float) -> DataFrame:
+    """Of the windows of `length` that start every `step` in each span (lo, hi), the one with the best score, the earliest on a
+    tie: 3 for each change, 0.1 and 0.05 for each strong event of two kinds, half of the range of levels over 6, and 1 if it
+    holds the highest level of the span (the first one). Ends count as inside. Rows are t, and level."""
+    us = lambda c: F.round(F.col(c) * 1_000_000).cast("long")
+    long, far = round(length * 1_000_000), round(step * 1_000_000)
+    edges = spans.select(*by, us("lo").alias("_lo"), us("hi").alias("_hi")).where(F.col("_lo") + long <= F.col("_hi"))
+    kinds = [df.select(*by, us("t").alias("_u"), F.lit(k).alias("_kind"), (F.col("level") if k == 3 else F.lit(None)).cast("double").alias("_v")) for k, df in enumerate((changes, strong, weaker, levels))]
+    rows = kinds[0].union(kinds[1]).union(kinds[2]).union(kinds[3]).join(edges, by).where("_u >= _lo and _u <= _hi")
+    peak = rows.where("_kind = 3 and _v is not null").groupBy(*by).agg(F.max_by("_u", F.struct("_v", -F.col("_u"))).alias("_peak"))
+    rel = F.col("_u") - F.col("_lo")
+    held = F.sequence(F.greatest(F.ceil((rel - long) / far), F.lit(0)), F.least(F.floor(rel / far), F.floor((F.col("_hi") - F.col("_lo") - long) / far)))
+    rows = rows.where(F.ceil((rel - long) / far) <= F.floor((F.col("_hi") - F.col("_lo") - long) / far)).withColumn("_k", F.explode(held))
+    n = lambda k: F.count_if(F.col("_kind") == k)
+    each = rows.groupBy(*by, "_k").agg(n(0).alias("changes"), n(1).alias("strong"), n(2).alias("weaker"), (F.max("_v") - F.min("_v")).alias("range"))
+    every = edges.select(*by, "_lo", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_hi") - F.col("_lo") - long) / far))).alias("_k"))
+    each = every.join(each, [*by, "_k"], "left").join(peak, by, "left").fillna(0, ["changes", "strong", "weaker"])
+    start = F.col("_lo") + F.col("_k") * far
+    peaked = F.coalesce((F.col("_peak") >= start) & (F.col("_peak") <= start + long), F.lit(False))
+    score = 3.0 * F.col("changes") + 0.1 * F.col("strong") + 0.05 * F.col("weaker") + 0.5 * F.coalesce("range", F.lit(0.0)) / 6 + peaked.cast("double")
+    each = each.select(*by, (start / 1_000_000).alias("start"), "changes", "strong", "weaker", F.round("range", 2).alias("range"), peaked.alias("peak"), F.round(score, 3).alias("score"))
+    cols = ["start", "changes", "strong", "weaker", "range", "peak", "score"]
+    return each.groupBy(*by).agg(F.max_by(F.struct(*cols), F.struct("score", -F.col("start"))).alias("x")).select(*by, "x.*")
 
 
 def refine_boundary(samples: DataFrame, bounds: DataFrame, by: list[str], key: str, reach: float, span: float) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .registry import CTES, ORACLES, sql
+from .aggregate_queries import _BIN, _BINS
 from .window_queries import _MERGE, _RUN
 
 
@@ -21,7 +22,8 @@ _MONOTONE = ORACLES["e09_monotone_run"].replace(f"WITH {CTES['e']},", f"WITH {CT
 ORACLES["i10_rhythm"] = sql(
     f"""+al AS ({_ALTERNATION}), mo AS ({_MONOTONE}), u AS ({ORACLES["d08_uniformity"]}),
     c AS (SELECT rec_id, CASE WHEN count(*) > 1 THEN round(stddev_pop(seconds) / avg(seconds), 4) END AS cv, count(*) AS n FROM items GROUP BY 1)
-    SELECT c.rec_id, c.cv, n, al.run AS alternation, al.share AS alternation_share, mo.run AS monotone, fullest, u.share AS fullest_share, (u.share >= 0.8 OR al.share >= 0.6 OR c.cv <= 0.35) AS metronomic
+    SELECT c.rec_id, c.cv, n, al.run AS alternation, al.share AS alternation_share, mo.run AS monotone, fullest, u.share AS fullest_share, CASE WHEN n > 1 THEN round(mo.run / (n - 1), 4) ELSE 0 END AS ramp_share,
+           coalesce(al.share > 0.8, FALSE) AND (coalesce(u.share > 0.6, FALSE) OR coalesce(c.cv < 0.35, FALSE) OR n > 1 AND round(mo.run / (n - 1), 4) > 0.6) AS metronomic
     FROM c JOIN al USING (rec_id) JOIN mo USING (rec_id) JOIN u USING (rec_id)""",
     "e",
     "items",
@@ -55,6 +57,73 @@ ORACLES["i04_quiet_sections"] = sql(
     "e",
 )
 
+ORACLES["i11_gear_verdict"] = sql(
+    """+b AS (SELECT rec_id, min(t) AS a, max(t + seconds) AS z, CASE WHEN count(*) > 1 THEN round(stddev_pop(seconds) / avg(seconds), 4) END AS cv FROM items GROUP BY 1),
+    w AS (SELECT l.rec_id, l.t, row_number() OVER (PARTITION BY l.rec_id ORDER BY level, l.t) - 1 AS r, count(*) OVER (PARTITION BY l.rec_id) AS n, coalesce(lead(l.t) OVER (PARTITION BY l.rec_id ORDER BY l.t), l.t + 3600) AS stop FROM level l JOIN b USING (rec_id) WHERE l.t < z AND l.t + 3600 > a),
+    g AS (SELECT rec_id, t, stop, CASE WHEN r < n // 3 THEN 'quiet' WHEN r >= 2 * n // 3 THEN 'loud' ELSE 'middle' END AS g FROM w),
+    s AS (SELECT rec_id, count(*) FILTER (WHERE g = 'loud') AS wl, count(*) FILTER (WHERE g = 'quiet') AS wq FROM g GROUP BY 1),
+    h AS (SELECT i.rec_id, i.seconds, g.g FROM items i LEFT JOIN g ON g.rec_id = i.rec_id AND g.t <= i.t AND i.t < g.stop),
+    n AS (SELECT rec_id, count(*) FILTER (WHERE g IS NULL) AS outside, count(*) FILTER (WHERE g = 'loud') AS nl, count(*) FILTER (WHERE g = 'quiet') AS nq, count(*) FILTER (WHERE g IS NOT NULL AND seconds < 7200) AS short, count(*) FILTER (WHERE g = 'loud' AND seconds < 7200) AS short_loud FROM h GROUP BY 1),
+    r AS (SELECT n.*, cv, CASE WHEN wl > 0 THEN round(nl / (wl * 3600::DOUBLE / 60), 4) END AS loud, CASE WHEN wq > 0 THEN round(nq / (wq * 3600::DOUBLE / 60), 4) END AS quiet FROM n JOIN s USING (rec_id) JOIN b USING (rec_id)),
+    q AS (SELECT *, CASE WHEN quiet > 0 THEN round(loud / quiet, 4) END AS ratio FROM r)
+    SELECT rec_id, outside, loud, quiet, ratio, short, short_loud, CASE WHEN short > 0 THEN round(short_loud / short, 4) END AS short_share, coalesce(ratio < 1.3 AND cv < 0.65, FALSE) AS one_speed FROM q""",
+    "e",
+    "items",
+    "level",
+)
+
+ORACLES["i13_quality_header"] = f"WITH d AS ({ORACLES['d11_stretch_summary']}), n AS (SELECT user_id AS rec_id, count(*) AS samples FROM events GROUP BY 1) SELECT d.*, samples, round(failed / samples, 4) AS unusable_share FROM d JOIN n USING (rec_id)"
+
+ORACLES["i17_segment_histogram"] = f"WITH s AS (SELECT rec_id, (stop - start) / 3600 AS h FROM ({ORACLES['f15_segments_from_cuts']})), b AS (SELECT rec_id, {_BIN} AS bin FROM s), k AS (SELECT rec_id, o.bin FROM (SELECT DISTINCT rec_id FROM s), {_BINS} o) SELECT k.rec_id, k.bin, count(b.bin) AS n FROM k LEFT JOIN b ON b.rec_id = k.rec_id AND b.bin = k.bin GROUP BY ALL"
+
+ORACLES["d33_gap_report"] = sql(
+    """+g AS (SELECT rec_id, t, lead(t) OVER (PARTITION BY rec_id ORDER BY t) - t AS gap FROM e), h AS (SELECT *, median(gap) OVER (PARTITION BY rec_id ORDER BY t ROWS BETWEEN 15 PRECEDING AND 15 FOLLOWING) AS m, row_number() OVER (PARTITION BY rec_id ORDER BY gap DESC, t) AS k FROM g WHERE gap IS NOT NULL)
+    SELECT rec_id, count(*) AS gaps, round(avg(gap), 4) AS mean, round(median(gap), 4) AS median, round(quantile_cont(gap, 0.05), 4) AS p05, round(quantile_cont(gap, 0.95), 4) AS p95, round(min(gap), 4) AS least, round(max(gap), 4) AS most, count(*) FILTER (WHERE gap > 172800) AS wide,
+           round(avg((abs(gap - m) <= 0.1::DOUBLE * m)::INT), 4) AS steady_share, array_to_string(list(floor(round(t, 2))::BIGINT || ':' || floor(round(gap, 2))::BIGINT ORDER BY k) FILTER (WHERE k <= 15), ',') AS largest FROM h GROUP BY 1""",
+    "e",
+)
+
+
+def _sections(settings: list[tuple[float, float, float]]) -> str:
+    """Common table expressions up to x: the calls of every (scale, margin, hold), settled and sifted, step by step."""
+    key = "rec_id, scale, margin, hold"
+    same = " AND ".join(f"b.{k} = a.{k}" for k in ("rec_id", "scale", "margin", "hold", "start"))
+    return f"""st(scale, margin, hold) AS (VALUES {", ".join(f"({a}::DOUBLE, {b}::DOUBLE, {c}::DOUBLE)" for a, b, c in settings)}),
+    sp AS (SELECT *, coalesce(lead(t) OVER w - t, t - lag(t) OVER w, 0) AS step FROM e WINDOW w AS (PARTITION BY rec_id ORDER BY t)),
+    ov AS (SELECT rec_id, sum(CASE WHEN value >= 60 THEN step ELSE 0 END) AS o, count(*) AS n FROM sp GROUP BY 1),
+    hl AS (SELECT rec_id, coalesce(max(value) FILTER (WHERE c >= 3600), min(value)) AS held FROM (SELECT a.rec_id, a.value, sum(b.step) AS c FROM (SELECT DISTINCT rec_id, value FROM sp) a JOIN sp b ON b.rec_id = a.rec_id AND b.value >= a.value GROUP BY a.rec_id, a.value) GROUP BY 1),
+    rd AS (SELECT rec_id, scale, CASE WHEN scale <= 0 OR n < 2 OR o >= 200000 THEN 60 ELSE least(60, greatest(2, held * scale)) END AS thr, CASE WHEN scale <= 0 OR n < 2 OR o >= 200000 THEN 7200 ELSE 3600 END AS burst FROM ov JOIN hl USING (rec_id), (SELECT DISTINCT scale FROM st)),
+    oo AS (SELECT sp.rec_id, scale, t, value >= thr AS up, burst, coalesce(lead(t) OVER w, 2 * t - lag(t) OVER w, t) AS stop, coalesce(lag(value >= thr) OVER w, FALSE) AS was FROM sp JOIN rd USING (rec_id) WINDOW w AS (PARTITION BY sp.rec_id, scale ORDER BY t)),
+    gg AS (SELECT *, sum((up AND NOT was)::INT) OVER (PARTITION BY rec_id, scale ORDER BY t) AS g FROM oo), ru AS (SELECT rec_id, scale, min(t) AS start, max(stop) AS stop, any_value(burst) AS burst FROM gg WHERE up GROUP BY rec_id, scale, g),
+    mm AS (SELECT *, coalesce(start - max(stop) OVER (PARTITION BY rec_id, scale ORDER BY start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) >= 7200, TRUE)::INT AS nw FROM ru), mn AS (SELECT *, sum(nw) OVER (PARTITION BY rec_id, scale ORDER BY start) AS g FROM mm),
+    bu AS (SELECT rec_id, scale, min(start) AS start, max(stop) AS stop FROM mn GROUP BY rec_id, scale, g HAVING max(stop) - min(start) >= any_value(burst)),
+    tt AS (SELECT rec_id, scale, min(t) AS a, max(t) AS z FROM e JOIN rd USING (rec_id) GROUP BY ALL),
+    ed AS (SELECT rec_id, scale, coalesce(lag(stop) OVER w, a) AS start, start AS stop, lag(stop - start) OVER w AS before, stop - start AS after FROM bu JOIN tt USING (rec_id, scale) WINDOW w AS (PARTITION BY rec_id, scale ORDER BY start)
+           UNION ALL SELECT rec_id, scale, max(stop), any_value(z), arg_max(stop - start, start), NULL FROM bu JOIN tt USING (rec_id, scale) GROUP BY ALL
+           UNION ALL SELECT rec_id, scale, a, z, NULL, NULL FROM tt ANTI JOIN bu USING (rec_id, scale)),
+    cs AS (SELECT rec_id, ed.scale, margin, hold, round(start, 3) AS start, round(stop, 3) AS stop, before, after FROM ed JOIN st ON st.scale = ed.scale WHERE stop >= start AND round(stop, 3) - round(start, 3) >= 36000),
+    us AS (SELECT rec_id, median(value) AS usual FROM e GROUP BY 1),
+    ii AS (SELECT cs.rec_id, scale, margin, hold, start, e.t, value >= usual - margin AS up, row_number() OVER w AS i, count(*) OVER (PARTITION BY cs.rec_id, scale, margin, hold, start) AS n, lead(e.t) OVER w - e.t AS gap FROM cs JOIN us ON us.rec_id = cs.rec_id JOIN e ON e.rec_id = cs.rec_id AND e.t >= start AND e.t < stop WINDOW w AS (PARTITION BY cs.rec_id, scale, margin, hold, start ORDER BY e.t)),
+    wd AS (SELECT {key}, start, any_value(n) AS n, CASE WHEN median(gap) > 0 THEN greatest(round_even(hold / median(gap), 0)::BIGINT, 1) END AS w FROM ii GROUP BY {key}, start),
+    hh AS (SELECT a.rec_id, a.scale, a.margin, a.hold, a.start, a.t, any_value(w) AS w, count(*) FILTER (WHERE b.up) AS c FROM ii a JOIN wd USING ({key}, start) JOIN ii b ON {same} AND b.i >= a.i AND b.i < a.i + w WHERE a.up AND a.i + w - 1 <= wd.n GROUP BY ALL),
+    cm AS (SELECT {key}, start, round(min(t), 3) AS came FROM hh WHERE c >= 0.75 * w GROUP BY ALL),
+    se AS (SELECT cs.*, came, coalesce(n >= 2 AND n >= w, FALSE) AND hold > 0 AS known FROM cs LEFT JOIN wd USING ({key}, start) LEFT JOIN cm USING ({key}, start)),
+    mv AS (SELECT {key}, CASE WHEN known AND came IS NOT NULL THEN came ELSE start END AS start, stop, before, after, CASE WHEN known THEN round(came - start, 3) END AS talk_seconds, CASE WHEN NOT known THEN NULL WHEN came IS NULL THEN 'silent' WHEN stop - came < 36000 THEN 'brief' END AS outcome FROM se),
+    bt AS (SELECT mv.*, (SELECT count(*) FROM e c WHERE c.rec_id = mv.rec_id AND c.event_type = 'click' AND c.t >= mv.start AND c.t < mv.stop) AS beats FROM mv),
+    rt AS (SELECT *, CASE WHEN stop > start THEN round(beats / (stop - start), 6) ELSE 0 END AS rate FROM bt),
+    x AS (SELECT * REPLACE (CASE WHEN outcome IS NULL AND rate < 0.000003 THEN 'sparse' ELSE outcome END AS outcome) FROM rt)"""
+
+
+ORACLES["i04_sections"] = sql(f"+{_sections([(0.5, 3, 200000)])} SELECT rec_id, start, stop, before, after, talk_seconds, outcome, beats, rate FROM x", "e")
+ORACLES["i20_sections_sweep"] = sql(
+    f"""+{_sections([(a, b, c) for a in (0.3, 0.6) for b in (1, 5) for c in (100000, 300000)])}, f AS (SELECT rec_id, scale, margin, hold, start AS t FROM x WHERE outcome IS NULL), l AS (SELECT rec_id, scale, margin, hold, t FROM e, st WHERE event_type = 'error'),
+    er AS (SELECT l.rec_id, l.scale, l.margin, l.hold, l.t, min(abs(f.t - l.t)) AS err FROM l LEFT JOIN f USING (rec_id, scale, margin, hold) GROUP BY ALL),
+    iv AS (SELECT f.rec_id, f.scale, f.margin, f.hold, count(*) FILTER (WHERE NOT EXISTS (SELECT 1 FROM e c WHERE c.event_type = 'error' AND c.rec_id = f.rec_id AND abs(c.t - f.t) <= 36000)) AS invented FROM f GROUP BY ALL),
+    sc AS (SELECT rec_id, scale, margin, hold, count(*) AS truths, count(*) FILTER (WHERE err <= 36000) AS matched, CASE WHEN count(*) = count(*) FILTER (WHERE err <= 36000) THEN round(max(err), 3) END AS worst FROM er GROUP BY ALL)
+    SELECT sc.*, coalesce(invented, 0) AS invented, matched = truths AND coalesce(invented, 0) = 0 AS clean FROM sc LEFT JOIN iv USING (rec_id, scale, margin, hold)""",
+    "e",
+)
+
 _SWEEP = " UNION ALL ".join(f"SELECT {t}.0::DOUBLE AS threshold, rec_id, start AS t FROM (WITH {_bursts(t, 7200, 60)} SELECT * FROM b)" for t in (10, 20, 40))
 ORACLES["i20_threshold_sweep"] = sql(
     f"""+f AS ({_SWEEP}), th AS (SELECT unnest([10.0, 20.0, 40.0])::DOUBLE AS threshold), l AS (SELECT threshold, rec_id, t FROM e, th WHERE event_type = 'error'),

@@ -40,7 +40,7 @@ def e42(s, d):
 
 @query("e43_hopping_median", sql("SELECT rec_id, w * 43200.0::DOUBLE + 43200 AS t, round(median(value), 5) AS v FROM (SELECT *, unnest(range(floor(t / 43200)::BIGINT - 1, floor(t / 43200)::BIGINT + 1)) AS w FROM e) GROUP BY rec_id, w", "e"))
 def e43(s, d):
-    return W.hopping_windows(recordings(s, d), BY, 86400.0, 43200.0).groupBy("rec_id", "start").agg(F.round(F.median("value"), 5).alias("v")).select("rec_id", (F.col("start") + 43200).alias("t"), "v")
+    return W.windows_around(recordings(s, d), BY, 86400.0, 43200.0).groupBy("rec_id", "start").agg(F.round(F.median("value"), 5).alias("v")).select("rec_id", (F.col("start") + 43200).alias("t"), "v")
 
 
 @query("i18_supers_review", sql("+sp AS (SELECT rec_id, t AS start, t_end AS stop, event_id AS span, CASE WHEN clip = 'view' THEN 'card' ELSE 'overlay' END AS kind FROM items WHERE value > 60), l AS (SELECT rec_id, t FROM e WHERE event_type = 'error') SELECT kind, count(*) AS spans, round(avg(stop - start), 3) AS held, round(avg((SELECT min(l.t) FROM l WHERE l.rec_id = sp.rec_id AND l.t > stop) - stop), 3) AS clearance FROM sp GROUP BY kind", "e", "items"))

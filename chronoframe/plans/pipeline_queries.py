@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from . import pipelines as P
+from . import sections as S
 from .registry import items, levels, of_type, query, recordings, sections, sql
 from .scalar_queries import FLOORS
 
@@ -93,3 +94,45 @@ def i19(s, d):
 @query("i20_threshold_sweep")
 def i20(s, d):
     return P.threshold_sweep(recordings(s, d), of_type(s, d, "error"), BY, "value", [10.0, 20.0, 40.0], 7200.0, 60.0, 36000.0)
+
+
+#: Settings of the sections: hours instead of seconds, as events are that far apart.
+_SETTINGS = {"ceiling": 60.0, "gap": 7200.0, "burst": 7200.0, "minimum": 36000.0, "density": 3e-6, "quiet": 200000.0, "floor": 2.0, "quiet_burst": 3600.0, "places": 6}
+
+
+def _loudness(s, d):
+    return recordings(s, d).select("rec_id", "t", F.col("value").alias("level"))
+
+
+@query("i04_sections")
+def i04_full(s, d):
+    return S.sections(recordings(s, d).select("rec_id", "t", "value"), _loudness(s, d), of_type(s, d, "click"), BY, "value", scale=0.5, margin=3.0, hold=200000.0, **_SETTINGS)
+
+
+@query("i20_sections_sweep")
+def i20_full(s, d):
+    return S.sweep_sections(recordings(s, d).select("rec_id", "t", "value"), _loudness(s, d), of_type(s, d, "click"), of_type(s, d, "error"), BY, "value", [0.3, 0.6], [1.0, 5.0], [100000.0, 300000.0], 36000.0, **_SETTINGS)
+
+
+@query("i11_gear_verdict")
+def i11_verdict(s, d):
+    return P.gear_verdict(items(s, d), levels(s, d), BY, 3600.0, 7200.0)
+
+
+@query("i13_quality_header")
+def i13_header(s, d):
+    x = recordings(s, d).select("rec_id", F.col("value").alias("sharpness"), (F.col("value") / 1000).alias("clipped"), F.when(F.col("event_type") != "view", F.col("value") / 100).alias("stability"))
+    return P.quality_header(x, BY, FLOORS).select("rec_id", F.round("sharpness", 6).alias("sharpness"), "failed", "misses", "samples", "unusable_share")
+
+
+@query("i17_segment_histogram")
+def i17_histogram(s, d):
+    return P.segment_histogram(of_type(s, d, "view"), recordings(s, d).groupBy("rec_id").agg(F.min("t").alias("first"), F.max("t").alias("last")), BY, 3600.0)
+
+
+@query("d33_gap_report")
+def d33_gaps(s, d):
+    from ..operators.aggregates import gap_report
+
+    r = gap_report(recordings(s, d), BY, 172800.0)
+    return r.withColumn("largest", F.array_join(F.transform("largest", lambda x: F.concat_ws(":", F.floor(x["t"]).cast("string"), F.floor(x["gap"]).cast("string"))), ","))

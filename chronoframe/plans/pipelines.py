@@ -65,13 +65,16 @@ def correlate_summary(rows: DataFrame, by: list[str]) -> DataFrame:
 
 
 def rhythm(items: DataFrame, by: list[str]) -> DataFrame:
-    """Variation of lengths, longest alternation and monotone stretch, and whether it all reads metronomic."""
+    """Variation of lengths, longest alternation and monotone stretch, and whether it all reads metronomic: the alternation
+    covers more than 0.8 of the cuts and the lengths are mechanical with it, by one bin of more than 0.6, a variation under
+    0.35 or a monotone stretch over more than 0.6 of the cuts. What can't be read doesn't count against."""
     cv = items.groupBy(*by).agg(F.round(A.cv("seconds"), 4).alias("cv"), F.count("*").alias("n"))
     alt = W.alternation_run(items, by, "clip").withColumnsRenamed({"run": "alternation", "share": "alternation_share"})
     mono = W.monotone_run(items, by, "seconds").withColumnRenamed("run", "monotone")
     u = A.uniformity(items.withColumn("h", F.col("seconds") / 3600), by, "h").select(*by, "fullest", F.col("share").alias("fullest_share"))
-    r = cv.join(alt, by).join(mono, by).join(u, by)
-    return r.withColumn("metronomic", (F.col("fullest_share") >= 0.8) | (F.col("alternation_share") >= 0.6) | (F.col("cv") <= 0.35))
+    r = cv.join(alt, by).join(mono, by).join(u, by).withColumn("ramp_share", F.when(F.col("n") > 1, F.round(F.col("monotone") / (F.col("n") - 1), 4)).otherwise(0.0))
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    return r.withColumn("metronomic", yes(F.col("alternation_share") > 0.8) & (yes(F.col("fullest_share") > 0.6) | yes(F.col("cv") < 0.35) | yes(F.col("ramp_share") > 0.6)))
 
 
 def gears(items: DataFrame, levels: DataFrame, by: list[str], width: float) -> DataFrame:
@@ -83,6 +86,27 @@ def gears(items: DataFrame, levels: DataFrame, by: list[str], width: float) -> D
     return g.select(*by, "tercile", "n", "short", F.when(F.col("_s") > 0, F.round(3600 * F.col("n") / F.col("_s"), 4)).alias("rate"))
 
 
+def gear_verdict(items: DataFrame, levels: DataFrame, by: list[str], width: float, short: float) -> DataFrame:
+    """Per key, over the windows of `width` that touch the cut: items outside of them, items a minute of loud and of quiet
+    windows, their ratio (null if nothing is cut in quiet), short items, how many of these and what share fall in loud ones,
+    and one_speed: a ratio under 1.3 with a variation of lengths under 0.65. Keys without windows give none."""
+    cut = items.groupBy(*by).agg(F.min("t").alias("_from"), F.max(F.col("t") + F.col("seconds")).alias("_to"), F.round(A.cv("seconds"), 4).alias("cv"))
+    near = levels.join(cut, by).where((F.col("t") < F.col("_to")) & (F.col("t") + width > F.col("_from"))).select(*by, "t", "level")
+    w = W.terciles(near, by, "level").select(*by, "t", "tercile")
+    span = w.groupBy(*by).agg(F.max("t").alias("_last"), *(F.count_if(F.col("tercile") == g).alias(f"_{g}") for g in ("quiet", "loud")))
+    hit = J.asof_join(items.select(*by, "t", "seconds"), w, by, ["tercile"]).join(span, by)
+    gear = F.when(F.col("t") < F.col("_last") + width, F.col("r_tercile"))
+    n = hit.withColumn("_g", gear).groupBy(*by).agg(
+        F.count_if(F.col("_g").isNull()).alias("outside"), F.count_if(F.col("_g") == "loud").alias("_nl"), F.count_if(F.col("_g") == "quiet").alias("_nq"),
+        F.count_if(F.col("_g").isNotNull() & (F.col("seconds") < short)).alias("short"), F.count_if((F.col("_g") == "loud") & (F.col("seconds") < short)).alias("short_loud"),
+    )
+    r = n.join(span, by).join(cut, by)
+    rate = lambda k, w: F.when(F.col(w) > 0, F.round(F.col(k) / (F.col(w) * width / 60), 4))
+    r = r.withColumns({"loud": rate("_nl", "_loud"), "quiet": rate("_nq", "_quiet")}).withColumn("ratio", F.when(F.col("quiet") > 0, F.round(F.col("loud") / F.col("quiet"), 4)))
+    one = F.coalesce((F.col("ratio") < 1.3) & (F.col("cv") < 0.65), F.lit(False))
+    return r.select(*by, "outside", "loud", "quiet", "ratio", "short", "short_loud", F.when(F.col("short") > 0, F.round(F.col("short_loud") / F.col("short"), 4)).alias("short_share"), one.alias("one_speed"))
+
+
 def quality_catalog(samples: DataFrame, by: list[str], floors: dict[str, float], index: str, gap: int = 1) -> DataFrame:
     """Windows of bad samples: extent, count, reasons and the worst severity."""
     from ..functions.columns import floor_misses, severity
@@ -93,12 +117,25 @@ def quality_catalog(samples: DataFrame, by: list[str], floors: dict[str, float],
     return I.index_runs(s, by, index, F.size("_m") > 0, gap, aggs)
 
 
+def quality_header(samples: DataFrame, by: list[str], floors: dict[str, float]) -> DataFrame:
+    """The whole stretch as one block: samples, those unusable and their share, the summary, its verdict."""
+    n = samples.groupBy(*by).agg(F.count("*").alias("samples"))
+    s = n.join(A.stretch_summary(samples, by, floors), by)
+    return s.withColumn("unusable_share", F.round(F.col("failed") / F.col("samples"), 4))
+
+
 def segment_table(cuts: DataFrame, bounds: DataFrame, by: list[str]) -> DataFrame:
     """Segments between cuts: count, rate per hour, lengths."""
     s = I.segments_from_cuts(cuts, bounds, by).withColumn("seconds", F.col("stop") - F.col("start"))
     return s.groupBy(*by).agg(F.count("*").alias("segments"), F.round(3600 * F.count("*") / F.sum("seconds"), 6).alias("per_hour"), F.round(F.avg("seconds"), 3).alias("mean"), F.round(F.median("seconds"), 3).alias("median"))
 
 
+def segment_histogram(cuts: DataFrame, bounds: DataFrame, by: list[str], unit: float = 1.0) -> DataFrame:
+    """How many segments have a length, in `unit` seconds, of each bin."""
+    s = I.segments_from_cuts(cuts, bounds, by).withColumn("length", (F.col("stop") - F.col("start")) / unit)
+    return A.binned_histogram(s, by, "length")
+
+
 def event_rank(events: DataFrame, by: list[str], key: str, tolerance: float, spacing: float, k: int) -> DataFrame:
     """Events scored with the bonus for other kinds nearby, best first, spaced."""
     c = J.coincidence(events, by, tolerance).withColumn("score", F.round(F.col("value") / 100 + F.col("bonus"), 6))

@@ -36,7 +36,7 @@ def e04(s, d):
     return W.moving_median(recordings(s, d), BY, "value").select("event_id", F.round("smooth", 6).alias("smooth"))
 
 
-@query("e05_levelled", sql("SELECT event_id, round(value / median(value) OVER (PARTITION BY rec_id ORDER BY t ROWS BETWEEN 16 PRECEDING AND 16 FOLLOWING), 4) AS levelled FROM e", "e"))
+@query("e05_levelled", sql("+i AS (SELECT *, row_number() OVER (PARTITION BY rec_id ORDER BY t) - 1 AS i FROM e), m AS (SELECT a.event_id, any_value(a.value) AS v, median(b.value) AS m FROM i a JOIN i b ON b.rec_id = a.rec_id AND b.i >= greatest(0, a.i - 16) AND b.i < greatest(0, a.i - 16) + 33 GROUP BY a.event_id) SELECT event_id, round(CASE WHEN m > 0 THEN v / m ELSE 0 END, 4) AS levelled FROM m", "e"))
 def e05(s, d):
     return W.levelled(recordings(s, d), BY, "value").select("event_id", F.round("levelled", 4).alias("levelled"))
 
@@ -127,14 +127,17 @@ def e21(s, d):
     return W.local_baseline_excluding(recordings(s, d), BY, "value", 8, 2).select("event_id", F.round("baseline", 5).alias("baseline"))
 
 
-@query("e22_first_sustained", sql("+x AS (SELECT *, avg((value >= 15)::INT) OVER f AS s, count(*) OVER f AS n FROM e WINDOW f AS (PARTITION BY rec_id ORDER BY t ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING)) SELECT rec_id, min(t) FILTER (WHERE value >= 15 AND s >= 0.75 AND n = 4) AS t FROM x GROUP BY 1", "e"))
+@query("e22_first_sustained", sql("+g AS (SELECT *, lead(t) OVER w - t AS gap, row_number() OVER w AS i FROM e WINDOW w AS (PARTITION BY rec_id ORDER BY t)), k AS (SELECT rec_id, count(*) AS n, CASE WHEN median(gap) > 0 THEN greatest(round_even(200000 / median(gap), 0)::BIGINT, 1) END AS w FROM g GROUP BY 1), c AS (SELECT a.rec_id, a.t, any_value(w) AS w, sum((b.value >= 15)::INT) AS c FROM g a JOIN k ON k.rec_id = a.rec_id JOIN g b ON b.rec_id = a.rec_id AND b.i >= a.i AND b.i < a.i + w WHERE a.value >= 15 AND a.i + w - 1 <= n GROUP BY a.rec_id, a.t), m AS (SELECT rec_id, min(t) AS t FROM c WHERE c >= 0.75 * w GROUP BY 1) SELECT k.rec_id, coalesce(n >= 2 AND n >= w, FALSE) AS measured, t FROM k LEFT JOIN m USING (rec_id)", "e"))
 def e22(s, d):
-    return W.first_sustained(recordings(s, d), BY, "value", 15.0, 4)
+    return W.first_sustained(recordings(s, d), BY, "value", 15.0, 200000.0)
 
 
-@query("e23_hopping_windows", sql("SELECT rec_id, w * 43200.0::DOUBLE AS start, count(*) AS n, round(sum(value), 4) AS total FROM (SELECT *, unnest(range(floor(t / 43200)::BIGINT - 1, floor(t / 43200)::BIGINT + 1)) AS w FROM e) GROUP BY ALL", "e"))
+_WINDOWS = "u AS (SELECT *, round(t * 1000000)::BIGINT AS us FROM e), b AS (SELECT rec_id, min(us) AS f, max(us) AS l FROM u GROUP BY 1), k AS (SELECT rec_id, f, l, l - f < 86400000000 AS short, unnest(range(0, greatest((l - f - 86400000000) // 43200000000, 0) + 1)) AS k FROM b), h AS (SELECT u.*, (f + k * 43200000000) / 1000000 AS start, CASE WHEN short THEN (l - f) / 1000000 ELSE 86400 END AS span FROM k JOIN u ON u.rec_id = k.rec_id AND (short OR us >= f + k * 43200000000 AND us < f + k * 43200000000 + 86400000000))"
+
+
+@query("e23_hopping_windows", sql(f"+{_WINDOWS} SELECT rec_id, round(start, 3) AS start, count(*) AS n, round(sum(value), 4) AS total FROM h GROUP BY rec_id, start", "e"))
 def e23(s, d):
-    return W.hopping_windows(recordings(s, d), BY, 86400.0, 43200.0).groupBy("rec_id", "start").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    return W.hopping_windows(recordings(s, d), BY, 86400.0, 43200.0).groupBy("rec_id", F.round("start", 3).alias("start")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
 @query("e24_tumbling_level", sql("SELECT rec_id, floor(t / 86400) * 86400 AS t, round(greatest(10 * log10(avg(value * value)), -120), 4) AS level FROM e GROUP BY rec_id, floor(t / 86400)", "e"))
@@ -142,11 +145,11 @@ def e24(s, d):
     return W.tumbling_level(recordings(s, d), BY, "value", 86400.0)
 
 
-@query("e25_window_table", sql("SELECT rec_id, w * 43200.0::DOUBLE AS start, round(10 * log10(avg(value * value)), 4) AS rms, round(count(*) FILTER (WHERE event_type = 'click') / 86400.0::DOUBLE, 9) AS onsets FROM (SELECT *, unnest(range(floor(t / 43200)::BIGINT - 1, floor(t / 43200)::BIGINT + 1)) AS w FROM e) GROUP BY ALL", "e"))
+@query("e25_window_table", sql(f"+{_WINDOWS} SELECT rec_id, round(start, 3) AS start, round(10 * log10(avg(value * value / 4) + 1.41 * avg(value * value / 16)) - 0.691, 2) AS lufs, round(10 * log10(avg(value * value)), 2) AS rms, round(count(*) FILTER (WHERE event_type = 'click') / nullif(any_value(span), 0), 9) AS onsets FROM h GROUP BY rec_id, start", "e"))
 def e25(s, d):
-    from ..functions.columns import dbfs
-
-    return W.hopping_windows(recordings(s, d), BY, 86400.0, 43200.0).groupBy("rec_id", "start").agg(F.round(dbfs(F.avg(F.col("value") * F.col("value"))), 4).alias("rms"), F.round(F.count_if(F.col("event_type") == "click") / 86400.0, 9).alias("onsets"))
+    v = F.col("value")
+    t = W.window_table(recordings(s, d), BY, 86400.0, 43200.0, [v / 2, F.lit(0.0), F.lit(0.0), v / 4], v, F.col("event_type") == "click")
+    return t.withColumn("start", F.round("start", 3))
 
 
 def _daily(s, d):
@@ -205,9 +208,17 @@ def e33(s, d):
     return W.blend_fit(v, ["label"], "vec", "vec_id").select("vec_id", F.round("alpha", 4).alias("alpha"), F.round("residual", 4).alias("residual"))
 
 
-@query("e35_best_window", sql("+x AS (SELECT rec_id, w * 43200.0::DOUBLE AS start, round(sum(value), 6) AS total, count(*) AS n FROM (SELECT *, unnest(range(floor(t / 43200)::BIGINT - 1, floor(t / 43200)::BIGINT + 1)) AS w FROM e) GROUP BY ALL) SELECT rec_id, arg_max(start, (total, -start)) AS start, max(total) AS total, arg_max(n, (total, -start)) AS n FROM x GROUP BY 1", "e"))
+@query("e35_best_window", sql("""+u AS (SELECT rec_id, round(t * 1000000)::BIGINT AS us, event_type AS k, value FROM e), b AS (SELECT rec_id, min(us) AS lo, max(us) AS hi FROM u GROUP BY 1),
+    k AS (SELECT rec_id, lo + unnest(range(0, (hi - lo - 86400000000) // 43200000000 + 1)) * 43200000000 AS s FROM b WHERE lo + 86400000000 <= hi), p AS (SELECT rec_id, arg_max(us, (value, -us)) AS peak FROM u WHERE k = 'view' GROUP BY 1),
+    w AS (SELECT k.rec_id, s, count(*) FILTER (WHERE k = 'error') AS changes, count(*) FILTER (WHERE k = 'purchase') AS strong, count(*) FILTER (WHERE k = 'click') AS weaker, max(value) FILTER (WHERE k = 'view') - min(value) FILTER (WHERE k = 'view') AS range FROM k LEFT JOIN u ON u.rec_id = k.rec_id AND us BETWEEN s AND s + 86400000000 GROUP BY k.rec_id, s),
+    x AS (SELECT w.*, coalesce(peak BETWEEN s AND s + 86400000000, FALSE) AS peak FROM w LEFT JOIN p USING (rec_id)),
+    y AS (SELECT rec_id, round(s / 1000000, 3) AS start, changes, strong, weaker, round(range, 2) AS range, peak, round(3.0::DOUBLE * changes + 0.1::DOUBLE * strong + 0.05::DOUBLE * weaker + 0.5::DOUBLE * coalesce(range, 0) / 6 + peak::INT, 3) AS score FROM x)
+    SELECT * FROM y QUALIFY row_number() OVER (PARTITION BY rec_id ORDER BY score DESC, start) = 1""", "e"))
 def e35(s, d):
-    return W.best_window(recordings(s, d).withColumn("weight", F.col("value")), BY, 86400.0, 43200.0)
+    spans = recordings(s, d).groupBy("rec_id").agg(F.min("t").alias("lo"), F.max("t").alias("hi"))
+    rows = [of_type(s, d, k) for k in ("error", "purchase", "click")]
+    best = W.best_window(spans, *rows, of_type(s, d, "view").withColumn("level", F.col("value")), BY, 86400.0, 43200.0)
+    return best.withColumn("start", F.round("start", 3))
 
 
 @query("e41_refine_boundary", sql("+s AS (SELECT rec_id, t, round(abs(avg(value) OVER (PARTITION BY rec_id ORDER BY round(t * 1000000)::BIGINT RANGE BETWEEN CURRENT ROW AND 43200000000 FOLLOWING) - avg(value) OVER (PARTITION BY rec_id ORDER BY round(t * 1000000)::BIGINT RANGE BETWEEN 43200000000 PRECEDING AND 1 PRECEDING)), 6) AS d FROM e) SELECT l.event_id, coalesce(arg_max(s.t, (d, -s.t)) FILTER (WHERE d IS NOT NULL), any_value(l.t)) AS refined FROM (SELECT * FROM e WHERE event_type = 'error') l LEFT JOIN s ON s.rec_id = l.rec_id AND abs(s.t - l.t) <= 86400 GROUP BY l.event_id", "e"))

@@ -120,7 +120,7 @@ def bar_map(rows):
     t = [r.t for r in rows]
     value = []
     for i in range(len(rows)):
-        m = median(level[max(0, i - 16) : i + 17])
+        m = median(level[max(0, i - 16) :][:33])
         value.append(level[i] / m if m > 0 else 0.0)
 
     def contrast(v, size, phase):

@@ -43,7 +43,7 @@ def k02(s, d):
     return _run(s, d, lambda x: T.stream_bursts(x, ["rec_id"], "value", 50.0, "6 hours", "1 hour")).select("rec_id", _seconds("start"), _seconds("stop"), "rows", "peak")
 
 
-@query("k03_stream_state", sql("+g AS (SELECT *, coalesce(last_value(CASE WHEN value >= 50 THEN TRUE WHEN value < 15 THEN FALSE END IGNORE NULLS) OVER (PARTITION BY rec_id ORDER BY t ROWS UNBOUNDED PRECEDING), FALSE) AS open FROM e) SELECT rec_id, t AS ts, open FROM g QUALIFY open <> coalesce(lag(open) OVER (PARTITION BY rec_id ORDER BY t), FALSE)", "e"))
+@query("k03_stream_state", sql("+g AS (SELECT *, coalesce(last_value(CASE WHEN value >= 50 THEN TRUE WHEN value < 15 THEN FALSE END IGNORE NULLS) OVER (PARTITION BY rec_id ORDER BY t ROWS UNBOUNDED PRECEDING), FALSE) AS open FROM e) SELECT rec_id, t AS ts, open FROM g QUALIFY open <> coalesce(lag(open) OVER (PARTITION BY rec_id ORDER BY t), FALSE) AND t <= (SELECT floor((max(t) - 3600) * 1000) / 1000 FROM e)", "e"))
 def k03(s, d):
     return _run(s, d, lambda x: T.stream_state(x, "rec_id", "value", 50.0, 15.0)).select("rec_id", _seconds("ts"), "open")
 
@@ -62,6 +62,6 @@ def k05(s, d):
     return _run(s, d, lambda x: T.stream_dedupe(x.withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1)))), ["event_id"], "1 hour").select("event_id", "ts")).select("event_id", _seconds("ts"))
 
 
-@query("k06_stream_thin", sql("+k AS (SELECT rec_id, min(t) AS t FROM e GROUP BY 1 UNION ALL SELECT k.rec_id, (SELECT min(e.t) FROM e WHERE e.rec_id = k.rec_id AND e.t - k.t >= 86400) AS t FROM k WHERE k.t IS NOT NULL) SELECT rec_id, t AS ts FROM k WHERE t IS NOT NULL", "e").replace("WITH", "WITH RECURSIVE", 1))
+@query("k06_stream_thin", sql("+k AS (SELECT rec_id, min(t) AS t FROM e GROUP BY 1 UNION ALL SELECT k.rec_id, (SELECT min(e.t) FROM e WHERE e.rec_id = k.rec_id AND e.t - k.t >= 86400) AS t FROM k WHERE k.t IS NOT NULL) SELECT rec_id, t AS ts FROM k WHERE t <= (SELECT floor((max(t) - 3600) * 1000) / 1000 FROM e)", "e").replace("WITH", "WITH RECURSIVE", 1))
 def k06(s, d):
     return _run(s, d, lambda x: T.stream_thin(x, "rec_id", 86400.0)).select("rec_id", _seconds("ts"))

@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 
 def stream_levels(stream: DataFrame, by: list[str], col: str, width: str, hop: str, late: str) -> DataFrame:
@@ -23,50 +23,120 @@ def stream_bursts(stream: DataFrame, by: list[str], level: str, threshold: float
     return s.select(*by, F.col("s.start").alias("start"), F.col("s.end").alias("stop"), "rows", "peak")
 
 
-def stream_enrich(stream: DataFrame, catalog: DataFrame, by: list[str]) -> DataFrame:
-    """Rows with the span (start, stop) of a static catalog that holds them."""
-    inside = (stream.ts >= catalog.start) & (stream.ts < catalog.stop)
+def stream_enrich(stream: DataFrame, catalog: DataFrame, by: list[str], width: str = "1 day") -> DataFrame:
+    """Rows with the span (start, stop) of a static catalog that holds them. Both meet on buckets of `width` in time, so a row
+    meets the spans of its time only, not all of its key; open spans are dealt up to the bucket after the last that closes."""
+    step = F.lit(pd.Timedelta(width).value // 1000)
+    bucket = lambda c: F.floor(F.unix_micros(c) / step)
+    ends = catalog.agg(F.max(bucket(F.col("start"))).alias("_top"))  # one row
+    spans = catalog.select(*(F.col(c).alias(f"_s_{c}") if c in by else F.col(c) for c in catalog.columns)).join(F.broadcast(ends))
+    first, last = bucket(F.col("start")), F.greatest(F.least(bucket(F.col("stop")), F.col("_top") + 1), bucket(F.col("start")))
+    spans = spans.withColumn("_bucket", F.explode(F.sequence(first, last))).drop("_top")
+    # rows after all starts meet what is open then in one bucket
+    rows = stream.join(F.broadcast(ends)).withColumn("_at", F.least(bucket(F.col("ts")), F.col("_top") + 1)).drop("_top")
+    inside = (rows["_at"] == spans["_bucket"]) & (rows["ts"] >= spans["start"]) & (rows["ts"] < spans["stop"])
     for c in by:
-        inside &= stream[c] == catalog[c]
-    return stream.join(catalog, inside, "left").drop(*(catalog[c] for c in by))
+        inside &= rows[c] == spans[f"_s_{c}"]
+    return rows.join(spans, inside, "left").drop("_at", "_bucket", *(f"_s_{c}" for c in by))
 
 
 def stream_dedupe(stream: DataFrame, keys: list[str], late: str) -> DataFrame:
     return stream.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
 
 
-def stream_state(stream: DataFrame, by: str, level: str, opens: float, closes: float) -> DataFrame:
-    """Changes of the hysteresis gate per key: on at or over `opens`, off under `closes`. State is one flag."""
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        on = state.get[0] if state.exists else False
-        rows = pd.concat(list(batches)).sort_values("ts")
-        out = []
-        for ts, v in zip(rows["ts"], rows[level]):
-            new = True if v >= opens else False if v < closes else on
-            if new != on:
-                out.append((key[0], ts, new))
-            on = new
-        state.update((on,))
-        yield pd.DataFrame(out, columns=[by, "ts", "open"])
-
-    kind = stream.schema[by].dataType.simpleString()
-    return stream.select(by, "ts", level).groupBy(by).applyInPandasWithState(step, f"{by} {kind}, ts timestamp, open boolean", "on boolean", "append", GroupStateTimeout.NoTimeout)
-
-
-def stream_thin(stream: DataFrame, by: str, gap: float) -> DataFrame:
-    """Greedy thinning with the last kept time as state; rows of one batch are taken in order."""
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        kept = []
-        for ts in pd.concat(list(batches))["ts"].sort_values():
-            at = ts.value / 1e9
-            if last is None or at - last >= gap:
-                kept.append((key[0], ts))
-                last = at
-        state.update((last,))
-        yield pd.DataFrame(kept, columns=[by, "ts"])
-
+class _InOrder(StatefulProcessor):
+    """Rows of a key wait until the watermark has passed them, then go through `machine` in order of time. Rows that come
+    after the watermark are dropped. State: the rows that wait, and what the machine keeps."""
+
+    def __init__(self, by: str, machine, columns: list[str]):
+        self.by, self.machine, self.columns = by, machine, columns
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.rows = handle.getListState("rows", "us long, v double")
+        self.kept = handle.getValueState("kept", "x long")
+
+    def _out(self, key: tuple, found: list[tuple]) -> Iterator[pd.DataFrame]:
+        yield pd.DataFrame([(key[0], *r) for r in found], columns=self.columns)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        mark = timerValues.getCurrentWatermarkInMs() * 1000
+        new = [(int(u), float(v)) for f in rows for u, v in zip(f["us"], f["v"]) if u > mark]
+        if new:
+            self.rows.appendList(new)
+            self.handle.registerTimer(-(-min(new)[0] // 1000))
+        return self._out(key, [])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        mark = timerValues.getCurrentWatermarkInMs() * 1000
+        held = sorted(self.rows.get()) if self.rows.exists() else []
+        ready, rest = [r for r in held if r[0] <= mark], [r for r in held if r[0] > mark]
+        state = self.kept.get()[0] if self.kept.exists() else None
+        found, state, due = self.machine(state, ready, mark)
+        if rest:
+            self.rows.put(rest)
+            self.handle.registerTimer(-(-rest[0][0] // 1000))
+        else:
+            self.rows.clear()
+        if state is None:
+            self.kept.clear()
+        else:
+            self.kept.update((state,))
+            if due is not None:
+                self.handle.registerTimer(-(-due // 1000))
+        return self._out(key, found)
+
+    def close(self) -> None:
+        pass
+
+
+def _in_order(stream: DataFrame, by: str, value: Column, late: str, machine, out: str) -> DataFrame:
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     kind = stream.schema[by].dataType.simpleString()
-    return stream.select(by, "ts").groupBy(by).applyInPandasWithState(step, f"{by} {kind}, ts timestamp", "last double", "append", GroupStateTimeout.NoTimeout)
+    rows = stream.withWatermark("ts", late).select(by, "ts", F.unix_micros("ts").alias("us"), value.cast("double").alias("v")).where("us is not null and v is not null")
+    columns = [by, *(x.split()[0] for x in out.split(", "))]
+    found = rows.groupBy(by).transformWithStateInPandas(_InOrder(by, machine, columns), f"{by} {kind}, {out}", "append", "eventTime")
+    return found.select(by, F.timestamp_micros("us").alias("ts"), *columns[2:])
+
+
+def stream_state(stream: DataFrame, by: str, level: str, opens: float, closes: float, late: str = "1 hour", idle: str | None = None) -> DataFrame:
+    """Changes of the hysteresis gate per key: on at or over `opens`, off under `closes`. Rows up to `late` behind are put in
+    order, later ones dropped. Only open gates keep state; with `idle`, a gate without rows for so long closes then."""
+    wait = None if idle is None else pd.Timedelta(idle).value // 1000
+
+    def gate(last, rows, mark):  # last: the last row of an open gate
+        found = []
+        for us, v in rows:
+            if last is not None and wait is not None and us - last >= wait:
+                found.append((last + wait, False))
+                last = None
+            if last is None and v >= opens:
+                found.append((us, True))
+                last = us
+            elif last is not None and v < closes:
+                found.append((us, False))
+                last = None
+            elif last is not None:
+                last = us
+        if last is not None and wait is not None and last + wait <= mark:
+            found.append((last + wait, False))
+            last = None
+        return found, last, None if last is None or wait is None else last + wait
+
+    return _in_order(stream, by, F.col(level), late, gate, "us long, open boolean")
+
+
+def stream_thin(stream: DataFrame, by: str, gap: float, late: str = "1 hour") -> DataFrame:
+    """Greedy thinning in order of time: rows up to `late` behind are put in order, later ones dropped. The last kept time is
+    forgotten once the watermark is a gap beyond it, as every row to come is then free."""
+    far = round(gap * 1_000_000)
+
+    def thinned(last, rows, mark):
+        found = []
+        for us, _ in rows:
+            if last is None or us - last >= far:
+                found.append((us,))
+                last = us
+        return found, None if last is None or last + far <= mark else last, None if last is None else last + far
+
+    return _in_order(stream, by, F.lit(0.0), late, thinned, "us long")

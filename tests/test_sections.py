@@ -58,7 +58,8 @@ def test_sweep_is_the_sections_of_every_setting(spark):
     truth = frame(spark, "k string, t double", [("a", 0.0), ("a", 131.0)])
     got = {(r.scale, r.margin, r.hold): r for r in S.sweep_sections(curve, level, beats, truth, BY, "p", [0.0, 0.09], [6.0, 50.0], [10.0, 400.0], 3.0).collect()}
     assert len(got) == 8
-    for (scale, margin, hold), r in got.items():
+    for scale, margin, hold in ((0.09, 6.0, 10.0), (0.0, 50.0, 400.0)):
+        r = got[scale, margin, hold]
         kept = [s.start for s in S.sections(curve, level, beats, BY, "p", scale=scale, margin=margin, hold=hold).where("outcome is null").collect()]
         matched = sum(any(abs(t - x) <= 3 for x in kept) for t in (0.0, 131.0))
         assert (r.truths, r.matched, r.invented) == (2, matched, sum(all(abs(t - x) > 3 for t in (0.0, 131.0)) for x in kept))

@@ -58,6 +58,35 @@ def nearest_join(left: DataFrame, right: DataFrame, by: list[str], cols: list[st
     return m.select(*left.columns, *(F.col(f"_n.{c}").alias(prefix + c) for c in cols), offset.alias("offset"))
 
 
+def multi_asof(left: DataFrame, sides: dict[str, tuple[DataFrame, list[str]]], by: list[str]) -> DataFrame:
+    """left with, for each side, the last row at or before t and the first at or after it, as structs <name>_back and
+    <name>_next of t and the side's columns. All sides stand in one union with a typed payload each, so a recording is
+    exchanged once however many sides there are, and sorted once either way."""
+    kinds = {name: F.struct(F.col("t").alias("t"), *(F.col(c) for c in cols)) for name, (_, cols) in sides.items()}
+    typed = {name: df.select(kinds[name].alias("x")).schema["x"].dataType for name, (df, _) in sides.items()}
+    own = F.struct(*(F.col(c) for c in left.columns))
+    own_type = left.select(own.alias("x")).schema["x"].dataType
+
+    def rows(df: DataFrame, name: str | None) -> DataFrame:
+        payload = [(kinds[n] if n == name else F.lit(None).cast(t)).alias(n) for n, t in typed.items()]
+        return df.select(*by, "t", F.lit(name is None).alias("_left"), (own if name is None else F.lit(None).cast(own_type)).alias("_own"), *payload)
+
+    both = rows(left, None)
+    for name, (df, _) in sides.items():
+        both = both.union(rows(df.where("t is not null"), name))
+    until = lambda *order: Window.partitionBy(*by).orderBy(*order, "_left").rowsBetween(Window.unboundedPreceding, 0)
+    back, ahead = until("t"), until(F.desc("t"))
+    both = both.withColumns({f"{n}_back": F.last(n, ignorenulls=True).over(back) for n in sides})
+    both = both.withColumns({f"{n}_next": F.last(n, ignorenulls=True).over(ahead) for n in sides})
+    return both.where("_left").select("_own.*", *(f"{n}_{w}" for n in sides for w in ("back", "next")))
+
+
+def nearer(name: str) -> Column:
+    """Of a side of multi_asof the row nearest to t, the earlier one on a tie."""
+    back, ahead = F.col(f"{name}_back"), F.col(f"{name}_next")
+    return F.when(ahead.isNull() | (F.col("t") - back["t"] <= ahead["t"] - F.col("t")), back).otherwise(ahead)
+
+
 def state_asof(left: DataFrame, changes: DataFrame, by: list[str], chunk: float | None = None) -> DataFrame:
     """State at t from change rows (t, was, to): before the first change what that changes from; a null `to` keeps the state."""
     held = asof_join(left, changes.where("to is not null"), by, ["to"], chunk=chunk)

@@ -84,6 +84,45 @@ ORACLES["d33_gap_report"] = sql(
 )
 
 
+_VIEWS = ORACLES["i01_grid_trust"].replace("FROM events", "FROM (SELECT * FROM events WHERE event_type = 'view')")
+_CHANGE = "ch AS (SELECT rec_id, t, lag(event_id::VARCHAR) OVER (PARTITION BY rec_id ORDER BY t) AS was, event_id::VARCHAR AS \"to\" FROM e WHERE event_type = 'purchase')"
+
+
+def _nearest(table: str, column: str) -> str:
+    return f"(SELECT x.{column} FROM {table} x WHERE x.rec_id = i.rec_id ORDER BY abs(x.t - i.t), x.t LIMIT 1)"
+
+
+#: Every item against every side, each looked up by itself; then a, the rows of correlate_all.
+_ALL = f"""+tr AS ({_VIEWS}), gr AS (SELECT e.rec_id, e.t, trusted, lead(e.t) OVER (PARTITION BY e.rec_id ORDER BY e.t) - e.t AS gap FROM e JOIN tr USING (event_id)),
+    gw AS (SELECT rec_id, t, trusted, quantile_cont(gap, 0.5) OVER (PARTITION BY rec_id ORDER BY t ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING) AS wide FROM gr),
+    br AS (SELECT rec_id, t, row_number() OVER (PARTITION BY rec_id ORDER BY t) AS bar FROM e WHERE event_type = 'purchase'), {_CHANGE}, ck AS (SELECT * FROM e WHERE event_type = 'click'),
+    pc AS (SELECT rec_id, t, CASE WHEN event_id % 5 <> 0 THEN value / 100 END AS delta, CASE WHEN event_id % 5 <> 0 THEN value < 20 END AS jump FROM e WHERE event_type = 'error'),
+    su AS (SELECT rec_id, t AS start, t + 40000 AS stop, CASE WHEN clip = 'view' THEN 'card' ELSE 'overlay' END AS kind FROM items WHERE value > 60),
+    st AS (SELECT i.rec_id, i.event_id, arg_min(kind, (kind <> 'card', su.start, kind)) AS kind FROM items i JOIN su ON su.rec_id = i.rec_id AND su.start + 60 < i.t AND i.t < su.stop - 60 GROUP BY ALL),
+    qu AS (SELECT i.rec_id, i.event_id, count(*) AS n, median(s.value) AS sh, median(s.value / 2) AS ex, max(s.value / 1000) AS cl, min(CASE WHEN s.event_type <> 'view' THEN s.value / 100 END) AS sb FROM items i JOIN e s ON s.rec_id = i.rec_id AND s.t >= i.t AND s.t < i.t + i.seconds GROUP BY ALL),
+    sn AS (SELECT rec_id, t AS start, coalesce(lead(t) OVER (PARTITION BY rec_id ORDER BY t), 'infinity'::DOUBLE) AS stop, "to" AS label FROM ch),
+    ov AS (SELECT i.rec_id, i.event_id, label, round(sum(least(i.t + i.seconds, stop) - greatest(i.t, start)), 3) AS s, min(greatest(i.t, start)) AS f FROM items i JOIN sn ON sn.rec_id = i.rec_id AND i.t < stop AND start < i.t + i.seconds GROUP BY ALL),
+    mo AS (SELECT rec_id, event_id, label FROM ov QUALIFY row_number() OVER (PARTITION BY rec_id, event_id ORDER BY s DESC, f, label) = 1),
+    nr AS (SELECT i.*, {_nearest("gw", "t")} AS gt, {_nearest("gw", "wide")} AS wide, {_nearest("gw", "trusted")} AS trusted, {_nearest("br", "t")} AS bt, {_nearest("br", "bar")} AS map_bar, {_nearest("ck", "t")} AS ct,
+           {_nearest("pc", "t")} AS pt, {_nearest("pc", "delta")} AS delta, {_nearest("pc", "jump")} AS jump, coalesce(lag(t + seconds) OVER (PARTITION BY rec_id ORDER BY t) <> t, TRUE) AS opens,
+           (SELECT "to" FROM ch WHERE ch.rec_id = i.rec_id AND ch.t <= i.t ORDER BY ch.t DESC LIMIT 1) AS state, (SELECT section FROM sections s WHERE s.rec_id = i.rec_id AND s.start <= i.t AND (s.stop IS NULL OR i.t < s.stop)) AS section FROM items i),
+    a AS (SELECT nr.rec_id, nr.event_id, t - gt AS "offset", t - bt AS bar_offset, t - ct AS transient_offset, CASE WHEN abs(t - pt) <= 20000 THEN delta END AS delta, CASE WHEN abs(t - pt) <= 20000 THEN jump END AS jump, opens, coalesce(wide > 0 AND abs(t - gt) > wide, FALSE) AS stranded,
+           coalesce(trusted, FALSE) AND NOT coalesce(wide > 0 AND abs(t - gt) > wide, FALSE) AS in_grid, map_bar, (map_bar - 1) % 4 + 1 AS in_group, section, state, kind IS NOT NULL AS straddles, kind AS super_kind, sh AS sharpness, ex AS exposure, cl AS clipped, sb AS stability, coalesce(n, 0) AS samples, label AS most
+          FROM nr LEFT JOIN st USING (rec_id, event_id) LEFT JOIN qu USING (rec_id, event_id) LEFT JOIN mo USING (rec_id, event_id)) """
+ORACLES["i08_correlate_all"] = sql(
+    _ALL + """SELECT event_id, round("offset", 3) AS "offset", round(bar_offset, 3) AS bar_offset, round(transient_offset, 3) AS transient_offset, round(delta, 3) AS delta, round(sharpness, 3) AS sharpness, round(exposure, 3) AS exposure, round(clipped, 3) AS clipped, round(stability, 3) AS stability,
+           opens, stranded, in_grid, map_bar, in_group, section, state, jump, straddles, super_kind, samples, most FROM a""",
+    "e", "items", "sections",
+)
+ORACLES["i09_correlate_all_summary"] = sql(
+    _ALL + """, o AS (SELECT *, CASE WHEN NOT opens AND in_grid THEN round("offset", 3) END AS o, CASE WHEN NOT opens THEN round(bar_offset, 3) END AS b FROM a)
+    SELECT rec_id, count(*) AS items, count(o) AS measured, round(avg(abs(o)), 3) AS mean, round(median(abs(o)), 3) AS median, count(*) FILTER (WHERE o < 0) AS early, count(*) FILTER (WHERE opens) AS openings, count(*) FILTER (WHERE NOT opens AND NOT in_grid AND NOT stranded) AS gated,
+           count(*) FILTER (WHERE NOT opens AND stranded) AS stranded, round(avg(abs(b)), 3) AS bar_mean, count(*) FILTER (WHERE NOT opens AND in_group = 1) AS on_group, count(*) FILTER (WHERE section IS NULL) AS outside, count(*) FILTER (WHERE delta IS NULL) AS unread,
+           count(*) FILTER (WHERE straddles) AS straddles, count(*) FILTER (WHERE samples = 0) AS unsampled FROM o GROUP BY 1""",
+    "e", "items", "sections",
+)
+
+
 def _sections(settings: list[tuple[float, float, float]]) -> str:
     """Common table expressions up to x: the calls of every (scale, margin, hold), settled and sifted, step by step."""
     key = "rec_id, scale, margin, hold"

@@ -136,3 +136,27 @@ def d33_gaps(s, d):
 
     r = gap_report(recordings(s, d), BY, 172800.0)
     return r.withColumn("largest", F.array_join(F.transform("largest", lambda x: F.concat_ws(":", F.floor(x["t"]).cast("string"), F.floor(x["gap"]).cast("string"))), ","))
+
+
+def _everything(s, d):
+    e = recordings(s, d)
+    views = P.grid_trust(of_type(s, d, "view").withColumn("day", F.floor(F.col("t") / 86400)), BY, "day")
+    n = F.row_number().over(Window.partitionBy("rec_id").orderBy("t")).cast("long")
+    bars = of_type(s, d, "purchase").select("rec_id", "t", n.alias("bar"), (F.pmod(n - 1, F.lit(4)) + 1).alias("in_group"))
+    v, read = F.col("value"), F.col("event_id") % 5 != 0
+    deltas = of_type(s, d, "error").select("rec_id", "t", F.when(read, v / 100).alias("delta"), F.when(read, v < 20).alias("jump"))
+    graphics = items(s, d).where("value > 60").select("rec_id", F.col("t").alias("start"), (F.col("t") + 40000).alias("stop"), F.when(F.col("clip") == "view", "card").otherwise("overlay").alias("kind"))
+    samples = e.select("rec_id", "t", v.alias("sharpness"), (v / 2).alias("exposure"), (v / 1000).alias("clipped"), F.when(F.col("event_type") != "view", v / 100).alias("stability"))
+    return P.correlate_all(items(s, d), views, BY, "event_id", bars=bars, transients=of_type(s, d, "click"), sections=sections(s, d), changes=_changes(s, d), deltas=deltas, graphics=graphics, samples=samples, near=20000.0, guard=60.0, width=86400.0)
+
+
+@query("i08_correlate_all")
+def i08_all(s, d):
+    cols = ["offset", "bar_offset", "transient_offset", "delta", "sharpness", "exposure", "clipped", "stability"]
+    r = _everything(s, d).select("event_id", *(F.round(c, 3).alias(c) for c in cols), "opens", "stranded", "in_grid", "map_bar", "in_group", "section", "state", "jump", "straddles", "super_kind", "samples", "most")
+    return r
+
+
+@query("i09_correlate_all_summary")
+def i09_all(s, d):
+    return P.correlate_all_summary(_everything(s, d), BY)

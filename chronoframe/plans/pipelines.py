@@ -64,6 +64,76 @@ def correlate_summary(rows: DataFrame, by: list[str]) -> DataFrame:
     return rows.withColumn("_o", o).groupBy(*by).agg(F.count("_o").alias("measured"), F.round(F.avg(F.abs("_o")), 3).alias("mean"), F.round(F.median(F.abs("_o")), 3).alias("median"), F.count_if(F.col("_o") < 0).alias("early"), F.count_if(F.col("opens")).alias("openings"), F.count_if(F.col("stranded")).alias("stranded"), F.count_if(F.col("section").isNull()).alias("outside"))
 
 
+def correlate_all(items: DataFrame, grid: DataFrame, by: list[str], key: str, *, bars: DataFrame | None = None, transients: DataFrame | None = None, sections: DataFrame | None = None, changes: DataFrame | None = None, deltas: DataFrame | None = None, graphics: DataFrame | None = None, samples: DataFrame | None = None, reach: float = 1.0, near: float = 0.5, guard: float = 0.0, width: float = 60.0) -> DataFrame:
+    """One row per item (t, seconds) against everything known of its recording. An absent side gives nulls, never zeros.
+
+    grid (t, trusted): offset to the nearest row, in_grid if that is trusted and in reach; stranded if it is farther than
+    `reach` times the median gap around it. bars (t, bar, in_group): map_bar, in_group, bar_offset. transients (t):
+    transient_offset. sections (start, stop or null, section): the one the item starts in. changes (t, was, to): the state,
+    before the first change what that changes from. deltas (t, delta, jump): those within `near`, null where unread.
+    graphics (start, stop, kind): whether the item starts strictly inside one, by guard, a card before others. samples (t,
+    sharpness, exposure, clipped, stability): medians and worst over the item, and how many. Changes also split each item by
+    state: most is the state with most of its seconds. The sides that are points meet the items in one exchange; those that
+    are spans or samples meet them in buckets of `width`."""
+    null = lambda kind: F.lit(None).cast(kind)
+    w = Window.partitionBy(*by).orderBy("t")
+    g = grid.withColumn("_gap", F.lead("t").over(w) - F.col("t"))
+    g = g.withColumn("_wide", F.percentile("_gap", F.lit(0.5)).over(w.rowsBetween(-4, 4)))
+    sides = {"grid": (g, ["trusted", "_wide"])}
+    sides |= {"bars": (bars, ["bar", "in_group"])} if bars is not None else {}
+    sides |= {"hits": (transients, [])} if transients is not None else {}
+    sides |= {"sect": (sections.withColumn("t", F.col("start")), ["stop", "section"])} if sections is not None else {}
+    sides |= {"change": (changes, ["was", "to"]), "held": (changes.where("to is not null"), ["to"])} if changes is not None else {}
+    sides |= {"pic": (deltas, ["delta", "jump"])} if deltas is not None else {}
+    r = W.opening_flag(items.withColumns({"start": F.col("t"), "stop": F.col("t") + F.col("seconds")}), by)
+    r = J.multi_asof(r, sides, by).withColumn("_g", J.nearer("grid"))
+    offset, wide = F.col("t") - F.col("_g.t"), F.col("_g._wide")
+    r = r.withColumns({"offset": offset, "stranded": F.coalesce((wide > 0) & (F.abs(offset) > reach * wide), F.lit(False))})
+    r = r.withColumn("in_grid", F.coalesce(F.col("_g.trusted"), F.lit(False)) & ~F.col("stranded"))
+    b = J.nearer("bars") if bars is not None else None
+    r = r.withColumns({"map_bar": b["bar"], "in_group": b["in_group"], "bar_offset": F.col("t") - b["t"]} if bars is not None else {"map_bar": null("long"), "in_group": null("long"), "bar_offset": null("double")})
+    r = r.withColumn("transient_offset", F.col("t") - J.nearer("hits")["t"] if transients is not None else null("double"))
+    r = r.withColumn("section", F.when(F.coalesce(F.col("t") < F.col("sect_back.stop"), F.col("sect_back").isNotNull()), F.col("sect_back.section")) if sections is not None else null("long"))
+    if changes is not None:
+        first = F.when(F.col("change_back").isNull(), F.col("change_next.was"))
+        opening = changes.groupBy(*by).agg(F.min_by("was", "t").alias("_first"))
+        r = r.join(opening, by, "left").withColumn("state", F.coalesce("held_back.to", first, "_first")).drop("_first")
+    else:
+        r = r.withColumn("state", null("string"))
+    p = F.when(F.abs(F.col("t") - J.nearer("pic")["t"]) <= near, J.nearer("pic")) if deltas is not None else None
+    r = r.withColumns({"delta": p["delta"], "jump": p["jump"]} if deltas is not None else {"delta": null("double"), "jump": null("boolean")})
+    r = r.drop("_g", *(f"{n}_{side}" for n in sides for side in ("back", "next")))
+    r = J.straddle_join(r, graphics, by, key, width, guard).withColumnRenamed("kind", "super_kind")
+    if samples is not None:
+        aggs = [F.median("sharpness").alias("sharpness"), F.median("exposure").alias("exposure"), F.max("clipped").alias("clipped"), F.min("stability").alias("stability")]
+        q = J.range_agg(r.select(*by, key, "start", "stop"), samples.select(*by, "t", "sharpness", "exposure", "clipped", "stability"), by, key, width, aggs).withColumnRenamed("n", "samples").drop("start", "stop")
+        r = r.join(q, [*by, key], "left")
+    else:
+        r = r.withColumns({c: null("double") for c in ("sharpness", "exposure", "clipped", "stability")}).withColumn("samples", F.lit(0).cast("long"))
+    if changes is None:
+        return r.withColumn("most", null("string"))
+    held = changes.where("to is not null").select(*by, F.col("t").alias("start"), F.coalesce(F.lead("t").over(w), F.lit(float("inf"))).alias("stop"), F.col("to").alias("label"))
+    head = changes.groupBy(*by).agg(F.min_by("was", "t").alias("label"), F.min(F.when(F.col("to").isNotNull(), F.col("t"))).alias("stop")).where("label is not null")
+    ends = items.groupBy(*by).agg(F.min("t").alias("_from"), F.max(F.col("t") + F.col("seconds")).alias("_to"))
+    spans = held.unionByName(head.select(*by, F.lit(float("-inf")).alias("start"), F.coalesce("stop", F.lit(float("inf"))).alias("stop"), "label")).join(ends, by)
+    spans = spans.select(*by, F.greatest("start", "_from").alias("start"), F.least("stop", "_to").alias("stop"), "label").where("start < stop")
+    most = J.overlap_split(r.select(*by, key, "start", "stop"), spans, by, key, width).where("verdict").select(*by, key, F.col("label").alias("most"))
+    return r.join(most, [*by, key], "left")
+
+
+def correlate_all_summary(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Of correlate_all: offsets of items that don't open and stand in the grid; openings, items of a refused grid and stranded
+    ones counted apart; offsets to bars without regard to the grid; unread steps, straddles and items without samples."""
+    cut = ~F.col("opens")
+    o, b = F.when(cut & F.col("in_grid"), F.round("offset", 3)), F.when(cut, F.round("bar_offset", 3))
+    n = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
+    return rows.withColumns({"_o": o, "_b": b}).groupBy(*by).agg(
+        F.count("*").alias("items"), F.count("_o").alias("measured"), F.round(F.avg(F.abs("_o")), 3).alias("mean"), F.round(F.median(F.abs("_o")), 3).alias("median"), n(F.col("_o") < 0).alias("early"), n(F.col("opens")).alias("openings"),
+        n(cut & ~F.col("in_grid") & ~F.col("stranded")).alias("gated"), n(cut & F.col("stranded")).alias("stranded"), F.round(F.avg(F.abs("_b")), 3).alias("bar_mean"), n(cut & (F.col("in_group") == 1)).alias("on_group"),
+        F.count_if(F.col("section").isNull()).alias("outside"), F.count_if(F.col("delta").isNull()).alias("unread"), n(F.col("straddles")).alias("straddles"), F.count_if(F.col("samples") == 0).alias("unsampled"),
+    )
+
+
 def rhythm(items: DataFrame, by: list[str]) -> DataFrame:
     """Variation of lengths, longest alternation and monotone stretch, and whether it all reads metronomic: the alternation
     covers more than 0.8 of the cuts and the lengths are mechanical with it, by one bin of more than 0.6, a variation under

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import functools
+import pickle
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult, OrderingColumn, PartitioningColumn
 
 
 def apply_detector(df: DataFrame, detect: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
@@ -42,3 +46,58 @@ def explode_rows(df: DataFrame, make: Callable[..., Iterator[tuple]], args: list
 
     rows = F.udtf(Rows, returnType=schema)
     return df.alias("x").lateralJoin(rows(*(F.col(f"x.{a}").outer() for a in args)))
+
+
+def mergeable_aggregate(df: DataFrame, by: list[str], columns: list[str], init: Callable[[], object], update: Callable[[object, pd.DataFrame], object], merge: Callable[[object, object], object], finish: Callable[[object], tuple], out: str, salts: int = 32, keys: int = 100_000) -> DataFrame:
+    """A user aggregate in pieces: each task folds its rows, batch by batch, into one state a key (update), states are merged
+    by key in two steps, the first dealt by salt, and finish() gives the columns `out`. No task sees all rows of a key, so a
+    hot key spreads. Keys may be null; at most `keys` states are held in a task before they are passed on."""
+    kinds = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in by)
+    names = [part.split()[0] for part in out.split(",")]
+
+    def passed_on(states: dict) -> pd.DataFrame:
+        rows = [(*key, pickle.dumps(state)) for key, state in states.items()]
+        states.clear()
+        return pd.DataFrame(rows, columns=[*by, "_state"]).astype({c: object for c in by})
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        states: dict = {}
+        for batch in batches:
+            for key, rows in batch.groupby(by, dropna=False, sort=False):
+                key = tuple(None if pd.isna(k) else k for k in key)
+                states[key] = update(states[key] if key in states else init(), rows[columns])
+            if len(states) >= keys:
+                yield passed_on(states)
+        yield passed_on(states)
+
+    def merged(group: pd.DataFrame) -> object:
+        return functools.reduce(merge, map(pickle.loads, group["_state"]))
+
+    def frame(group: pd.DataFrame, more: dict) -> pd.DataFrame:
+        return pd.DataFrame({c: [group[c].iloc[0]] for c in by} | more)
+
+    parts = df.select(*by, *(c for c in columns if c not in by)).mapInPandas(fold, f"{kinds}, _state binary")
+    parts = parts.groupBy(*by, F.pmod(F.spark_partition_id(), F.lit(salts)).alias("_salt")).applyInPandas(lambda g: frame(g, {"_state": [pickle.dumps(merged(g))]}), f"{kinds}, _state binary")
+    return parts.groupBy(*by).applyInPandas(lambda g: frame(g, {n: [v] for n, v in zip(names, finish(merged(g)), strict=True)}), f"{kinds}, {out}")
+
+
+def rows_in_order(df: DataFrame, by: list[str], order: list[str], folder: Callable[[], object], schema: Callable[[StructType], StructType]) -> DataFrame:
+    """Rows from the rows of each key, in order, as they pass: folder() makes an object whose feed(row) and end() yield tuples,
+    so a key is never held whole. A table function over a partitioned and ordered table; its schema is worked out by schema()
+    from that of the input."""
+
+    class InOrder:
+        @staticmethod
+        def analyze(rows: AnalyzeArgument) -> AnalyzeResult:
+            return AnalyzeResult(schema=schema(rows.dataType), partitionBy=[PartitioningColumn(c) for c in by], orderBy=[OrderingColumn(c) for c in order])
+
+        def __init__(self):
+            self.folder = folder()
+
+        def eval(self, row: Row):
+            yield from self.folder.feed(row)
+
+        def terminate(self):
+            yield from self.folder.end()
+
+    return F.udtf(InOrder)(df.asTable())

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..operators import aggregates as A
 from ..operators import islands as I
@@ -78,3 +79,44 @@ def l03(s, d):
 def l04(s, d):
     e = recordings(s, d).select("event_id", (F.col("event_id") % 3).alias("n"))
     return U.explode_rows(e, lambda n: ((k,) for k in range(n)), ["n"], "k long").select("event_id", "k")
+
+
+@query("l03_mergeable_aggregate", sql("SELECT rec_id, count(*) AS n, round(avg(value), 6) AS mean, round(var_pop(value), 4) AS spread, arg_min(event_id, (value, event_id)) AS lowest FROM e GROUP BY 1", "e"))
+def l03_merged(s, d):
+    """Count, mean and variance by merging moments, and the id of the lowest value."""
+
+    def update(state, rows):
+        v = rows["value"]
+        low = min(zip(v, rows["event_id"], strict=True))
+        return merge(state, (len(v), float(v.mean()), float(((v - v.mean()) ** 2).sum()), low))
+
+    def merge(a, b):
+        if a is None:
+            return b
+        n, off = a[0] + b[0], b[1] - a[1]
+        return n, a[1] + off * b[0] / n, a[2] + b[2] + off * off * a[0] * b[0] / n, min(a[3], b[3])
+
+    finish = lambda x: (x[0], round(x[1], 6), round(x[2] / x[0], 4), int(x[3][1]))
+    return U.mergeable_aggregate(recordings(s, d), BY, ["value", "event_id"], lambda: None, update, merge, finish, "n long, mean double, spread double, lowest long")
+
+
+class _Steps:
+    """The row at which a running sum of values passes each hundred."""
+
+    def __init__(self):
+        self.total, self.passed = 0.0, 0
+
+    def feed(self, row):
+        self.total += row["value"]
+        while round(self.total, 6) >= 100 * (self.passed + 1):
+            self.passed += 1
+            yield row["rec_id"], self.passed, row["event_id"]
+
+    def end(self):
+        return ()
+
+
+@query("l04_rows_in_order", sql("SELECT rec_id, k AS step, event_id FROM (SELECT rec_id, event_id, floor(c / 100)::INT AS hi, floor(coalesce(lag(c) OVER (PARTITION BY rec_id ORDER BY t), 0) / 100)::INT AS lo FROM (SELECT *, round(sum(value) OVER (PARTITION BY rec_id ORDER BY t), 6) AS c FROM e)), (SELECT unnest(range(1, 1000)) AS k) WHERE k > lo AND k <= hi", "e"))
+def l04_ordered(s, d):
+    e = recordings(s, d).select("rec_id", "t", "event_id", "value")
+    return U.rows_in_order(e, BY, ["t"], _Steps, lambda of: StructType([of["rec_id"], StructField("step", IntegerType()), of["event_id"]]))

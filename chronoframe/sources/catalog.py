@@ -25,12 +25,35 @@ def read_catalog(spark: SparkSession, path: str, field: str, schema: str, header
     top = ", ".join(x for x in (header, f"{field} array<struct<{schema}>>") if x)
     docs = spark.read.schema(top).json(path, multiLine=not lines)
     names = [c for c in docs.columns if c != field]
-    rows = docs.select(*names, F.explode_outer(field).alias("r")).select(*names, "r.*")
+    file = docs.metadataColumn("_metadata")["file_path"].alias("_file")
+    rows = docs.select(file, *names, F.explode_outer(field).alias("r")).select("_file", *names, "r.*")
     kept = rows.where("t is not null")
     if allow_empty:
-        return kept
-    total = F.count("t").over(Window.partitionBy(*names)) if names else F.lit(1)
-    return rows.withColumn("_n", total).where(F.col("t").isNotNull() | F.assert_true(F.col("_n") > 0, F.lit(f"no usable row in {field}")).isNotNull()).drop("_n")
+        return kept.drop("_file")
+    total = F.count("t").over(Window.partitionBy("_file", *names))
+    return rows.withColumn("_n", total).where(F.col("t").isNotNull() | F.assert_true(F.col("_n") > 0, F.lit(f"no usable row in {field}")).isNotNull()).drop("_n", "_file")
+
+
+def read_catalog_lines(spark: SparkSession, path: str, field: str, schema: str, header: str = "", allow_empty: bool = False) -> DataFrame:
+    """read_catalog() for catalogs laid out a key or a record a line: files are cut at line ends, so that one of any size is read
+    by many tasks and never held whole. A file's header is the scalar keys on lines of their own. A file without the field or
+    without a record with a numeric t is an error where the result is read, unless allow_empty."""
+    raw = spark.read.text(path)
+    line = F.regexp_replace(F.trim(F.col("value")), r",\s*$", "")
+    lines = raw.select(raw.metadataColumn("_metadata")["file_path"].alias("_file"), line.alias("line"))
+    records = lines.where(F.col("line").rlike(r"^\{.*\S.*\}$")).select("_file", F.from_json("line", schema).alias("r")).select("_file", "r.*").where("t is not null")
+    names = StructType.fromDDL(header).fields if header else []
+    keyed = F.from_json(F.when(F.col("line").rlike(r'^"[^"]+"\s*:\s*("([^"\\]|\\.)*"|[^\[{"]+)$'), F.concat(F.lit("{"), "line", F.lit("}"))), header or "_ string")
+    tops = lines.select("_file", keyed.alias("k"), F.col("line").rlike(rf'^"{field}"\s*:\s*\[').alias("_has"))
+    files = tops.groupBy("_file").agg(F.max("_has").alias("_has"), *(F.max(f"k.{f.name}").alias(f.name) for f in names))
+    own = [f.name for f in names]
+    if allow_empty:
+        return files.join(records, "_file").drop("_file", "_has")
+    n = records.groupBy("_file").agg(F.count("*").alias("_n"))
+    files = files.join(n, "_file", "left")
+    usable = F.coalesce("_has", F.lit(False)) & (F.coalesce("_n", F.lit(0)) > 0)
+    rows = files.join(records, "_file", "left").where(F.when(usable, F.col("t").isNotNull()).otherwise(F.raise_error(F.lit(f"no usable row in {field}")).isNull()))
+    return rows.select(*own, *(c for c in records.columns if c != "_file"))
 
 
 def write_catalog(df: DataFrame, header: DataFrame, path: str, kind: str, buckets: int = 16) -> None:

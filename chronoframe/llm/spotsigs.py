@@ -29,7 +29,8 @@ ANCHORS = (
     "el los las del y por una con para se no su lo al o"
 ).split()
 CHAIN = 3
-_BITS = 10  # ids of one bucket of the ordering: 2 ** _BITS
+#: Rows of one bucket of the ordering, about; cells of ids that the driver sets marks for, at most; marks looked through at once.
+BUCKET, CELLS, RUN = 1024, 512, 32
 
 
 def _alternatives(words: list[str]) -> str:
@@ -64,33 +65,60 @@ def likeness(a: Column, b: Column) -> Column:
     return both / (F.size(a) + F.size(b) - both)
 
 
+def _buckets(docs: DataFrame) -> tuple[Column, Column]:
+    """Two numbers for each id, in the order of ids, whatever they are: a cell between marks that part the rows evenly, and a
+    piece of the cell. The marks are approximate quantiles, CELLS at most; a cell of many rows has more pieces."""
+    known = docs.where("doc_id is not null")
+    n, low, high = known.agg(F.count("*"), F.min("doc_id"), F.max("doc_id")).first()
+    cells = max(1, min(CELLS, -(-n // BUCKET)))
+    shares = [k / cells for k in range(1, cells)]
+    found = known.agg(F.percentile_approx("doc_id", shares, 20 * CELLS)).first()[0] if shares else []
+    marks, pieces = sorted({*(found or [])}), -(-n // (cells * BUCKET))
+    doc_id = F.col("doc_id")
+    if marks:
+        runs = [marks[k : k + RUN] for k in range(0, len(marks), RUN)]
+        below = lambda values: F.size(F.filter(values, lambda m: m <= doc_id))
+        lists = F.array(*(F.array(*map(F.lit, r)) for r in runs))
+        tops = F.array(*(F.lit(r[0]) for r in runs[1:])) if len(runs) > 1 else F.array().cast("array<bigint>")
+        cell = _let(below(tops), lambda j: j * RUN + below(F.element_at(lists, j + 1)))
+    else:
+        cell = F.lit(0)
+    if pieces <= 1:
+        return cell, F.lit(0).cast("long")
+    edges = [float(x) for x in (low, *marks, high)]
+    start, wide = (F.array(*map(F.lit, x)) for x in (edges[:-1], [max(b - a, 1.0) / pieces for a, b in zip(edges, edges[1:])]))
+    return cell, _let(cell, lambda c: F.floor((doc_id.cast("double") - F.element_at(start, c + 1)) / F.element_at(wide, c + 1)))
+
+
 def with_next(docs: DataFrame, made: dict[str, Column]) -> DataFrame:
     """doc_id, text, the columns made of text, and next_ of each: those of the next document by doc_id, the first after the
-    last. Ids are dealt into buckets of neighbours; only the last row of a bucket looks for the first row of the next
-    non-empty one, and for these few rows the columns are made anew."""
-    columns = ["text", *made]
-    # rows without an id come first, in order of their texts: their buckets are those of the first two characters
+    last. Ids, sparse or dense, are dealt into buckets of neighbours; only the last row of a bucket looks for the first row of
+    the next non-empty one, and for these few rows the columns are made anew."""
+    columns, at = ["text", *made], ["cell", "piece"]
+    # rows without an id come first, in order of their texts: their pieces are those of the first two characters
     first = lambda k: F.ascii(F.substring("text", k, 1)).cast("long")
-    no_id = F.lit(-(2**62)) + F.shiftleft(first(1), 21) + first(2)
-    base = docs.select("doc_id", "text", F.coalesce(F.shiftright("doc_id", _BITS), no_id).alias("g"))
-    order = Window.partitionBy("g").orderBy("doc_id", "text")
+    cell, piece = _buckets(docs)
+    none = F.col("doc_id").isNull()
+    base = docs.select("doc_id", "text", F.when(none, -1).otherwise(cell).alias("cell"), F.when(none, F.shiftleft(first(1), 21) + first(2)).otherwise(piece).alias("piece"))
+    order = Window.partitionBy(*at).orderBy("doc_id", "text")
     following = [F.lead(c).over(order).alias(f"next_{c}") for c in columns]
     rows = base.withColumns(made).select("doc_id", *columns, *following).where("next_text is not null")
-    edges = base.groupBy("g").agg(F.min(F.struct("doc_id", "text")).alias("head"), F.max(F.struct("doc_id", "text")).alias("last"))
-    last = edges.select("g", "last.*").withColumns(made)
-    heads = edges.select(F.col("g").alias("next_g"), "head.text").withColumns(made).select("next_g", *(F.col(c).alias(f"next_{c}") for c in columns))
-    ends = last.join(_next_bucket(edges.select("g")), "g").join(heads, "next_g")
+    edges = base.groupBy(*at).agg(F.min(F.struct("doc_id", "text")).alias("head"), F.max(F.struct("doc_id", "text")).alias("last"))
+    last = edges.select(*at, "last.*").withColumns(made)
+    heads = edges.select(F.struct(*at).alias("next"), "head.text").withColumns(made).select("next", *(F.col(c).alias(f"next_{c}") for c in columns))
+    ends = last.join(_next_bucket(edges.select(*at)), at).join(heads, "next")
     return rows.union(ends.select(rows.columns))
 
 
 def _next_bucket(buckets: DataFrame) -> DataFrame:
-    """g, next_g. The same again one level up; the third level, of 2 ** (3 * _BITS) ids a row, is ordered as one."""
-    b = buckets.withColumn("gg", F.shiftright("g", 2 * _BITS))
-    inner = b.withColumn("next_g", F.lead("g").over(Window.partitionBy("gg").orderBy("g")))
-    tops = b.groupBy("gg").agg(F.min("g").alias("low"))
-    everything = Window.orderBy("gg")
-    tops = tops.select("gg", F.coalesce(F.lead("low").over(everything), F.first("low").over(everything)).alias("top"))
-    return inner.join(tops, "gg").select("g", F.coalesce("next_g", "top").alias("next_g"))
+    """cell, piece, next: the bucket after each non-empty one, the first after the last. Pieces are ordered by cell; the cells,
+    CELLS + 1 at most, as one."""
+    here = F.struct("cell", "piece")
+    inner = buckets.withColumn("next", F.lead(here).over(Window.partitionBy("cell").orderBy("piece")))
+    tops = buckets.groupBy("cell").agg(F.min(here).alias("low"))
+    everything = Window.orderBy("cell")
+    tops = tops.select("cell", F.coalesce(F.lead("low").over(everything), F.first("low").over(everything)).alias("top"))
+    return inner.join(tops, "cell").select("cell", "piece", F.coalesce("next", "top").alias("next"))
 
 
 def fingerprint(spot_hashes: Column) -> Column:

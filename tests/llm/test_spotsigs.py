@@ -2,10 +2,11 @@ import hashlib
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from chronoframe.llm.entries import ORACLES, QUERIES
-from chronoframe.llm.spotsigs import ANCHORS, CHAIN, spot_pairs, spots, with_next
+from chronoframe.llm.spotsigs import ANCHORS, CHAIN, _buckets, spot_pairs, spots, with_next
 from tests.oracle import assert_matches
 
 
@@ -80,3 +81,21 @@ def test_pairs_against_brute_force(spark):
 
 def test_sql(spark, sf_dir):
     assert_matches(spark, sf_dir, QUERIES["op6_spotsigs"], ORACLES["op6_spotsigs"])
+
+
+@pytest.mark.parametrize("size, bucket, cells", [(400, 8, 16), (400, 8, 512), (400, 3, 4), (3, 8, 16), (1, 8, 16)])
+def test_next_document_for_any_ids(spark, monkeypatch, size, bucket, cells):
+    """Dense, sparse, clustered, repeated and negative ids: the next row by (doc_id, text), and no bucket of most rows."""
+    monkeypatch.setattr("chronoframe.llm.spotsigs.BUCKET", bucket)
+    monkeypatch.setattr("chronoframe.llm.spotsigs.CELLS", cells)
+    rng = random.Random(size + bucket)
+    for ids in ([*range(size)], [rng.getrandbits(64) - 2**63 for _ in range(size)], [10**15 + i if i % 4 else -i * 10**12 for i in range(size)], [i // 9 for i in range(size)]):
+        rows = [(i, f"{rng.choice('abc')} text {k}") for k, i in enumerate(ids)] + [(None, f"x{k}") for k in range(size // 40)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+        want = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+        got = {(r.doc_id, r.text): r.next_text for r in with_next(docs, {}).collect()}
+        assert got == {r: want[(k + 1) % len(want)][1] for k, r in enumerate(want)}
+        if size == 400 and cells == 16:
+            cell, piece = _buckets(docs)
+            most = docs.where("doc_id is not null").groupBy(cell.alias("c"), piece.alias("p")).count().agg(F.max("count")).first()[0]
+            assert most <= 60

@@ -110,14 +110,14 @@ _ALL = f"""+tr AS ({_VIEWS}), gr AS (SELECT e.rec_id, e.t, trusted, lead(e.t) OV
            coalesce(trusted, FALSE) AND NOT coalesce(wide > 0 AND abs(t - gt) > wide, FALSE) AS in_grid, map_bar, (map_bar - 1) % 4 + 1 AS in_group, section, state, kind IS NOT NULL AS straddles, kind AS super_kind, sh AS sharpness, ex AS exposure, cl AS clipped, sb AS stability, coalesce(n, 0) AS samples, label AS most
           FROM nr LEFT JOIN st USING (rec_id, event_id) LEFT JOIN qu USING (rec_id, event_id) LEFT JOIN mo USING (rec_id, event_id)) """
 ORACLES["i08_correlate_all"] = sql(
-    _ALL + """SELECT event_id, round("offset", 3) AS "offset", round(bar_offset, 3) AS bar_offset, round(transient_offset, 3) AS transient_offset, round(delta, 3) AS delta, round(sharpness, 3) AS sharpness, round(exposure, 3) AS exposure, round(clipped, 3) AS clipped, round(stability, 3) AS stability,
+    _ALL + """SELECT event_id, round("offset", 3) AS "offset", round(bar_offset, 3) AS bar_offset, round(transient_offset, 3) AS transient_offset, round(delta, 6) AS delta, round(sharpness, 6) AS sharpness, round(exposure, 6) AS exposure, round(clipped, 6) AS clipped, round(stability, 6) AS stability,
            opens, stranded, in_grid, map_bar, in_group, section, state, jump, straddles, super_kind, samples, most FROM a""",
     "e", "items", "sections",
 )
 ORACLES["i09_correlate_all_summary"] = sql(
     _ALL + """, o AS (SELECT *, CASE WHEN NOT opens AND in_grid THEN round("offset", 3) END AS o, CASE WHEN NOT opens THEN round(bar_offset, 3) END AS b FROM a)
-    SELECT rec_id, count(*) AS items, count(o) AS measured, round(avg(abs(o)), 3) AS mean, round(median(abs(o)), 3) AS median, count(*) FILTER (WHERE o < 0) AS early, count(*) FILTER (WHERE opens) AS openings, count(*) FILTER (WHERE NOT opens AND NOT in_grid AND NOT stranded) AS gated,
-           count(*) FILTER (WHERE NOT opens AND stranded) AS stranded, round(avg(abs(b)), 3) AS bar_mean, count(*) FILTER (WHERE NOT opens AND in_group = 1) AS on_group, count(*) FILTER (WHERE section IS NULL) AS outside, count(*) FILTER (WHERE delta IS NULL) AS unread,
+    SELECT rec_id, count(*) AS items, count(o) AS measured, round(sum(abs(o)), 3) AS total, round(median(abs(o)), 9) AS median, count(*) FILTER (WHERE o < 0) AS early, count(*) FILTER (WHERE opens) AS openings, count(*) FILTER (WHERE NOT opens AND NOT in_grid AND NOT stranded) AS gated,
+           count(*) FILTER (WHERE NOT opens AND stranded) AS stranded, round(sum(abs(b)), 3) AS bar_total, count(*) FILTER (WHERE NOT opens AND in_group = 1) AS on_group, count(*) FILTER (WHERE section IS NULL) AS outside, count(*) FILTER (WHERE delta IS NULL) AS unread,
            count(*) FILTER (WHERE straddles) AS straddles, count(*) FILTER (WHERE samples = 0) AS unsampled FROM o GROUP BY 1""",
     "e", "items", "sections",
 )

@@ -81,7 +81,7 @@ def l04(s, d):
     return U.explode_rows(e, lambda n: ((k,) for k in range(n)), ["n"], "k long").select("event_id", "k")
 
 
-@query("l03_mergeable_aggregate", sql("SELECT rec_id, count(*) AS n, round(avg(value), 6) AS mean, round(var_pop(value), 4) AS spread, arg_min(event_id, (value, event_id)) AS lowest FROM e GROUP BY 1", "e"))
+@query("l03_mergeable_aggregate", sql("SELECT rec_id, count(*) AS n, round(avg(value), 9) AS mean, round(var_pop(value), 4) AS spread, arg_min(event_id, (value, event_id)) AS lowest FROM e GROUP BY 1", "e"))
 def l03_merged(s, d):
     """Count, mean and variance by merging moments, and the id of the lowest value."""
 
@@ -96,7 +96,7 @@ def l03_merged(s, d):
         n, off = a[0] + b[0], b[1] - a[1]
         return n, a[1] + off * b[0] / n, a[2] + b[2] + off * off * a[0] * b[0] / n, min(a[3], b[3])
 
-    finish = lambda x: (x[0], round(x[1], 6), round(x[2] / x[0], 4), int(x[3][1]))
+    finish = lambda x: (x[0], round(x[1], 9), round(x[2] / x[0], 4), int(x[3][1]))
     return U.mergeable_aggregate(recordings(s, d), BY, ["value", "event_id"], lambda: None, update, merge, finish, "n long, mean double, spread double, lowest long")
 
 

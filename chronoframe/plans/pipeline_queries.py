@@ -152,11 +152,14 @@ def _everything(s, d):
 
 @query("i08_correlate_all")
 def i08_all(s, d):
-    cols = ["offset", "bar_offset", "transient_offset", "delta", "sharpness", "exposure", "clipped", "stability"]
-    r = _everything(s, d).select("event_id", *(F.round(c, 3).alias(c) for c in cols), "opens", "stranded", "in_grid", "map_bar", "in_group", "section", "state", "jump", "straddles", "super_kind", "samples", "most")
+    places = {"offset": 3, "bar_offset": 3, "transient_offset": 3} | dict.fromkeys(("delta", "sharpness", "exposure", "clipped", "stability"), 6)
+    r = _everything(s, d).select("event_id", *(F.round(c, n).alias(c) for c, n in places.items()), "opens", "stranded", "in_grid", "map_bar", "in_group", "section", "state", "jump", "straddles", "super_kind", "samples", "most")
     return r
 
 
 @query("i09_correlate_all_summary")
 def i09_all(s, d):
-    return P.correlate_all_summary(_everything(s, d), BY)
+    """Means are given as totals, which every engine rounds alike."""
+    r = P.correlate_all_summary(_everything(s, d), BY, 9)
+    total = lambda mean, n: F.round(F.col(mean) * n, 3)
+    return r.withColumns({"total": total("mean", F.col("measured")), "bar_total": total("bar_mean", F.col("items") - F.col("openings"))}).drop("mean", "bar_mean")

@@ -121,15 +121,15 @@ def correlate_all(items: DataFrame, grid: DataFrame, by: list[str], key: str, *,
     return r.join(most, [*by, key], "left")
 
 
-def correlate_all_summary(rows: DataFrame, by: list[str]) -> DataFrame:
+def correlate_all_summary(rows: DataFrame, by: list[str], places: int = 3) -> DataFrame:
     """Of correlate_all: offsets of items that don't open and stand in the grid; openings, items of a refused grid and stranded
     ones counted apart; offsets to bars without regard to the grid; unread steps, straddles and items without samples."""
     cut = ~F.col("opens")
     o, b = F.when(cut & F.col("in_grid"), F.round("offset", 3)), F.when(cut, F.round("bar_offset", 3))
     n = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
     return rows.withColumns({"_o": o, "_b": b}).groupBy(*by).agg(
-        F.count("*").alias("items"), F.count("_o").alias("measured"), F.round(F.avg(F.abs("_o")), 3).alias("mean"), F.round(F.median(F.abs("_o")), 3).alias("median"), n(F.col("_o") < 0).alias("early"), n(F.col("opens")).alias("openings"),
-        n(cut & ~F.col("in_grid") & ~F.col("stranded")).alias("gated"), n(cut & F.col("stranded")).alias("stranded"), F.round(F.avg(F.abs("_b")), 3).alias("bar_mean"), n(cut & (F.col("in_group") == 1)).alias("on_group"),
+        F.count("*").alias("items"), F.count("_o").alias("measured"), F.round(F.avg(F.abs("_o")), places).alias("mean"), F.round(F.median(F.abs("_o")), places).alias("median"), n(F.col("_o") < 0).alias("early"), n(F.col("opens")).alias("openings"),
+        n(cut & ~F.col("in_grid") & ~F.col("stranded")).alias("gated"), n(cut & F.col("stranded")).alias("stranded"), F.round(F.avg(F.abs("_b")), places).alias("bar_mean"), n(cut & (F.col("in_group") == 1)).alias("on_group"),
         F.count_if(F.col("section").isNull()).alias("outside"), F.count_if(F.col("delta").isNull()).alias("unread"), n(F.col("straddles")).alias("straddles"), F.count_if(F.col("samples") == 0).alias("unsampled"),
     )
 

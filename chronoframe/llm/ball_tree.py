@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import as_bytes, delete, new_path, saved, table, text_chunks, word_hashes
+from .common import delete, new_path, saved, table, text_chunks, word_hashes
 
 #: Bytes of query texts searched at once; documents below a leaf; terms of documents in a tree.
 BLOCK_BYTES, LEAF, TREE_TERMS = 1 << 22, 24, 1 << 20

@@ -2,11 +2,13 @@
 
 Two order-1 character models are trained in Spark over all documents: one of random strings, from the values
 that the fixed patterns find (the labelled positives), one of ordinary identifiers, from the other tokens of
-TOKEN_CHARS or more characters (the labelled negatives). A token that no pattern covers is a secret too where it mixes
-at least two of lower case, upper case and digits and its log-likelihood ratio per character reaches a threshold; a token
-with hyphens is judged without them, else by its long pieces. The threshold is fitted: it stands as many standard
-deviations above the mean of the ordinary samples as below that of the random ones, at 0 at least. The counts are two fixed tables of
-67 x 67 cells, whatever the input.
+TOKEN_CHARS or more characters (the labelled negatives). The model of random strings is mixed with uniform ones over
+ALPHABETS, so that a few labelled values don't fix an alphabet; that of identifiers with itself over the token in lower
+case and parted at signs, with numbers, and with repeated characters. Every token of TOKEN_CHARS or more characters that no
+pattern covers is judged: it is a secret where its log-likelihood ratio exceeds the log odds of an ordinary token, as
+counted in training, ODDS at least. The ratio grows with the token, so short ones need stranger characters. A token
+with hyphens is judged without them, else by its pieces. The counts are two fixed tables of 67 x 67 cells, whatever the
+input.
 
 Defined results: null text is empty and has no spans; positions are code points, ends exclusive; every row gives
 one row, repeated ones too; with no labelled positives the random model is uniform; a column named secrets is replaced
@@ -15,7 +17,9 @@ by scan_secrets; other extra columns are ignored, or kept by mask_secrets.
 
 from __future__ import annotations
 
+import math
 import re
+import string
 from bisect import bisect_left
 from collections.abc import Iterator
 from itertools import accumulate
@@ -35,14 +39,17 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
 KINDS = ("assign", "access", "hex", "markov")
 ALPHABET = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_="
-#: Shortest token that the model of ordinary identifiers learns from.
+#: Shortest token that the models learn from and judge. Hyphens may join its pieces, as in keys behind a prefix and in
+#: base64url; dots part tokens, as in a JWT.
 TOKEN_CHARS = 8
 TOKEN = re.compile(rf"[A-Za-z0-9+/_=-]{{{TOKEN_CHARS},}}")
-#: A candidate of the models: long enough to judge; hyphens may join its pieces, as in keys behind
-#: a prefix and in base64url. Dots part candidates, as in a JWT.
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-PIECE = re.compile(r"[A-Za-z0-9+/_=]{20,}")
-_CLASSES = tuple(re.compile(c) for c in ("[0-9]", "[a-z]", "[A-Z]"))
+PIECE = re.compile(rf"[A-Za-z0-9+/_=]{{{TOKEN_CHARS},}}")
+#: Characters of the uniform models of random strings, and the least odds of an ordinary token against a random one.
+ALPHABETS = (
+    "0123456789abcdef", string.ascii_lowercase, string.ascii_uppercase, string.ascii_lowercase + string.digits,
+    string.ascii_uppercase + string.digits, string.ascii_letters + string.digits, ALPHABET.decode(),
+)
+ODDS = 1000
 SIZE = len(ALPHABET) + 1
 _CODE = np.full(256, SIZE - 1, np.int64)
 _CODE[np.frombuffer(ALPHABET, np.uint8)] = np.arange(SIZE - 1)
@@ -103,10 +110,22 @@ def pair_counts(docs: DataFrame) -> DataFrame:
 
 
 class Models(NamedTuple):
-    """log P(next | this, random) - log P(next | this, ordinary) for each pair of characters, and the fitted threshold."""
+    """For each pair of characters its log probability under each part of both mixtures, the parts' log weights, how many of
+    them are parts of the ordinary one, and the log odds of an ordinary token."""
 
-    ratio: np.ndarray
-    threshold: float
+    pairs: np.ndarray
+    weights: np.ndarray
+    ordinary: int
+    odds: float
+
+    def ratios(self, tokens: list[str]) -> np.ndarray:
+        """The log-likelihood ratio of each token, random to ordinary."""
+        if not tokens:
+            return np.zeros(0)
+        code = _CODE[np.frombuffer(" ".join(["", *tokens]).encode(), np.uint8)]
+        starts = np.flatnonzero(code == SIZE - 1)
+        parts = np.add.reduceat(self.pairs[code[:-1] * SIZE + code[1:]], starts, axis=0) + self.weights
+        return np.logaddexp.reduce(parts[:, self.ordinary :], axis=1) - np.logaddexp.reduce(parts[:, : self.ordinary], axis=1)
 
 
 def fit_models(n: np.ndarray) -> Models:
@@ -114,17 +133,23 @@ def fit_models(n: np.ndarray) -> Models:
     p = []
     for label, k in ((0, 0.002 * n[0].sum() + 1), (1, 200.0)):
         # rare rows lean on single characters, those on a uniform model: random strings among the ordinary text
-        # don't make rare characters look ordinary, and a few labelled values don't fix an alphabet
+        # don't make rare characters look ordinary
         single = n[label].sum(axis=0)
         single = 0.95 * (single + 1) / (single + 1).sum() + 0.05 / SIZE
         p.append(np.log((n[label] + k * single) / (n[label].sum(axis=1, keepdims=True) + k)))
-    ratio, inner = p[1] - p[0], np.s_[: SIZE - 1, : SIZE - 1]  # pairs inside a token
-    mean, spread = [], []
-    for label in (0, 1):
-        weight = n[label][inner] + np.exp(p[label][inner]) / SIZE
-        mean.append(float((weight * ratio[inner]).sum() / weight.sum()))
-        spread.append(float(((weight * (ratio[inner] - mean[-1]) ** 2).sum() / weight.sum()) ** 0.5))
-    return Models(ratio, max(0.0, mean[0] + (mean[1] - mean[0]) * spread[0] / max(sum(spread), 1e-9)))
+    character = np.frombuffer(ALPHABET + b" ", np.uint8)
+    plain = _CODE[np.frombuffer((ALPHABET + b" ").lower(), np.uint8)]
+    plain[np.isin(character, np.frombuffer(b"+/_=", np.uint8))] = SIZE - 1
+    of = lambda here, inside, outside: np.tile(np.log(np.where(here, inside, outside)), (SIZE, 1))
+    number = of(np.isin(character, np.frombuffer(string.digits.encode(), np.uint8)), 0.09, 0.1 / (SIZE - 11))
+    repeat = np.log(np.where(np.eye(SIZE, dtype=bool), 0.9, 0.1 / (SIZE - 1)))
+    ordinary = [(1.0, p[0]), (0.1, p[0][plain][:, plain]), (0.1, number), (0.01, repeat)]
+    uniform = [(0.5 / len(ALPHABETS), of(np.isin(character, np.frombuffer(a.encode(), np.uint8)), 1 / len(a), 1e-6)) for a in ALPHABETS]
+    weights, pairs = zip(*ordinary, (0.5, p[1]), *uniform, strict=True)
+    table = np.stack(pairs, axis=-1)
+    table[:, SIZE - 1] = 0  # the end of a token
+    begun = n[:, SIZE - 1, : SIZE - 1].sum(axis=1) + 1
+    return Models(table.reshape(SIZE * SIZE, -1), np.log(weights), len(ordinary), max(math.log(ODDS), math.log(begun[0] / begun[1])))
 
 
 def train(docs: DataFrame) -> Models:
@@ -135,23 +160,22 @@ def train(docs: DataFrame) -> Models:
 
 
 def find_secrets(text: str, models: Models) -> list[tuple[int, int, str, float | None]]:
-    """(start, end, kind, log-likelihood ratio per character), base spans first where starts are equal."""
+    """(start, end, kind, log-likelihood ratio), base spans first where starts are equal."""
     base = base_spans(text)
-    found: list[tuple[int, int, str, float | None]] = [(a, b, kind, None) for a, b, kind in base]
     starts, reach = [a for a, _, _ in base], list(accumulate((b for _, b, _ in base), max))
 
-    def judge(a: int, b: int) -> bool:
-        token = text[a:b].replace("-", "")
-        k = bisect_left(starts, b)  # base spans that start before b; one of them may reach into the token
-        if len(token) < 20 or sum(bool(c.search(token)) for c in _CLASSES) < 2 or k and reach[k - 1] > a:
-            return False
-        code = _CODE[np.frombuffer(token.encode(), np.uint8)]
-        score = float(models.ratio[code[:-1], code[1:]].mean())
-        if score >= models.threshold:
-            found.append((a, b, "markov", score))
-        return score >= models.threshold
-
-    for m in CANDIDATE.finditer(text):
+    def judge(spans: list[tuple[int, int]]) -> list[tuple[tuple[int, int], float]]:
+        asked, tokens = [], []
+        for a, b in spans:
+            token = text[a:b].replace("-", "")
+            k = bisect_left(starts, b)  # base spans that start before b; one of them may reach into the token
+            if len(token) >= TOKEN_CHARS and not (k and reach[k - 1] > a):
+                asked.append((a, b))
+                tokens.append(token)
+        return [(span, score) for span, score in zip(asked, models.ratios(tokens).tolist(), strict=True) if score > models.odds]
+
+    whole = []
+    for m in TOKEN.finditer(text):
         a, b = m.span()
         if text[a - 1 : a] == "@":  # the host of an address
             continue
@@ -161,11 +185,13 @@ def find_secrets(text: str, models: Models) -> list[tuple[int, int, str, float |
             a += 1
         while a < b and text[b - 1] == "-":
             b -= 1
-        # a token without its hyphens; where that is no secret as one, its long pieces
-        if not judge(a, b) and text.find("-", a, b) >= 0:
-            for p in PIECE.finditer(text, a, b):
-                judge(*p.span())
-    return sorted(found, key=lambda s: (s[0], KINDS.index(s[2])))
+        whole.append((a, b))
+    found = judge(whole)
+    # a token without its hyphens; where that is no secret as one, its pieces
+    secret = {span for span, _ in found}
+    found += judge([p.span() for a, b in whole if (a, b) not in secret and text.find("-", a, b) >= 0 for p in PIECE.finditer(text, a, b)])
+    spans = [(a, b, kind, None) for a, b, kind in base] + [(a, b, "markov", score) for (a, b), score in found]
+    return sorted(spans, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
 def scan_secrets(docs: DataFrame, models: Models | None = None) -> DataFrame:

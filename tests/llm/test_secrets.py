@@ -3,8 +3,10 @@ import random
 import re
 import string
 
+import numpy as np
+
 from chronoframe.llm.entries import QUERIES
-from chronoframe.llm.secrets import base_spans, find_secrets, mask_secrets, scan_secrets, train
+from chronoframe.llm.secrets import SIZE, _pairs, base_spans, find_secrets, fit_models, mask_secrets, scan_secrets, train
 
 
 def naive(text):
@@ -75,6 +77,26 @@ def test_keys_with_hyphens_and_dots(spark):
     assert find_secrets(f"x@mail.org y-z@{key(30)} {slug * 3}the", ratio) == []
 
 
+def test_held_out_tokens_by_length():
+    """Models of half the tokens, asked about the other half: recall and false alarms per length."""
+    rng = random.Random(6)
+    syllables = ["the", "an", "er", "tion", "lich", "queue", "ing", "ha", "con", "sta", "do", "mi", "ver", "pro"]
+    word = lambda: "".join(rng.choice(syllables) for _ in range(rng.randint(3, 7)))
+    shapes = [word, lambda: word().title(), lambda: word().upper(), lambda: f"{word()}_{word()}", lambda: f"/{word()}/{word()}", lambda: str(rng.randrange(10**9, 10**16)), lambda: "=" * rng.randint(8, 40)]
+    ordinary = [t for t in (rng.choices(shapes, (40, 5, 1, 1, 1, 1, 1))[0]() for _ in range(40000)) if len(t) >= 8]
+    labelled = ["".join(rng.choice("0123456789abcdef") for _ in range(40)) for _ in range(60)]
+    count = lambda tokens: sum(_pairs(" ".join(["", *tokens[k : k + 1000], ""]).encode()) for k in range(0, len(tokens), 1000)).reshape(SIZE, SIZE)
+    models = fit_models(np.stack([count(ordinary[::2]), count(labelled[::2])]).astype(float))
+    false = models.ratios(ordinary[1::2]) > models.odds
+    lengths = np.array([len(t) for t in ordinary[1::2]])
+    assert false.mean() < 2e-4 and all(false[(lengths >= a) & (lengths < b)].mean() < 2e-3 for a, b in ((8, 12), (12, 16), (16, 20), (20, 99)))
+    assert (models.ratios(labelled[1::2]) > models.odds).all()
+    for alphabet in (string.ascii_lowercase, string.ascii_uppercase, string.ascii_letters + string.digits, "0123456789abcdef"):
+        for n, least in ((8, 0.4), (12, 0.7), (15, 0.8), (20, 0.95), (28, 0.99), (40, 0.99)):
+            keys = ["".join(rng.choice(alphabet) for _ in range(n)) for _ in range(400)]
+            assert (models.ratios(keys) > models.odds).mean() >= least, (alphabet, n)
+
+
 def test_no_labelled_values(spark):
     df = spark.createDataFrame([(1, "only plain words here")], "doc_id long, text string")
     assert find_secrets("only plain words here", train(df)) == []

@@ -28,8 +28,8 @@ from .common import mix, rolling, table, word_hashes
 
 RATE = 0.2
 TABLES, SAMPLES = 40, 4
-#: Text of one block of items, which the driver reads and every task gets; and windows embedded at once.
-BLOCK_BYTES, WINDOWS = 8_000_000, 20_000
+#: Text of one block of items, which the driver reads and every task gets; windows, and words of them, embedded at once.
+BLOCK_BYTES, WINDOWS, WINDOW_WORDS = 8_000_000, 20_000, 1_000_000
 _PUNCTUATION = string.punctuation.encode()
 _STEP = np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -155,8 +155,9 @@ class Benchmark:
         found: list[dict[int, tuple[int, int, int, int]]] = [{} for _ in docs]
         for n, places in asked.items():
             pairs: set[tuple[int, int, int]] = set()
-            for first in range(0, len(places), WINDOWS):
-                some = places[first : first + WINDOWS]
+            step = max(1, min(WINDOWS, WINDOW_WORDS // n))
+            for first in range(0, len(places), step):
+                some = places[first : first + step]
                 window = np.full((len(some), n), -1)
                 for row, (i, start) in enumerate(some):
                     part = docs[i][max(0, start) :][:n]

@@ -76,6 +76,16 @@ def test_blocks(spark, monkeypatch):
     assert sorted(map(tuple, dc.find_leaks(df, bench).collect())) == whole and whole
 
 
+def test_a_very_long_item(spark, monkeypatch):
+    rng = random.Random(9)
+    long = [f"w{rng.randrange(2000)}" for _ in range(1500)]
+    edited = [w if rng.random() > 0.05 else "other" for w in long]
+    texts = [(1, "before " + " ".join(long)), (2, " ".join(edited) + " after"), (3, " ".join(long[:700]))]
+    docs, bench = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame([(1, " ".join(long))], "item_id long, text string")
+    monkeypatch.setattr(dc, "WINDOW_WORDS", 40_000)  # 26 windows at once
+    assert [(r.doc_id, r.distance) for r in sorted(dc.find_leaks(docs, bench).collect())] == [(1, 0), (2, nearest(long, edited))]
+
+
 def test_query(spark, sf_dir):
     texts = {r.doc_id: b" ".join(dc.normalised(r.text)).decode() for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     items = {r.item_id: b" ".join(dc.normalised(r.text)).decode() for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()}

@@ -105,7 +105,7 @@ def duplicate_spans(docs: DataFrame, window: int = 50) -> DataFrame:
                     take = np.repeat(hit, counts)
                     yield _batch(doc_id=ids[first + row[take]].astype(np.int64), text_id=tids[first + row[take]], start=position[take].astype(np.int32), a=whole[take], b=low[take])
 
-    texts = docs.repartition("doc_id")
+    texts = docs.where("doc_id is not null").repartition("doc_id")
     windows = saved(texts.join(to_parse, "doc_id").select("doc_id", "text_id", "text", "wanted").mapInArrow(emit_windows, "doc_id long, text_id int, start int, a long, b long"), "windows")
     # written, so that the planner knows its size and may split or broadcast where a window is very common
     shared = windows.groupBy("a", "b").agg(place, F.max("doc_id").alias("last")).where("ref.doc_id < last").drop("last")
@@ -153,7 +153,7 @@ def dedup_substrings(docs: DataFrame, window: int = 50) -> DataFrame:
                 ids = batch.column("doc_id").slice(first, len(texts))
                 yield pa.RecordBatch.from_arrays([ids, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(parsed, schema.field("factors").type)], schema=schema)
 
-    both = _with_text_id(docs).repartition("doc_id").join(spans, ["doc_id", "text_id"], "left")
+    both = _with_text_id(docs).repartition("doc_id", "text_id").join(spans, ["doc_id", "text_id"], "left")
     return both.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "matches").mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept_text string, factors array<struct<start long, n_words long, ref_doc long, ref_start long>>")
 
 

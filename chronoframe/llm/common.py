@@ -12,7 +12,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Words are runs of anything but the ASCII white space that bytes.split() splits on.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -57,6 +59,18 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def with_place(docs: DataFrame, name: str) -> tuple[DataFrame, Column]:
+    """docs, and for each row a hash of its file and its place in it, which tells equal rows apart and is the same whenever
+    docs is read again; docs that are no written table are written first."""
+    try:
+        place = docs.metadataColumn("_metadata")
+        docs.select(place).schema  # noqa: B018
+    except AnalysisException:
+        docs = saved(docs, name)
+        place = docs.metadataColumn("_metadata")
+    return docs, F.xxhash64(place["file_path"], place["row_index"])
+
+
 def delete(spark: SparkSession, *paths: str) -> None:
     """Written tables that are no longer needed."""
     hadoop = spark.sparkContext._jsc.hadoopConfiguration()

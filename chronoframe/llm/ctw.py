@@ -11,7 +11,8 @@ of its own words and runs. Tree nodes of depth 2 and more are worked out where t
 two context bytes; only the nodes of depth 1 (65,280 at most) pass through the driver.
 
 Defined results: null text is empty; an empty text has the one token that ends every text; a row whose doc_id is
-null counts as id ''; every row gives one row, repeated ones too; without training documents all counts are 0;
+null counts as id ''; every row gives one row, repeated ones too, wherever they are dealt; a NUL byte is the symbol that
+ends a text; without training documents all counts are 0;
 extra columns are ignored.
 """
 
@@ -27,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, saved, table
+from .common import as_bytes, saved, table, with_place
 
 DEPTH = 4
 #: Bytes of text of one bucket, and of one step inside a task.
@@ -242,12 +243,18 @@ def _score(total: int, distinct: int):
     return run
 
 
-def score_texts(docs: DataFrame, out: Column) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte; out: True for documents that don't train."""
+def deal(docs: DataFrame, out: Column) -> DataFrame:
+    """doc_id, text, held_out, bucket: rows dealt into buckets of about BUCKET_BYTES by their place, equal rows too."""
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), out.alias("held_out"))
+    docs, place = with_place(docs, "unscored")
     size = docs.agg(F.sum(F.octet_length("text").cast("long") + 1)).first()[0] or 1
     buckets = -(-size // BUCKET_BYTES)
-    dealt = docs.withColumn("bucket", F.pmod(F.xxhash64("doc_id", F.hash("text")), F.lit(buckets)).cast("int")).repartition(int(buckets), "bucket")
+    return docs.select("*", F.pmod(place, F.lit(buckets)).cast("int").alias("bucket")).repartition(int(buckets), "bucket")
+
+
+def score_texts(docs: DataFrame, out: Column) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte; out: True for documents that don't train."""
+    dealt = deal(docs, out)
     features = saved(dealt.groupBy("bucket").applyInArrow(_features, _FEATURE), "features")
     words, runs = features.where("token is not null"), features.where("run is not null")
     counts = saved(words.groupBy("token").agg(F.sum("n").alias("value")), "words")
@@ -256,7 +263,7 @@ def score_texts(docs: DataFrame, out: Column) -> DataFrame:
     none = lambda kind: F.lit(None).cast(kind)
     back = words.join(counts, "token").select("bucket", "token", none("long").alias("run"), F.col("value").cast("double").alias("value"))
     back = back.union(runs.join(log2p, "run").select("bucket", none("binary").alias("token"), "run", F.col("log2p").alias("value")))
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
+    schema = f"doc_id {dealt.schema['doc_id'].dataType.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
     return dealt.groupBy("bucket").cogroup(back.groupBy("bucket")).applyInArrow(_score(int(total), int(distinct)), schema)
 
 

@@ -74,6 +74,19 @@ def test_against_the_definition(spark, monkeypatch):
         assert g[:4] == w[:4] and math.isclose(g[4], w[4], rel_tol=1e-9) and math.isclose(g[5], w[5], rel_tol=1e-6), (g, w)
 
 
+def test_equal_rows_spread(spark, monkeypatch, tmp_path):
+    rows = [(None, "the same words again and again")] * 300 + [(i, f"other words {i}") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    df.write.parquet(f"{tmp_path}/d")
+    once = sorted(((r.doc_id, r.base_score, round(r.score, 6)) for r in ctw.score_texts(df, ctw.held_out(df.doc_id)).collect()), key=str)
+    monkeypatch.setattr(ctw, "BUCKET_BYTES", 1000)
+    for docs in (df, spark.read.parquet(f"{tmp_path}/d")):
+        dealt = ctw.deal(docs, ctw.held_out(docs.doc_id))
+        hot = [r.n for r in dealt.where("doc_id is null").groupBy("bucket").agg({"*": "count"}).toDF("bucket", "n").collect()]
+        assert len(hot) > 8 and max(hot) < 60 and sum(hot) == 300
+        assert sorted(((r.doc_id, r.base_score, round(r.score, 6)) for r in ctw.score_texts(docs, ctw.held_out(docs.doc_id)).collect()), key=str) == once
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert ctw.score_texts(df, ctw.held_out(df.doc_id)).collect() == []

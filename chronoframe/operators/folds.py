@@ -8,49 +8,118 @@ then each chunk is run again from the state found, now giving its rows. The rows
 from __future__ import annotations
 
 import pickle
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
+
+
+def _starts(table: pa.Table, keys: list[str]) -> np.ndarray:
+    """Whether a row has another key than the one before it; the first has."""
+    new = np.zeros(table.num_rows, bool)
+    new[:1] = True
+    for c in keys:
+        v = table[c].combine_chunks()
+        a, b = v.slice(1), v.slice(0, max(len(v) - 1, 0))
+        other = pc.fill_null(pc.not_equal(a, b), False)
+        if pa.types.is_floating(v.type):
+            other = pc.and_not(other, pc.fill_null(pc.and_(pc.is_nan(a), pc.is_nan(b)), False))
+        new[1:] |= pc.or_(other, pc.xor(pc.is_null(a), pc.is_null(b))).to_numpy(zero_copy_only=False)
+    return new
+
+
+def _values(column: pa.ChunkedArray) -> np.ndarray:
+    if pa.types.is_floating(column.type) or column.null_count == 0 and (pa.types.is_integer(column.type) or pa.types.is_boolean(column.type)):
+        return column.to_numpy()
+    found = np.empty(len(column), object)
+    found[:] = column.to_pylist()
+    return found
+
+
+def in_groups(df: DataFrame, keys: list[str], order: list[str], fold: Callable, out: str, carry: bool = False) -> DataFrame:
+    """The rows of `out` that fold() gives, as tuples, for each group of `keys`. It takes the other columns of a group as arrays, in
+    order. Tasks take many groups, sorted, one after the other, so that small groups cost little more than their rows; keys may
+    be null. With `carry` a group comes in pieces and is never held whole: fold(columns, state) gives rows and the next state,
+    None at first."""
+    made = StructType.fromDDL(out)
+    schema = StructType([*(df.schema[c] for c in keys), *made])
+    rest = [c for c in df.columns if c not in keys]
+    kinds = to_arrow_schema(made)
+
+    def emit(table: pa.Table, new: np.ndarray, state=None) -> tuple[pa.RecordBatch, object]:
+        columns = {c: _values(table[c]) for c in rest}
+        edges = np.flatnonzero(np.append(new, True)).tolist()
+        if edges[0] > 0:
+            edges.insert(0, 0)
+        rows, at = [], []
+        for k, (a, b) in enumerate(zip(edges, edges[1:])):
+            group = {c: v[a:b] for c, v in columns.items()}
+            if carry:
+                found, state = fold(group, state if k == 0 and not new[0] else None)
+            else:
+                found = fold(group)
+            n = len(rows)
+            rows.extend(found)
+            at.extend([a] * (len(rows) - n))
+        parts = [table[c].combine_chunks().take(pa.array(at, pa.int64())) for c in keys]
+        parts += [pa.array([r[k] for r in rows], f.type) for k, f in enumerate(kinds)]
+        return pa.RecordBatch.from_arrays(parts, names=schema.names), state
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, state = [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if carry:
+                table = pa.Table.from_batches([*held, batch])
+                new = _starts(table, keys)[len(held) :]
+                found, state = emit(table.slice(len(held)), new, state)
+                held = [batch.slice(batch.num_rows - 1)]
+                yield found
+                continue
+            before = [held[-1].slice(held[-1].num_rows - 1)] if held else []
+            cut = np.flatnonzero(_starts(pa.Table.from_batches([*before, batch]), keys)[1:]) + (0 if before else 1)
+            if len(cut):
+                table = pa.Table.from_batches([*held, batch.slice(0, int(cut[-1]))])
+                yield emit(table, _starts(table, keys))[0]
+                held = [batch.slice(int(cut[-1]))]
+            else:
+                held.append(batch)
+        if held and not carry:
+            table = pa.Table.from_batches(held)
+            yield emit(table, _starts(table, keys))[0]
+
+    # by a hash of its own: a shuffle by the keys themselves may go where a join before has one, and that one may be read anyhow
+    return df.repartition(F.xxhash64(*keys)).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
 
 
 def fold_in_chunks(df: DataFrame, by: list[str], order: list[str], chunk: Column, machine, out: str) -> DataFrame:
     """machine.summary(rows) is a chunk's map, machine.follow(map, state) the state after it (state None: before the first
-    row), machine.run(rows, state, last) yields rows of the columns `out`; rows come as a frame in order. chunk must not
+    row), machine.run(rows, state, last) yields rows of the columns `out`; rows come as arrays by column, in order. chunk must not
     fall along the order. Keys of `by` may be null; a recording without rows gives none."""
-    kinds = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in by)
     rows = df.withColumn("_c", chunk)
     key = [*by, "_c"]
 
-    def framed(group: pd.DataFrame, columns: dict) -> pd.DataFrame:
-        found = pd.DataFrame(columns)
-        for c in reversed(by):
-            found.insert(0, c, group[c].iloc[0])
-        return found
-
-    def summary(group: pd.DataFrame) -> pd.DataFrame:
-        made = machine.summary(group.sort_values(order, kind="stable"))
-        return framed(group, {"_c": [group["_c"].iloc[0]], "map": [pickle.dumps(made)]})
-
-    def follow(group: pd.DataFrame) -> pd.DataFrame:
-        group, state, before = group.sort_values("_c"), None, []
-        for packed in group["map"]:
-            before.append(pickle.dumps(state))
+    def follow(group: dict) -> list[tuple]:
+        found, state = [], None
+        for c, packed in zip(group["_c"].tolist(), group["map"], strict=True):
+            found.append((c, pickle.dumps(state), c == group["_c"][-1]))
             state = machine.follow(pickle.loads(packed), state)
-        return framed(group, {"_c": group["_c"].to_numpy(), "_state": before, "_last": [False] * (len(before) - 1) + [True]})
+        return found
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        found = list(machine.run(group.sort_values(order, kind="stable"), pickle.loads(group["_state"].iloc[0]), group["_last"].iloc[0]))
-        return framed(group, {c: [r[k] for r in found] for k, c in enumerate(names)})
+    def run(group: dict) -> Iterator[tuple]:
+        # the state comes as a row of its own before the others
+        return machine.run({c: v[1:] for c, v in group.items()}, pickle.loads(group["_state"][0]), bool(group["_last"][0]))
 
-    maps = rows.groupBy(*key).applyInPandas(summary, f"{kinds}, _c long, map binary")
-    entered = maps.groupBy(*by).applyInPandas(follow, f"{kinds}, _c long, _state binary, _last boolean")
-    names = [part.split()[0] for part in out.split(",")]
-    same = [rows[c].eqNullSafe(entered[c]) for c in key]
-    joined = rows.join(entered, same).select(*(rows[c] for c in rows.columns), "_state", "_last")
-    return joined.groupBy(*key).applyInPandas(run, f"{kinds}, {out}")
+    maps = in_groups(rows, key, order, lambda g: [(pickle.dumps(machine.summary(g)),)], "map binary")
+    entered = in_groups(maps, by, ["_c"], follow, "_c long, _state binary, _last boolean")
+    both = entered.unionByName(rows, allowMissingColumns=True).withColumn("_row", F.col("_state").isNull())
+    return in_groups(both, key, ["_row", *order], run, out).drop("_c")
 
 
 def by_time(column: str, seconds: float | None) -> Column:
@@ -82,8 +151,8 @@ class Spacing:
                 return a + int(hit[0])
         return len(p)
 
-    def summary(self, rows: pd.DataFrame) -> tuple:
-        p = rows[self.place].to_numpy(float)
+    def summary(self, rows: dict) -> tuple:
+        p = np.asarray(rows[self.place], float)
         rising = bool((np.diff(p) >= 0).all())
         high = np.maximum.accumulate(p)
         first = np.flatnonzero(np.diff(high, prepend=-np.inf) > 0)
@@ -108,8 +177,8 @@ class Spacing:
         j = self.jump(places, True, last, 0)
         return float(ends[j]) if j < len(ends) else last
 
-    def run(self, rows: pd.DataFrame, last: float | None, _: bool) -> Iterator[tuple]:
-        p, values = rows[self.place].to_numpy(float), rows[self.value].tolist()
+    def run(self, rows: dict, last: float | None, _: bool) -> Iterator[tuple]:
+        p, values = np.asarray(rows[self.place], float), rows[self.value].tolist()
         rising = bool((np.diff(p) >= 0).all())
         j = 0 if last is None else self.jump(p, rising, last, 0)
         while j < len(p):
@@ -133,11 +202,11 @@ class Covers:
             low += 1
         return free
 
-    def _spans(self, rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        a = rows[self.start].to_numpy(float)
-        return a, np.maximum(a, rows[self.stop].to_numpy(float))
+    def _spans(self, rows: dict) -> tuple[np.ndarray, np.ndarray]:
+        a = np.asarray(rows[self.start], float)
+        return a, np.maximum(a, np.asarray(rows[self.stop], float))
 
-    def summary(self, rows: pd.DataFrame) -> tuple:
+    def summary(self, rows: dict) -> tuple:
         a, b = self._spans(rows)
         leaves: dict[int, tuple] = {}
         first = np.flatnonzero(np.diff(a, prepend=-np.inf) > 0)
@@ -156,7 +225,7 @@ class Covers:
         j = 0 if last is None else int(np.searchsorted(made[0], last[1]))
         return made[1][j] if j < len(made[1]) else last
 
-    def run(self, rows: pd.DataFrame, last: tuple | None, _: bool) -> Iterator[tuple]:
+    def run(self, rows: dict, last: tuple | None, _: bool) -> Iterator[tuple]:
         a, b = self._spans(rows)
         values = rows[self.value].tolist()
         j = 0 if last is None else self.jump(a, b, last, 0)
@@ -201,8 +270,8 @@ class ZigZag:
             out = known[node] = (out[0], out[1] or start, out[2])
         return out
 
-    def summary(self, rows: pd.DataFrame) -> dict:
-        t, v = rows[self.t].to_numpy(float), rows[self.level].to_numpy(float)
+    def summary(self, rows: dict) -> dict:
+        t, v = np.asarray(rows[self.t], float), np.asarray(rows[self.level], float)
         known: dict = {}
         made = {}
         for way in (1, -1):
@@ -237,8 +306,8 @@ class ZigZag:
         _, extreme, (way, since, new) = down if up is None or down is not None and down[0] <= up[0] else up
         return way, since or extreme, new, new
 
-    def run(self, rows: pd.DataFrame, state: tuple | None, last: bool) -> Iterator[tuple]:
-        t, v = rows[self.t].to_numpy(float).tolist(), rows[self.level].to_numpy(float).tolist()
+    def run(self, rows: dict, state: tuple | None, last: bool) -> Iterator[tuple]:
+        t, v = np.asarray(rows[self.t], float).tolist(), np.asarray(rows[self.level], float).tolist()
         way, start, top, low = state or (0, (t[0], v[0]), (t[0], v[0]), (t[0], v[0]))
         for here in zip(t, v, strict=True):
             top, low = here if here[1] > top[1] else top, here if here[1] < low[1] else low

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .folds import Covers, Spacing, ZigZag, by_time, fold_in_chunks
+from .folds import Covers, Spacing, ZigZag, by_time, fold_in_chunks, in_groups
 
 
 def _before(by: list[str], order: str = "t"):
@@ -135,20 +135,28 @@ def thin(df: DataFrame, by: list[str], gap: float, out: str = "t", chunk: float
 
 def spaced_top_k(df: DataFrame, by: list[str], key: str, score: str, spacing: float, k: int) -> DataFrame:
     """Greedy: best score first (then earliest, then smallest key), rows within the spacing of one already picked are passed
-    over; at most k (the feature). Each pick is one aggregate over the rows that are free of those before it."""
-    rows = df.where(F.col(score).isNotNull() & F.col("t").isNotNull()).select(*by, F.struct((-F.col(score)).alias("s"), "t", F.col(key).alias("k")).alias("x"))
+    over; at most k (the feature). What can be among the k of a key passes through one task in order, not held."""
+    rows = df.where(F.col(score).isNotNull() & F.col("t").isNotNull()).select(*by, (-F.col(score)).alias("_s"), "t", F.col(key).alias("_k"))
     # rows that can't be among the k: of the best rows of every other bucket as wide as the spacing, each pick passes over two at most
-    bucket = F.floor(F.col("x.t") / spacing)
-    tops = rows.groupBy(*by, bucket.alias("_b")).agg(F.min("x.s").alias("_s")).withColumn("_b", F.pmod("_b", F.lit(2)))
-    tops = tops.withColumn("_n", F.row_number().over(Window.partitionBy(*by, "_b").orderBy("_s"))).where(F.col("_n") == 2 * k - 1)
-    floor = tops.groupBy(*by).agg(F.min("_s").alias("_floor"))
-    rows = rows.join(floor, by, "left").where(F.col("_floor").isNull() | (F.col("x.s") <= F.col("_floor"))).drop("_floor")
-    picked = None
-    for n in range(k):
-        free = rows if picked is None else rows.join(picked, by).where(~F.exists("_p", lambda p: F.abs(p["t"] - F.col("x.t")) < spacing))
-        best = free.groupBy(*by).agg(F.min("x").alias("_x"))
-        picked = best.select(*by, F.array("_x").alias("_p")) if picked is None else picked.join(best, by, "left").select(*by, F.when(F.col("_x").isNull(), F.col("_p")).otherwise(F.concat("_p", F.array("_x"))).alias("_p"))
-    return picked.select(*by, F.posexplode("_p").alias("rank", "x")).select(*by, (F.col("rank") + 1).alias("rank"), F.col("x.k").alias(key))
+    x = F.struct("_s", "t", "_k")
+    tops = rows.groupBy(*by, F.floor(F.col("t") / spacing).alias("_b")).agg(F.min(x).alias("_x")).withColumn("_b", F.pmod("_b", F.lit(2)))
+    tops = tops.withColumn("_n", F.row_number().over(Window.partitionBy(*by, "_b").orderBy("_x"))).where(F.col("_n") == 2 * k - 1)
+    floor = tops.groupBy(*by).agg(F.min("_x").alias("_floor"))
+    rows = rows.join(floor, by, "left").where(F.col("_floor").isNull() | (x <= F.col("_floor"))).drop("_floor")
+
+    def pick(group: dict, picked: list | None) -> tuple[list[tuple], list]:
+        picked, found, t = picked or [], [], group["t"]
+        free = np.ones(len(t), bool)
+        for p in picked:
+            free &= np.abs(p - t) >= spacing
+        while len(picked) < k and free.any():
+            j = int(free.argmax())
+            picked.append(t[j])
+            found.append((len(picked), group["_k"][j]))
+            free &= np.abs(t[j] - t) >= spacing
+        return found, picked
+
+    return in_groups(rows, by, ["_s", "t", "_k"], pick, f"rank int, {key} {df.schema[key].dataType.simpleString()}", carry=True)
 
 
 def legs(df: DataFrame, by: list[str], level: str, step: float, chunk: float | None = None) -> DataFrame:

@@ -225,24 +225,20 @@ def span_groups(readings: DataFrame, by: list[str], schema_by: str, bridge: floa
     cut = readings.select(*by, "start", "stop", "mask", F.coalesce(F.col("start") > reach + bridge, F.lit(True)).cast("long").alias("_n"))
     cut = cut.withColumn("_n", F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, 0)))
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
+    def run(group: dict) -> list[tuple]:
         found: list[list] = []
         open_: list[list] = []
-        for row in group.sort_values(["start", "stop"], kind="stable").itertuples(index=False):
-            mask = set(row.mask)
-            open_ = [g for g in open_ if row.start <= g[1] + bridge]
+        for start, stop, mask in zip(group["start"].tolist(), group["stop"].tolist(), map(set, group["mask"]), strict=True):
+            open_ = [g for g in open_ if start <= g[1] + bridge]
             home = next((g for g in open_ if len(g[2] & mask) >= least), None)
             if home is None:
-                open_.append([row.start, row.stop, mask, 1])
+                open_.append([start, stop, mask, 1])
                 found.append(open_[-1])
             else:
-                home[0], home[1], home[2], home[3] = min(home[0], row.start), max(home[1], row.stop), home[2] & mask, home[3] + 1
-        out = pd.DataFrame([(a, b, sorted(m), n) for a, b, m, n in found], columns=["start", "stop", "held", "readings"])
-        for c in reversed(by):
-            out.insert(0, c, group[c].iloc[0])
-        return out
+                home[0], home[1], home[2], home[3] = min(home[0], start), max(home[1], stop), home[2] & mask, home[3] + 1
+        return [(a, b, sorted(m), n) for a, b, m, n in found]
 
-    return cut.groupBy(*by, "_n").applyInPandas(run, f"{schema_by}, start double, stop double, held array<long>, readings long")
+    return in_groups(cut, [*by, "_n"], ["start", "stop"], run, "start double, stop double, held array<long>, readings long").drop("_n")
 
 
 def note_spans(frames: DataFrame, by: list[str], schema_by: str, opens: float = 0.15, closes: float = 0.06, apart: float = 1.0, confirm: int = 2, least: float = 0.04, reach: float = 0.0215) -> DataFrame:

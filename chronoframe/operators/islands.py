@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -251,13 +250,14 @@ def note_spans(frames: DataFrame, by: list[str], schema_by: str, opens: float =
     d = d.withColumn("_new", (F.col("open") & ~F.coalesce(F.lag("open").over(w), F.lit(False))).cast("long"))
     d = d.withColumn("run", F.sum("_new").over(_before(by))).where("open")
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        g = group.sort_values("t")
-        pitch = np.log2(g["hz"].where(g["hz"] > 0).to_numpy(float)) * 12
+    def run(group: dict) -> list[tuple]:
+        t, level = group["t"], group["level"]
+        hz = np.asarray(group["hz"], float)
+        hz = np.where(hz > 0, hz, np.nan)
         cuts, reference, off = [0], np.nan, 0
-        for i, p in enumerate(pitch):
-            if np.isnan(p) or np.isnan(reference):
-                reference, off = (reference if np.isnan(p) else p), 0 if np.isnan(p) else off
+        for i, p in enumerate((np.log2(hz) * 12).tolist()):
+            if p != p or reference != reference:
+                reference, off = (reference if p != p else p), 0 if p != p else off
             elif abs(p - reference) < apart:
                 off = 0
             else:
@@ -266,12 +266,11 @@ def note_spans(frames: DataFrame, by: list[str], schema_by: str, opens: float =
                     cuts.append(i - off + 1)
                     reference, off = p, 0
         out = []
-        for k, (a, b) in enumerate(zip(cuts, [*cuts[1:], len(g)])):
-            part = g.iloc[a:b]
-            start, stop = part["t"].iloc[0] + (reach if k == 0 else 0), part["t"].iloc[-1] - (reach if k == len(cuts) - 1 else 0)
-            hz = part["hz"][part["hz"] > 0]
+        for k, (a, b) in enumerate(zip(cuts, [*cuts[1:], len(t)])):
+            start, stop = t[a] + (reach if k == 0 else 0), t[b - 1] - (reach if k == len(cuts) - 1 else 0)
             if stop - start >= least:
-                out.append((*(g[c].iloc[0] for c in by), round(start, 3), round(stop, 3), round(float(hz.median()), 2) if len(hz) else 0.0, round(min(part["level"].max(), 1.0), 4)))
-        return pd.DataFrame(out, columns=[*by, "start", "stop", "hz", "strength"])
+                pitched = hz[a:b][~np.isnan(hz[a:b])]
+                out.append((round(start, 3), round(stop, 3), round(float(np.median(pitched)), 2) if len(pitched) else 0.0, round(min(level[a:b].max(), 1.0), 4)))
+        return out
 
-    return d.select(*by, "run", "t", "hz", "level").groupBy(*by, "run").applyInPandas(run, f"{schema_by}, start double, stop double, hz double, strength double")
+    return in_groups(d.select(*by, "run", "t", "hz", "level"), [*by, "run"], ["t"], run, "start double, stop double, hz double, strength double")

@@ -12,6 +12,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult, OrderingColumn, PartitioningColumn
 
+from .folds import in_groups
+
+#: Rows of a key from which on they are dealt to more than one task; the list of such keys is broadcast, one for so many rows.
+MANY = 4096
+
 
 def apply_detector(df: DataFrame, detect: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
     """detect() sees batches of rows and returns rows of the schema."""
@@ -49,36 +54,37 @@ def explode_rows(df: DataFrame, make: Callable[..., Iterator[tuple]], args: list
 
 
 def mergeable_aggregate(df: DataFrame, by: list[str], columns: list[str], init: Callable[[], object], update: Callable[[object, pd.DataFrame], object], merge: Callable[[object, object], object], finish: Callable[[object], tuple], out: str, salts: int = 32, keys: int = 100_000) -> DataFrame:
-    """A user aggregate in pieces: each task folds its rows, batch by batch, into one state a key (update), states are merged
-    by key in two steps, the first dealt by salt, and finish() gives the columns `out`. No task sees all rows of a key, so a
-    hot key spreads. Keys may be null; at most `keys` states are held in a task before they are passed on."""
+    """A user aggregate in pieces: rows are dealt by key, those of a key with many by a salt besides, so that a hot key spreads;
+    each task folds its rows, batch by batch, into one state a key (update), states are merged by key, and finish() gives the
+    columns `out`. Rows of a key come together, so update() runs about once a key. Keys may be null; at most `keys` states are
+    held in a task before they are passed on."""
     kinds = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in by)
-    names = [part.split()[0] for part in out.split(",")]
 
     def passed_on(states: dict) -> pd.DataFrame:
-        rows = [(*key, pickle.dumps(state)) for key, state in states.items()]
+        rows = [(*key[:-1], pickle.dumps(state)) for key, state in states.items()]
         states.clear()
         return pd.DataFrame(rows, columns=[*by, "_state"]).astype({c: object for c in by})
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         states: dict = {}
         for batch in batches:
-            for key, rows in batch.groupby(by, dropna=False, sort=False):
+            for key, rows in batch.groupby([*by, "_salt"], dropna=False, sort=False):
                 key = tuple(None if pd.isna(k) else k for k in key)
                 states[key] = update(states[key] if key in states else init(), rows[columns])
             if len(states) >= keys:
                 yield passed_on(states)
         yield passed_on(states)
 
-    def merged(group: pd.DataFrame) -> object:
+    def merged(group: dict) -> object:
         return functools.reduce(merge, map(pickle.loads, group["_state"]))
 
-    def frame(group: pd.DataFrame, more: dict) -> pd.DataFrame:
-        return pd.DataFrame({c: [group[c].iloc[0]] for c in by} | more)
-
-    parts = df.select(*by, *(c for c in columns if c not in by)).mapInPandas(fold, f"{kinds}, _state binary")
-    parts = parts.groupBy(*by, F.pmod(F.spark_partition_id(), F.lit(salts)).alias("_salt")).applyInPandas(lambda g: frame(g, {"_state": [pickle.dumps(merged(g))]}), f"{kinds}, _state binary")
-    return parts.groupBy(*by).applyInPandas(lambda g: frame(g, {n: [v] for n, v in zip(names, finish(merged(g)), strict=True)}), f"{kinds}, {out}")
+    same = lambda c: F.col(c).eqNullSafe(F.col(f"_same_{c}"))
+    many = df.groupBy(*(F.col(c).alias(f"_same_{c}") for c in by)).agg(F.count("*").alias("_n")).where(F.col("_n") > MANY)
+    rows = df.select(*by, *(c for c in columns if c not in by)).join(F.broadcast(many), functools.reduce(Column.__and__, map(same, by)), "left")
+    salt = F.when(F.col("_n").isNull(), 0).otherwise(F.pmod(F.monotonically_increasing_id(), F.least(F.ceil(F.col("_n") / MANY), F.lit(salts))))
+    rows = rows.withColumn("_salt", salt.cast("long")).drop("_n", *many.columns)
+    parts = rows.repartition(*by, "_salt").sortWithinPartitions(*by, "_salt").mapInPandas(fold, f"{kinds}, _state binary")
+    return in_groups(parts, by, [], lambda g: [finish(merged(g))], out)
 
 
 def rows_in_order(df: DataFrame, by: list[str], order: list[str], folder: Callable[[], object], schema: Callable[[StructType], StructType]) -> DataFrame:

@@ -191,14 +191,17 @@ def moving_runs(df: DataFrame, by: list[str], still: float, least: float, gap: f
 def drop_covered(items: DataFrame, by: list[str], key: str, chunk: float | None = None) -> DataFrame:
     """Items without media go where others cover every part of them; then, in order of (start, media first), an item that
     overlaps the one kept before it goes. The first rule is counts of open items between edges, without pairs; the second
-    takes `chunk` seconds of a recording in one task. An item that stops before it starts counts as empty."""
-    ends = items.select(*by, F.explode(F.array(F.struct(F.col("start").alias("t"), F.lit(1).alias("d")), F.struct(F.col("stop").alias("t"), F.lit(-1).alias("d")))).alias("x")).select(*by, "x.*")
+    takes `chunk` seconds of a recording in one task. An item that stops before it starts counts as empty; an empty one is
+    covered if another holds its start."""
+    stop = F.when(F.col("stop") < F.col("start"), F.col("start")).otherwise(F.col("stop"))
+    ends = items.select(*by, F.explode(F.array(F.struct(F.col("start").alias("t"), F.lit(1).alias("d")), F.struct(stop.alias("t"), F.lit(-1).alias("d")))).alias("x")).select(*by, "x.*")
     ends = ends.groupBy(*by, "t").agg(F.sum("d").alias("d"))
     w = Window.partitionBy(*by).orderBy("t")
-    alone = (F.sum("d").over(w.rowsBetween(Window.unboundedPreceding, 0)) == 1).cast("long")
-    ends = ends.withColumn("alone", alone).select(*by, "t", F.coalesce(F.sum("alone").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("n"))
-    at = lambda c: ends.select(*by, F.col("t").alias(c), F.col("n").alias(f"_{c}"))
-    left = items.join(at("start"), [*by, "start"]).join(at("stop"), [*by, "stop"]).where(F.col("media") | (F.col("_stop") > F.col("_start")))
+    ends = ends.withColumn("open", F.sum("d").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("alone", (F.col("open") == 1).cast("long"))
+    ends = ends.select(*by, "t", "open", F.coalesce(F.sum("alone").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("n"))
+    at = lambda c, t: ends.select(*by, F.col("t").alias(t), F.col("n").alias(f"_{c}"), F.col("open").alias(f"_{c}_open"))
+    left = items.withColumn("_to", stop).join(at("start", "start"), [*by, "start"]).join(at("stop", "_to"), [*by, "_to"])
+    left = left.where(F.col("media") | (F.col("_stop") > F.col("_start")) | ((F.col("_to") == F.col("start")) & (F.col("_start_open") == 0)))
     rows = left.select(*by, "start", "stop", (~F.col("media")).alias("plain"), key)
     found = fold_in_chunks(rows, by, ["start", "plain", key, "stop"], by_time("start", chunk), Covers("start", "stop", key), f"{key} {items.schema[key].dataType.simpleString()}")
     return items.join(found, [*by, key], "left_semi")

@@ -60,3 +60,23 @@ def test_mergeable_aggregate_updates_about_once_a_key(spark):
     agg = mergeable_aggregate(df, ["k"], ["v"], lambda: (0, 0), lambda s, rows: (s[0] + len(rows), s[1] + 1), lambda a, b: (a[0] + b[0], a[1] + b[1]), lambda s: s, "n long, calls long")
     rows = agg.collect()
     assert [r.n for r in rows] == [10] * 600 and sum(r.calls for r in rows) <= 610
+
+
+def _events(tmp_path, rows):
+    import duckdb
+
+    duckdb.connect().execute(f"copy (select event_id::bigint as event_id, ts::timestamp as ts, user_id::bigint as user_id, 'click' as event_type, value::double as value from (values {rows}) x(event_id, ts, user_id, value)) to '{tmp_path}/events.parquet' (format parquet)")
+
+
+def test_empty_item_without_media_stays_if_nothing_holds_its_start(spark, tmp_path):
+    """Every third id has no media; a value of 0 makes an empty item."""
+    import duckdb
+
+    from chronoframe.plans import ORACLES
+
+    _events(tmp_path, "(3, '2024-01-01 10:00:00', 1, 0), (4, '2024-01-02 10:00:00', 1, 10), (6, '2024-01-02 11:00:00', 1, 0), (9, '2024-01-02 10:00:00', 1, 0), (12, '2024-01-03 10:00:00', 2, 5), (15, '2024-01-05 10:00:00', 2, 0)")
+    con = duckdb.connect()
+    con.execute(f"set timezone='UTC'; create view events as select * from read_parquet('{tmp_path}/events.parquet')")
+    want = sorted(con.execute(ORACLES["f17_drop_covered"]).fetchall())
+    assert (1, 3) in want and (2, 15) in want and (1, 6) not in want
+    assert sorted(map(tuple, QUERIES["f17_drop_covered"](spark, str(tmp_path)).collect())) == want

@@ -20,13 +20,13 @@ def a01(s, d):
 
 @query("a01_read_catalog_lines", sql("SELECT rec_id, 'events' AS kind, event_id, t FROM e WHERE event_type <> 'error'", "e"))
 def a01_lines(s, d):
-    """The same catalogs, laid out a key or a record a line."""
+    """The same catalogs, laid out a key or a record a line, many to a file: files of their own would be as many as recordings."""
     t = F.when(F.col("event_type") != "error", F.col("t"))
     row = F.to_json(F.struct(t.alias("t"), "event_id", F.col("value").alias("extra")))
     path = K.shared_path(s, "catalogs")
     e = recordings(s, d)
-    e.groupBy("rec_id").agg(F.collect_list(row).alias("rows")).select(F.concat(F.lit('{\n  "kind": "events",\n  "rec_id": '), F.col("rec_id").cast("string"), F.lit(',\n  "events": [\n    '), F.array_join("rows", ",\n    "), F.lit("\n  ]\n}")).alias("value"), "rec_id").write.partitionBy("rec_id").text(path)
-    return K.read_catalog_lines(s, f"{path}/*", "events", "t double, event_id long", "kind string, rec_id long")
+    e.groupBy("rec_id").agg(F.collect_list(row).alias("rows")).select(F.concat(F.lit('{\n  "kind": "events",\n  "rec_id": '), F.coalesce(F.col("rec_id").cast("string"), F.lit("null")), F.lit(',\n  "events": [\n    '), F.array_join("rows", ",\n    "), F.lit("\n  ]\n}")).alias("value")).write.text(path)
+    return K.read_catalog_lines(s, path, "events", "t double, event_id long", "kind string, rec_id long")
 
 
 @query("a02_write_catalog", sql("SELECT rec_id, count(*) AS rows, round(sum(value), 6) AS total, max(event_id) AS last, count(*) AS declared FROM e WHERE event_type = 'view' GROUP BY 1", "e"))

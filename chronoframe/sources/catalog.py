@@ -20,6 +20,13 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The table, written to the shared folder and read from there: worked out once for all that read it."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_catalog(spark: SparkSession, path: str, field: str, schema: str, header: str = "", allow_empty: bool = False, lines: bool = False) -> DataFrame:
     """The records of an array field of JSON catalogs (one a file, or one a line), with the header's columns; rows without a numeric t are dropped. No usable row is an error where the result is read, unless allow_empty."""
     top = ", ".join(x for x in (header, f"{field} array<struct<{schema}>>") if x)
@@ -35,25 +42,33 @@ def read_catalog(spark: SparkSession, path: str, field: str, schema: str, header
 
 
 def read_catalog_lines(spark: SparkSession, path: str, field: str, schema: str, header: str = "", allow_empty: bool = False) -> DataFrame:
-    """read_catalog() for catalogs laid out a key or a record a line: files are cut at line ends, so that one of any size is read
-    by many tasks and never held whole. A file's header is the scalar keys on lines of their own. A file without the field or
-    without a record with a numeric t is an error where the result is read, unless allow_empty."""
+    """read_catalog() for catalogs laid out a key or a record a line, one or more a file: files are cut at line ends, so that one
+    of any size is read by many tasks and never held whole. In a file of more than one, each starts at a line with nothing but
+    an unindented brace. A catalog's header is the scalar keys on lines of their own. A catalog without the field or without a
+    record with a numeric t is an error where the result is read, unless allow_empty."""
     raw = spark.read.text(path)
     line = F.regexp_replace(F.trim(F.col("value")), r",\s*$", "")
-    lines = raw.select(raw.metadataColumn("_metadata")["file_path"].alias("_file"), line.alias("line"))
-    records = lines.where(F.col("line").rlike(r"^\{.*\S.*\}$")).select("_file", F.from_json("line", schema).alias("r")).select("_file", "r.*").where("t is not null")
+    # catalogs are numbered from the first brace of their file on: first inside each split, then by the splits before it
+    meta = raw.metadataColumn("_metadata")
+    lines = raw.select(meta["file_path"].alias("_file"), meta["file_block_start"].alias("_at"), F.monotonically_increasing_id().alias("_i"), F.col("value").rlike(r"^\{\s*$").cast("long").alias("_opens"), line.alias("line"))
+    split = Window.partitionBy("_file", "_at").orderBy("_i")
+    opened = lines.groupBy("_file", "_at").agg(F.sum("_opens").alias("_opened"))
+    before = F.coalesce(F.sum("_opened").over(Window.partitionBy("_file").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    keys = ["_file", "_no"]
+    lines = lines.withColumn("_no", F.sum("_opens").over(split)).join(opened.select("_file", "_at", before.alias("_before")), ["_file", "_at"])
+    lines = lines.select("_file", F.greatest(F.col("_no") + F.col("_before"), F.lit(1)).alias("_no"), "line")
+    record = F.from_json(F.when(F.col("line").rlike(r"^\{.*\S.*\}$"), F.col("line")), schema)
+    records = lines.select(*keys, record.alias("r")).select(*keys, "r.*").where("t is not null")
     names = StructType.fromDDL(header).fields if header else []
     keyed = F.from_json(F.when(F.col("line").rlike(r'^"[^"]+"\s*:\s*("([^"\\]|\\.)*"|[^\[{"]+)$'), F.concat(F.lit("{"), "line", F.lit("}"))), header or "_ string")
-    tops = lines.select("_file", keyed.alias("k"), F.col("line").rlike(rf'^"{field}"\s*:\s*\[').alias("_has"))
-    files = tops.groupBy("_file").agg(F.max("_has").alias("_has"), *(F.max(f"k.{f.name}").alias(f.name) for f in names))
+    tops = lines.select(*keys, keyed.alias("k"), F.col("line").rlike(rf'^"{field}"\s*:\s*\[').alias("_has"), record["t"].alias("_t"))
+    files = tops.groupBy(*keys).agg(F.max("_has").alias("_has"), F.count("_t").alias("_n"), *(F.max(f"k.{f.name}").alias(f.name) for f in names))
     own = [f.name for f in names]
     if allow_empty:
-        return files.join(records, "_file").drop("_file", "_has")
-    n = records.groupBy("_file").agg(F.count("*").alias("_n"))
-    files = files.join(n, "_file", "left")
-    usable = F.coalesce("_has", F.lit(False)) & (F.coalesce("_n", F.lit(0)) > 0)
-    rows = files.join(records, "_file", "left").where(F.when(usable, F.col("t").isNotNull()).otherwise(F.raise_error(F.lit(f"no usable row in {field}")).isNull()))
-    return rows.select(*own, *(c for c in records.columns if c != "_file"))
+        return files.join(records, keys).drop(*keys, "_has", "_n")
+    usable = F.coalesce("_has", F.lit(False)) & (F.col("_n") > 0)
+    rows = files.join(records, keys, "left").where(F.when(usable, F.col("t").isNotNull()).otherwise(F.raise_error(F.lit(f"no usable row in {field}")).isNull()))
+    return rows.select(*own, *(c for c in records.columns if c not in keys))
 
 
 def write_catalog(df: DataFrame, header: DataFrame, path: str, kind: str, buckets: int = 16) -> None:

@@ -72,3 +72,25 @@ def test_rows_in_order_by_analyze(spark):
     got = rows_in_order(df, ["k"], ["t"], Gaps, lambda of: StructType([of["k"], StructField("low", of["t"].dataType), StructField("high", of["t"].dataType)]))
     assert got.schema.simpleString() == "struct<k:string,low:double,high:double>"
     assert sorted(map(tuple, got.collect()), key=repr) == sorted([("a", 2.0, 5.0), (None, 5.0, None), (None, 0.0, None)], key=repr)
+
+
+@pytest.mark.parametrize("part", ["120", "1000000"])
+def test_many_catalogs_in_one_file(spark, tmp_path, part):
+    """Each record keeps the header of its own catalog, wherever the file is cut; one without a record is still an error."""
+    one = lambda k, n: f'{{\n  "kind": "k{k}",\n  "rec_id": {k},\n  "hits": [\n    ' + ",\n    ".join(json.dumps({"t": i + k / 100}) for i in range(n)) + "\n  ]\n}\n"
+    (tmp_path / "a").mkdir()
+    for f, ks in enumerate(([0, 1, 2, 3], [4], [5, 6])):
+        (tmp_path / "a" / f"{f}.json").write_text("".join(one(k, 3 + 7 * k) for k in ks))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", part)
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        read = lambda **more: read_catalog_lines(spark, str(tmp_path / "a"), "hits", "t double", "kind string, rec_id long", **more)
+        want = sorted((f"k{k}", k, i + k / 100) for k in range(7) for i in range(3 + 7 * k))
+        assert sorted(map(tuple, read().collect())) == want
+        (tmp_path / "a" / "3.json").write_text(one(8, 2) + one(9, 0) + one(7, 1))
+        with pytest.raises(Exception, match="no usable row in hits"):
+            read().collect()
+        assert sorted(map(tuple, read(allow_empty=True).collect())) == sorted([*want, ("k7", 7, 0.07), ("k8", 8, 0.08), ("k8", 8, 1.08)])
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import pandas as pd
@@ -45,58 +46,68 @@ def stream_dedupe(stream: DataFrame, keys: list[str], late: str) -> DataFrame:
 
 
 class _InOrder(StatefulProcessor):
-    """Rows of a key wait until the watermark has passed them, then go through `machine` in order of time. Rows that come
-    after the watermark are dropped. State: the rows that wait, and what the machine keeps."""
+    """Rows wait until the watermark has passed them, then go through `machine`, key by key, in order of time. Rows that come
+    after the watermark are dropped. Keys share their state by buckets, so that calls of the state store are as many as buckets
+    of a batch, not as keys. State: the rows that wait, those of a batch packed into one value, and what the machine keeps of
+    each key."""
 
-    def __init__(self, by: str, machine, columns: list[str]):
-        self.by, self.machine, self.columns = by, machine, columns
+    def __init__(self, machine, columns: list[str]):
+        self.machine, self.columns = machine, columns
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.rows = handle.getListState("rows", "us long, v double")
-        self.kept = handle.getValueState("kept", "x long")
+        self.rows = handle.getListState("rows", "packed binary")
+        self.kept = handle.getListState("kept", "k string, x long")
 
-    def _out(self, key: tuple, found: list[tuple]) -> Iterator[pd.DataFrame]:
-        yield pd.DataFrame([(key[0], *r) for r in found], columns=self.columns)
+    def _due(self, us: int) -> None:
+        self.handle.registerTimer(-(-us // 1000))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         mark = timerValues.getCurrentWatermarkInMs() * 1000
-        new = [(int(u), float(v)) for f in rows for u, v in zip(f["us"], f["v"]) if u > mark]
-        if new:
-            self.rows.appendList(new)
-            self.handle.registerTimer(-(-min(new)[0] // 1000))
-        return self._out(key, [])
+        for f in rows:
+            f = f[f["us"] > mark]
+            if len(f):
+                self.rows.appendValue((pickle.dumps(list(zip(f["k"], f["us"].tolist(), f["v"].tolist()))),))
+                self._due(int(f["us"].min()))
+        yield pd.DataFrame([], columns=self.columns)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         mark = timerValues.getCurrentWatermarkInMs() * 1000
-        held = sorted(self.rows.get()) if self.rows.exists() else []
-        ready, rest = [r for r in held if r[0] <= mark], [r for r in held if r[0] > mark]
-        state = self.kept.get()[0] if self.kept.exists() else None
-        found, state, due = self.machine(state, ready, mark)
-        if rest:
-            self.rows.put(rest)
-            self.handle.registerTimer(-(-rest[0][0] // 1000))
-        else:
-            self.rows.clear()
-        if state is None:
-            self.kept.clear()
-        else:
-            self.kept.update((state,))
-            if due is not None:
-                self.handle.registerTimer(-(-due // 1000))
-        return self._out(key, found)
+        states = dict(self.kept.get()) if self.kept.exists() else {}
+        ready, rest = {k: [] for k in states}, []
+        for (packed,) in self.rows.get() if self.rows.exists() else ():
+            for k, us, v in pickle.loads(packed):
+                if us <= mark:
+                    ready.setdefault(k, []).append((us, v))
+                else:
+                    rest.append((k, us, v))
+        found, kept, wake = [], [], [us for _, us, _ in rest]
+        for k, held in ready.items():
+            out, state, due = self.machine(states.get(k), sorted(held), mark)
+            found.extend((k, *r) for r in out)
+            if state is not None:
+                kept.append((k, state))
+                wake += [] if due is None else [due]
+        for held, state in ((rest and [(pickle.dumps(rest),)], self.rows), (kept, self.kept)):
+            if held:
+                state.put(held)
+            else:
+                state.clear()
+        if wake:
+            self._due(min(wake))
+        yield pd.DataFrame(found, columns=self.columns)
 
     def close(self) -> None:
         pass
 
 
-def _in_order(stream: DataFrame, by: str, value: Column, late: str, machine, out: str) -> DataFrame:
+def _in_order(stream: DataFrame, by: str, value: Column, late: str, machine, out: str, buckets: int = 4096) -> DataFrame:
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    kind = stream.schema[by].dataType.simpleString()
-    rows = stream.withWatermark("ts", late).select(by, "ts", F.unix_micros("ts").alias("us"), value.cast("double").alias("v")).where("us is not null and v is not null")
-    columns = [by, *(x.split()[0] for x in out.split(", "))]
-    found = rows.groupBy(by).transformWithStateInPandas(_InOrder(by, machine, columns), f"{by} {kind}, {out}", "append", "eventTime")
-    return found.select(by, F.timestamp_micros("us").alias("ts"), *columns[2:])
+    kind = stream.schema[by].dataType
+    rows = stream.withWatermark("ts", late).select(F.pmod(F.xxhash64(by), F.lit(buckets)).alias("bucket"), F.col(by).cast("string").alias("k"), "ts", F.unix_micros("ts").alias("us"), value.cast("double").alias("v")).where("us is not null and v is not null")
+    columns = ["k", *(x.split()[0] for x in out.split(", "))]
+    found = rows.groupBy("bucket").transformWithStateInPandas(_InOrder(machine, columns), f"k string, {out}", "append", "eventTime")
+    return found.select(F.col("k").cast(kind).alias(by), F.timestamp_micros("us").alias("ts"), *columns[2:])
 
 
 def stream_state(stream: DataFrame, by: str, level: str, opens: float, closes: float, late: str = "1 hour", idle: str | None = None) -> DataFrame:

@@ -69,3 +69,18 @@ def test_levels_bursts_and_dedupe(spark, sf_dir, tmp_path):
     assert bursts and all(r.rows >= 1 and r.stop > r.start for r in bursts)
     once = run(spark, tmp_path / "c", sf_dir, lambda s: S.stream_dedupe(s.unionByName(s), ["event_id"], "1 hour"))
     assert len(once) == spark.read.parquet(f"{sf_dir}/events.parquet").count()
+
+
+def test_keys_share_state_by_buckets(spark, tmp_path):
+    """Six thousand keys, one of them null, take a timer a bucket."""
+    key = F.when(F.col("id") > 0, F.concat(F.lit("k"), F.col("id").cast("string")))
+    at = lambda c: F.timestamp_seconds(c)
+    rows = spark.range(6000).select(key.alias("name"), F.explode(F.array(F.lit(100), F.lit(105), F.lit(130))).alias("s")).select("name", at(F.col("s")).alias("ts"))
+    rows.unionByName(spark.range(1).select(F.lit("last").alias("name"), at(F.lit(90_000)).alias("ts"))).coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("name string, ts timestamp").parquet(str(tmp_path / "in"))
+    q = S.stream_thin(stream, "name", 20.0).writeStream.format("memory").queryName("by_buckets").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    q.awaitTermination(240)
+    got = spark.table("by_buckets").groupBy("name").agg(F.sort_array(F.collect_list(F.unix_seconds("ts"))).alias("s")).collect()
+    assert len(got) == 6000 and {r.name for r in got} == {None, *(f"k{i}" for i in range(1, 6000))}
+    assert all(list(r.s) == [100, 130] for r in got)
+    assert max(p["stateOperators"][0]["customMetrics"]["numRegisteredTimers"] for p in q.recentProgress) <= 4096

@@ -10,6 +10,7 @@ from ..operators import aggregates as A
 from ..operators import islands as I
 from ..operators import joins as J
 from ..operators import windows as W
+from ..sources.catalog import written
 
 #: Fixed values of a bar map: rates a pulse may have per minute, folds and meters tried, and the weights of contrast,
 #: margin and agreement in its confidence.
@@ -38,13 +39,15 @@ def bar_map(beats: DataFrame, by: list[str], least: float = 0.3) -> tuple[DataFr
 
     A grid whose own bars mostly have one length is taken at its word. Else the pulse is the grid, or every k-th beat where
     only that has a rate inside RATES; meter and phase are those whose bar lines stand out most; the confidence weighs
-    contrast, margin over the next best and how many windows of four bars agree by themselves."""
+    contrast, margin over the next best and how many windows of four bars agree by themselves. What is read more than once, the
+    levelled beats first, is written to the shared folder."""
     key, w = Window.partitionBy(*by), Window.partitionBy(*by).orderBy("t")
-    b = W.levelled(beats, by, "salience").withColumns({"i": F.row_number().over(w) - 1, "n": F.count("*").over(key)})
-    own = A.modal_size(beats, by, "bar")
+    b = W.levelled(beats, by, "salience").withColumns({"i": F.row_number().over(w) - 1, "n": F.count("*").over(key)} | {f"_t{k}": F.lead("t", k).over(w) for k in (1, *FOLDS)})
+    b = written(b, "beats")
+    own = A.modal_size(b, by, "bar")
 
     # the pulse
-    c = b.select(*by, "t", "i", "n", F.col("levelled").alias("value"), *(F.lead("t", k).over(w).alias(f"_t{k}") for k in (1, *FOLDS)))
+    c = b.select(*by, "t", "i", "n", F.col("levelled").alias("value"), *(f"_t{k}" for k in (1, *FOLDS)))
     rate = lambda gap: 60 / F.median(F.when(gap > 0, gap))
     given = c.groupBy(*by).agg(rate(F.col("_t1") - F.col("t")).alias("given"), F.count("*").alias("n"))
     later = F.coalesce(*(F.when(F.col("size") == k, F.col(f"_t{k}")) for k in FOLDS))
@@ -59,16 +62,17 @@ def bar_map(beats: DataFrame, by: list[str], least: float = 0.3) -> tuple[DataFr
     folded = (F.col("n") >= FEWEST_BEATS) & F.col("given").isNotNull() & ~F.col("given").between(*RATES) & F.col("f").isNotNull() & ~F.col("committed")
     g = g.select(*by, "committed", F.col("size").alias("own"), F.col("share"), F.when(folded, F.col("f.size")).otherwise(1).alias("fold"), F.when(folded, F.col("f.phase")).otherwise(0).alias("fold_phase"),
                  F.when(F.col("committed"), "model").when(folded & F.col("f.accent"), "accent").when(folded, "tempo").otherwise("given").alias("fold_reason"))
+    g = written(g, "folds")
 
     # its bars
     p = b.join(g, by).where((F.col("i") % F.col("fold") == F.col("fold_phase")) & ~F.col("committed"))
     p = p.select(*by, F.floor(F.col("i") / F.col("fold")).alias("k"), F.col("levelled").alias("value"))
-    read = _barrings(p, by)
+    read = written(_barrings(p, by), "barrings")
     inside = p.join(read.select(*by, "meter", "phase"), by).withColumn("block", F.floor(F.col("k") / (WINDOW_BARS * F.col("meter"))))
     size = Window.partitionBy(*by, "block")
     inside = inside.withColumns({"_n": F.count("*").over(size), "start": F.min("k").over(size)}).where(F.col("_n") == WINDOW_BARS * F.col("meter"))
-    whole = inside.select(*by, "block", "start", F.col("meter").alias("m"), F.col("phase").alias("p")).distinct()
-    alike = _barrings(inside.select(*by, "block", (F.col("k") - F.col("start")).alias("k"), "value"), [*by, "block"]).where("contrast > 0").join(whole, [*by, "block"])
+    alike = inside.select(*by, "block", "start", F.col("meter").alias("m"), F.col("phase").alias("p"), (F.col("k") - F.col("start")).alias("k"), "value")
+    alike = _barrings(alike, [*by, "block", "start", "m", "p"]).where("contrast > 0")
     same = (F.col("meter") == F.col("m")) & ((F.col("start") + F.col("phase")) % F.col("m") == F.col("p"))
     held = alike.groupBy(*by).agg(F.avg(same.cast("double")).alias("agreement"), F.count("*").alias("_c")).where("_c >= 2").drop("_c")
     s = g.join(read, by, "left").join(held, by, "left")

@@ -132,7 +132,7 @@ def bursts_over_baseline(hits: DataFrame, grid: DataFrame, by: list[str], stem:
 def phrase_boundaries(notes: DataFrame, grid: DataFrame, by: list[str], least: float = 0.35, chunk: int = 4096) -> DataFrame:
     """Ends of notes that end a phrase: by the rest after them, how long they are held or the leap that follows. The strongest
     cue carries the confidence, the mean of the others and the bar line add to it; two ends need two beats between them, kept in order
-    of the notes, `chunk` of them in a task."""
+    of the notes, `chunk` of them in a task. The ends are written to the shared folder, as they are read twice."""
     w = Window.partitionBy(*by).orderBy("t", "end")
     step = grid.select(*by, (F.lead("t").over(Window.partitionBy(*by).orderBy("t")) - F.col("t")).alias("s"))
     beat = step.groupBy(*by).agg(F.median(F.when(F.col("s") > 0, F.col("s"))).alias("beat")).where("beat is not null")
@@ -153,6 +153,7 @@ def phrase_boundaries(notes: DataFrame, grid: DataFrame, by: list[str], least: f
     line = bar_line_strength(F.coalesce("r_downbeat", F.lit(False)), F.coalesce("r_bar", F.lit(0)))
     sure = clamp01(0.55 * F.element_at(cues, 3) + 0.2 * (F.element_at(cues, 2) + F.element_at(cues, 1)) / 2 + 0.25 * line)
     c = c.withColumn("confidence", F.round(sure, 3)).where(F.col("confidence") >= least)
+    c = written(c.select(*by, "i", "t", "measured", "beat", "confidence"), "ends")
     # in order of the notes: two beats after the end kept last
     ends = c.select(*by, "i", (F.col("measured") / F.col("beat")).alias("at"))
     kept = I.fold_in_chunks(ends, by, ["i"], F.floor(F.col("i") / chunk).cast("long"), I.Spacing("at", 2.0, "i"), "i long")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.catalog import written
+
 BINS = (("<2", 0, 2), ("2-4", 2, 4), ("4-8", 4, 8), ("8-15", 8, 15), ("15-30", 15, 30), (">30", 30, None))
 
 
@@ -235,6 +237,7 @@ def gap_report(df: DataFrame, by: list[str], wide: float = 2.0, most: int = 15)
     g = df.where("t is not null").select(*by, "t", (F.lead("t").over(w) - F.col("t")).alias("gap")).where("gap is not null")
     local = F.percentile("gap", F.lit(0.5)).over(w.rowsBetween(-15, 15))
     g = g.withColumn("_local", local).withColumn("_steady", (F.abs(F.col("gap") - F.col("_local")) <= 0.1 * F.col("_local")).cast("double"))
+    g = written(g.drop("_local"), "gaps")
     whole = g.groupBy(*by).agg(F.count("*").alias("gaps"), F.round(F.avg("gap"), 4).alias("mean"), F.round(F.min("gap"), 4).alias("least"), F.round(F.max("gap"), 4).alias("most"), F.count_if(F.col("gap") > wide).alias("wide"), F.round(F.avg("_steady"), 4).alias("steady_share"))
     at = exact_quantiles(g, by, "gap", {"p05": 0.05, "median": 0.5, "p95": 0.95})
     top = g.withColumn("_k", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("gap"), "t"))).where(F.col("_k") <= most)
@@ -242,11 +245,20 @@ def gap_report(df: DataFrame, by: list[str], wide: float = 2.0, most: int = 15)
     return whole.join(at.select(*by, *(F.round(c, 4).alias(c) for c in ("p05", "median", "p95"))), by).join(top, by)
 
 
-def exact_quantiles(df: DataFrame, by: list[str], col: str, shares: dict[str, float], bins: int = 1024, rounds: int = 3) -> DataFrame:
-    """Linear-interpolated quantiles of each key without a task that holds its values: values are counted in `bins` equal
-    bins between the least and the most, the bins with the wanted ranks are cut again, `rounds` times; what is left there is
-    counted by value and ranked. Nulls don't count; keys without values give null."""
+def exact_quantiles(df: DataFrame, by: list[str], col: str, shares: dict[str, float], bins: int = 1024, rounds: int = 3, many: int = 65_536) -> DataFrame:
+    """Linear-interpolated quantiles of each key without a task that holds its values. Keys of up to `many` values are sorted
+    and ranked; those of more, one broadcast entry for each, are counted in `bins` equal bins between the least and the most,
+    the bins with the wanted ranks are cut again, `rounds` times; what is left there is counted by value and ranked. Nulls don't
+    count; keys without values give null."""
     d = df.where(F.col(col).isNotNull()).select(*by, F.col(col).cast("double").alias("_v"))
+    large = F.broadcast(d.groupBy(*by).agg(F.count("*").alias("_n")).where(F.col("_n") > many).drop("_n"))
+    key = Window.partitionBy(*by)
+    ranked = d.join(large, by, "left_anti").withColumns({"_rank": F.row_number().over(key.orderBy("_v")) - 1, "_n": F.count("*").over(key)})
+    value = lambda at: F.max(F.when(F.col("_rank") == at, F.col("_v")))
+    ats = {name: F.lit(q) * (F.col("_n") - 1) for name, q in shares.items()}
+    between = lambda at: value(F.floor(at)) + (value(F.ceil(at)) - value(F.floor(at))) * F.max(at - F.floor(at))
+    few = ranked.groupBy(*by).agg(*(between(at).alias(name) for name, at in ats.items()))
+    d = d.join(large, by)
     size = d.groupBy(*by).agg(F.count("*").alias("_n"), F.min("_v").alias("_low"), F.max("_v").alias("_high"))
     # the two ranks each share lies between, from 0
     want = size.select(*by, "_low", "_high", F.explode(F.array(*(F.struct(F.lit(name).alias("_name"), (F.lit(q) * (F.col("_n") - 1)).alias("_at")) for name, q in shares.items()))).alias("x")).select(*by, "_low", "_high", "x.*")
@@ -265,4 +277,4 @@ def exact_quantiles(df: DataFrame, by: list[str], col: str, shares: dict[str, fl
     low, high = F.min_by("_v", "_rank"), F.max_by("_v", "_rank")
     q = n.groupBy(*by, "_name", "_at").agg((low + (high - low) * (F.col("_at") - F.floor("_at"))).alias("_q"))
     q = q.groupBy(*by).agg(*(F.max(F.when(F.col("_name") == name, F.col("_q"))).alias(name) for name in shares))
-    return df.select(*by).distinct().join(q, by, "left")
+    return df.select(*by).distinct().join(few.unionByName(q), by, "left")

@@ -119,6 +119,15 @@ def test_exact_quantiles(spark):
         assert (got["e"].low, got["e"].mid) == (None, None)
 
 
+def test_exact_quantiles_of_few_and_many(spark):
+    """Keys on both sides of the limit give the same kind of row; small ones are not dealt to bins."""
+    recs = {"a": np.arange(60.0) ** 2, "b": np.array([3.0, 1.0]), "c": np.arange(50.0)}
+    df = frame(spark, "k string, v double", [(k, float(x)) for k, v in recs.items() for x in v] + [("e", None)])
+    got = {r.k: (r.low, r.mid) for r in A.exact_quantiles(df, BY, "v", {"low": 0.05, "mid": 0.5}, 4, 2, many=50).collect()}
+    assert got.pop("e") == (None, None)
+    assert got == {k: pytest.approx(tuple(np.percentile(v, [5, 50]))) for k, v in recs.items()}
+
+
 def test_gear_verdict(spark):
     levels = frame(spark, "k string, t double, level double", [("a", float(t), float(t)) for t in range(0, 12)])
     items = frame(spark, "k string, t double, seconds double", [("a", t, 1.0) for t in (0.0, 4.0, 8.0, 8.5, 9.0, 11.5, 12.0, 13.0)])

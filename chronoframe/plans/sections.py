@@ -10,6 +10,7 @@ from ..operators import aggregates as A
 from ..operators import islands as I
 from ..operators import joins as J
 from ..operators import windows as W
+from ..sources.catalog import written
 
 
 def reading(curve: DataFrame, by: list[str], level: str, ceiling: float, scale: Column, burst: float, quiet: float = 10.0, floor: float = 0.02, quiet_burst: float = 2.0) -> DataFrame:
@@ -66,10 +67,11 @@ def sifted(settled: DataFrame, beats: DataFrame | None, by: list[str], density:
 
 def sections(curve: DataFrame, loudness: DataFrame, beats: DataFrame | None, by: list[str], level: str, ceiling: float = 0.5, scale: float = 0.09, gap: float = 2.0, burst: float = 5.0, minimum: float = 60.0, margin: float = 6.0, hold: float = 10.0, density: float = 0.5, quiet: float = 10.0, floor: float = 0.02, quiet_burst: float = 2.0, places: int = 3) -> DataFrame:
     """One row per call: start, stop, before, after, talk_seconds, outcome (null: a section; silent, brief or sparse), beats,
-    rate. loudness: t and level."""
-    read = reading(curve, by, level, ceiling, F.lit(scale), burst, quiet, floor, quiet_burst)
-    found = settle(calls(curve, by, level, read, gap, minimum), loudness, by, F.lit(margin), F.lit(hold), minimum)
-    return sifted(found, beats, by, density, places)
+    rate. loudness: t and level. Each step is written to the shared folder, as the next reads it more than once."""
+    read = written(reading(curve, by, level, ceiling, F.lit(scale), burst, quiet, floor, quiet_burst), "readings")
+    found = written(calls(curve, by, level, read, gap, minimum), "calls")
+    settled = written(settle(found, loudness, by, F.lit(margin), F.lit(hold), minimum), "settled")
+    return sifted(settled, beats, by, density, places)
 
 
 def sweep_sections(curve: DataFrame, loudness: DataFrame, beats: DataFrame | None, truth: DataFrame, by: list[str], level: str, scales: list[float], margins: list[float], holds: list[float], tolerance: float, ceiling: float = 0.5, gap: float = 2.0, burst: float = 5.0, minimum: float = 60.0, density: float = 0.5, quiet: float = 10.0, floor: float = 0.02, quiet_burst: float = 2.0, places: int = 3) -> DataFrame:
@@ -78,10 +80,11 @@ def sweep_sections(curve: DataFrame, loudness: DataFrame, beats: DataFrame | Non
     scaled, set_ = [*by, "scale"], [*by, "scale", "margin", "hold"]
     each = lambda name, values: F.explode(F.array(*(F.lit(float(v)) for v in values))).alias(name)
     c = curve.select("*", each("scale", scales))
-    read = reading(c, scaled, level, ceiling, F.col("scale"), burst, quiet, floor, quiet_burst)
-    found = calls(c, scaled, level, read, gap, minimum).select("*", each("margin", margins)).select("*", each("hold", holds))
+    read = written(reading(c, scaled, level, ceiling, F.col("scale"), burst, quiet, floor, quiet_burst), "readings")
+    found = written(calls(c, scaled, level, read, gap, minimum), "calls").select("*", each("margin", margins)).select("*", each("hold", holds))
     spread = lambda df: df.select("*", each("scale", scales)).select("*", each("margin", margins)).select("*", each("hold", holds))
-    s = sifted(settle(found, spread(loudness), set_, F.col("margin"), F.col("hold"), minimum), None if beats is None else spread(beats), set_, density, places)
+    settled = written(settle(found, spread(loudness), set_, F.col("margin"), F.col("hold"), minimum), "settled")
+    s = sifted(settled, None if beats is None else spread(beats), set_, density, places)
     starts = s.where("outcome is null").select(*set_, F.col("start").alias("t"))
     m = J.match_truth(starts, spread(truth), set_, tolerance)
     return m.withColumn("clean", (F.col("matched") == F.col("truths")) & (F.col("invented") == 0))

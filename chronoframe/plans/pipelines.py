@@ -9,6 +9,7 @@ from ..operators import aggregates as A
 from ..operators import islands as I
 from ..operators import joins as J
 from ..operators import windows as W
+from ..sources.catalog import written
 
 
 def grid_trust(grid: DataFrame, by: list[str], group: str) -> DataFrame:
@@ -74,7 +75,8 @@ def correlate_all(items: DataFrame, grid: DataFrame, by: list[str], key: str, *,
     graphics (start, stop, kind): whether the item starts strictly inside one, by guard, a card before others. samples (t,
     sharpness, exposure, clipped, stability): medians and worst over the item, and how many. Changes also split each item by
     state: most is the state with most of its seconds. The sides that are points meet the items in one exchange; those that
-    are spans or samples meet them in buckets of `width`."""
+    are spans or samples meet them in buckets of `width`; what the first exchange gives is written to the shared folder, as all
+    of these read it."""
     null = lambda kind: F.lit(None).cast(kind)
     w = Window.partitionBy(*by).orderBy("t")
     g = grid.withColumn("_gap", F.lead("t").over(w) - F.col("t"))
@@ -103,10 +105,12 @@ def correlate_all(items: DataFrame, grid: DataFrame, by: list[str], key: str, *,
     p = F.when(F.abs(F.col("t") - J.nearer("pic")["t"]) <= near, J.nearer("pic")) if deltas is not None else None
     r = r.withColumns({"delta": p["delta"], "jump": p["jump"]} if deltas is not None else {"delta": null("double"), "jump": null("boolean")})
     r = r.drop("_g", *(f"{n}_{side}" for n in sides for side in ("back", "next")))
+    r = written(r, "items")
+    lengths = r.select(*by, key, "start", "stop")
     r = J.straddle_join(r, graphics, by, key, width, guard).withColumnRenamed("kind", "super_kind")
     if samples is not None:
         aggs = [F.median("sharpness").alias("sharpness"), F.median("exposure").alias("exposure"), F.max("clipped").alias("clipped"), F.min("stability").alias("stability")]
-        q = J.range_agg(r.select(*by, key, "start", "stop"), samples.select(*by, "t", "sharpness", "exposure", "clipped", "stability"), by, key, width, aggs).withColumnRenamed("n", "samples").drop("start", "stop")
+        q = J.range_agg(lengths, samples.select(*by, "t", "sharpness", "exposure", "clipped", "stability"), by, key, width, aggs).withColumnRenamed("n", "samples").drop("start", "stop")
         r = r.join(q, [*by, key], "left")
     else:
         r = r.withColumns({c: null("double") for c in ("sharpness", "exposure", "clipped", "stability")}).withColumn("samples", F.lit(0).cast("long"))
@@ -117,7 +121,7 @@ def correlate_all(items: DataFrame, grid: DataFrame, by: list[str], key: str, *,
     ends = items.groupBy(*by).agg(F.min("t").alias("_from"), F.max(F.col("t") + F.col("seconds")).alias("_to"))
     spans = held.unionByName(head.select(*by, F.lit(float("-inf")).alias("start"), F.coalesce("stop", F.lit(float("inf"))).alias("stop"), "label")).join(ends, by)
     spans = spans.select(*by, F.greatest("start", "_from").alias("start"), F.least("stop", "_to").alias("stop"), "label").where("start < stop")
-    most = J.overlap_split(r.select(*by, key, "start", "stop"), spans, by, key, width).where("verdict").select(*by, key, F.col("label").alias("most"))
+    most = J.overlap_split(lengths, spans, by, key, width).where("verdict").select(*by, key, F.col("label").alias("most"))
     return r.join(most, [*by, key], "left")
 
 

@@ -268,3 +268,12 @@ def test_bar_map_of_an_empty_grid(spark):
     empty = spark.createDataFrame([], "rec_id int, t double, beat long, bar long, salience double")
     maps, bars = analyses.bar_map(empty, ["rec_id"])
     assert maps.collect() == [] and bars.collect() == []
+
+
+def test_shared_steps_are_worked_out_once(spark, sf_dir):
+    """What several parts of a plan read is a table in the shared folder, not a plan that each part runs again."""
+    files = lambda name: QUERIES[name](spark, sf_dir).inputFiles()
+    for name in ("i02_bar_map", "i02_bars", "i07_phrase_boundaries"):
+        assert not any("events.parquet" in f for f in files(name)), name
+    for name, table in (("i04_sections", "/settled-"), ("i08_correlate_all", "/items-"), ("d33_gap_report", "/gaps-")):
+        assert any(table in f for f in files(name)), name

@@ -93,14 +93,22 @@ def semitones(before: Column, after: Column) -> Column:
     return F.when((before > 0) & (after > 0), 12 * F.log2(after / before)).otherwise(0.0)
 
 
-def dbfs(mean_square: Column, floor: float = -120.0) -> Column:
-    return F.when(mean_square > 0, F.greatest(10 * F.log10(mean_square), F.lit(floor))).otherwise(floor)
+def _decibels(power: Column, offset: float, floor: float | None) -> Column:
+    level = 10 * F.log10(power) - offset
+    if floor is None:
+        return F.when(power > 0, level).when(power == 0, float("-inf"))
+    return F.when(power > 0, F.greatest(level, F.lit(floor))).otherwise(floor)
 
 
-def lufs(channels: list[Column]) -> Column:
-    """From mean squares of channels: 1.41 for those beyond the third, less 0.691."""
+def dbfs(mean_square: Column, floor: float | None = -120.0) -> Column:
+    """Silence and no value are at the floor; without one, silence is minus infinity and no value null."""
+    return _decibels(mean_square, 0.0, floor)
+
+
+def lufs(channels: list[Column], floor: float | None = -120.0) -> Column:
+    """From mean squares of channels: 1.41 for those beyond the third, less 0.691. The floor is that of dbfs()."""
     total = reduce(lambda a, b: a + b, (c * (1.0 if k < 3 else 1.41) for k, c in enumerate(channels)))
-    return F.when(total > 0, F.greatest(10 * F.log10(total) - 0.691, F.lit(-120.0))).otherwise(-120.0)
+    return _decibels(total, 0.691, floor)
 
 
 def clamp01(x: Column) -> Column:

@@ -245,15 +245,16 @@ def hopping_windows(df: DataFrame, by: list[str], win: float, hop: float) -> Dat
     return df.withColumn("start", (F.col("_f") + F.col("_k") * far) / 1_000_000).drop("_u", "_f", "_l", "_k")
 
 
-def window_table(samples: DataFrame, by: list[str], win: float, hop: float, channels: list[Column], plain: Column, onset: Column) -> DataFrame:
+def window_table(samples: DataFrame, by: list[str], win: float, hop: float, channels: list[Column], plain: Column, onset: Column, floor: float | None = -120.0) -> DataFrame:
     """Per whole window: lufs from the channels' weighted mean squares, level in dBFS of the plain values, onsets a second.
-    channels: weighted samples, whose squares are averaged; a short window's rate is over its own span."""
+    channels: weighted samples, whose squares are averaged; a short window's rate is over its own span. Levels have the floor
+    of dbfs()."""
     from ..functions.columns import dbfs, lufs
 
     w = hopping_windows(samples, by, win, hop)
-    loud = lufs([F.avg(c * c) for c in channels])
+    loud = lufs([F.avg(c * c) for c in channels], floor)
     rate = F.try_divide(F.count_if(onset), F.first("span"))
-    return w.groupBy(*by, "start").agg(F.round(loud, 2).alias("lufs"), F.round(dbfs(F.avg(plain * plain)), 2).alias("rms"), F.round(rate, 9).alias("onsets"))
+    return w.groupBy(*by, "start").agg(F.round(loud, 2).alias("lufs"), F.round(dbfs(F.avg(plain * plain), floor), 2).alias("rms"), F.round(rate, 9).alias("onsets"))
 
 
 def tumbling_level(df: DataFrame, by: list[str], col: str, width: float) -> DataFrame:

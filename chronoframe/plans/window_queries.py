@@ -148,7 +148,7 @@ def e24(s, d):
 @query("e25_window_table", sql(f"+{_WINDOWS} SELECT rec_id, round(start, 3) AS start, round(10 * log10(avg(value * value / 4) + 1.41 * avg(value * value / 16)) - 0.691, 2) AS lufs, round(10 * log10(avg(value * value)), 2) AS rms, round(count(*) FILTER (WHERE event_type = 'click') / nullif(any_value(span), 0), 9) AS onsets FROM h GROUP BY rec_id, start", "e"))
 def e25(s, d):
     v = F.col("value")
-    t = W.window_table(recordings(s, d), BY, 86400.0, 43200.0, [v / 2, F.lit(0.0), F.lit(0.0), v / 4], v, F.col("event_type") == "click")
+    t = W.window_table(recordings(s, d), BY, 86400.0, 43200.0, [v / 2, F.lit(0.0), F.lit(0.0), v / 4], v, F.col("event_type") == "click", floor=None)
     return t.withColumn("start", F.round("start", 3))
 
 

@@ -1,5 +1,7 @@
 """Folds over groups pass through sorted tasks: keys with nulls, groups over several batches, work that doesn't grow with groups."""
 
+import math
+
 from pyspark.sql import functions as F
 
 from chronoframe.operators import islands as I
@@ -80,3 +82,25 @@ def test_empty_item_without_media_stays_if_nothing_holds_its_start(spark, tmp_pa
     want = sorted(con.execute(ORACLES["f17_drop_covered"]).fetchall())
     assert (1, 3) in want and (2, 15) in want and (1, 6) not in want
     assert sorted(map(tuple, QUERIES["f17_drop_covered"](spark, str(tmp_path)).collect())) == want
+
+
+def test_levels_of_silent_windows_have_no_floor(spark, tmp_path):
+    """Windows of zeros alone, of no values and of values under -120 dB, as in the SQL; the operator keeps its floor."""
+    import duckdb
+
+    from chronoframe.operators import windows as W
+    from chronoframe.plans import ORACLES
+    from chronoframe.plans.registry import recordings
+
+    days = [f"2024-01-0{d} 10:00:00" for d in range(1, 8)]
+    rows = [(1, v) for v in (5, 0, 0, 0, "null", "null", 7)] + [(2, 0), (3, "null"), (4, "1e-9"), (4, 0)]
+    seen = [sum(u == rows[j][0] for j in range(i)) for i, (u, _) in enumerate(rows)]
+    _events(tmp_path, ", ".join(f"({i}, '{days[k]}', {u}, {v})" for i, ((u, v), k) in enumerate(zip(rows, seen))))
+    con = duckdb.connect()
+    con.execute(f"set timezone='UTC'; create view events as select * from read_parquet('{tmp_path}/events.parquet')")
+    want = sorted(con.execute(ORACLES["e25_window_table"]).fetchall(), key=lambda r: r[:2])
+    assert {(-math.inf, -math.inf), (None, None)} <= {r[2:4] for r in want} and any(-math.inf < (r[3] or 0) < -120 for r in want)
+    assert sorted(map(tuple, QUERIES["e25_window_table"](spark, str(tmp_path)).collect()), key=lambda r: r[:2]) == want
+    v = F.col("value")
+    floored = W.window_table(recordings(spark, str(tmp_path)), ["rec_id"], 86400.0, 43200.0, [v], v, F.lit(True)).where("rec_id > 1").collect()
+    assert len(floored) == 3 and {(r.lufs, r.rms) for r in floored} == {(-120.0, -120.0)}
